@@ -1,0 +1,5 @@
+"""No streaming operators: every input of the domain is a finite table.
+
+The one incremental operation, the upsert of index documents, is a batch job
+(``siftrank.sources.indexes.upsert``).
+"""
