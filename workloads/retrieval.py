@@ -247,14 +247,15 @@ def hyde_listwise(spark: SparkSession, sf: str) -> DataFrame:
     return hits(text_search(spark, sf).hyde_listwise(inputs.text_queries(spark, sf), K, POOL))
 
 
-USER_TURNS = "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'"
 OPENINGS = """CASE turn % 4 WHEN 0 THEN 'I''m looking for some ' WHEN 2 THEN '  Can you show me a GREAT ' ELSE '' END"""
 
 
 def user_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Every user turn as a query, some with a conversational opening."""
     rows = inputs.table(spark, sf, "conversations").filter("role = 'user'")
-    return rows.select("conv_id", "turn", F.concat(F.expr(OPENINGS.replace("''", r"\'")), "text").alias("query"))
+    opening = F.when(F.col("turn") % 4 == 0, "I'm looking for some ").when(
+        F.col("turn") % 4 == 2, "  Can you show me a GREAT ").otherwise("")
+    return rows.select("conv_id", "turn", F.concat(opening, "text").alias("query"))
 
 
 ASKED_TURNS = f"(SELECT conv_id, turn, {OPENINGS} || text AS query FROM conversations WHERE role = 'user')"

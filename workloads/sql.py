@@ -317,35 +317,39 @@ def rrf(k: int, name: str, runs: str, rrf_k: int = fixed.RRF_K) -> str:
 
 
 def metrics(judged: str, run: str, ks: list[int], threshold: float = 1.0, gain: str = "linear",
-            wanted: str = "true") -> str:
-    """Final SELECT over ``judged(query_id, product_id, gain)`` and ``run(strategy, query_id, product_id, rank)``."""
+            wanted: str = "true") -> list[str]:
+    """Tables and final SELECT over ``judged(query_id, product_id, gain)`` and ``run(strategy, query_id, product_id, rank)``."""
     value = "gain" if gain == "linear" else "(pow(2, gain) - 1)"
     deepest = max(ks)
     rows = []
     for k in ks:
         rows += [
-            f"('mrr', {k}, CASE WHEN first_hit <= {k} THEN 1e0 / first_hit ELSE 0 END)",
-            f"('ndcg', {k}, coalesce(dcg{k} / nullif(ideal{k}, 0), 0))",
-            f"('recall', {k}, coalesce(hits{k} / nullif(relevant, 0), 0))",
+            ("mrr", k, f"CASE WHEN first_hit <= {k} THEN 1e0 / first_hit ELSE 0 END"),
+            ("ndcg", k, f"coalesce(dcg{k} / nullif(ideal{k}, 0), 0)"),
+            ("recall", k, f"coalesce(hits{k} / nullif(relevant, 0), 0)"),
         ]
     ideal = ", ".join(f"sum(CASE WHEN r <= {k} THEN {value} / log2(r + 1) END) AS ideal{k}" for k in ks)
     sums = ", ".join(
         f"sum(CASE WHEN rank <= {k} THEN {value} / log2(rank + 1) END) AS dcg{k}, "
         f"count(*) FILTER (gain >= {threshold} AND rank <= {k}) AS hits{k}" for k in ks
     )
-    return f"""
-, ideals AS (SELECT query_id, {ideal}, count(*) FILTER (gain >= {threshold}) AS relevant FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, product_id) AS r FROM {judged}) GROUP BY 1),
-hit_sums AS (
+    cases = ", ".join(
+        f"{{'metric': '{metric}', 'k': {k}, 'value': CAST({formula} AS DOUBLE)}}" for metric, k, formula in rows
+    )
+    return [
+        f"""ideals AS (
+  SELECT query_id, {ideal}, count(*) FILTER (gain >= {threshold}) AS relevant FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, product_id) AS r FROM {judged}) GROUP BY 1)""",
+        f"""hit_sums AS (
   SELECT strategy, query_id, min(rank) FILTER (gain >= {threshold}) AS first_hit, {sums}
-  FROM {run} JOIN {judged} USING (query_id, product_id) WHERE rank <= {deepest} GROUP BY 1, 2),
-answered AS (SELECT DISTINCT strategy, query_id FROM {run} JOIN ideals USING (query_id)),
-by_query AS (
-  SELECT strategy, unnest([{', '.join(f"{{'metric': {r[1:-1].split(', ', 2)[0]}, 'k': {r[1:-1].split(', ', 2)[1]}, 'value': CAST({r[1:-1].split(', ', 2)[2]} AS DOUBLE)}}" for r in rows)}],
-         recursive := true)
-  FROM answered JOIN ideals USING (query_id) LEFT JOIN hit_sums USING (strategy, query_id))
+  FROM {run} JOIN {judged} USING (query_id, product_id) WHERE rank <= {deepest} GROUP BY 1, 2)""",
+        f"answered AS (SELECT DISTINCT strategy, query_id FROM {run} JOIN ideals USING (query_id))",
+        f"""by_query AS (
+  SELECT strategy, unnest([{cases}], recursive := true)
+  FROM answered JOIN ideals USING (query_id) LEFT JOIN hit_sums USING (strategy, query_id))""",
+        f"""
 SELECT strategy, metric, k, round(sum(value) / (SELECT count(*) FROM ideals), 6) AS score,
        round(sum(value) / count(*), 6) AS score_answered,
        (SELECT count(*) FROM ideals) AS n_queries, (SELECT count(*) FROM ideals) - count(*) AS n_missing
-FROM by_query WHERE {wanted} GROUP BY strategy, metric, k
-"""
+FROM by_query WHERE {wanted} GROUP BY strategy, metric, k""",
+    ]
