@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftrank.operators.ranking import top_n
-from siftrank.scratch import materialize, planned_bytes, spread
+from siftrank.scratch import materialize, memory_bytes, spread
 
 QUERY_BYTES = 64 << 20   # largest set of query vectors sent to every executor
 BLOCK_BYTES = 32 << 20   # vectors in one group of the block join
@@ -129,8 +129,8 @@ def _number_of_blocks(size: int, limit: int) -> int:
 
 def _block_join(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType) -> DataFrame:
     """Exact search for any number of queries: blocks of products times blocks of queries."""
-    n_blocks = _number_of_blocks(planned_bytes(vectors), BLOCK_BYTES)
-    n_queries = _number_of_blocks(planned_bytes(queries), BLOCK_BYTES)
+    n_blocks = _number_of_blocks(memory_bytes(vectors), BLOCK_BYTES)
+    n_queries = _number_of_blocks(memory_bytes(queries.select("query_id", "embedding")), BLOCK_BYTES)
     products = vectors.withColumn("_block", F.pmod(F.xxhash64("product_id"), F.lit(n_blocks))).withColumn(
         "_queries", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)).cast("array<bigint>"))
     )
@@ -148,8 +148,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, filter_source: str |
     ``query_id, embedding`` and may have ``filter_source`` per query.  In post
     mode the filter removes hits from the top ``k``, so fewer can remain; pre
     mode searches the wanted source only.  Vectors of length zero have no
-    cosine and take no part.  ``queries`` is expected to be a written table:
-    its size decides between sending it to all tasks and the block join.
+    cosine and take no part.  The counted size of ``queries`` decides between
+    sending them to all tasks and the block join; both are exact.
     """
     if filter_mode not in ("post", "pre"):
         raise ValueError("filter_mode must be 'post' or 'pre'")
@@ -157,7 +157,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, filter_source: str |
         vectors = vectors.filter(F.col("source") == filter_source)
     searched = vectors.select("product_id", "source", "embedding")
     schema = _hit_schema(searched, queries)
-    find = _scan if planned_bytes(queries) <= query_bytes else _block_join
+    asked_bytes = memory_bytes(queries.select("query_id", "embedding"))
+    find = _scan if asked_bytes <= query_bytes else _block_join
     hits = top_n(find(spread(searched), queries, k, schema), ["query_id"], [F.desc("score"), F.asc("product_id")], k)
     if filter_source and filter_mode == "post":
         hits = hits.filter(F.col("source") == filter_source)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftrank import fixed_values as fixed
 from siftrank.functions.text import clean_query, term_counts, tokens
 from siftrank.operators.ranking import top_n
-from siftrank.scratch import broadcast_limit, materialize, planned_bytes, spread
+from siftrank.scratch import broadcast_limit, fan_out, materialize, memory_bytes, spread
 
 
 @dataclass(frozen=True)
@@ -19,25 +19,49 @@ class LexicalIndex:
 
     ``ordinal`` numbers a product's terms in one field; the rows with 0 count
     the products, so field statistics need no second pass over the texts.
+    An index on disk also stores the frequencies and statistics, and its
+    postings lie in ``term_buckets`` folders by a hash of the term.
     """
 
     postings: DataFrame
+    frequencies: DataFrame | None = None
+    statistics: DataFrame | None = None
+    term_buckets: int = 0
 
     def field_stats(self) -> DataFrame:
         """Products with text and mean length, per field."""
-        return self.postings.groupBy("field").agg(
+        return self.statistics or self.postings.groupBy("field").agg(
             F.count_if(F.col("ordinal") == 0).alias("n_docs"),
             (F.sum("tf") / F.count_if(F.col("ordinal") == 0)).alias("avgdl"),
         )
 
-    def term_df(self) -> DataFrame:
-        """Products per field and term."""
-        return self.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    def term_df(self, terms: DataFrame | None = None) -> DataFrame:
+        """Products per field and term, for all terms or those in ``terms``."""
+        rows = self.frequencies or self.postings
+        if terms is not None:
+            rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+        if self.frequencies is not None:
+            return rows.select("field", "term", "df")
+        return rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
     def lengths(self) -> DataFrame:
         """Number of words per product and field."""
         return self.postings.filter("ordinal = 0").select("field", "product_id", "dl")
 
+    def postings_of(self, weights: DataFrame) -> DataFrame:
+        """Postings without the folders that hold none of the weights' terms."""
+        if not self.term_buckets:
+            return self.postings.drop("ordinal")
+        # At most one number per folder.
+        folders = weights.select(term_bucket(self.term_buckets).alias("n")).distinct().collect()
+        return self.postings.filter(F.col("term_bucket").isin([row.n for row in folders])).drop(
+            "ordinal", "term_bucket"
+        )
+
+
+def term_bucket(buckets: int) -> Column:
+    return F.pmod(F.hash("term"), F.lit(buckets))
+
 
 def build_postings(documents: DataFrame, fields: list[str], id_column: str = "product_id") -> DataFrame:
     """Postings of all fields; no shuffle, each row's terms are counted inside the row."""
@@ -69,9 +93,7 @@ def query_terms(queries: DataFrame, cleaned: bool = True) -> DataFrame:
 def term_weights(index: LexicalIndex, terms: DataFrame, boosts: dict[str, float]) -> DataFrame:
     """Weight of each query term in each field: boost, occurrences and rarity."""
     fields = list(boosts)
-    vocabulary = terms.select("term").distinct()
-    found = index.postings.filter(F.col("field").isin(fields)).join(vocabulary, "term", "left_semi")
-    rarity = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    rarity = index.term_df(terms).filter(F.col("field").isin(fields))
     # One row per field.
     stats = F.broadcast(index.field_stats().filter(F.col("field").isin(fields)))
     boost = F.element_at(F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair]), F.col("field"))
@@ -90,17 +112,17 @@ def _saturation(k1: float, b: float) -> Column:
 def match(postings: DataFrame, weights: DataFrame, salts: int) -> DataFrame:
     """Postings with the weights of the queries that ask for their term.
 
-    Small weights are broadcast by Spark's own threshold; matching postings
-    are then brought together per product first, so that the later sum per
-    query and product needs no shuffle of all scored pairs.  Larger weights
+    Weights within Spark's broadcast threshold are broadcast; the matching
+    postings are brought together per product first, so that the later sum
+    per query and product needs no shuffle of all scored pairs.  Larger weights
     are copied ``salts`` times, and each term's postings are spread over as
     many parts by product, so a term found in a third of all products is not
     one task's work.
     """
     spark = postings.sparkSession
-    if planned_bytes(weights) <= broadcast_limit(spark):
+    if memory_bytes(weights) <= max(broadcast_limit(spark), 0):
         vocabulary = weights.select("field", "term").distinct()
-        together = postings.join(vocabulary, ["field", "term"], "left_semi").repartition("product_id")
+        together = fan_out(postings.join(vocabulary, ["field", "term"], "left_semi"), "product_id")
         return together.join(F.broadcast(weights), ["field", "term"])
     copies = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     parts = postings.withColumn("_salt", F.pmod(F.hash("product_id"), F.lit(salts)))
@@ -123,7 +145,7 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict[str, floa
     if per_query:
         weights = weights.join(queries.select("query_id", "filter_source"), "query_id")
     weights = materialize(weights, "weights")
-    postings = index.postings.drop("ordinal").filter(F.col("field").isin(list(boosts)))
+    postings = index.postings_of(weights).filter(F.col("field").isin(list(boosts)))
     if filter_source:
         postings = postings.filter(F.col("source") == filter_source)
     matched = match(postings, weights, salts)
@@ -132,7 +154,8 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict[str, floa
     part = F.col("weight") * _saturation(k1, b)
     by_field = [F.sum(F.when(F.col("field") == f, part)).alias(f"_field{i}") for i, f in enumerate(boosts)]
     sums = [F.col(f"_field{i}") for i in range(len(boosts))]
-    scored = matched.groupBy("query_id", "product_id").agg(F.first("source").alias("source"), *by_field)
+    # The source goes with the product; as a key it keeps the sums in a hash table.
+    scored = matched.groupBy("query_id", "product_id", "source").agg(*by_field)
     best = sums[0] if len(sums) == 1 else F.greatest(*sums)
     ranked = scored.select("query_id", "product_id", "source", F.round(best, 6).alias("score"))
     return top_n(ranked, ["query_id"], [F.desc("score"), F.asc("product_id")], k)

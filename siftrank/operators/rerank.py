@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftrank.functions.prompts import permutation, ranking_prompt
 from siftrank.operators.ranking import top_n
+from siftrank.scratch import fan_out
 
 PairScorer = Callable[[Column, Column], Column]
 
@@ -16,10 +17,13 @@ PairScorer = Callable[[Column, Column], Column]
 def with_texts(found: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidates with the query and the product's text (``texts``: product_id, text).
 
-    Candidates are few; written as a table they are broadcast to the texts by
-    Spark's threshold, and the texts are not shuffled.
+    Only the texts that some candidate needs are moved: a written candidate
+    table is broadcast to the texts by Spark's threshold, and beyond it the
+    join on the product filters them first.
     """
-    return found.join(queries.select("query_id", "query"), "query_id").join(texts, "product_id")
+    wanted = texts.join(found.select("product_id").distinct(), "product_id", "left_semi")
+    asked = fan_out(found, "product_id").join(queries.select("query_id", "query"), "query_id")
+    return asked.join(wanted, "product_id")
 
 
 def pairwise(found: DataFrame, scorer: PairScorer, k: int) -> DataFrame:

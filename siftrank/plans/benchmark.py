@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from siftrank import fixed_values as fixed
 from siftrank.operators import evaluation, fusion, rerank
+from siftrank.operators.merging import subset
+from siftrank.operators.sampling import first_queries
 from siftrank.plans.agent import agentic
 from siftrank.plans.strategies import Search, distinct_texts, for_all
 from siftrank.scratch import materialize
@@ -16,53 +18,62 @@ from siftrank.scratch import materialize
 STRATEGIES = ["bm25", "knn", "hybrid_rrf", "hybrid_rerank", "hybrid_listwise",
               "hyde_rerank", "hyde_listwise", "agentic"]
 DEFAULT = STRATEGIES[:5]
+GENERATIVE = STRATEGIES[4:]
 
 
 def run_strategies(search: Search, queries: DataFrame, depth: int = 100, pool: int = 20,
-                   listwise_pool: int = fixed.POOL_FUSION, strategies: list[str] | None = None) -> DataFrame:
+                   listwise_pool: int = fixed.POOL_FUSION, strategies: list[str] | None = None,
+                   limit_generative: int | None = None) -> DataFrame:
     """Ranked lists of the chosen strategies: ``strategy, query_id, product_id, rank``.
 
     Queries are encoded once, and both retrievals run once to the deepest pool
-    any strategy asks for; every strategy takes its part of them.
+    any strategy asks for; every strategy takes its part of them.  Strategies
+    that generate text can be limited to the first queries by id.
     """
     chosen = strategies or DEFAULT
     unknown = set(chosen) - set(STRATEGIES)
     if unknown:
         raise ValueError(f"unknown strategies: {sorted(unknown)}")
     texts, ids = distinct_texts(queries)
+    few_texts, few_ids = texts, ids
+    if limit_generative is not None:
+        few_ids = subset(ids, first_queries(queries.select("query_id"), limit_generative))
+        few_texts = subset(texts, few_ids.select(F.col("_as").alias("query_id")))
     if "filter_source" not in queries.columns:
-        texts = texts.drop("filter_source")
+        texts, few_texts = texts.drop("filter_source"), few_texts.drop("filter_source")
     encoded = search.encoded(texts)
     deepest = max(depth, pool, listwise_pool)
     legs = search.legs(texts, encoded, deepest)
     title_legs = None
     if {"hyde_rerank", "hyde_listwise"} & set(chosen):
-        title_legs = (legs[0], materialize(search.knn(search.titled(encoded), deepest), "dense"))
+        wanted = subset(encoded, few_texts)
+        title_legs = (legs[0], materialize(search.knn(search.titled(wanted), deepest), "dense"))
 
     def cut(size: int) -> list[DataFrame]:
         return [leg.filter(F.col("rank") <= size) for leg in legs]
 
-    def pairs(of: tuple[DataFrame, DataFrame]) -> DataFrame:
-        return rerank.pairwise(search.found(texts, of, pool), search.models.score, depth)
+    def pairs(asked: DataFrame, of: tuple[DataFrame, DataFrame]) -> DataFrame:
+        return rerank.pairwise(search.found(asked, of, pool), search.models.score, depth)
 
     def lists(of: tuple[DataFrame, DataFrame]) -> DataFrame:
-        listed = rerank.listwise_prompts(search.found(texts, of, listwise_pool))
+        listed = rerank.listwise_prompts(search.found(few_texts, of, listwise_pool))
         return rerank.listwise(search.models.rank(listed), depth)
 
     plans = {
         "bm25": lambda: cut(depth)[0],
         "knn": lambda: cut(depth)[1],
         "hybrid_rrf": lambda: fusion.rrf(cut(pool), depth),
-        "hybrid_rerank": lambda: pairs(legs),
+        "hybrid_rerank": lambda: pairs(texts, legs),
         "hybrid_listwise": lambda: lists(legs),
-        "hyde_rerank": lambda: pairs(title_legs),
+        "hyde_rerank": lambda: pairs(few_texts, title_legs),
         "hyde_listwise": lambda: lists(title_legs),
-        "agentic": lambda: agentic(search, texts, depth),
+        "agentic": lambda: agentic(search, few_texts, depth),
     }
-    runs = [
-        plans[name]().select(F.lit(name).alias("strategy"), "query_id", "product_id", "rank") for name in chosen
-    ]
-    return for_all(reduce(DataFrame.unionByName, runs), ids).select("strategy", "query_id", "product_id", "rank")
+    runs = []
+    for name in chosen:
+        found = for_all(plans[name](), few_ids if name in GENERATIVE else ids)
+        runs.append(found.select(F.lit(name).alias("strategy"), "query_id", "product_id", "rank"))
+    return reduce(DataFrame.unionByName, runs)
 
 
 def benchmark(search: Search, queries: DataFrame, qrels: DataFrame, ks: list[int] | None = None, *,

@@ -59,6 +59,15 @@ def for_all(hits: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(hits.withColumnRenamed("query_id", "_as"), "_as").drop("_as")
 
 
+def with_payload(hits: DataFrame, products: DataFrame, full_text: bool = True) -> DataFrame:
+    """Hits with what a caller shows of each product; hits without a product stay.
+
+    Joined after the top is known, so texts never travel through retrieval.
+    """
+    shown = ["product_id", "encode_text", "product_class", "brand", *(["full_text"] if full_text else [])]
+    return hits.join(products.select(*[c for c in shown if c in products.columns]), "product_id", "left")
+
+
 @dataclass(frozen=True)
 class Search:
     """Index tables and models.

@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 SPLIT_BYTES = 128 << 20  # spark.sql.files.maxPartitionBytes: a smaller input is one split or few
@@ -57,6 +60,24 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def memory_bytes(df: DataFrame) -> int:
+    """Size of the values themselves, counted by one pass over ``df``.
+
+    A compressed file says little about a table with many equal values, so
+    this is what decides whether a table may be sent to every executor.
+    """
+    widths = []
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            widths.append(F.coalesce(F.octet_length(column), F.lit(0)) + 16)
+        elif isinstance(field.dataType, T.ArrayType):
+            widths.append(F.greatest(F.size(column), F.lit(0)) * 8 + 16)
+        else:
+            widths.append(F.lit(8))
+    return df.agg(F.sum(reduce(lambda a, b: a + b, widths).cast("long"))).first()[0] or 0
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """Spark's own broadcast threshold in bytes (negative when switched off)."""
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -76,3 +97,12 @@ def spread(df: DataFrame) -> DataFrame:
     if planned_bytes(df) > SPLIT_BYTES or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores)
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions, ahead of a step that makes much work of few bytes.
+
+    Adaptive execution would merge small partitions and leave the work to one
+    task; it keeps a number that is asked for.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -54,7 +54,7 @@ def qrels_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @query("run_json_roundtrip", sql.with_ctes(sql.EXAMPLES, sql.SHOP_QRELS, sql.SHOP_RUN, "SELECT * FROM shop_run"))
 def run_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "run-json")
-    exchange.write_run_json(inputs.shop_run(spark, sf), path, rows_per_line=7)
+    exchange.write_run_json(inputs.shop_run(inputs.shop_qrels(spark, sf)), path, rows_per_line=7)
     return exchange.read_run_json(spark, path)
 
 
@@ -396,5 +396,5 @@ def index_upsert(spark: SparkSession, sf: str) -> DataFrame:
     )
     path = scratch_path(spark, "documents")
     before.write.partitionBy("source").parquet(path)
-    indexes.upsert(spark, path, batch)
+    indexes.upsert(spark, path, [batch.withColumn("text", F.lit("")), batch])
     return spark.read.schema(batch.schema).parquet(path)

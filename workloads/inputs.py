@@ -142,10 +142,10 @@ def shop_qrels(spark: SparkSession, sf: str) -> DataFrame:
     return build_qrels(shop_judged(spark, sf), label="esci_label", gains=ESCI_GAINS, prefix="")
 
 
-def shop_run(spark: SparkSession, sf: str) -> DataFrame:
+def shop_run(qrels: DataFrame) -> DataFrame:
     """Judged products in the order of their ids, as a run to measure."""
     order = Window.partitionBy("query_id").orderBy("product_id")  # at most the judgement cap per query
-    return shop_qrels(spark, sf).select(
+    return qrels.select(
         "query_id", "product_id", F.row_number().over(order).cast("long").alias("rank")
     )
 

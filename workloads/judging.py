@@ -24,7 +24,7 @@ def judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Judgements, and a run that leaves the customers in debt unanswered."""
     qrels = materialize(inputs.shop_qrels(spark, sf), "qrels")
     solvent = inputs.table(spark, sf, "customer").filter("c_acctbal > 0")
-    run = subset(inputs.shop_run(spark, sf), solvent.select(inputs.text("c_custkey").alias("query_id")))
+    run = subset(inputs.shop_run(qrels), solvent.select(inputs.text("c_custkey").alias("query_id")))
     return evaluation.normalized(qrels), run
 
 
@@ -100,7 +100,7 @@ SELECT 'reciprocal_rank' AS mode, *, round(1e0 / rank, 6) AS score FROM shop_run
 UNION ALL SELECT 'linear', *, CAST(count(*) OVER (PARTITION BY query_id) - rank + 1 AS DOUBLE) FROM shop_run
 UNION ALL SELECT 'constant', *, 1e0 FROM shop_run"""))
 def run_scores(spark: SparkSession, sf: str) -> DataFrame:
-    run = materialize(inputs.shop_run(spark, sf), "run")
+    run = materialize(inputs.shop_run(inputs.shop_qrels(spark, sf)), "run")
     columns = ["mode", "query_id", "product_id", "rank", "score"]
     return reduce(DataFrame.unionByName, [
         evaluation.run_scores(run, mode).withColumn("mode", F.lit(mode))

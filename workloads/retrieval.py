@@ -13,7 +13,7 @@ from siftrank.functions.text import clean_query, wants_title
 from siftrank.functions.vectors import blend, l2_normalize
 from siftrank.operators import dense, fusion, lexical, rerank
 from siftrank.plans import agent
-from siftrank.plans.strategies import Search, distinct_texts, for_all
+from siftrank.plans.strategies import Search, distinct_texts, for_all, with_payload
 from siftrank.scratch import materialize, scratch_path, spread
 from siftrank.sources import indexes
 from workloads import inputs, sql
@@ -80,8 +80,8 @@ def bm25_index_stats(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "lexical-index")
     indexes.write_lexical(inputs.documents(spark, sf), ["text"], path, term_buckets=16, salts=2)
     index = indexes.read_lexical(spark, path)
-    totals = index.postings.groupBy("field", "term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")
+    totals = index.postings.groupBy("field", "term").agg(F.sum("tf").alias("total")).join(
+        index.term_df(), ["field", "term"]
     )
     return totals.join(F.broadcast(index.field_stats()), "field").select(
         "term", "df", "n_docs", F.round("avgdl", 6).alias("avgdl"), "total"
@@ -106,6 +106,18 @@ def bm25_single(spark: SparkSession, sf: str) -> DataFrame:
     return hits(text_search(spark, sf).bm25(inputs.text_queries(spark, sf), K))
 
 
+@query("bm25_stored_index", sql.with_ctes(
+    sql.DOCUMENTS, sql.TEXT_QUERIES, sql.bm25(TEXT_BOOST, K),
+    "SELECT query_id, CAST(product_id AS BIGINT) AS product_id, score FROM lexical"))
+def bm25_stored_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Search in an index on disk, reading the folders of the queries' terms."""
+    path = scratch_path(spark, "lexical-index")
+    padded = inputs.documents(spark, sf).withColumn("product_id", F.lpad(F.col("product_id").cast("string"), 12, "0"))
+    indexes.write_lexical(padded, ["text"], path, term_buckets=64, salts=2)
+    found = lexical.bm25(indexes.read_lexical(spark, path), inputs.text_queries(spark, sf), K, TEXT_BOOST)
+    return found.select("query_id", F.col("product_id").cast("bigint").alias("product_id"), "score")
+
+
 @query("bm25_multifield", sql.with_ctes(
     *sql.SHOP_PRODUCTS, sql.SHOP_FIELDS, sql.SHOP_QUERIES, sql.bm25(FIELD_BOOSTS, 20), HITS.format("lexical")))
 def bm25_multifield(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,6 +209,16 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return hits(text_search(spark, sf).hybrid_rrf(inputs.text_queries(spark, sf), K))
 
 
+@query("search_hits", sql.with_ctes(
+    *sql.SHOP_PRODUCTS, sql.SHOP_FIELDS, sql.SHOP_QUERIES, sql.bm25(FIELD_BOOSTS, K),
+    "SELECT query_id, product_id, score, rank, brand, full_text FROM lexical JOIN shop USING (product_id)"))
+def search_hits(spark: SparkSession, sf: str) -> DataFrame:
+    found = shop_search(spark, sf).bm25(inputs.shop_queries(spark, sf), K)
+    return with_payload(found, inputs.shop_documents(spark, sf)).select(
+        "query_id", "product_id", "score", "rank", "brand", "full_text"
+    )
+
+
 @query("hybrid_rerank", sql.with_ctes(
     *TEXT_LEGS, TEXTS, sql.candidates(POOL), sql.rerank(K, "reranked", "texts"), HITS.format("reranked")))
 def hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
