@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +26,14 @@ def encoder(load: Callable[[], Encode], batch: int = 32, normalize: bool = True)
         for texts in parts:
             vectors = []
             for at in range(0, len(texts), batch):
-                vectors.extend(list(map(float, v)) for v in model(texts[at:at + batch].tolist()))
+                found = np.asarray(model(texts[at:at + batch].tolist()), dtype=np.float64)
+                if normalize:
+                    norms = np.linalg.norm(found, axis=1, keepdims=True)
+                    found = found / np.where(norms > 0, norms, 1.0)
+                vectors.extend(found.tolist())
             yield pd.Series(vectors)
 
-    return (lambda text: l2_normalize(encode(text))) if normalize else encode
+    return encode
 
 
 def pair_scorer(load: Callable[[], Score], batch: int = 32) -> Callable[[Column, Column], Column]:

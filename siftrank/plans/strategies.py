@@ -98,9 +98,11 @@ class Search:
         wanted = encoded.withColumn("_wanted", wants_title(F.col("query")))
         answered = self.models.title(wanted.filter("_wanted"))
         first_line = F.split(strip(F.col("answer")), r"\r\n|\r|\n")[0]
-        mixed = answered.withColumn("_title", first_line).withColumn("embedding", F.when(
-            F.col("_title") != "", blend(F.col("embedding"), self.models.encode(F.col("_title")))
-        ).otherwise(F.col("embedding")))
+        with_title = answered.withColumn("_title", F.coalesce(first_line, F.lit("")))
+        mixed = with_title.withColumn("_vector", self.models.encode(F.col("_title"))).withColumn(
+            "embedding",
+            F.when(F.col("_title") != "", blend(F.col("embedding"), F.col("_vector"))).otherwise(F.col("embedding")),
+        )
         plain = wanted.filter("not _wanted")
         return materialize(
             mixed.select(*encoded.columns).unionByName(plain.select(*encoded.columns)), "title-vectors"

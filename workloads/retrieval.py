@@ -182,6 +182,14 @@ def knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
     return hits(dense.knn_cells(inputs.vectors(spark, sf), inputs.vector_queries(spark, sf), K))
 
 
+@query("knn_all_cells", sql.with_ctes(
+    VECTORS, VECTOR_QUERIES, sql.knn(K, "vectors", "wanted"), HITS.format("dense")))
+def knn_all_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """With every cell probed the cell search is exact; a cell is split in blocks of few rows."""
+    return hits(dense.knn_cells(inputs.vectors(spark, sf), inputs.vector_queries(spark, sf), K, cells=8, probes=8,
+                                rows_per_block=50))
+
+
 @query("hybrid_candidates", sql.with_ctes(
     *TEXT_LEGS, sql.candidates(POOL), "SELECT query_id, product_id, score, source, leg, rank FROM found"))
 def hybrid_candidates(spark: SparkSession, sf: str) -> DataFrame:
