@@ -25,10 +25,7 @@ def strip(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Stripped text; null for an empty string or the word nan."""
-    def known(s: Column) -> Column:
-        return F.when((s != "") & (F.lower(s) != "nan"), s)
-
-    return let(strip(text.cast("string")), known)
+    return F.regexp_substr(strip(text.cast("string")), F.lit(r"(?is)^(?!nan\z).+\z"))
 
 
 def tokens(text: Column) -> Column:

@@ -71,10 +71,21 @@ def build_queries(judged: DataFrame, *, prefix: str, order: list[Column]) -> Dat
     return first.select(F.concat(F.lit(prefix), F.col("query_id").cast("string")).alias("query_id"), "query")
 
 
-def esci_products(joined: DataFrame, order: list[Column]) -> DataFrame:
+def one_per_product(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per product: the smallest by the given columns, whatever the file order.
+
+    Copies of a product are reduced before the shuffle, and a caller that
+    needs the ids only gets a plain distinct.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    one = rows.filter("product_id is not null").groupBy("product_id").agg(F.min(row).alias("_row"))
+    return one.select("product_id", "_row.*")
+
+
+def esci_products(rows: DataFrame) -> DataFrame:
     """Unified product rows of the first dataset, one per product."""
     texts = [clean(F.col(c)).alias(c) for c in ESCI_METADATA]
-    one = first_of(joined.filter("product_id is not null"), ["product_id"], order).select("product_id", *texts)
+    one = one_per_product(rows, ESCI_METADATA).select("product_id", *texts)
     with_colors = one.withColumn("color", attr.colors(F.col("product_color")))
     title, brand = F.col("product_title"), F.col("product_brand")
     return with_colors.select(
@@ -94,9 +105,9 @@ def esci_products(joined: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
-def wands_products(joined: DataFrame, order: list[Column]) -> DataFrame:
+def wands_products(rows: DataFrame) -> DataFrame:
     """Unified product rows of the second dataset, one per product."""
-    one = first_of(joined.filter("product_id is not null"), ["product_id"], order)
+    one = one_per_product(rows, WANDS_METADATA)
     parsed = one.withColumn("parsed_features", attr.features(F.col("product_features")))
     kept = F.col("parsed_features")
     raw_color = F.coalesce(F.try_element_at(kept, F.lit("color")), F.try_element_at(kept, F.lit("colour")))
@@ -151,7 +162,7 @@ class EsciDataset:
     def products(self) -> DataFrame:
         ids = self.rows().select("product_id").distinct()
         texts = self.product_table.filter("product_locale = 'us'")
-        return esci_products(ids.join(texts, "product_id", "left"), [F.asc(c) for c in ESCI_METADATA])
+        return esci_products(ids.join(texts, "product_id", "left"))
 
     def qrels(self, split: str) -> DataFrame:
         return build_qrels(self.rows(split), label="esci_label", gains=fixed.ESCI_GAINS,
@@ -180,7 +191,7 @@ class WandsDataset:
 
     def products(self) -> DataFrame:
         judged = self.product_table.join(self.rows().select("product_id"), "product_id", "left_semi")
-        return wands_products(judged, [F.asc(f"`{c}`") for c in WANDS_METADATA])
+        return wands_products(judged)
 
     def qrels(self, split: str) -> DataFrame:
         return build_qrels(self.rows(split), label="label", gains=fixed.WANDS_GAINS,

@@ -22,7 +22,7 @@ def with_texts(found: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFr
     join on the product filters them first.
     """
     wanted = texts.join(found.select("product_id").distinct(), "product_id", "left_semi")
-    asked = fan_out(found, "product_id").join(queries.select("query_id", "query"), "query_id")
+    asked = fan_out(found, "query_id", "product_id").join(queries.select("query_id", "query"), "query_id")
     return asked.join(wanted, "product_id")
 
 

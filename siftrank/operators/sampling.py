@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siftrank.operators.curation import Dataset
 from siftrank.operators.merging import Artifacts, judged_ids, keep_first, keep_first_group, subset
 from siftrank.operators.ranking import full_rank, top_n
+from siftrank.scratch import materialize
 
 
 def shuffled(id_column: str, seed: int) -> list[Column]:
@@ -75,14 +76,14 @@ def dev_sample(datasets: list[Dataset], train: int = 1000, test: int = 250, dist
 
 def _sample_one(dataset: Dataset, train: int, test: int, distractors: int, seed: int) -> Artifacts:
     def pick(split: str, n: int) -> tuple[DataFrame, DataFrame]:
-        qrels = dataset.qrels(split)
-        ids = sample_queries(qrels.select("query_id").distinct(), n, seed)
+        qrels = materialize(dataset.qrels(split), "qrels")
+        ids = materialize(sample_queries(qrels.select("query_id").distinct(), n, seed), "sampled")
         return subset(qrels, ids), subset(dataset.queries(split), ids)
 
     train_qrels, train_queries = pick("train", train)
     test_qrels, test_queries = pick("test", test)
     products = dataset.products()
-    judged = judged_ids(train_qrels.unionByName(test_qrels))
+    judged = materialize(judged_ids(train_qrels.unionByName(test_qrels)), "judged")
     noise = (
         distractor_pool(products.select("product_id"), judged)
         .orderBy(*shuffled("product_id", seed)).limit(distractors)

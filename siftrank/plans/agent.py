@@ -125,33 +125,35 @@ def with_hits(state: DataFrame, hits: DataFrame, texts: DataFrame) -> DataFrame:
 def agentic(search: Search, queries: DataFrame, k: int, pool: int = fixed.POOL_RERANK, *,
             understand: Step = stand_in_understanding, assess: Step = stand_in_assessment,
             decompose: Step = stand_in_parts) -> DataFrame:
-    """Top ``k`` per query after at most two rounds; the steps may call a model."""
-    state = materialize(understand(queries), "state")
+    """Top ``k`` per query after at most two rounds; the steps may call a model.
 
-    def retrieve(rows: DataFrame, text: str, size: int, depth: int) -> DataFrame:
-        asked = materialize(rows.select("query_id", F.col(text).alias("query"), "filter_source"), "asked")
-        return search.hybrid_rerank(asked, depth, size).select("query_id", "product_id", "source", "score", "rank")
+    The second round retrieves once for all reopened queries: widened ones with
+    twice the pool, and the parts of decomposed ones with twice the depth.
+    """
+    columns = ["query_id", "product_id", "source", "score", "rank"]
+    state = materialize(understand(queries), "state")
+    asked = state.select("query_id", F.col("rewritten_query").alias("query"), "filter_source")
+    first = materialize(search.hybrid_rerank(asked, k, pool).select(*columns), "round")
 
-    first = materialize(retrieve(state, "rewritten_query", pool, k), "round")
     open_queries = state.filter("complexity = 'complex'").withColumn("iteration", F.lit(1))
     checked = assess(with_hits(open_queries, first, search.texts))
     routed = materialize(checked.select(
         "query_id", "rewritten_query", "filter_source",
         route(F.col("complexity"), F.col("iteration"), F.col("action")).alias("next"),
     ), "routed")
-    reopened = routed.filter("next <> 'end'")
-
-    widened = retrieve(routed.filter("next = 'widen'"), "rewritten_query", pool * 2, k)
-    parts = materialize(decompose(routed.filter("next = 'decompose'")).withColumn(
-        "whole", F.col("query_id")
-    ).withColumn("query_id", F.concat_ws("#", "whole", "part")), "parts")
-    part_hits = retrieve(parts, "query", pool, k * 2)
-    decomposed = best_of_subqueries(
-        part_hits.join(parts.select("query_id", "whole", "part"), "query_id")
-        .drop("query_id").withColumnRenamed("whole", "query_id"), k,
+
+    again = ["query_id", "whole", "part", "query", "filter_source", "pool", "depth"]
+    wide = routed.filter("next = 'widen'").select(
+        "query_id", F.col("query_id").alias("whole"), F.lit(0).alias("part"), F.col("rewritten_query").alias("query"),
+        "filter_source", F.lit(2 * pool).alias("pool"), F.lit(k).alias("depth"),
     )
-    return (
-        first.join(reopened, "query_id", "left_anti")
-        .unionByName(widened)
-        .unionByName(decomposed.select(*first.columns))
+    parts = decompose(routed.filter("next = 'decompose'")).select(
+        F.concat_ws("#", "query_id", "part").alias("query_id"), F.col("query_id").alias("whole"), "part", "query",
+        "filter_source", F.lit(pool).alias("pool"), F.lit(2 * k).alias("depth"),
     )
+    reopened = materialize(wide.select(*again).unionByName(parts.select(*again)), "reopened")
+    second = search.hybrid_rerank(reopened.drop("whole", "part", "depth"), 2 * k, 2 * pool)
+    of_query = second.join(reopened.select("query_id", "whole", "part", "depth"), "query_id").filter("rank <= depth")
+    merged = best_of_subqueries(of_query.drop("query_id", "depth").withColumnRenamed("whole", "query_id"), k)
+    finished = routed.filter("next <> 'end'").select("query_id")
+    return first.join(finished, "query_id", "left_anti").unionByName(merged.select(*columns))

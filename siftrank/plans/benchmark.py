@@ -43,7 +43,7 @@ def run_strategies(search: Search, queries: DataFrame, depth: int = 100, pool: i
         texts, few_texts = texts.drop("filter_source"), few_texts.drop("filter_source")
     encoded = search.encoded(texts)
     deepest = max(depth, pool, listwise_pool)
-    legs = search.legs(texts, encoded, deepest)
+    legs = search.kept_legs(texts, encoded, deepest)
     title_legs = None
     if {"hyde_rerank", "hyde_listwise"} & set(chosen):
         wanted = subset(encoded, few_texts)

@@ -115,11 +115,19 @@ class Search:
         return dense.knn(self.vectors, encoded, k, filter_source=self.filter_source)
 
     def legs(self, queries: DataFrame, encoded: DataFrame, pool: int) -> tuple[DataFrame, DataFrame]:
-        """Both retrievals down to ``pool``, written once; smaller pools are cuts by rank."""
-        return materialize(self.bm25(queries, pool), "lexical"), materialize(self.knn(encoded, pool), "dense")
+        """Both retrievals down to ``pool``."""
+        return self.bm25(queries, pool), self.knn(encoded, pool)
+
+    def kept_legs(self, queries: DataFrame, encoded: DataFrame, pool: int) -> tuple[DataFrame, DataFrame]:
+        """Both retrievals written once, for several strategies; smaller pools are cuts by rank."""
+        first, second = self.legs(queries, encoded, pool)
+        return materialize(first, "lexical"), materialize(second, "dense")
 
     def found(self, queries: DataFrame, legs: tuple[DataFrame, DataFrame], pool: int) -> DataFrame:
-        """Candidates of both legs with query and text."""
+        """Candidates of both legs with query and text; ``queries`` may have a ``pool`` each."""
+        if "pool" in queries.columns:
+            sizes = queries.select("query_id", F.col("pool").alias("_pool"))
+            legs = tuple(leg.join(sizes, "query_id").filter("rank <= _pool").drop("_pool") for leg in legs)
         union = fusion.candidates(*[leg.filter(F.col("rank") <= pool) for leg in legs])
         return rerank.with_texts(materialize(union, "candidates"), queries, self.texts)
 

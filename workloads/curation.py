@@ -133,7 +133,7 @@ def two_catalogues(spark: SparkSession, sf: str) -> list[DataFrame]:
     other = inputs.esci_product_table(spark, sf).filter("product_locale = 'es'")
     return [
         inputs.esci(spark, sf).products().select("product_id", "source", "encode_text"),
-        curation.esci_products(other, [F.asc("product_id")]).select("product_id", "source", "encode_text"),
+        curation.esci_products(other).select("product_id", "source", "encode_text"),
         inputs.wands(spark, sf).products().select("product_id", "source", "encode_text"),
     ]
 
@@ -339,11 +339,10 @@ def encode_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _all_products(spark: SparkSession, sf: str, column: str) -> DataFrame:
-    by_id = [F.asc("product_id")]
     parts = inputs.esci_product_table(spark, sf).filter("product_locale = 'us'")
     suppliers = inputs.wands_product_table(spark, sf)
-    return curation.esci_products(parts, by_id).select("product_id", column).unionByName(
-        curation.wands_products(suppliers, by_id).select("product_id", column)
+    return curation.esci_products(parts).select("product_id", column).unionByName(
+        curation.wands_products(suppliers).select("product_id", column)
     )
 
 

@@ -171,7 +171,7 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
 def shop_documents(spark: SparkSession, sf: str) -> DataFrame:
     """All parts as searchable product rows."""
     products = esci_product_table(spark, sf).filter("product_locale = 'us'")
-    return index_documents(esci_products(products, [F.asc("product_id")]))
+    return index_documents(esci_products(products))
 
 
 def shop_queries(spark: SparkSession, sf: str) -> DataFrame:
