@@ -74,7 +74,7 @@ SHOP_LEGS = [*sql.SHOP_PRODUCTS, sql.SHOP_FIELDS, sql.SHOP_QUERIES, sql.bm25(FIE
 
 @query("bm25_index_stats", sql.with_ctes(sql.DOCUMENTS, sql.TEXT_QUERIES, sql.bm25(TEXT_BOOST, 1), """
 SELECT term, df, n_docs, round(avgdl, 6) AS avgdl, total
-FROM (SELECT field, term, sum(tf) AS total FROM postings GROUP BY ALL)
+FROM (SELECT field, term, CAST(sum(tf) AS BIGINT) AS total FROM postings GROUP BY ALL)
 JOIN frequency USING (field, term) JOIN stats USING (field)"""))
 def bm25_index_stats(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "lexical-index")
@@ -89,7 +89,7 @@ def bm25_index_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("vector_index", sql.with_ctes(*sql.SHOP_PRODUCTS, SHOP_DOCS, """
-SELECT v.product_id, v.source, b AS place,
+SELECT v.product_id, v.source, CAST(b AS INTEGER) AS place,
        round(embedding[b + 1] / sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 6) AS value
 FROM doc_vectors v, range(64) AS r(b)"""))
 def vector_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,7 +310,7 @@ def hyde_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("hyde_blend", """
-SELECT vec_id, b AS place, round(0.5e0 * a.embedding[b + 1] + 0.5e0 * c.embedding[b + 1], 6) AS value
+SELECT vec_id, CAST(b AS INTEGER) AS place, round(0.5e0 * a.embedding[b + 1] + 0.5e0 * c.embedding[b + 1], 6) AS value
 FROM embeddings a JOIN (SELECT label, embedding FROM embeddings WHERE vec_id IN (
   SELECT min(vec_id) FROM embeddings GROUP BY label)) c USING (label), range(64) AS r(b)""")
 def hyde_blend(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,7 +322,7 @@ def hyde_blend(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("l2_normalize", """
-SELECT vec_id, b AS place, round(v[b + 1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS value
+SELECT vec_id, CAST(b AS INTEGER) AS place, round(v[b + 1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS value
 FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (label + 2)) AS v FROM embeddings),
      range(64) AS r(b)""")
 def l2_normalized(spark: SparkSession, sf: str) -> DataFrame:
