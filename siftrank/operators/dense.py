@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftrank.operators.ranking import top_n
-from siftrank.scratch import materialize, memory_bytes, spread
+from siftrank.scratch import materialize, measure, memory_bytes, spread
 
 QUERY_BYTES = 64 << 20   # largest set of query vectors sent to every executor
 BLOCK_BYTES = 32 << 20   # vectors in one group of the block join
 SCORE_CELLS = 4 << 20    # scores held at once: queries times products
+HITS_PER_TASK = 1 << 20  # hits one task keeps: queries times k
 
 
 def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +131,8 @@ def _number_of_blocks(size: int, limit: int) -> int:
 def _block_join(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType) -> DataFrame:
     """Exact search for any number of queries: blocks of products times blocks of queries."""
     n_blocks = _number_of_blocks(memory_bytes(vectors), BLOCK_BYTES)
-    n_queries = _number_of_blocks(memory_bytes(queries.select("query_id", "embedding")), BLOCK_BYTES)
+    rows, size = measure(queries.select("query_id", "embedding"))
+    n_queries = max(_number_of_blocks(size, BLOCK_BYTES), _number_of_blocks(rows * k, HITS_PER_TASK))
     products = vectors.withColumn("_block", F.pmod(F.xxhash64("product_id"), F.lit(n_blocks))).withColumn(
         "_queries", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)).cast("array<bigint>"))
     )
@@ -157,8 +159,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, filter_source: str |
         vectors = vectors.filter(F.col("source") == filter_source)
     searched = vectors.select("product_id", "source", "embedding")
     schema = _hit_schema(searched, queries)
-    asked_bytes = memory_bytes(queries.select("query_id", "embedding"))
-    find = _scan if asked_bytes <= query_bytes else _block_join
+    rows, size = measure(queries.select("query_id", "embedding"))
+    find = _scan if size <= query_bytes and rows * k <= HITS_PER_TASK else _block_join
     hits = top_n(find(spread(searched), queries, k, schema), ["query_id"], [F.desc("score"), F.asc("product_id")], k)
     if filter_source and filter_mode == "post":
         hits = hits.filter(F.col("source") == filter_source)

@@ -67,12 +67,6 @@ def _value(gain: Column, how: str) -> Column:
     raise ValueError("gain must be 'linear' or 'exp2'")
 
 
-def judged_hits(qrels: DataFrame, run: DataFrame, deepest: int) -> DataFrame:
-    """Hits that were judged, down to the deepest cutoff."""
-    shallow = run.filter(F.col("rank") <= deepest)
-    return shallow.join(qrels, ["query_id", "product_id"])
-
-
 def per_query(qrels: DataFrame, run: DataFrame, ks: list[int] | None = None, *,
               threshold: float | None = None, gain: str = "linear") -> DataFrame:
     """Metrics of each strategy and query that was run and judged, one column per metric and cutoff.
@@ -93,12 +87,13 @@ def per_query(qrels: DataFrame, run: DataFrame, ks: list[int] | None = None, *,
     counted = qrels.groupBy("query_id").agg(F.count_if(relevant).alias("relevant"))
     asked = counted.join(ideal, "query_id", "left")
 
-    scored = judged_hits(qrels, run, max(ks)).groupBy("strategy", "query_id").agg(
+    # Unjudged hits stay, so a query that was run counts as answered without a second pass.
+    shallow = run.filter(rank <= max(ks)).join(qrels, ["query_id", "product_id"], "left")
+    scored = shallow.groupBy("strategy", "query_id").agg(
         F.min(F.when(relevant, rank)).alias("first"),
         *[F.count_if(relevant & (rank <= k)).alias(f"hits{k}") for k in ks],
         *[F.sum(F.when(rank <= k, discounted)).alias(f"dcg{k}") for k in ks],
     )
-    answered = run.select("strategy", "query_id").distinct()
     zero = F.lit(0.0)
     metrics = []
     for k in ks:
@@ -107,11 +102,7 @@ def per_query(qrels: DataFrame, run: DataFrame, ks: list[int] | None = None, *,
             F.when(F.col("first") <= k, 1 / F.col("first")).otherwise(zero).alias(f"mrr_{k}"),
             F.coalesce(F.try_divide(F.col(f"dcg{k}"), F.col(f"ideal{k}")), zero).alias(f"ndcg_{k}"),
         ]
-    return (
-        answered.join(asked, "query_id")
-        .join(scored, ["strategy", "query_id"], "left")
-        .select("strategy", "query_id", *metrics)
-    )
+    return scored.join(asked, "query_id").select("strategy", "query_id", *metrics)
 
 
 def evaluate(qrels: DataFrame, run: DataFrame, ks: list[int] | None = None, *,

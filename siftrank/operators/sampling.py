@@ -37,6 +37,12 @@ def split_queries(rows: DataFrame, test_share: float = 0.3, seed: int = 42) -> D
     return rows.join(sides, "query_id")
 
 
+def checked_disjoint(train: DataFrame, test: DataFrame, key: str = "query_id") -> None:
+    """An error when an id is on both sides of a split."""
+    if not train.select(key).intersect(test.select(key)).isEmpty():
+        raise ValueError(f"some {key} is in both train and test")
+
+
 def sample_queries(queries: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` queries in mixed order."""
     return queries.orderBy(*shuffled("query_id", seed)).limit(n)

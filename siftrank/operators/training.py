@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftrank.functions.text import clean
+from siftrank.operators.merging import subset
 from siftrank.operators.ranking import first_of
 
 
@@ -26,7 +27,8 @@ def training_candidates(qrels: DataFrame, queries: DataFrame, products: DataFram
     """One row per judged query with its pair or the reason why there is none."""
     query_ids = qrels.select("query_id").distinct()
     best = positive_products(qrels.filter("gain is not null"))
-    texts = training_text(products).withColumn("_known", F.lit(True))
+    # Only the texts of positive products are moved.
+    texts = training_text(subset(products, best, "product_id")).withColumn("_known", F.lit(True))
     reason = (
         F.when(F.coalesce(F.col("anchor"), F.lit("")) == "", "no_query")
         .when(F.col("product_id").isNull(), "no_positive")

@@ -78,6 +78,6 @@ def run_strategies(search: Search, queries: DataFrame, depth: int = 100, pool: i
 
 def benchmark(search: Search, queries: DataFrame, qrels: DataFrame, ks: list[int] | None = None, *,
               threshold: float | None = None, gain: str = "linear", **run_options: object) -> DataFrame:
-    """Metrics of all chosen strategies."""
-    runs = run_strategies(search, queries, **run_options)
+    """Metrics of all chosen strategies; the ranked lists are written once and measured together."""
+    runs = materialize(run_strategies(search, queries, **run_options), "runs")
     return evaluation.evaluate(qrels, runs, ks, threshold=threshold, gain=gain)

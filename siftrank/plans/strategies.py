@@ -13,6 +13,7 @@ from siftrank.functions import models as stand_in
 from siftrank.functions.text import strip, wants_title
 from siftrank.functions.vectors import blend
 from siftrank.operators import dense, fusion, lexical, rerank
+from siftrank.operators.merging import subset
 from siftrank.scratch import materialize
 
 RowModel = Callable[[DataFrame], DataFrame]
@@ -62,10 +63,12 @@ def for_all(hits: DataFrame, ids: DataFrame) -> DataFrame:
 def with_payload(hits: DataFrame, products: DataFrame, full_text: bool = True) -> DataFrame:
     """Hits with what a caller shows of each product; hits without a product stay.
 
-    Joined after the top is known, so texts never travel through retrieval.
+    Joined after the top is known, so texts never travel through retrieval, and
+    only the products that were hit are moved.
     """
     shown = ["product_id", "encode_text", "product_class", "brand", *(["full_text"] if full_text else [])]
-    return hits.join(products.select(*[c for c in shown if c in products.columns]), "product_id", "left")
+    wanted = subset(products.select(*[c for c in shown if c in products.columns]), hits, "product_id")
+    return hits.join(wanted, "product_id", "left")
 
 
 @dataclass(frozen=True)

@@ -12,12 +12,13 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 SPLIT_BYTES = 128 << 20  # spark.sql.files.maxPartitionBytes: a smaller input is one split or few
+TINY_BYTES = 64 << 10    # not worth a shuffle
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,8 +61,8 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def memory_bytes(df: DataFrame) -> int:
-    """Size of the values themselves, counted by one pass over ``df``.
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and bytes of their values, counted by one pass.
 
     A compressed file says little about a table with many equal values, so
     this is what decides whether a table may be sent to every executor.
@@ -75,7 +76,12 @@ def memory_bytes(df: DataFrame) -> int:
             widths.append(F.greatest(F.size(column), F.lit(0)) * 8 + 16)
         else:
             widths.append(F.lit(8))
-    return df.agg(F.sum(reduce(lambda a, b: a + b, widths).cast("long"))).first()[0] or 0
+    row = df.agg(F.count(F.lit(1)), F.sum(reduce(lambda a, b: a + b, widths).cast("long"))).first()
+    return row[0], row[1] or 0
+
+
+def memory_bytes(df: DataFrame) -> int:
+    return measure(df)[1]
 
 
 def broadcast_limit(spark: SparkSession) -> int:
@@ -94,12 +100,12 @@ def spread(df: DataFrame) -> DataFrame:
     large table is ever shuffled here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if planned_bytes(df) > SPLIT_BYTES or len(df.inputFiles()) >= cores:
+    if not TINY_BYTES < planned_bytes(df) <= SPLIT_BYTES or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores)
 
 
-def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+def fan_out(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Rows over all shuffle partitions, ahead of a step that makes much work of few bytes.
 
     Adaptive execution would merge small partitions and leave the work to one

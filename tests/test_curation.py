@@ -111,6 +111,13 @@ def test_split_has_no_leak(spark, partitions):
                            .select("query_id").distinct().collect())
 
 
+def test_overlap_is_an_error(spark):
+    one, two = (spark.range(a, b).withColumnRenamed("id", "query_id") for a, b in ((0, 5), (5, 9)))
+    sampling.checked_disjoint(one, two)
+    with pytest.raises(ValueError):
+        sampling.checked_disjoint(one, two.unionAll(one))
+
+
 def test_stratified_sample(spark):
     rows = spark.range(1000).select(F.col("id").alias("query_id"), F.when(F.col("id") < 990, "big").otherwise("tiny").alias("source"))
     counts = {r.source: r["count"] for r in sampling.stratified_sample(rows, 40).groupBy("source").count().collect()}

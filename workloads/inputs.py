@@ -17,7 +17,7 @@ from siftrank.operators.curation import (
     EsciDataset, WandsDataset, build_qrels, esci_join, esci_products, index_documents, wands_join,
 )
 from siftrank.operators.sampling import split_queries
-from siftrank.scratch import materialize
+from siftrank.scratch import materialize, spread
 
 ESCI_ORDER = ("row_no", "product_id")
 
@@ -32,9 +32,9 @@ def text(column: str) -> Column:
 
 def esci_examples(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    lines = table(spark, sf, "lineitem").select(
+    lines = spread(table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"
-    )
+    ))
     parts = table(spark, sf, "part").select("p_partkey", "p_name")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         parts, F.col("l_partkey") == F.col("p_partkey")
@@ -103,7 +103,7 @@ def wands_query_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wands_labels(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    lines = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag"))
     suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     return lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
