@@ -37,12 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path that is removed when the application ends."""
-    path = f"{shared_dir(spark)}/siftrank/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    jvm_path.getFileSystem(hadoop).deleteOnExit(jvm_path)
-    return path
+    """A new path in the application's own folder, which is removed when the application ends."""
+    context = spark.sparkContext
+    own = f"{shared_dir(spark)}/siftrank-{context.applicationId}"
+    folder = context._jvm.org.apache.hadoop.fs.Path(own)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
