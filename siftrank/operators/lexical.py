@@ -13,6 +13,10 @@ from siftrank.operators.ranking import top_n
 from siftrank.scratch import broadcast_limit, fan_out, materialize, memory_bytes, spread
 
 
+ROWS_PER_PART = 2_000_000  # postings of one term in one task of the shuffle join
+COMMON_BYTES = 32 << 20    # largest list of common terms sent to every executor
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """``postings(field, term, product_id, source, tf, dl, ordinal)``.
@@ -99,7 +103,7 @@ def term_weights(index: LexicalIndex, terms: DataFrame, boosts: dict[str, float]
     boost = F.element_at(F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair]), F.col("field"))
     n, df = F.col("n_docs"), F.col("df")
     return terms.join(rarity.join(stats, "field"), "term").select(
-        "query_id", "field", "term", "avgdl",
+        "query_id", "field", "term", "df", "avgdl",
         (boost * F.col("qtf") * F.log(1 + (n - df + 0.5) / (df + 0.5))).alias("weight"),
     )
 
@@ -109,29 +113,43 @@ def _saturation(k1: float, b: float) -> Column:
     return tf / (tf + k1 * (1 - b + b * length))
 
 
-def match(postings: DataFrame, weights: DataFrame, salts: int) -> DataFrame:
+def match(postings: DataFrame, weights: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Postings with the weights of the queries that ask for their term.
 
     Weights within Spark's broadcast threshold are broadcast; the matching
     postings are brought together per product first, so that the later sum
-    per query and product needs no shuffle of all scored pairs.  Larger weights
-    are copied ``salts`` times, and each term's postings are spread over as
-    many parts by product, so a term found in a third of all products is not
-    one task's work.
+    per query and product needs no shuffle of all scored pairs.  Larger
+    weights are joined by a shuffle in which a common term's postings are
+    spread over parts of ``rows_per_part`` and only its weights are copied to
+    each part, so a term found in a third of all products is not one task's
+    work.
     """
-    spark = postings.sparkSession
-    if memory_bytes(weights) <= max(broadcast_limit(spark), 0):
+    if memory_bytes(weights) <= max(broadcast_limit(postings.sparkSession), 0):
         vocabulary = weights.select("field", "term").distinct()
         together = fan_out(postings.join(vocabulary, ["field", "term"], "left_semi"), "product_id")
-        return together.join(F.broadcast(weights), ["field", "term"])
-    copies = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    parts = postings.withColumn("_salt", F.pmod(F.hash("product_id"), F.lit(salts)))
-    return parts.join(copies, ["field", "term", "_salt"]).drop("_salt")
+        return together.join(F.broadcast(weights.drop("df")), ["field", "term"])
+
+    terms = materialize(weights.select("field", "term", "df").distinct(), "terms")
+    common = terms.filter(F.col("df") > rows_per_part)
+    while memory_bytes(common) > COMMON_BYTES:  # larger parts until the list of common terms is small
+        rows_per_part *= 2
+        common = terms.filter(F.col("df") > rows_per_part)
+    parts = F.broadcast(common.select(
+        "field", "term", F.ceil(F.col("df") / rows_per_part).cast("int").alias("_parts")
+    ))
+    of_term = F.coalesce(F.col("_parts"), F.lit(1))
+    copies = weights.drop("df").join(parts, ["field", "term"], "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), of_term - 1))
+    )
+    split = postings.join(parts, ["field", "term"], "left").withColumn(
+        "_part", F.pmod(F.hash("product_id"), of_term)
+    )
+    return split.drop("_parts").join(copies.drop("_parts"), ["field", "term", "_part"]).drop("_part")
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict[str, float] | None = None, *,
          cleaned: bool = True, filter_source: str | None = None, k1: float = fixed.BM25_K1,
-         b: float = fixed.BM25_B, salts: int = 16) -> DataFrame:
+         b: float = fixed.BM25_B, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Top ``k`` products per query: ``query_id, product_id, source, score, rank``.
 
     A product's score is that of its best field.  A source filter (for all
@@ -148,7 +166,7 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict[str, floa
     postings = index.postings_of(weights).filter(F.col("field").isin(list(boosts)))
     if filter_source:
         postings = postings.filter(F.col("source") == filter_source)
-    matched = match(postings, weights, salts)
+    matched = match(postings, weights, rows_per_part)
     if per_query:
         matched = matched.filter(F.col("filter_source").isNull() | (F.col("filter_source") == F.col("source")))
     part = F.col("weight") * _saturation(k1, b)

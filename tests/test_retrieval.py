@@ -72,7 +72,7 @@ def test_bm25_against_brute_force(spark, shop, source, threshold):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
         queries = spark.createDataFrame(QUERIES, "query_id string, query string")
-        got = ranked(lexical.bm25(index, queries, 20, BOOSTS, filter_source=source))
+        got = ranked(lexical.bm25(index, queries, 20, BOOSTS, filter_source=source, rows_per_part=7))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     want = {q: brute_bm25(rows, t, 20, source) for q, t in QUERIES}
