@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 SPLIT_BYTES = 128 << 20  # spark.sql.files.maxPartitionBytes: a smaller input is one split or few
 TINY_BYTES = 64 << 10    # not worth a shuffle
+PART_BYTES = 32 << 20    # input of one task whose work grows beyond its input
 MOST_PARTITIONS = 100_000
 
 
@@ -109,11 +110,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def fan_out(df: DataFrame, *keys: Column | str) -> DataFrame:
-    """Rows over all shuffle partitions, ahead of a step that makes much work of few bytes.
+    """Rows over all cores, ahead of a step that makes much work of few bytes.
 
     Adaptive execution would merge small partitions and leave the work to one
-    task; it keeps a number that is asked for.  A large input gets as many
-    partitions as it has splits.
+    task; it keeps a number that is asked for.  A large input gets partitions
+    of bounded size instead.
     """
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(configured, min(planned_bytes(df) // SPLIT_BYTES, MOST_PARTITIONS)), *keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, min(planned_bytes(df) // PART_BYTES, MOST_PARTITIONS)), *keys)
