@@ -41,11 +41,3 @@ def candidates(lexical: DataFrame, dense: DataFrame) -> DataFrame:
         )
     )
     return merged.select("query_id", "product_id", "hit.score", "hit.source", "place.leg", "place.rank")
-
-
-def positions(found: DataFrame) -> DataFrame:
-    """Candidates with their 1-based position instead of leg and rank."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("query_id").orderBy("leg", "rank")
-    return found.withColumn("position", F.row_number().over(order).cast("long")).drop("leg", "rank")

@@ -23,7 +23,7 @@ class LexicalIndex:
 
     ``ordinal`` numbers a product's terms in one field; the rows with 0 count
     the products, so field statistics need no second pass over the texts.
-    An index on disk also stores the frequencies and statistics, and its
+    A built index also stores the frequencies and statistics; on disk its
     postings lie in ``term_buckets`` folders by a hash of the term.
     """
 
@@ -82,8 +82,11 @@ def build_postings(documents: DataFrame, fields: list[str], id_column: str = "pr
 
 
 def build_index(documents: DataFrame, fields: list[str], id_column: str = "product_id") -> LexicalIndex:
-    """Index written once to the shared folder; the texts are split into words one time only."""
-    return LexicalIndex(materialize(build_postings(spread(documents), fields, id_column), "postings"))
+    """Index written once to the shared folder: texts are split into words, and terms counted, one time only."""
+    plain = LexicalIndex(materialize(build_postings(spread(documents), fields, id_column), "postings"))
+    return LexicalIndex(
+        plain.postings, materialize(plain.term_df(), "frequencies"), materialize(plain.field_stats(), "statistics")
+    )
 
 
 def query_terms(queries: DataFrame, cleaned: bool = True) -> DataFrame:

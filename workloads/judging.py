@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank.fixed_values import CUTOFFS, FIELD_BOOSTS
+from siftrank.fixed_values import CUTOFFS, ESCI_GAINS, FIELD_BOOSTS
 from siftrank.operators import dense, evaluation
+from siftrank.operators.curation import build_qrels
 from siftrank.operators.merging import subset
 from siftrank.plans import benchmark
 from siftrank.scratch import materialize
@@ -74,9 +75,6 @@ UNCAPPED = sql.qrels("all_qrels", "examples", "esci", "esci_label", "", cap=None
 
 
 def uncapped(spark: SparkSession, sf: str) -> DataFrame:
-    from siftrank.fixed_values import ESCI_GAINS
-    from siftrank.operators.curation import build_qrels
-
     return build_qrels(inputs.shop_judged(spark, sf), label="esci_label", gains=ESCI_GAINS, prefix="", cap=None)
 
 
