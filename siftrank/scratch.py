@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 SPLIT_BYTES = 128 << 20  # spark.sql.files.maxPartitionBytes: a smaller input is one split or few
 TINY_BYTES = 64 << 10    # not worth a shuffle
 PART_BYTES = 32 << 20    # input of one task whose work grows beyond its input
-MOST_PARTITIONS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -113,8 +112,10 @@ def fan_out(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Rows over all cores, ahead of a step that makes much work of few bytes.
 
     Adaptive execution would merge small partitions and leave the work to one
-    task; it keeps a number that is asked for.  A large input gets partitions
-    of bounded size instead.
+    task; it keeps a number that is asked for.  A large input, or one of
+    unknown size, gets up to as many partitions as any shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, min(planned_bytes(df) // PART_BYTES, MOST_PARTITIONS)), *keys)
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_size = min(planned_bytes(df) // PART_BYTES, configured)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, by_size), *keys)
