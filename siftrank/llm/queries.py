@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftrank.llm import huffman_ids, packing, sentencepiece_bpe, sharding, warc_zip
+from siftrank.llm import huffman_ids, packing, quality_rules, sentencepiece_bpe, sharding, warc_zip
 
 QUERIES = {}
 SQL = {}
@@ -25,6 +25,69 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _quality_sql() -> str:
+    """The measures, the counted cutoffs and the exact test, with the operator's own figures."""
+    own = quality_rules
+    steps = ", ".join(f"('{rule}', {i}, {c}::double)" for rule, cuts in own.RULES.items() for i, c in enumerate(cuts))
+    share = own.ALPHA / len(own.RULES)
+    words, blank = "[^\\x20\\x09-\\x0D]+", "[\\x20\\x09-\\x0D]"
+    fires = " or ".join(f"coalesce(f.{rule} > c.cut_{rule}, false)" for rule in own.RULES)
+    cuts = ", ".join(f"min(case when rule = '{rule}' then cutoff end) as cut_{rule}" for rule in own.RULES)
+    value = " ".join(f"when '{rule}' then {rule}" for rule in own.RULES)
+    return f"""
+with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t,
+             regexp_extract_all(coalesce(text, ''), '{words}') as w,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{words}')) as lines
+           from documents),
+v as (select rid, unnest(list_transform(range(0, greatest(len(w) - 4, 0)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) as win,
+        unnest(range(0, greatest(len(w) - 4, 0))) as p from d),
+twice as (select rid, p from (select *, count(*) over (partition by rid, win) as n from v) where n > 1),
+steps as (select rid, least(5, coalesce(lead(p) over (partition by rid order by p) - p, 5)) as n from twice),
+cover as (select rid, sum(n)::bigint as n from steps group by rid),
+m as (select d.rid, doc_id, lang, len(w)::bigint as n_words,
+        length(regexp_replace(t, '{blank}', '', 'g'))::bigint as word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+        (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(lines) as n_lines,
+        coalesce(cover.n, 0) as n_repeat_words,
+        length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')) as n_upper,
+        length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')) as n_letters
+      from d left join cover using (rid)),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+        case when word_chars > 0 then n_symbols::double / word_chars else 0 end as symbol_share,
+        case when n_letters > 0 then n_upper::double / n_letters else 0 end as upper_share,
+        case when n_words > 0 then n_repeat_words::double / n_words else 0 end as repeat_share,
+        case when n_lines > 0 then n_dup_lines::double / n_lines else 0 end as dup_line_share from m),
+marks as (select doc_id, min(quality) as q from labels group by doc_id
+          having min(quality) = max(quality) and min(quality) in (0, 1)),
+l as (select f.*, q = 1 as good, substr(md5(doc_id::varchar), 1, 1) >= '8' as prove
+      from f join marks using (doc_id) where not base_failed),
+e as (select lang, good, prove, rule, step, cutoff, (case rule {value} end) > cutoff as fires
+      from l, (values {steps}) as s(rule, step, cutoff)),
+c0 as (select lang, rule, step, any_value(cutoff) as cutoff, count(*) filter (good and prove) as n,
+         count(*) filter (fires and not good and not prove) as bad,
+         count(*) filter (fires and good and not prove) as lost,
+         count(*) filter (fires and good and prove) as k from e group by lang, rule, step),
+c1 as (select *, (select count(*) from c0 where step = 0 and n > 0) as tests, bad - {own.COST} * lost as gain from c0),
+c2 as (select *, k < n * {share} and list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1)
+         - lgamma(n - j + 1) + j * ln({share}::double) + (n - j) * ln(1 - {share}::double)))) <= {own.DELTA} / greatest(tests, 1) as proven
+       from c1),
+c3 as (select *, bool_and(coalesce(proven, false)) over (partition by lang, rule order by step) as open,
+         first(step) over (partition by lang, rule order by gain desc, step) as aim,
+         max(gain) over (partition by lang, rule) as most from c2),
+cuts as (select lang, {cuts} from c3 where open and most > 0 and step <= aim group by lang)
+select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  not base_failed and not ({fires}) as kept
+from f left join cuts c on f.lang is not distinct from c.lang
+"""
+
+
+@query("op1_quality_rules", _quality_sql())
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    judged = quality_rules.quality_rules(docs, table(spark, sf, "labels"), drop_text=True)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op3_packing")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
