@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftrank.llm import huffman_ids, packing, quality_rules, sentencepiece_bpe, sharding, warc_zip
+from siftrank.llm import huffman_ids, language_id, packing, quality_rules, sentencepiece_bpe, sharding, warc_zip
 
 QUERIES = {}
 SQL = {}
@@ -98,6 +99,13 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf, "documents"))
 
 
+@query("op5_language_id")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query("op8_sentencepiece")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return sentencepiece_bpe.piece_digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
