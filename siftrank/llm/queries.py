@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank.llm import huffman_ids, language_id, packing, quality_rules, sentencepiece_bpe, sharding, warc_zip
+from siftrank.llm import huffman_ids, jaccard_join, language_id, packing, quality_rules, sentencepiece_bpe, sharding, warc_zip
 
 QUERIES = {}
 SQL = {}
@@ -106,6 +106,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query("op6_jaccard_join")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op8_sentencepiece")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return sentencepiece_bpe.piece_digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
