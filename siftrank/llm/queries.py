@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank.llm import huffman_ids, jaccard_join, language_id, packing, quality_rules, sentencepiece_bpe, sharding, warc_zip
+from siftrank.llm import huffman_ids, jaccard_join, language_id, packing, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, warc_zip
 
 QUERIES = {}
 SQL = {}
@@ -89,6 +89,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf, "documents"))
+
+
 @query("op3_packing")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
