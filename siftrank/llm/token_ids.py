@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
-import numpy as np
-
 from siftrank.llm.common import string_groups, worker_state
 
-CACHE_PIECES = 600_000  # distinct pieces a worker remembers; it then starts anew
+CACHE_PIECES = 800_000  # distinct pieces a worker remembers; it then starts anew
 
 # A full stop or comma between a Latin letter and white space is a pre-token of its own.
 STOP = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?=[ \n])")
@@ -50,35 +49,55 @@ def cut_words(text: str) -> list[str]:
     return text.split(" ")
 
 
+# Pieces of Latin letters alone; the word pattern's are lower-case by then.
+WORD_PIECE = {"bytes": re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+"), "words": re.compile("[a-zß-öø-ÿ]+")}
+
 CUTS = {"bytes": cut_bytes, "words": cut_words}
 
 
-class IdEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies use for each byte: itself, or the next one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = {b: chr(b) for b in own}
+    for b in range(256):
+        if b not in table:
+            table[b] = chr(256 + len(table) - len(own))
+    return table
+
+
+class IdEncoder(dict):
+    """Ids of texts as little-endian unsigned 32-bit bytes; as a mapping, those of a piece.
+
+    A piece of letters alone (with a space in front for the byte pattern) is
+    one pre-token, so the tokenizer's model gets it as it is; others go through
+    the whole tokenizer.
+    """
 
     def __init__(self, path: str, cut: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.cut = CUTS[cut]
-        self.known: dict[str, bytes] = {}
+        self.plain = WORD_PIECE[cut].fullmatch
+        self.letters = byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.plain(piece):
+            mapped = piece.encode().decode("latin-1").translate(self.letters)
+            ids = [token.id for token in self.model.tokenize(mapped)]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [self.cut(text) for text in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        known = self.known
-        wanted = set()
-        for part in parts:
-            wanted.update(part)
-        new = [piece for piece in wanted if piece not in known]
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        for part in parts:
-            yield b"".join(map(known.__getitem__, part))
+        if len(self) > CACHE_PIECES:
+            self.clear()
+        for text in texts:
+            yield b"".join(map(self.__getitem__, self.cut(text)))
 
 
 def encoder(path: str, cut: str) -> IdEncoder:
