@@ -13,10 +13,8 @@ from collections.abc import Iterator
 
 from siftrank.llm.common import string_groups, worker_state
 
-CACHE_PIECES = 800_000  # distinct pieces a worker remembers; it then starts anew
+CACHE_PIECES = 1_000_000  # distinct pieces a worker remembers; it then starts anew
 
-# A full stop or comma between a Latin letter and white space is a pre-token of its own.
-STOP = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?=[ \n])")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 RARE_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 
@@ -35,7 +33,6 @@ def cut_bytes(text: str) -> list[str]:
     if "\0" in text:
         return [text]
     if plain_latin(text) and not any(s in text for s in ("  ", " \n", "\n ", "\n\n")):
-        text = STOP.sub("\0\\1", text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
     return LONE_SPACE.sub("\0 ", text).split("\0")
 
@@ -43,7 +40,7 @@ def cut_bytes(text: str) -> list[str]:
 def cut_words(text: str) -> list[str]:
     """Parts of a text for the lower-casing word pattern, which drops white space."""
     if plain_latin(text):
-        text = STOP.sub(" \\1", text.replace("\n", " "))
+        text = text.replace("\n", " ")
         if "<|" not in text:
             text = text.lower()
     return text.split(" ")
@@ -88,6 +85,9 @@ class IdEncoder(dict):
         if self.plain(piece):
             mapped = piece.encode().decode("latin-1").translate(self.letters)
             ids = [token.id for token in self.model.tokenize(mapped)]
+        elif piece[-1:] in (".", ",") and self.plain(piece[:-1]):  # the stop is a pre-token of its own
+            found = self[piece] = self[piece[:-1]] + self[piece[-1]]
+            return found
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
