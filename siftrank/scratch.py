@@ -48,6 +48,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch_folders(spark: SparkSession) -> list[str]:
+    """All paths below the application's own folder."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftrank-{spark.sparkContext.applicationId}")
+    files = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [str(f.getPath().toString()) for f in files.listStatus(own)] if files.exists(own) else []
+
+
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables of ``materialize`` that no DataFrame in use reads any more."""
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
