@@ -60,16 +60,18 @@ def row_groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def string_groups(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
-    """The texts in lists of about ``limit`` characters; null is empty."""
+def string_groups(texts: list[str | None] | pa.Array, limit: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in lists of about ``limit`` characters; null is empty.  An Arrow column is turned into strings bit by bit."""
     group: list[str] = []
     size = 0
-    for text in texts:
-        group.append(text or "")
-        size += len(group[-1])
-        if size >= limit:
-            yield group
-            group, size = [], 0
+    for first in range(0, len(texts), 256):
+        some = texts[first:first + 256]
+        for text in some if isinstance(some, list) else some.to_pylist():
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= limit:
+                yield group
+                group, size = [], 0
     if group:
         yield group
 

@@ -196,7 +196,7 @@ def tokenize(docs: DataFrame, path: str, cut: str = "words", end_id: int | None
         tail = b"" if end_id is None else struct.pack("<I", end_id)
         for batch in batches:
             sizes, packed = [], []
-            for raw in encode_texts(path, cut, batch.column(2).to_pylist()):
+            for raw in encode_texts(path, cut, batch.column(2)):
                 ids = np.frombuffer(raw + tail, dtype="<u4")
                 sizes.append(len(ids))
                 packed.append(squeeze(ids))

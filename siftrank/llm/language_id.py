@@ -291,7 +291,7 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text") -> Da
         for batch in batches:
             names: list[str] = []
             scores: list[float] = []
-            for group in string_groups(batch.column(batch.num_columns - 1).to_pylist()):
+            for group in string_groups(batch.column(batch.num_columns - 1)):
                 if network is None:
                     found = [UNKNOWN] * len(group), [0.0] * len(group)
                 else:

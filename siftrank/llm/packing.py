@@ -152,7 +152,7 @@ def _pieces(capacity: int, path: str, cut: str, end_id: int | None):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, checks, ends = [], [], [0]
-            for raw in encode_texts(path, cut, batch.column(batch.num_columns - 1).to_pylist()):
+            for raw in encode_texts(path, cut, batch.column(batch.num_columns - 1)):
                 raw += tail
                 sizes.append(len(raw) // 4)
                 checks.extend(zlib.crc32(raw[at:at + 4 * capacity]) for at in range(0, len(raw), 4 * capacity))

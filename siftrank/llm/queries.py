@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank.llm import huffman_ids, jaccard_join, language_id, packing, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, warc_zip
+from siftrank.llm import hamming_search, huffman_ids, jaccard_join, language_id, packing, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, warc_zip
 
 QUERIES = {}
 SQL = {}
@@ -116,6 +116,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf, "documents"))
 
 
+@query("op7_hamming_search")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return hamming_search.nearest(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query("op8_sentencepiece")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return sentencepiece_bpe.piece_digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -265,7 +265,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", check: bool =
         own = pieces(path)
         for batch in batches:
             ids, texts = [], []
-            for group in string_groups(batch.column(batch.num_columns - 1).to_pylist(), GROUP_CHARS):
+            for group in string_groups(batch.column(batch.num_columns - 1), GROUP_CHARS):
                 for found, _ in own.encode(group, check):
                     ids.append(found)
                     texts.append(own.decode(found))
@@ -283,7 +283,7 @@ def piece_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         own = pieces(path)
         for batch in batches:
             sizes, first, second = [], [], []
-            for group in string_groups(batch.column(1).to_pylist(), GROUP_CHARS):
+            for group in string_groups(batch.column(1), GROUP_CHARS):
                 for ids, line in own.encode(group, check):
                     sizes.append(len(ids))
                     first.append(hashlib.sha256(line[:-1]).hexdigest())

@@ -11,9 +11,11 @@ import re
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
+
 from siftrank.llm.common import string_groups, worker_state
 
-CACHE_PIECES = 1_000_000  # distinct pieces a worker remembers; it then starts anew
+CACHE_PIECES = 700_000  # distinct pieces a worker remembers; it then starts anew
 
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 RARE_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
@@ -108,7 +110,7 @@ def encoder(path: str, cut: str) -> IdEncoder:
     return found[path, cut]
 
 
-def encode_texts(path: str, cut: str, texts: list[str | None]) -> Iterator[bytes]:
+def encode_texts(path: str, cut: str, texts: list[str | None] | pa.Array) -> Iterator[bytes]:
     """Id bytes of each text in order."""
     own = encoder(path, cut)
     for group in string_groups(texts):
