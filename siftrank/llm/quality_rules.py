@@ -7,7 +7,8 @@ for the good ones it costs; the other half must prove it.  A cutoff is proven if
 the exact binomial test rejects that good documents fire more often than the
 rule's part of the tolerated rate.  Cutoffs of a rule are tested from the
 loosest to the tightest until one fails (a fixed sequence, which needs no
-correction); the error level is divided by the number of strata and rules.  So
+correction); the error level is divided by the number of rules proposed in all
+strata, the tolerated rate by those proposed in the stratum.  So
 with probability ``1 - DELTA``, in no stratum more than ``ALPHA`` of the good
 documents that pass the base checks are rejected.  A stratum with too few
 labels proves nothing and keeps all that passes the base checks.
@@ -89,10 +90,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         _share(F.col("n_dup_lines"), F.col("_n_lines")).alias("dup_line_share"))
 
 
-def binomial_cdf(k: Column, n: Column, p: float) -> Column:
+def binomial_cdf(k: Column, n: Column, p: Column) -> Column:
     """P(X <= k) of n trials, summed in logarithms from the smallest term on; exact up to rounding."""
-    odds = F.lit(p / (1 - p))
-    first = n * F.log(F.lit(1 - p))
+    odds = p / (1 - p)
+    first = n * F.log(1 - p)
     step = lambda had, j: F.struct(
         (had["term"] + F.log((n - j + 1) / j * odds)).alias("term"),
         (F.greatest(had["sum"], had["term"] + F.log((n - j + 1) / j * odds))
@@ -127,18 +128,24 @@ def labelled_counts(measured: DataFrame, labels: DataFrame, strata: list[str], d
     return counted.select(*keys, "n", F.explode(F.array(*steps)).alias("_step")).select(*keys, "n", "_step.*")
 
 
-def cutoffs_of(counts: DataFrame, strata: int, tests: int, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def proposed(counts: DataFrame, strata: int, alpha: float = ALPHA) -> DataFrame:
+    """The cutoffs of rules that the first half proposes, up to the one that gains most, with each rule's tolerated rate."""
+    keys = [f"_s{i}" for i in range(strata)]
+    rows = counts.withColumn("gain", F.col("bad") - COST * F.col("good"))
+    rows = rows.withColumn("aim", F.max(F.struct("gain", (-F.col("step")).alias("turn"))).over(Window.partitionBy(*keys, "rule")))
+    rows = rows.filter(F.col("aim.gain") > 0)
+    rules = F.sum(F.when(F.col("step") == 0, 1).otherwise(0)).over(Window.partitionBy(*keys))
+    return rows.withColumn("share", F.lit(alpha) / rules).filter(F.col("step") <= -F.col("aim.turn"))
+
+
+def cutoffs_of(steps: DataFrame, strata: int, tests: int, delta: float = DELTA) -> DataFrame:
     """The proven cutoffs: one row per stratum, one column per rule, null where a rule is not used."""
     keys = [f"_s{i}" for i in range(strata)]
-    share = alpha / len(RULES)
-    proven = (F.col("k") < F.col("n") * share) & (
-        F.when(F.col("k") < F.col("n") * share, binomial_cdf(F.col("k"), F.col("n"), share)) <= delta / max(tests, 1))
-    rows = counts.withColumn("proven", F.coalesce(proven, F.lit(False))).withColumn("gain", F.col("bad") - COST * F.col("good"))
+    few = F.col("k") < F.col("n") * F.col("share")
+    proven = few & (F.when(few, binomial_cdf(F.col("k"), F.col("n"), F.col("share"))) <= delta / max(tests, 1))
+    rows = steps.withColumn("proven", F.coalesce(proven, F.lit(False)))
     line = Window.partitionBy(*keys, "rule").orderBy("step")
-    whole = Window.partitionBy(*keys, "rule")
-    rows = rows.withColumn("open", F.min(F.col("proven").cast("int")).over(line) == 1).withColumn(
-        "aim", F.max(F.struct("gain", (-F.col("step")).alias("turn"))).over(whole))
-    rows = rows.filter(F.col("open") & (F.col("aim.gain") > 0) & (F.col("step") <= -F.col("aim.turn")))
+    rows = rows.withColumn("open", F.min(F.col("proven").cast("int")).over(line) == 1).filter("open")
     return rows.groupBy(*keys).agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 
@@ -163,9 +170,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, strata: tuple[str, ...] =
     if drop_text:
         measured = measured.drop(named(measured, text))
     measured = materialize(measured, "quality_measures")
-    counts = materialize(labelled_counts(measured, labels, list(strata), doc_id), "quality_counts")
-    tests = counts.filter("step = 0 and n > 0").count()  # strata times rules
-    cutoffs = materialize(cutoffs_of(counts, len(strata), tests, alpha, delta), "quality_cutoffs")
+    counts = labelled_counts(measured, labels, list(strata), doc_id)
+    steps = materialize(proposed(counts, len(strata), alpha), "quality_steps")
+    cutoffs = materialize(cutoffs_of(steps, len(strata), steps.filter("step = 0").count(), delta), "quality_cutoffs")
     return judge(measured, cutoffs, list(strata))
 
 

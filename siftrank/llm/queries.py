@@ -30,7 +30,6 @@ def _quality_sql() -> str:
     """The measures, the counted cutoffs and the exact test, with the operator's own figures."""
     own = quality_rules
     steps = ", ".join(f"('{rule}', {i}, {c}::double)" for rule, cuts in own.RULES.items() for i, c in enumerate(cuts))
-    share = own.ALPHA / len(own.RULES)
     words, blank = "[^\\x20\\x09-\\x0D]+", "[\\x20\\x09-\\x0D]"
     fires = " or ".join(f"coalesce(f.{rule} > c.cut_{rule}, false)" for rule in own.RULES)
     cuts = ", ".join(f"min(case when rule = '{rule}' then cutoff end) as cut_{rule}" for rule in own.RULES)
@@ -68,14 +67,16 @@ c0 as (select lang, rule, step, any_value(cutoff) as cutoff, count(*) filter (go
          count(*) filter (fires and not good and not prove) as bad,
          count(*) filter (fires and good and not prove) as lost,
          count(*) filter (fires and good and prove) as k from e group by lang, rule, step),
-c1 as (select *, (select count(*) from c0 where step = 0 and n > 0) as tests, bad - {own.COST} * lost as gain from c0),
-c2 as (select *, k < n * {share} and list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1)
-         - lgamma(n - j + 1) + j * ln({share}::double) + (n - j) * ln(1 - {share}::double)))) <= {own.DELTA} / greatest(tests, 1) as proven
-       from c1),
-c3 as (select *, bool_and(coalesce(proven, false)) over (partition by lang, rule order by step) as open,
-         first(step) over (partition by lang, rule order by gain desc, step) as aim,
-         max(gain) over (partition by lang, rule) as most from c2),
-cuts as (select lang, {cuts} from c3 where open and most > 0 and step <= aim group by lang)
+c1 as (select *, bad - {own.COST} * lost as gain from c0),
+c2 as (select *, first(step) over (partition by lang, rule order by gain desc, step) as aim,
+         max(gain) over (partition by lang, rule) as most from c1),
+c3 as (select *, {own.ALPHA}::double / count(*) filter (step = 0) over (partition by lang) as share,
+         count(*) filter (step = 0) over () as tests from c2 where most > 0),
+c4 as (select *, k < n * share and list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1)
+         - lgamma(n - j + 1) + j * ln(share) + (n - j) * ln(1 - share)))) <= {own.DELTA} / greatest(tests, 1) as proven
+       from c3 where step <= aim),
+c5 as (select *, bool_and(coalesce(proven, false)) over (partition by lang, rule order by step) as open from c4),
+cuts as (select lang, {cuts} from c5 where open group by lang)
 select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
   not base_failed and not ({fires}) as kept
 from f left join cuts c on f.lang is not distinct from c.lang
