@@ -200,7 +200,7 @@ def in_shards(segments: DataFrame) -> DataFrame:
         return pd.DataFrame({
             "cls": np.concatenate([cls[found], cls[mine]]).astype("int64"),
             "seg": np.concatenate([seg[found], seg[mine]]).astype("int64"),
-            "runs": [runs[i] for i in found] + [[at, at] for _, at in told],
+            "runs": pd.Series([runs[i] for i in found] + [[at, at] for _, at in told], dtype=object),
             "k1": pd.array([None] * len(found) + keys[:, 0].tolist(), dtype="Int64"),
             "k2": pd.array([None] * len(found) + keys[:, 1].tolist(), dtype="Int64"),
         })
