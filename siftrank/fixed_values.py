@@ -22,9 +22,19 @@ ESCI_PREFIX = "amz_"
 WANDS_PREFIX = "wands_"
 JUDGED_PER_QUERY = 40
 
-# Phrases that open a conversational query, in matching order,
-# and filler words dropped anywhere.
+# Phrases that open a conversational query, in matching order, and
+# filler words dropped anywhere.  The second list also takes an article that is
+# only the start of the next word.
 LEAD_INS = [
+    r"i(?:'d|'m)?\s+(?:would\s+)?love\s+to\s+(?:find|buy|get|check\s+out|look\s+at|see)",
+    r"i(?:'d|'m)?\s+(?:would\s+)?love\s+(?:to\s+)?(?:(?:find|buy|get|some|a|an)\b)?",
+    r"i(?:'m)?\s+(?:am\s+)?looking\s+for\s+(?:(?:a|an|some)\b)?",
+    r"i\s+(?:want|need|would\s+like)\s+(?:to\s+(?:find|buy|get)\s+)?(?:(?:a|an|some)\b)?",
+    r"(?:can\s+you\s+)?(?:show|find|get|give|help\s+me\s+find)\s+me\s+(?:(?:a|an|some)\b)?",
+    r"(?:looking|searching|hunting|shopping)\s+for\s+(?:(?:a|an|some)\b)?",
+    r"(?:please|hey|hi|hello)\s+",
+]
+LEAD_INS_LEGACY = [
     r"i(?:'d|'m)?\s+(?:would\s+)?love\s+to\s+(?:find|buy|get|check\s+out|look\s+at|see)",
     r"i(?:'d|'m)?\s+(?:would\s+)?love\s+(?:to\s+)?(?:find|buy|get|some|a|an)?",
     r"i(?:'m)?\s+(?:am\s+)?looking\s+for\s+(?:a|an|some)?",
@@ -60,3 +70,5 @@ NO_HITS = "No results returned by retrieval."
 QUALITIES = ["good", "low_coverage", "wrong_category", "semantic_drift", "multi_constraint_miss"]
 ACTIONS = ["return", "widen", "decompose"]
 WEAK_SCORE = 0.1
+GOOD_SCORE = 0.5
+GOOD_HITS = 3

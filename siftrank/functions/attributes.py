@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siftrank.fixed_values import BASE_COLORS, COLOR_SEPARATORS, RATING_RANGE
 from siftrank.functions.text import clean, strip
 
+DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 def brand(raw: Column) -> Column:
     return F.lower(clean(raw))
@@ -20,14 +22,20 @@ def colors(raw: Column) -> Column:
     return F.coalesce(known, F.array().cast("array<string>"))
 
 
+def number(raw: Column) -> Column:
+    """A decimal number as a double; null for suffixes and other forms that only a cast would take."""
+    text = strip(raw.cast("string"))
+    return F.when(text.rlike(DECIMAL), text.try_cast("double"))
+
+
 def rating(raw: Column) -> Column:
-    value = strip(raw.cast("string")).try_cast("double")
+    value = number(raw)
     return F.when(value.between(*RATING_RANGE), value)
 
 
 def count(raw: Column) -> Column:
     """Whole part of a number; null when it is not one, not finite or too large."""
-    return strip(raw.cast("string")).try_cast("double").try_cast("bigint")
+    return number(raw).try_cast("bigint")
 
 
 def features(raw: Column) -> Column:

@@ -7,10 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftrank.fixed_values import FILLERS, LEAD_INS, NO_TITLE_FOR
-
-ARTICLE = "(?:a|an|some)?"
-ARTICLE_BEFORE_WORD = r"(?:(?:a|an|some)\b)?"
+from siftrank.fixed_values import FILLERS, LEAD_INS, LEAD_INS_LEGACY, NO_TITLE_FOR
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,18 +59,16 @@ def clean_query(query: Column, legacy: bool = False) -> Column:
     "looking for antique mirror" keeps its "antique"; ``legacy=True`` also
     removes an article that is only the start of the next word.
     """
-    phrases = LEAD_INS if legacy else [p.replace(ARTICLE, ARTICLE_BEFORE_WORD) for p in LEAD_INS]
-    if not legacy:
-        phrases = [p.replace("(?:find|buy|get|some|a|an)?", r"(?:(?:find|buy|get|some|a|an)\b)?") for p in phrases]
-    opening = r"(?i)^\s*(?:" + "|".join(phrases) + r")\s*"
+    phrases = LEAD_INS_LEGACY if legacy else LEAD_INS
+    opening = r"(?iU)^\s*(?:" + "|".join(phrases) + r")\s*"
     without_opening = strip(F.regexp_replace(query, opening, ""))
     return let(
-        strip(F.regexp_replace(without_opening, "(?i)" + FILLERS, " ")),
+        strip(F.regexp_replace(without_opening, "(?iU)" + FILLERS, " ")),
         lambda short: F.when(F.length(short) >= 2, short).otherwise(query),
     )
 
 
 def wants_title(query: Column) -> Column:
     """False for model numbers, media look-ups and single words."""
-    words = F.size(F.filter(F.split(query, r"\s+"), lambda w: w != ""))
-    return ~(F.rlike(query, F.lit("(?i)" + NO_TITLE_FOR)) | (words <= 1))
+    words = F.size(F.filter(F.split(query, r"(?U)\s+"), lambda w: w != ""))
+    return ~(F.rlike(query, F.lit("(?iU)" + NO_TITLE_FOR)) | (words <= 1))

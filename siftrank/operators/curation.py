@@ -71,21 +71,24 @@ def build_queries(judged: DataFrame, *, prefix: str, order: list[Column]) -> Dat
     return first.select(F.concat(F.lit(prefix), F.col("query_id").cast("string")).alias("query_id"), "query")
 
 
-def one_per_product(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per product: the smallest by the given columns, whatever the file order.
+def one_per_product(rows: DataFrame, columns: list[str], order: str | None = None) -> DataFrame:
+    """One row per product: the first by the column ``order``; without one, whatever the file order, the
+    smallest by the given columns, where a value comes before none.
 
     Copies of a product are reduced before the shuffle, and a caller that
     needs the ids only gets a plain distinct.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    one = rows.filter("product_id is not null").groupBy("product_id").agg(F.min(row).alias("_row"))
+    filled = F.struct(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in columns])
+    place = filled if order is None else F.struct(F.col(order).isNull(), F.col(order), filled)
+    one = rows.filter("product_id is not null").groupBy("product_id").agg(F.min_by(row, place).alias("_row"))
     return one.select("product_id", "_row.*")
 
 
-def esci_products(rows: DataFrame) -> DataFrame:
-    """Unified product rows of the first dataset, one per product."""
+def esci_products(rows: DataFrame, order: str | None = None) -> DataFrame:
+    """Unified product rows of the first dataset, one per product (see :func:`one_per_product`)."""
     texts = [clean(F.col(c)).alias(c) for c in ESCI_METADATA]
-    one = one_per_product(rows, ESCI_METADATA).select("product_id", *texts)
+    one = one_per_product(rows, ESCI_METADATA, order).select("product_id", *texts)
     with_colors = one.withColumn("color", attr.colors(F.col("product_color")))
     title, brand = F.col("product_title"), F.col("product_brand")
     return with_colors.select(
@@ -105,9 +108,9 @@ def esci_products(rows: DataFrame) -> DataFrame:
     )
 
 
-def wands_products(rows: DataFrame) -> DataFrame:
-    """Unified product rows of the second dataset, one per product."""
-    one = one_per_product(rows, WANDS_METADATA)
+def wands_products(rows: DataFrame, order: str | None = None) -> DataFrame:
+    """Unified product rows of the second dataset, one per product (see :func:`one_per_product`)."""
+    one = one_per_product(rows, WANDS_METADATA, order)
     parsed = one.withColumn("parsed_features", attr.features(F.col("product_features")))
     kept = F.col("parsed_features")
     raw_color = F.coalesce(F.try_element_at(kept, F.lit("color")), F.try_element_at(kept, F.lit("colour")))

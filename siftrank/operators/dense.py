@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,32 +191,44 @@ def assign_cells(rows: DataFrame, centers: np.ndarray, probes: int) -> DataFrame
     return rows.mapInPandas(nearest, schema)
 
 
-def knn_cells(vectors: DataFrame, queries: DataFrame, k: int, *, cells: int = 16, probes: int = 4,
-              seed: int = 42, rows_per_block: int = 20000) -> DataFrame:
-    """Approximate search: only the ``probes`` nearest of ``cells`` clusters are compared.
-
-    Clusters come from Spark's KMeans.  A cell with many vectors is split in
-    blocks, each searched by its own task.
-    """
+def trained_centers(vectors: DataFrame, cells: int | None = None, seed: int = 42) -> np.ndarray:
+    """Centres of Spark's KMeans; by default as many as the root of the number of vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     features = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(features)
-    centers = np.array(model.clusterCenters())  # cells x dimension
+    cells = cells or max(2, math.isqrt(vectors.count()))
+    return np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(features).clusterCenters())  # cells x dimension
+
+
+def knn_cells(vectors: DataFrame, queries: DataFrame, k: int, *, centers: np.ndarray | None = None,
+              cells: int | None = None, probes: int = 4, seed: int = 42, rows_per_block: int = 20000) -> DataFrame:
+    """Approximate search: each query is compared with the vectors of its ``probes`` nearest cells.
+
+    Cells are those of ``centers``, else trained.  A cell with many vectors is
+    split in blocks, and its queries in as many as keep a task's hits bounded;
+    each block of one meets each block of the other in a task of its own.
+    """
+    if centers is None:
+        centers = trained_centers(vectors, cells, seed)
     searched = vectors.select("product_id", "source", "embedding")
     placed = materialize(assign_cells(searched, centers, 1), "cells")
     # One row per cell.
     blocks = F.broadcast(placed.groupBy("_cell").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(rows_per_block)).cast("long").alias("_n")
     ))
-    products = placed.join(blocks, "_cell").withColumn(
+    wanted = materialize(assign_cells(queries.select("query_id", "embedding"), centers, probes), "cells")
+    slices = F.broadcast(wanted.groupBy("_cell").agg(
+        F.ceil(F.count(F.lit(1)) * k / F.lit(HITS_PER_TASK)).cast("long").alias("_q")
+    ))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    products = placed.join(blocks, "_cell").join(slices, "_cell").withColumn(
         "_block", F.pmod(F.xxhash64("product_id"), F.col("_n"))
-    ).drop("_n")
-    asked = assign_cells(queries.select("query_id", "embedding"), centers, probes).join(blocks, "_cell").withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
-    ).drop("_n")
-    hits = _blocks(products, asked, k, _hit_schema(searched, queries), ["_cell", "_block"])
+    ).withColumn("_queries", upto("_q")).drop("_n", "_q")
+    asked = wanted.join(blocks, "_cell").join(slices, "_cell").withColumn(
+        "_queries", F.pmod(F.xxhash64("query_id"), F.col("_q"))
+    ).withColumn("_block", upto("_n")).drop("_n", "_q")
+    hits = _blocks(products, asked, k, _hit_schema(searched, queries), ["_cell", "_block", "_queries"])
     return top_n(hits, ["query_id"], [F.desc("score"), F.asc("product_id")], k).select(
         "query_id", "product_id", "source", "score", "rank"
     )

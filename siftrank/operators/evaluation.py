@@ -88,6 +88,8 @@ def per_query(qrels: DataFrame, run: DataFrame, ks: list[int] | None = None, *,
     asked = counted.join(ideal, "query_id", "left")
 
     # Unjudged hits stay, so a query that was run counts as answered without a second pass.
+    # A product that a run lists twice counts at its best rank.
+    run = run.groupBy("strategy", "query_id", "product_id").agg(F.min("rank").alias("rank"))
     shallow = run.filter(rank <= max(ks)).join(qrels, ["query_id", "product_id"], "left")
     scored = shallow.groupBy("strategy", "query_id").agg(
         F.min(F.when(relevant, rank)).alias("first"),
@@ -111,22 +113,26 @@ def evaluate(qrels: DataFrame, run: DataFrame, ks: list[int] | None = None, *,
 
     ``score`` averages over all judged queries, those without a run counting 0;
     ``score_answered`` over the queries that were run.  Queries of the run that
-    nobody judged are dropped.
+    nobody judged are dropped; a strategy without a judged query has score 0.
     """
     ks = checked_cutoffs(ks or CUTOFFS)
+    if "strategy" not in run.columns:
+        run = run.withColumn("strategy", F.lit("run"))
     values = per_query(qrels, run, ks, threshold=threshold, gain=gain)
     names = [(m, k) for m in ("mrr", "ndcg", "recall") for k in ks]
     sums = values.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("answered"), *[F.sum(f"{m}_{k}").alias(f"{m}_{k}") for m, k in names]
     )
+    sums = run.select("strategy").distinct().join(sums, "strategy", "left").withColumn(
+        "answered", F.coalesce("answered", F.lit(0)))
     total = qrels.agg(F.count_distinct("query_id")).scalar().alias("n_queries")
     rows = F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.col(f"{m}_{k}").alias("total")) for m, k in names
     ])).alias("row")
     return sums.select("strategy", "answered", total, rows).select(
         "strategy", "row.metric", "row.k",
-        F.round(F.col("row.total") / F.col("n_queries"), 6).alias("score"),
-        F.round(F.col("row.total") / F.col("answered"), 6).alias("score_answered"),
+        F.round(F.coalesce(F.try_divide(F.col("row.total"), F.col("n_queries")), F.lit(0.0)), 6).alias("score"),
+        F.round(F.try_divide(F.col("row.total"), F.col("answered")), 6).alias("score_answered"),
         "n_queries", (F.col("n_queries") - F.col("answered")).alias("n_missing"),
     )
 

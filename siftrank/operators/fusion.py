@@ -11,13 +11,17 @@ from siftrank.fixed_values import RRF_K
 from siftrank.operators.ranking import top_n
 
 
-def rrf(runs: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:
-    """Sum of ``1 / (rrf_k + rank)`` over the runs; ties by id.  Hits without an id are skipped."""
-    hits = reduce(DataFrame.unionByName, [r.select("query_id", "product_id", "rank") for r in runs])
+def rrf(runs: list[DataFrame], k: int, rrf_k: int = RRF_K, with_source: bool = False) -> DataFrame:
+    """Sum of ``1 / (rrf_k + rank)`` over the runs; ties by id.  Hits without an id are skipped.
+
+    ``with_source`` keeps the ``source`` that the runs carry.
+    """
+    source = ["source"] if with_source else []
+    hits = reduce(DataFrame.unionByName, [r.select("query_id", "product_id", "rank", *source) for r in runs])
     fused = (
         hits.filter("product_id is not null and cast(product_id as string) <> ''")
         .groupBy("query_id", "product_id")
-        .agg(F.round(F.sum(1 / (rrf_k + F.col("rank"))), 9).alias("score"))
+        .agg(F.round(F.sum(1 / (rrf_k + F.col("rank"))), 9).alias("score"), *[F.max(c).alias(c) for c in source])
     )
     return top_n(fused, ["query_id"], [F.desc("score"), F.asc("product_id")], k)
 

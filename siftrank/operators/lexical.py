@@ -14,7 +14,7 @@ from siftrank.scratch import broadcast_limit, fan_out, materialize, memory_bytes
 
 
 ROWS_PER_PART = 2_000_000  # postings of one term in one task of the shuffle join
-COMMON_BYTES = 32 << 20    # largest list of common terms sent to every executor
+WEIGHTS_PER_PART = 100_000  # weights of one term in one task of the shuffle join
 
 
 @dataclass(frozen=True)
@@ -89,9 +89,9 @@ def build_index(documents: DataFrame, fields: list[str], id_column: str = "produ
     )
 
 
-def query_terms(queries: DataFrame, cleaned: bool = True) -> DataFrame:
-    """``query_id, term, qtf``; a repeated word counts as often as it occurs."""
-    text = clean_query(F.col("query")) if cleaned else F.col("query")
+def query_terms(queries: DataFrame, cleaned: bool = True, legacy: bool = False) -> DataFrame:
+    """``query_id, term, qtf``; a repeated word counts as often as it occurs.  ``legacy`` as in ``clean_query``."""
+    text = clean_query(F.col("query"), legacy) if cleaned else F.col("query")
     return queries.select("query_id", F.explode(term_counts(tokens(text))).alias("t")).select(
         "query_id", "t.term", F.col("t.tf").alias("qtf")
     )
@@ -116,42 +116,43 @@ def _saturation(k1: float, b: float) -> Column:
     return tf / (tf + k1 * (1 - b + b * length))
 
 
-def match(postings: DataFrame, weights: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+def match(postings: DataFrame, weights: DataFrame, rows_per_part: int = ROWS_PER_PART,
+          weights_per_part: int = WEIGHTS_PER_PART) -> DataFrame:
     """Postings with the weights of the queries that ask for their term.
 
     Weights within Spark's broadcast threshold are broadcast; the matching
     postings are brought together per product first, so that the later sum
     per query and product needs no shuffle of all scored pairs.  Larger
-    weights are joined by a shuffle in which a common term's postings are
-    spread over parts of ``rows_per_part`` and only its weights are copied to
-    each part, so a term found in a third of all products is not one task's
-    work.
+    weights are joined by a shuffle in which a term's postings are spread over
+    parts of ``rows_per_part`` and its weights over parts of
+    ``weights_per_part``, and each part of one meets each part of the other in
+    a task of its own: neither a word of a third of all products nor one of
+    every query is one task's work.
     """
     if memory_bytes(weights) <= max(broadcast_limit(postings.sparkSession), 0):
         vocabulary = weights.select("field", "term").distinct()
         together = fan_out(postings.join(vocabulary, ["field", "term"], "left_semi"), "product_id")
         return together.join(F.broadcast(weights.drop("df")), ["field", "term"])
 
-    terms = materialize(weights.select("field", "term", "df").distinct(), "terms")
-    common = terms.filter(F.col("df") > rows_per_part)
-    while memory_bytes(common) > COMMON_BYTES:  # larger parts until the list of common terms is small
-        rows_per_part *= 2
-        common = terms.filter(F.col("df") > rows_per_part)
-    parts = F.broadcast(common.select(
-        "field", "term", F.ceil(F.col("df") / rows_per_part).cast("int").alias("_parts")
-    ))
-    of_term = F.coalesce(F.col("_parts"), F.lit(1))
-    copies = weights.drop("df").join(parts, ["field", "term"], "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), of_term - 1))
-    )
-    split = postings.join(parts, ["field", "term"], "left").withColumn(
-        "_part", F.pmod(F.hash("product_id"), of_term)
-    )
-    return split.drop("_parts").join(copies.drop("_parts"), ["field", "term", "_part"]).drop("_part")
+    terms = weights.groupBy("field", "term").agg(F.max("df").alias("df"), F.count(F.lit(1)).alias("asked"))
+    terms = terms.select(
+        "field", "term", F.ceil(F.col("df") / rows_per_part).cast("int").alias("_parts"),
+        F.ceil(F.col("asked") / weights_per_part).cast("int").alias("_slices"),
+    ).filter("_parts > 1 or _slices > 1")
+    terms = materialize(terms, "terms")  # Spark knows its size and broadcasts it, or splits its large keys
+    parts, slices = F.coalesce("_parts", F.lit(1)), F.coalesce("_slices", F.lit(1))
+    copies = weights.drop("df").join(terms, ["field", "term"], "left").withColumn(
+        "_slice", F.pmod(F.hash("query_id"), slices)
+    ).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    split = postings.join(terms, ["field", "term"], "left").withColumn(
+        "_part", F.pmod(F.hash("product_id"), parts)
+    ).withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    drop = ["_parts", "_slices"]
+    return split.drop(*drop).join(copies.drop(*drop), ["field", "term", "_part", "_slice"]).drop("_part", "_slice")
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict[str, float] | None = None, *,
-         cleaned: bool = True, filter_source: str | None = None, k1: float = fixed.BM25_K1,
+         cleaned: bool = True, legacy: bool = False, filter_source: str | None = None, k1: float = fixed.BM25_K1,
          b: float = fixed.BM25_B, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Top ``k`` products per query: ``query_id, product_id, source, score, rank``.
 
@@ -160,7 +161,7 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict[str, floa
     and leaves the term statistics as they are.
     """
     boosts = boosts or fixed.FIELD_BOOSTS
-    terms = query_terms(queries, cleaned)
+    terms = query_terms(queries, cleaned, legacy)
     per_query = "filter_source" in queries.columns
     weights = term_weights(index, terms, boosts)
     if per_query:

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftrank.scratch import materialize
+from siftrank.scratch import PART_BYTES, materialize, read_bytes
 
-SPARK_GROUP_LIMIT = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank",
-          salts: int = 64) -> DataFrame:
+          salts: int | None = None) -> DataFrame:
     """The first ``n`` rows of each group with their 1-based position.
 
     Spark cuts each input partition to ``n`` rows per group before the shuffle
     for ``n`` up to its threshold.  Beyond it the group is cut in ``salts``
-    parts first, so one task sees at most ``n * salts`` rows of a group.
+    parts first (as many as the input has tasks' worth of bytes), so one task
+    sees at most ``n * salts`` rows of a group.
     """
-    if n > SPARK_GROUP_LIMIT:
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT)):
+        salts = salts or max(64, read_bytes(df) // PART_BYTES)
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn(rank, F.row_number().over(part)).filter(F.col(rank) <= n).drop("_salt", rank)

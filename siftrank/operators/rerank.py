@@ -19,20 +19,21 @@ def with_texts(found: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFr
 
     Only the texts that some candidate needs are moved: a written candidate
     table is broadcast to the texts by Spark's threshold, and beyond it the
-    join on the product filters them first.
+    join on the product filters them first.  A candidate without a text stays
+    and has an empty one.
     """
     wanted = texts.join(found.select("product_id").distinct(), "product_id", "left_semi")
     asked = fan_out(found, "query_id", "product_id").join(queries.select("query_id", "query"), "query_id")
-    return asked.join(wanted, "product_id")
+    return asked.join(wanted, "product_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def pairwise(found: DataFrame, scorer: PairScorer, k: int) -> DataFrame:
-    """Order by the scorer's value; equal values keep the candidates' order."""
-    scored = found.withColumn("score", F.round(scorer(F.col("query"), F.col("text")), 6))
+    """Order by the scorer's value; equal values keep the candidates' order.  The score shown is rounded."""
+    scored = found.withColumn("score", scorer(F.col("query"), F.col("text")))
     return top_n(
         scored.select("query_id", "product_id", "source", "score", "leg", F.col("rank").alias("_rank")),
         ["query_id"], [F.desc("score"), F.asc("leg"), F.asc("_rank")], k,
-    ).drop("leg", "_rank")
+    ).withColumn("score", F.round("score", 6)).drop("leg", "_rank")
 
 
 def listwise_prompts(found: DataFrame) -> DataFrame:

@@ -68,8 +68,8 @@ def stand_in_quality(scores: Column) -> Column:
     shown = F.slice(scores, 1, fixed.SUMMARY_HITS)
     return (
         F.when(~F.exists(shown, lambda s: s >= fixed.WEAK_SCORE), "low_coverage")
-        .when(F.size(F.filter(shown, lambda s: s >= 0.5)) >= 3, "good")
-        .when(F.exists(shown, lambda s: s >= 0.5), "semantic_drift")
+        .when(F.size(F.filter(shown, lambda s: s >= fixed.GOOD_SCORE)) >= fixed.GOOD_HITS, "good")
+        .when(F.exists(shown, lambda s: s >= fixed.GOOD_SCORE), "semantic_drift")
         .otherwise("multi_constraint_miss")
     )
 
@@ -106,12 +106,16 @@ def stand_in_parts(state: DataFrame) -> DataFrame:
 def with_hits(state: DataFrame, hits: DataFrame, texts: DataFrame) -> DataFrame:
     """Each query's shown hits as an array and as the summary a model reads.
 
-    Only the shown hits are gathered, so a query's array is bounded.
+    ``texts`` holds product_id with ``full_text`` (else ``text``) and may have
+    ``product_class``.  A hit without a text stays.  Only the shown hits are
+    gathered, so a query's array is bounded.
     """
-    shown = hits.filter(F.col("rank") <= fixed.SUMMARY_HITS).join(texts, "product_id")
+    body = F.col("full_text" if "full_text" in texts.columns else "text")
     product_class = F.col("product_class") if "product_class" in texts.columns else F.lit(None).cast("string")
+    told = texts.select("product_id", product_class.alias("product_class"), body.alias("text"))
+    shown = hits.filter(F.col("rank") <= fixed.SUMMARY_HITS).join(told, "product_id", "left")
     gathered = shown.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "score", product_class.alias("product_class"), "text"))).alias("hits")
+        F.sort_array(F.collect_list(F.struct("rank", "score", "product_class", "text"))).alias("hits")
     )
     joined = state.join(gathered, "query_id", "left")
     none = F.filter(F.array(F.struct(
@@ -124,9 +128,11 @@ def with_hits(state: DataFrame, hits: DataFrame, texts: DataFrame) -> DataFrame:
 
 def agentic(search: Search, queries: DataFrame, k: int, pool: int = fixed.POOL_RERANK, *,
             understand: Step = stand_in_understanding, assess: Step = stand_in_assessment,
-            decompose: Step = stand_in_parts) -> DataFrame:
+            decompose: Step = stand_in_parts, with_query: bool = False) -> DataFrame:
     """Top ``k`` per query after at most two rounds; the steps may call a model.
 
+    ``with_query`` adds the ``rewritten_query`` that was searched.
+
     The second round retrieves once for all reopened queries: widened ones with
     twice the pool, and the parts of decomposed ones with twice the depth.
     """
@@ -136,24 +142,26 @@ def agentic(search: Search, queries: DataFrame, k: int, pool: int = fixed.POOL_R
     first = materialize(search.hybrid_rerank(asked, k, pool).select(*columns), "round")
 
     open_queries = state.filter("complexity = 'complex'").withColumn("iteration", F.lit(1))
-    checked = assess(with_hits(open_queries, first, search.texts))
+    checked = assess(with_hits(open_queries, first, search.shown()))
     routed = materialize(checked.select(
         "query_id", "rewritten_query", "filter_source",
         route(F.col("complexity"), F.col("iteration"), F.col("action")).alias("next"),
     ), "routed")
 
-    again = ["query_id", "whole", "part", "query", "filter_source", "pool", "depth"]
+    again = ["whole", "part", "query", "filter_source", "pool", "depth"]
     wide = routed.filter("next = 'widen'").select(
-        "query_id", F.col("query_id").alias("whole"), F.lit(0).alias("part"), F.col("rewritten_query").alias("query"),
+        F.col("query_id").alias("whole"), F.lit(0).alias("part"), F.col("rewritten_query").alias("query"),
         "filter_source", F.lit(2 * pool).alias("pool"), F.lit(k).alias("depth"),
     )
     parts = decompose(routed.filter("next = 'decompose'")).select(
-        F.concat_ws("#", "query_id", "part").alias("query_id"), F.col("query_id").alias("whole"), "part", "query",
-        "filter_source", F.lit(pool).alias("pool"), F.lit(2 * k).alias("depth"),
+        F.col("query_id").alias("whole"), "part", "query", "filter_source", F.lit(pool).alias("pool"), F.lit(2 * k).alias("depth"),
     )
-    reopened = materialize(wide.select(*again).unionByName(parts.select(*again)), "reopened")
+    # The searched texts get numbers of their own, whatever the type of the queries' ids.
+    numbered = wide.select(*again).unionByName(parts.select(*again)).withColumn("query_id", F.monotonically_increasing_id())
+    reopened = materialize(numbered, "reopened")
     second = search.hybrid_rerank(reopened.drop("whole", "part", "depth"), 2 * k, 2 * pool)
     of_query = second.join(reopened.select("query_id", "whole", "part", "depth"), "query_id").filter("rank <= depth")
     merged = best_of_subqueries(of_query.drop("query_id", "depth").withColumnRenamed("whole", "query_id"), k)
     finished = routed.filter("next <> 'end'").select("query_id")
-    return first.join(finished, "query_id", "left_anti").unionByName(merged.select(*columns))
+    found = first.join(finished, "query_id", "left_anti").unionByName(merged.select(*columns))
+    return found.join(state.select("query_id", "rewritten_query"), "query_id") if with_query else found

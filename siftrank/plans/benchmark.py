@@ -14,15 +14,17 @@ from siftrank.operators.sampling import first_queries
 from siftrank.plans.agent import agentic
 from siftrank.plans.strategies import Search, distinct_texts, for_all
 from siftrank.scratch import materialize
+from siftrank.sources.exchange import write_ranked_json
+from siftrank.sources.tables import write_csv
 
 STRATEGIES = ["bm25", "knn", "hybrid_rrf", "hybrid_rerank", "hybrid_listwise",
               "hyde_rerank", "hyde_listwise", "agentic"]
-DEFAULT = STRATEGIES[:5]
+DEFAULT = ["bm25", "knn", "hybrid_rrf", "hybrid_rerank", "agentic"]
 GENERATIVE = STRATEGIES[4:]
 
 
 def run_strategies(search: Search, queries: DataFrame, depth: int = 100, pool: int = 20,
-                   listwise_pool: int = fixed.POOL_FUSION, strategies: list[str] | None = None,
+                   listwise_pool: int = fixed.POOL_FUSION, rrf_k: int = fixed.RRF_K, strategies: list[str] | None = None,
                    limit_generative: int | None = None) -> DataFrame:
     """Ranked lists of the chosen strategies: ``strategy, query_id, product_id, rank``.
 
@@ -62,7 +64,7 @@ def run_strategies(search: Search, queries: DataFrame, depth: int = 100, pool: i
     plans = {
         "bm25": lambda: cut(depth)[0],
         "knn": lambda: cut(depth)[1],
-        "hybrid_rrf": lambda: fusion.rrf(cut(pool), depth),
+        "hybrid_rrf": lambda: fusion.rrf(cut(pool), depth, rrf_k),
         "hybrid_rerank": lambda: pairs(texts, legs),
         "hybrid_listwise": lambda: lists(legs),
         "hyde_rerank": lambda: pairs(few_texts, title_legs),
@@ -76,8 +78,25 @@ def run_strategies(search: Search, queries: DataFrame, depth: int = 100, pool: i
     return reduce(DataFrame.unionByName, runs)
 
 
+def write_outputs(runs: DataFrame, metrics: DataFrame, folder: str) -> None:
+    """For every strategy its ranked lists as JSON and its metrics as CSV, below ``folder``."""
+    for row in metrics.select("strategy").distinct().toLocalIterator():  # a handful of names
+        own = F.col("strategy") == row.strategy
+        write_ranked_json(runs.filter(own), f"{folder}/{row.strategy}_ranked")
+        write_csv(metrics.filter(own).select("metric", "k", "score").orderBy("metric", "k").coalesce(1),
+                  f"{folder}/{row.strategy}_metrics")
+
+
 def benchmark(search: Search, queries: DataFrame, qrels: DataFrame, ks: list[int] | None = None, *,
-              threshold: float | None = None, gain: str = "linear", **run_options: object) -> DataFrame:
-    """Metrics of all chosen strategies; the ranked lists are written once and measured together."""
+              threshold: float | None = None, gain: str = "linear", folder: str | None = None,
+              **run_options: object) -> DataFrame:
+    """Metrics of all chosen strategies; the ranked lists are written once and measured together.
+
+    With a ``folder`` each strategy's lists and metrics are also kept there.
+    """
     runs = materialize(run_strategies(search, queries, **run_options), "runs")
-    return evaluation.evaluate(qrels, runs, ks, threshold=threshold, gain=gain)
+    metrics = evaluation.evaluate(qrels, runs, ks, threshold=threshold, gain=gain)
+    if folder is not None:
+        metrics = materialize(metrics, "metrics")
+        write_outputs(runs, metrics, folder)
+    return metrics

@@ -85,6 +85,12 @@ class Search:
     boosts: dict[str, float]
     models: Models = Models()
     filter_source: str | None = None
+    payload: DataFrame | None = None  # product_id with full_text and product_class, for summaries
+    legacy_cleaning: bool = False     # see ``clean_query``
+
+    def shown(self) -> DataFrame:
+        """What a summary shows of each product."""
+        return self.texts if self.payload is None else self.payload
 
     def with_models(self, **models: object) -> Search:
         return replace(self, models=replace(self.models, **models))
@@ -112,7 +118,8 @@ class Search:
         )
 
     def bm25(self, queries: DataFrame, k: int) -> DataFrame:
-        return lexical.bm25(self.index, queries, k, self.boosts, filter_source=self.filter_source)
+        return lexical.bm25(self.index, queries, k, self.boosts, filter_source=self.filter_source,
+                            legacy=self.legacy_cleaning)
 
     def knn(self, encoded: DataFrame, k: int) -> DataFrame:
         return dense.knn(self.vectors, encoded, k, filter_source=self.filter_source)
@@ -134,8 +141,9 @@ class Search:
         union = fusion.candidates(*[leg.filter(F.col("rank") <= pool) for leg in legs])
         return rerank.with_texts(materialize(union, "candidates"), queries, self.texts)
 
-    def hybrid_rrf(self, queries: DataFrame, k: int, pool: int = fixed.POOL_FUSION) -> DataFrame:
-        return fusion.rrf(list(self.legs(queries, self.encoded(queries), pool)), k)
+    def hybrid_rrf(self, queries: DataFrame, k: int, pool: int = fixed.POOL_FUSION,
+                   rrf_k: int = fixed.RRF_K) -> DataFrame:
+        return fusion.rrf(list(self.legs(queries, self.encoded(queries), pool)), k, rrf_k, with_source=True)
 
     def hybrid_rerank(self, queries: DataFrame, k: int, pool: int = fixed.POOL_RERANK) -> DataFrame:
         return self._pairwise(queries, self.encoded(queries), k, pool)

@@ -25,9 +25,9 @@ PART_BYTES = 32 << 20    # input of one task whose work grows beyond its input
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current.rstrip("/")
@@ -122,14 +122,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def read_bytes(df: DataFrame) -> int:
+    """Bytes of all files and tables the plan starts from; an optimizer's guess for a join can be any number."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return total
+
+
 def fan_out(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Rows over all cores, ahead of a step that makes much work of few bytes.
 
     Adaptive execution would merge small partitions and leave the work to one
-    task; it keeps a number that is asked for.  A large input, or one of
-    unknown size, gets up to as many partitions as any shuffle.
+    task; it keeps a number that is asked for.  The number grows with the bytes
+    that the plan reads, without a limit.
     """
     spark = df.sparkSession
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_size = min(planned_bytes(df) // PART_BYTES, configured)
-    return df.repartition(max(spark.sparkContext.defaultParallelism, by_size), *keys)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, read_bytes(df) // PART_BYTES), *keys)

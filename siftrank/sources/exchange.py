@@ -8,24 +8,36 @@ passes through one task as a whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siftrank.schemas import PRODUCT
 
 ROWS_PER_LINE = 10_000
-WHOLE_FILE_BYTES = 256 << 20
 
 
-def _lines(spark: SparkSession, path: str, whole_file: bool) -> DataFrame:
-    """Text by line, or by file for one object that spans lines; such a file must be small."""
-    if not whole_file:
-        return spark.read.text(path).filter("trim(value) <> ''")
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(hadoop).listFiles(root, True)
-    while files.hasNext():
-        if files.next().getLen() > WHOLE_FILE_BYTES:
-            raise ValueError(f"a file of {path} is too large to be one object; write one query per line")
-    return spark.read.text(path, wholetext=True)
+def _records(spark: SparkSession, path: str, opening: str, closing: str) -> DataFrame:
+    """``query_id, body`` of every ``"key": [...]`` or ``"key": {...}`` in the files, however they are laid out.
+
+    The text is cut at the closing bracket, so one object of any size is split
+    among tasks.  What is left of a key or a value with that bracket in a string
+    is not a record, and stops the job.
+    """
+    parts = spark.read.option("lineSep", closing).text(path).filter(~F.col("value").rlike(r"^[\s,{}]*$"))
+    key = rf'^[\s,{{}}]*("(?:[^"\\]|\\.)*")\s*:\s*\{opening}(?s:(.*))$'
+    checked = F.when(F.col("value").rlike(key), F.col("value")).otherwise(
+        F.raise_error(F.concat(F.lit("not a record of the nested form: "), F.substring("value", 1, 200))))
+    rows = parts.select(checked.alias("value"))
+    name = F.from_json(F.concat(F.lit("["), F.regexp_extract("value", key, 1), F.lit("]")), "array<string>")[0]
+    return rows.select(name.alias("query_id"),
+                       F.concat(F.lit(opening), F.regexp_extract("value", key, 2), F.lit(closing)).alias("body"))
+
+
+def _parsed(body: str, kind: str) -> Column:
+    """The value; a text that is not of the kind stops the job."""
+    value = F.from_json(body, kind)
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit("cannot be read: "), F.substring(body, 1, 200))))
 
 
 def write_qrels_json(qrels: DataFrame, path: str, rows_per_line: int = ROWS_PER_LINE) -> None:
@@ -38,13 +50,11 @@ def write_qrels_json(qrels: DataFrame, path: str, rows_per_line: int = ROWS_PER_
     lines.select(F.to_json(F.create_map("query_id", "judged")).alias("value")).write.text(path)
 
 
-def read_qrels_json(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
-    """Long judgements from nested objects; a query without judgements has a row with nulls."""
-    parsed = F.from_json("value", "map<string,map<string,double>>")
-    return (
-        _lines(spark, path, whole_file).select(F.explode(parsed).alias("query_id", "judged"))
-        .select("query_id", F.explode_outer("judged").alias("product_id", "gain"))
-    )
+def read_qrels_json(spark: SparkSession, path: str) -> DataFrame:
+    """Long judgements from ``{query: {product: gain}}``, in one object or in many; a query without judgements
+    has a row with nulls."""
+    return _records(spark, path, "{", "}").select(
+        "query_id", F.explode_outer(_parsed("body", "map<string,double>")).alias("product_id", "gain"))
 
 
 def write_run_json(run: DataFrame, path: str, rows_per_line: int = ROWS_PER_LINE) -> None:
@@ -64,14 +74,37 @@ def read_run_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_ranked_json(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
-    """Long run from objects ``{query: [product, ...]}``."""
-    parsed = F.from_json("value", "map<string,array<string>>")
-    return (
-        _lines(spark, path, whole_file).select(F.explode(parsed).alias("query_id", "products"))
-        .select("query_id", F.posexplode("products").alias("at", "product_id"))
-        .select("query_id", "product_id", (F.col("at") + 1).cast("long").alias("rank"))
-    )
+def write_ranked_json(run: DataFrame, path: str) -> None:
+    """``{query: [product, ...]}`` lines, one per query; a query's list is as deep as its ranking."""
+    lists = run.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "product_id"))).alias("hits"))
+    line = F.create_map(F.col("query_id").cast("string"), F.transform("hits", lambda h: h["product_id"].cast("string")))
+    lists.select(F.to_json(line).alias("value")).write.text(path)
+
+
+def read_ranked_json(spark: SparkSession, path: str) -> DataFrame:
+    """Long run from ``{query: [product, ...]}``, in one object or in many."""
+    return _records(spark, path, "[", "]").select(
+        "query_id", F.posexplode(_parsed("body", "array<string>")).alias("at", "product_id")
+    ).select("query_id", "product_id", (F.col("at") + 1).cast("long").alias("rank"))
+
+
+def write_product_store(products: DataFrame, path: str) -> None:
+    """``{product: {...}}`` lines, one per product."""
+    line = F.create_map(F.col("product_id").cast("string"), F.struct(*products.columns))
+    products.select(F.to_json(line).alias("value")).write.text(path)
+
+
+def read_product_store(spark: SparkSession, path: str, schema: T.StructType = PRODUCT, whole_file: bool = False) -> DataFrame:
+    """Products from the lines of :func:`write_product_store`, or from files that are one object each.
+
+    Documents nest, so a single object cannot be cut; with ``whole_file`` each
+    file is one task's work, whatever its size.
+    """
+    text = spark.read.text(path, wholetext=whole_file).filter("trim(value) <> ''")
+    kind = T.MapType(T.StringType(), schema)
+    return text.select(F.explode(F.from_json("value", kind)).alias("key", "row")).select(
+        F.coalesce(F.col("row.product_id"), F.col("key")).alias("product_id"),
+        *[F.col("row").getField(f.name).alias(f.name) for f in schema.fields if f.name != "product_id"])
 
 
 def write_products_json(products: DataFrame, path: str) -> None:

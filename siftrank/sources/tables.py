@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftrank.schemas import QUERIES
@@ -14,27 +15,47 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
-    """Tab-separated text with a header; a line that does not fit keeps its raw text on request."""
-    if keep_corrupt:
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+def _delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str, multi_line: bool) -> DataFrame:
+    """Text with a header, a record per line or, with ``multi_line``, records whose quoted fields hold line ends.
+
+    Files of the first kind are split among tasks; one of the second kind is a
+    task's work.  A quoted field that does not end on its line would be read
+    as wrong rows, so the first kind stops there.
+    """
+    if not multi_line:
+        open_quote = rf'(^|{sep})"([^"]|"")*$'
+        if spark.read.text(path).filter(F.col("value").rlike(open_quote)).head(1):
+            raise ValueError(f"{path} has quoted line ends; read it with multi_line=True")
     return (
-        spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", '"')
-        .option("escape", '"').option("multiLine", False).option("mode", "PERMISSIVE")
+        spark.read.schema(schema).option("sep", sep).option("header", True).option("quote", '"')
+        .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     )
 
 
+def _write_delimited(df: DataFrame, path: str, sep: str) -> None:
+    df.write.option("sep", sep).option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False,
+             multi_line: bool = False) -> DataFrame:
+    """Tab-separated text with a header; a line that does not fit keeps its raw text on request."""
+    if keep_corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return _delimited(spark, path, schema, "\t", multi_line)
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.option("sep", "\t").option("header", True).option("escape", '"').csv(path)
+    _write_delimited(df, path, "\t")
 
 
-def read_query_table(spark: SparkSession, path: str, schema: T.StructType = QUERIES) -> DataFrame:
+def read_query_table(spark: SparkSession, path: str, schema: T.StructType = QUERIES, multi_line: bool = False) -> DataFrame:
     """Query table by file type: parquet, else comma-separated text with a header."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.schema(schema).parquet(path)
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    return _delimited(spark, path, schema, ",", multi_line)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("escape", '"').csv(path)
+    _write_delimited(df, path, ",")

@@ -62,7 +62,7 @@ def test_stored_index_reads_the_folders_of_its_terms(spark, sf, tmp_path):
 
     path = str(tmp_path / "index")
     docs = inputs.documents(spark, sf).withColumn("product_id", F.col("product_id").cast("string"))
-    indexes.write_lexical(docs, ["text"], path, term_buckets=64, salts=1)
+    indexes.write_lexical(docs, ["text"], path, term_buckets=64)
     queries = spark.createDataFrame([("q", "the erhe")], "query_id string, query string")
     text = plan(lexical.bm25(indexes.read_lexical(spark, path), queries, 5, {"text": 1.0}))
     folders = re.search(r"PartitionFilters: \[term_bucket#\d+ (IN|=) .*?\]", text).group(0)

@@ -20,10 +20,19 @@ def test_tsv_round_trip(spark, tmp_path):
     frame = spark.createDataFrame([("a\tb", 'q"x"', "é"), (None, " s ", "1")], "x string, y string, z string")
     tables.write_tsv(frame, str(tmp_path / "t"))
     back = tables.read_tsv(spark, str(tmp_path / "t"), frame.schema)
-    assert {r.y.strip() for r in back.collect()} == {'q"x"', "s"}
+    assert {r.y for r in back.collect()} == {'q"x"', " s "}
     assert "a\tb" in {r.x for r in back.collect()}
 
 
+def test_quoted_line_ends(spark, tmp_path):
+    frame = spark.createDataFrame([("1", "red\nsofa, \"big\""), ("2", " lamp ")], "query_id string, query string")
+    tables.write_csv(frame, str(tmp_path / "q.csv"))
+    with pytest.raises(ValueError, match="multi_line"):
+        tables.read_query_table(spark, str(tmp_path / "q.csv"))
+    back = tables.read_query_table(spark, str(tmp_path / "q.csv"), multi_line=True)
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in frame.collect()}
+
+
 def test_query_table_by_suffix(spark, tmp_path):
     frame = spark.createDataFrame([("1", "red, sofa"), ("2", "lamp")], "query_id string, query string")
     frame.write.parquet(str(tmp_path / "q.parquet"))
@@ -36,7 +45,7 @@ def test_query_table_by_suffix(spark, tmp_path):
 def test_nested_qrels(spark, tmp_path):
     path = tmp_path / "qrels.json"
     path.write_text(json.dumps({"q1": {"a": 3, "b": 1.0}, "q2": {}}, indent=1))
-    rows = {tuple(r) for r in exchange.read_qrels_json(spark, str(path), whole_file=True).collect()}
+    rows = {tuple(r) for r in exchange.read_qrels_json(spark, str(path)).collect()}
     assert rows == {("q1", "a", 3.0), ("q1", "b", 1.0), ("q2", None, None)}
 
 
@@ -62,11 +71,41 @@ def test_ranked_lists(spark, tmp_path):
     assert exchange.read_run_json(spark, str(tmp_path / "r")).exceptAll(run).count() == 0
 
 
-def test_too_large_for_one_object(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(exchange, "WHOLE_FILE_BYTES", 5)
-    (tmp_path / "run.json").write_text(json.dumps({"q1": ["b", "a"]}))
-    with pytest.raises(ValueError, match="too large"):
-        exchange.read_ranked_json(spark, str(tmp_path / "run.json"))
+def test_nested_objects_of_any_size_are_split(spark, tmp_path):
+    run = {f"q{i}": [f"p{i}-{j}" for j in range(i % 5)] for i in range(300)}
+    path = tmp_path / "run.json"
+    path.write_text(json.dumps(run, indent=2))
+    rows = exchange.read_ranked_json(spark, str(path)).collect()
+    assert sorted(tuple(r) for r in rows) == sorted((q, p, i + 1) for q, own in run.items() for i, p in enumerate(own))
+    frame = spark.createDataFrame(rows)
+    exchange.write_ranked_json(frame, str(tmp_path / "again"))
+    assert exchange.read_ranked_json(spark, str(tmp_path / "again")).exceptAll(frame).count() == 0
+    odd = tmp_path / "odd.json"
+    odd.write_text(json.dumps({"q]1": ["a"], 'q"2': ['b"', "c\n"]}))
+    with pytest.raises(Exception, match="not a record|cannot be read"):
+        exchange.read_ranked_json(spark, str(odd)).collect()
+    odd.write_text(json.dumps({'q"2, {': ['b"', "c\n"], "é": ["x"]}))
+    assert {tuple(r) for r in exchange.read_ranked_json(spark, str(odd)).collect()} == {
+        ('q"2, {', 'b"', 1), ('q"2, {', "c\n", 2), ("é", "x", 1)}
+
+
+def test_product_store(spark, tmp_path):
+    from siftrank.schemas import PRODUCT
+
+    rows = [("p1", "ESCI", "full", "short", "b", ["red", "blue"], None, None, 4.5, 3, {"a": "1", "b": None}, {}),
+            ("p2", "WANDS", "x\n}y", "", None, [], "class", "a / b", None, None, {}, {"k": "{v}"})]
+    frame = spark.createDataFrame(rows, PRODUCT)
+    exchange.write_product_store(frame, str(tmp_path / "store"))
+    back = exchange.read_product_store(spark, str(tmp_path / "store"))
+    want = {r.product_id: r.asDict(recursive=True) for r in frame.collect()}
+    for r in back.collect():
+        got = r.asDict(recursive=True)
+        assert {k: v for k, v in got.items() if k != "metadata"} == {
+            k: v for k, v in want[r.product_id].items() if k != "metadata"}
+    whole = tmp_path / "store.json"
+    whole.write_text(json.dumps({"p1": {"source": "ESCI", "color": ["red"], "metadata": {"a": "b"}}, "p2": {"source": "W"}}, indent=1))
+    found = exchange.read_product_store(spark, str(whole), whole_file=True).collect()
+    assert {(r.product_id, r.source) for r in found} == {("p1", "ESCI"), ("p2", "W")}
 
 
 def documents(spark, text="red sofa"):
@@ -110,6 +149,33 @@ def test_upsert(spark, tmp_path):
     assert rows == {("a", "1"), ("b", "3"), ("n", "2"), ("c", "1")}
 
 
+def test_upsert_of_null_and_moved_sources(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    schema = "product_id string, title string, source string"
+    spark.createDataFrame([("a", "1", None), ("b", "1", None), ("c", "1", "C"), ("d", "1", "D"), ("e", "1", "E")],
+                          schema).write.partitionBy("source").parquet(path)
+    indexes.upsert(spark, path, [spark.createDataFrame([("a", "2", None), ("c", "2", "D"), ("n", "2", "N")], schema)])
+    rows = {tuple(r) for r in spark.read.schema(schema).parquet(path).collect()}
+    assert rows == {("a", "2", None), ("b", "1", None), ("c", "2", "D"), ("d", "1", "D"), ("e", "1", "E"), ("n", "2", "N")}
+    assert not (tmp_path / "docs" / "source=C").exists()
+
+
+def test_half_built_index_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "index")
+    with pytest.raises(ValueError, match="no complete index"):
+        indexes.read_lexical(spark, path)
+    (tmp_path / "index" / "version-x" / "postings").mkdir(parents=True)
+    indexes.write_lexical(documents(spark), ["title"], path, file_rows=1)
+    assert indexes.read_lexical(spark, path).postings.count() == 4
+
+
+def test_index_after_upsert(spark, tmp_path):
+    docs, index = str(tmp_path / "docs"), str(tmp_path / "index")
+    documents(spark).write.partitionBy("source").parquet(docs)
+    indexes.upsert_index(spark, docs, index, [documents(spark, "green chair").filter("product_id = 'a'")], ["title"])
+    assert {r.term for r in indexes.read_lexical(spark, index).term_df().collect()} == {"green", "chair", "blue", "sofa"}
+
+
 def test_memory_size_counts_values(spark):
     frame = spark.range(1000).select(F.lit("x" * 100).alias("s"), F.array(F.lit(1.0), F.lit(2.0)).alias("v"), "id")
     assert memory_bytes(frame) == 1000 * (100 + 16 + 2 * 8 + 16 + 8)

@@ -181,7 +181,7 @@ PREFIXED = "judged_parts AS (SELECT query_id, 'amz_' || product_id AS product_id
 def benchmark_all(spark: SparkSession, sf: str) -> DataFrame:
     return benchmark.benchmark(
         retrieval.shop_search(spark, sf), retrieval.customer_queries(spark, sf),
-        materialize(shop_judgements(spark, sf), "qrels"), depth=DEPTH,
+        materialize(shop_judgements(spark, sf), "qrels"), depth=DEPTH, strategies=benchmark.STRATEGIES[:5],
     )
 
 

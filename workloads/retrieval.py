@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ FROM (SELECT field, term, CAST(sum(tf) AS BIGINT) AS total FROM postings GROUP B
 JOIN frequency USING (field, term) JOIN stats USING (field)"""))
 def bm25_index_stats(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "lexical-index")
-    indexes.write_lexical(inputs.documents(spark, sf), ["text"], path, term_buckets=16, salts=2)
+    indexes.write_lexical(inputs.documents(spark, sf), ["text"], path, term_buckets=16, file_rows=500)
     index = indexes.read_lexical(spark, path)
     totals = index.postings.groupBy("field", "term").agg(F.sum("tf").alias("total")).join(
         index.term_df(), ["field", "term"]
@@ -114,7 +115,7 @@ def bm25_stored_index(spark: SparkSession, sf: str) -> DataFrame:
     """Search in an index on disk, reading the folders of the queries' terms."""
     path = scratch_path(spark, "lexical-index")
     padded = inputs.documents(spark, sf).withColumn("product_id", F.lpad(F.col("product_id").cast("string"), 12, "0"))
-    indexes.write_lexical(padded, ["text"], path, term_buckets=64, salts=2)
+    indexes.write_lexical(padded, ["text"], path, term_buckets=64, file_rows=500)
     found = lexical.bm25(indexes.read_lexical(spark, path), inputs.text_queries(spark, sf), K, TEXT_BOOST)
     return found.select("query_id", F.col("product_id").cast("bigint").alias("product_id"), "score")
 
@@ -176,9 +177,23 @@ def knn_prefilter(spark: SparkSession, sf: str) -> DataFrame:
                           filter_source="label3", filter_mode="pre"))
 
 
-@query("knn_ivf")
+@query("knn_ivf", sql.with_ctes(VECTORS, VECTOR_QUERIES, """
+centers AS (SELECT row_number() OVER (ORDER BY label) AS cell, CAST(embedding AS DOUBLE[]) AS center FROM (
+  SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label))""", """
+near AS (SELECT vec_id, cell, row_number() OVER (
+    PARTITION BY vec_id ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), center) DESC, cell) AS place
+  FROM embeddings, centers)""",
+    sql.knn(K, "vectors", "wanted", where="""EXISTS (
+      SELECT 1 FROM near a JOIN near b USING (cell)
+      WHERE a.vec_id = p.product_id AND a.place = 1 AND b.vec_id = q.query_id AND b.place <= 4)"""),
+    HITS.format("dense")))
 def knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
-    return hits(dense.knn_cells(inputs.vectors(spark, sf), inputs.vector_queries(spark, sf), K))
+    """Cells of the first vector of each label; a query reads its four nearest cells."""
+    rows = inputs.table(spark, sf, "embeddings")
+    first = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).orderBy("label")  # one per label
+    centers = np.array([r["v"] for r in first.collect()], dtype=np.float64)
+    return hits(dense.knn_cells(inputs.vectors(spark, sf), inputs.vector_queries(spark, sf), K, centers=centers,
+                                rows_per_block=200))
 
 
 @query("knn_all_cells", sql.with_ctes(

@@ -42,11 +42,7 @@ def tokens(x: str) -> str:
 
 
 def clean_query(x: str) -> str:
-    from siftrank.functions.text import ARTICLE, ARTICLE_BEFORE_WORD
-
-    phrases = [p.replace(ARTICLE, ARTICLE_BEFORE_WORD).replace(
-        "(?:find|buy|get|some|a|an)?", r"(?:(?:find|buy|get|some|a|an)\b)?") for p in fixed.LEAD_INS]
-    opening = (r"^\s*(?:" + "|".join(phrases) + r")\s*").replace("'", "''")
+    opening = (r"^\s*(?:" + "|".join(fixed.LEAD_INS) + r")\s*").replace("'", "''")
     short = strip(f"regexp_replace({strip(f'''regexp_replace({x}, '{opening}', '', 'i')''')}, "
                   f"'{fixed.FILLERS}', ' ', 'gi')")
     return f"CASE WHEN length({short}) >= 2 THEN {short} ELSE {x} END"
