@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        ahead = now.select(F.col("v").alias("u"), F.col("u").alias("v"))  # each node with its larger neighbours
+        large = ahead.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")

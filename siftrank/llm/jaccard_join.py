@@ -31,7 +31,7 @@ from siftrank.llm.shingles import Shingler
 from siftrank.scratch import materialize
 
 BUCKET_BITS = 20       # shingles are counted in 2**20 buckets, whatever the input
-GROUP_BYTES = 1 << 20  # texts that are shingled together
+GROUP_BYTES = 1 << 19  # texts that are shingled together
 MERGE = 64             # partial counts added up by one task
 
 
