@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftrank.fixed_values import ESCI_GAINS
 from siftrank.functions import attributes as attr
 from siftrank.functions.text import clean
-from siftrank.operators import curation, merging, sampling, training
+from siftrank.operators import curation, lexical, merging, sampling, training
 from siftrank.scratch import scratch_path
 from siftrank.sources import exchange, indexes, tables
 from workloads import inputs, sql
@@ -44,6 +44,34 @@ def scan_query_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("csv_roundtrip", """
+SELECT CAST(doc_id AS VARCHAR) AS query_id, ' ' || text || chr(10) || '"' AS query FROM documents""")
+def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with line ends, quotes and spaces at both ends as a query table."""
+    rows = inputs.table(spark, sf, "documents").select(
+        inputs.text("doc_id").alias("query_id"), F.concat(F.lit(" "), "text", F.lit('\n"')).alias("query"))
+    path = scratch_path(spark, "queries") + ".csv"
+    tables.write_csv(rows.repartition(spark.sparkContext.defaultParallelism), path)  # a file of this kind is one task's
+    return tables.read_query_table(spark, path, multi_line=True)
+
+
+@query("ranked_json_roundtrip", sql.with_ctes(sql.EXAMPLES, sql.SHOP_QRELS, sql.SHOP_RUN, "SELECT * FROM shop_run"))
+def ranked_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "ranked-json")
+    exchange.write_ranked_json(inputs.shop_run(inputs.shop_qrels(spark, sf)), path)
+    return exchange.read_ranked_json(spark, path)
+
+
+@query("product_store_roundtrip", sql.with_ctes(*sql.PRODUCTS, f"""
+SELECT {', '.join(PRODUCT_COLUMNS)}, color FROM esci_products
+UNION ALL SELECT {', '.join(PRODUCT_COLUMNS)}, color FROM wands_products"""))
+def product_store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "store-json")
+    rows = inputs.esci(spark, sf).products().unionByName(inputs.wands(spark, sf).products())
+    exchange.write_product_store(rows, path)
+    return flat(exchange.read_product_store(spark, path))
+
+
 @query("qrels_json_roundtrip", sql.with_ctes(sql.EXAMPLES, sql.SHOP_QRELS, "SELECT * FROM shop_qrels"))
 def qrels_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "qrels-json")
@@ -275,7 +303,8 @@ def limit_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RAW_BRAND = "CASE p_size WHEN 1 THEN ' NaN ' WHEN 2 THEN '  ' WHEN 3 THEN NULL ELSE chr(9) || p_brand || ' ' END"
-RAW_NUMBER = """CASE p_size WHEN 1 THEN 'NaN' WHEN 2 THEN 'x' WHEN 3 THEN NULL WHEN 4 THEN '-1'
+RAW_NUMBER = """CASE p_size WHEN 1 THEN 'NaN' WHEN 2 THEN 'x' WHEN 3 THEN NULL WHEN 4 THEN '-1' WHEN 5 THEN '4.5d'
+                WHEN 6 THEN '3f' WHEN 7 THEN '0x1p1' WHEN 8 THEN '12D' WHEN 9 THEN '+.5e1' WHEN 11 THEN '4.'
                 ELSE ' ' || p_size || '.75' END"""
 
 
@@ -308,7 +337,7 @@ def norm_rating(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("norm_count", f"""
-SELECT p_partkey, TRY_CAST(trunc(TRY_CAST(raw AS DOUBLE)) AS BIGINT) AS n
+SELECT p_partkey, CASE WHEN {sql.DECIMAL.format(x='raw')} THEN TRY_CAST(trunc(TRY_CAST(raw AS DOUBLE)) AS BIGINT) END AS n
 FROM (SELECT p_partkey, {sql.strip(RAW_NUMBER)} AS raw FROM part)""")
 def norm_count(spark: SparkSession, sf: str) -> DataFrame:
     return part_with(spark, sf, RAW_NUMBER).select("p_partkey", attr.count(F.col("raw")).alias("n"))
@@ -384,16 +413,37 @@ def training_skips(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("index_upsert", """
-SELECT doc_id AS product_id, source, CASE WHEN lang = 'en' THEN text || ' (new)' ELSE text END AS text FROM documents
-UNION ALL SELECT doc_id + 1000000000, source, text FROM documents WHERE lang = 'en'""")
+SELECT doc_id AS product_id, CASE WHEN lang = 'en' AND doc_id % 3 = 0 THEN 'moved'
+         WHEN doc_id % 5 <> 0 THEN source END AS source,
+       CASE WHEN lang = 'en' THEN text || ' (new)' ELSE text END AS text FROM documents
+UNION ALL SELECT doc_id + 1000000000, CASE WHEN doc_id % 5 <> 0 THEN source END, text FROM documents WHERE lang = 'en'""")
 def index_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inputs.table(spark, sf, "documents")
+    """Some rows have no source, and some of the new ones come with another source than before."""
+    rows = inputs.table(spark, sf, "documents").withColumn("source", F.when(F.col("doc_id") % 5 != 0, F.col("source")))
     before = rows.select(F.col("doc_id").alias("product_id"), "source", "text")
     english = rows.filter("lang = 'en'")
-    batch = english.select(F.col("doc_id").alias("product_id"), "source", F.concat("text", F.lit(" (new)")).alias("text")).unionByName(
+    moved = F.when(F.col("doc_id") % 3 == 0, F.lit("moved")).otherwise(F.col("source")).alias("source")
+    batch = english.select(F.col("doc_id").alias("product_id"), moved, F.concat("text", F.lit(" (new)")).alias("text")).unionByName(
         english.select((F.col("doc_id") + 1000000000).alias("product_id"), "source", "text")
     )
     path = scratch_path(spark, "documents")
     before.write.partitionBy("source").parquet(path)
     indexes.upsert(spark, path, [batch.withColumn("text", F.lit("")), batch])
     return spark.read.schema(batch.schema).parquet(path)
+
+
+@query("index_upsert_search", sql.with_ctes(
+    """docs AS (SELECT CAST(doc_id AS VARCHAR) AS product_id, source, 'text' AS field,
+  CASE WHEN lang = 'en' THEN text || ' upserted' ELSE text END AS text FROM documents)""", "asked AS (SELECT item_id AS query_id, text || ' upserted' AS query FROM benchmark)",
+    sql.bm25({"text": 1.0}, 10), "SELECT query_id, CAST(product_id AS BIGINT) AS product_id, score, rank FROM lexical"))
+def index_upsert_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A search after an upsert finds what a fresh index finds."""
+    rows = inputs.table(spark, sf, "documents").withColumn("product_id", inputs.text("doc_id"))
+    path, index = scratch_path(spark, "documents"), scratch_path(spark, "index")
+    rows.select("product_id", "source", "text").write.partitionBy("source").parquet(path)
+    indexes.write_lexical(spark.read.parquet(path), ["text"], index)
+    batch = rows.filter("lang = 'en'").select("product_id", "source", F.concat("text", F.lit(" upserted")).alias("text"))
+    indexes.upsert_index(spark, path, index, [batch], ["text"])
+    queries = inputs.text_queries(spark, sf).withColumn("query", F.concat("query", F.lit(" upserted")))
+    found = lexical.bm25(indexes.read_lexical(spark, index), queries, 10, {"text": 1.0})
+    return found.select("query_id", F.col("product_id").cast("long").alias("product_id"), "score", "rank")

@@ -64,6 +64,33 @@ def eval_binary(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.evaluate(*judged(spark, sf), threshold=2.0)
 
 
+BLIND = """both_runs AS (
+  SELECT * FROM run UNION ALL SELECT 'blind', query_id || ' of nobody', product_id, rank FROM run)"""
+EMPTY_ROWS = """
+SELECT * FROM scored UNION ALL
+SELECT 'blind', metric, k, 0e0, NULL, n_queries, n_queries FROM scored"""
+
+
+@query("eval_empty_strategy", sql.with_ctes(
+    *JUDGED, BLIND, *(lambda m: [*m[:-1], f"scored AS ({m[-1]})"])(sql.metrics("shop_qrels", "both_runs", CUTOFFS)), EMPTY_ROWS))
+def eval_empty_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    """A strategy none of whose queries was judged has score 0, and all queries missing."""
+    qrels, run = judged(spark, sf)
+    blind = run.select(F.concat("query_id", F.lit(" of nobody")).alias("query_id"), "product_id", "rank")
+    both = run.withColumn("strategy", F.lit("run")).unionByName(blind.withColumn("strategy", F.lit("blind")))
+    return evaluation.evaluate(qrels, both)
+
+
+@query("eval_repeated_hits", sql.with_ctes(*JUDGED, """
+later AS (SELECT strategy, query_id, product_id, 2 * rank - 1 AS rank FROM run)""",
+    *sql.metrics("shop_qrels", "later", CUTOFFS)))
+def eval_repeated_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """A product that a run lists twice counts once, at its better rank."""
+    qrels, run = judged(spark, sf)
+    return evaluation.evaluate(qrels, run.select(
+        "query_id", "product_id", F.explode(F.array(2 * F.col("rank") - 1, 2 * F.col("rank"))).alias("rank")))
+
+
 @query("binarize_qrels", sql.with_ctes(
     sql.EXAMPLES, sql.SHOP_QRELS,
     "SELECT query_id, product_id, CASE WHEN gain >= 2 THEN 1e0 ELSE 0e0 END AS gain FROM shop_qrels"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cache
 
 import numpy as np
@@ -253,6 +254,16 @@ def hybrid_rerank_shop(spark: SparkSession, sf: str) -> DataFrame:
     return hits(shop_search(spark, sf).hybrid_rerank(inputs.shop_queries(spark, sf), K))
 
 
+@query("hybrid_rerank_missing_text", sql.with_ctes(
+    *TEXT_LEGS, "texts AS (SELECT doc_id AS product_id, text FROM documents WHERE doc_id % 3 <> 0)", sql.candidates(POOL),
+    sql.rerank(K, "reranked", "texts", join="LEFT JOIN"), HITS.format("reranked")))
+def hybrid_rerank_missing_text(spark: SparkSession, sf: str) -> DataFrame:
+    """A candidate whose text is not known is scored by an empty one and stays."""
+    search = text_search(spark, sf)
+    some = replace(search, texts=search.texts.filter("product_id % 3 <> 0"))
+    return hits(some.hybrid_rerank(inputs.text_queries(spark, sf), K))
+
+
 @query("listwise_rerank", sql.with_ctes(
     *TEXT_LEGS, TEXTS, sql.candidates(POOL), sql.listwise(K, "listed", "texts"), HITS.format("listed")))
 def listwise_rerank(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,6 +321,12 @@ def clean_queries(spark: SparkSession, sf: str) -> DataFrame:
     return user_turns(spark, sf).select("conv_id", "turn", clean_query(F.col("query")).alias("cleaned"))
 
 
+@query("clean_query_legacy",
+       f"SELECT conv_id, turn, {sql.clean_query('query', sql.fixed.LEAD_INS_LEGACY)} AS cleaned FROM {ASKED_TURNS}")
+def clean_queries_legacy(spark: SparkSession, sf: str) -> DataFrame:
+    return user_turns(spark, sf).select("conv_id", "turn", clean_query(F.col("query"), legacy=True).alias("cleaned"))
+
+
 @query("hyde_gate", f"""
 SELECT product_id, NOT (regexp_matches(query, '(?i){sql.fixed.NO_TITLE_FOR}')
        OR len(list_filter(string_split_regex(query, '\\s+'), lambda w: w <> '')) <= 1) AS wanted

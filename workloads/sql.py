@@ -41,8 +41,8 @@ def tokens(x: str) -> str:
     return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
 
 
-def clean_query(x: str) -> str:
-    opening = (r"^\s*(?:" + "|".join(fixed.LEAD_INS) + r")\s*").replace("'", "''")
+def clean_query(x: str, phrases: list[str] = fixed.LEAD_INS) -> str:
+    opening = (r"^\s*(?:" + "|".join(phrases) + r")\s*").replace("'", "''")
     short = strip(f"regexp_replace({strip(f'''regexp_replace({x}, '{opening}', '', 'i')''')}, "
                   f"'{fixed.FILLERS}', ' ', 'gi')")
     return f"CASE WHEN length({short}) >= 2 THEN {short} ELSE {x} END"
@@ -155,7 +155,8 @@ def esci_products(name: str, rows: str, order: str) -> str:
 """
 
 
-RATING = """CASE WHEN TRY_CAST({x} AS DOUBLE) BETWEEN 0 AND 5 THEN TRY_CAST({x} AS DOUBLE) END"""
+DECIMAL = r"regexp_matches({x}, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$')"
+RATING = """CASE WHEN """ + DECIMAL + """ AND TRY_CAST({x} AS DOUBLE) BETWEEN 0 AND 5 THEN TRY_CAST({x} AS DOUBLE) END"""
 
 
 def wands_products(name: str, rows: str, order: str) -> str:
@@ -277,16 +278,17 @@ def overlap(query: str, text: str) -> str:
     return f"coalesce(len(list_intersect({words}, {tokens(text)})) / nullif(len({words}), 0), 0)"
 
 
-def rerank(k: int, name: str, texts: str, asked: str = "asked", found: str = "found") -> str:
-    """``texts``: product_id, text."""
+def rerank(k: int, name: str, texts: str, asked: str = "asked", found: str = "found", join: str = "JOIN") -> str:
+    """``texts``: product_id, text; with a left join a candidate without one has an empty text."""
+    text = "t.text" if join == "JOIN" else "coalesce(t.text, '')"
     return f"""
 {name} AS (
   SELECT query_id, product_id, source, score, rank FROM (
     SELECT query_id, product_id, source, score,
            row_number() OVER (PARTITION BY query_id ORDER BY score DESC, leg, place) AS rank
     FROM (SELECT f.query_id, f.product_id, f.source, f.leg, f.rank AS place,
-                 round({overlap('a.query', 't.text')}, 6) AS score
-          FROM {found} f JOIN {asked} a USING (query_id) JOIN {texts} t USING (product_id))) WHERE rank <= {k})
+                 round({overlap('a.query', text)}, 6) AS score
+          FROM {found} f JOIN {asked} a USING (query_id) {join} {texts} t USING (product_id))) WHERE rank <= {k})
 """
 
 
