@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -50,19 +50,25 @@ def pair_scorer(load: Callable[[], Score], batch: int = 32) -> Callable[[Column,
     return score
 
 
+ANSWERS = "_key string, answer string, error string"
+
+
 def ask(rows: DataFrame, load: Callable[[], Generate], answers: str, batch: int = 32,
-        parallel: int | None = None) -> DataFrame:
+        parallel: int | None = None, slices: int = 1) -> DataFrame:
     """``rows`` with an ``answer`` to each ``prompt``; each distinct prompt is asked once.
 
     Answers are kept in the parquet table at ``answers`` under the prompt's
-    hash, before they are used, so a retried task or a second run reads them
-    and does not ask again.  A prompt whose model call fails has a null answer
-    and is asked again on the next run.
+    hash, before they are used.  They are written in ``slices`` by that hash, one
+    job after another: what a finished slice has is never asked again, by a
+    later slice or run; a task that fails asks its own batches again, and a job
+    that fails loses its slice only.  A prompt whose model call fails has a null
+    answer and the ``error`` (see ``ask_errors``), and is asked again on the next
+    run.
     """
     spark = rows.sparkSession
     keyed = rows.withColumn("_key", F.sha2("prompt", 256))
     asked = keyed.select("_key", "prompt").dropDuplicates(["_key"])
-    schema = "_key string, answer string"
+    schema = ANSWERS
     spark.createDataFrame([], schema).write.mode("append").parquet(answers)
     known = spark.read.schema(schema).parquet(answers).filter("answer is not null")
     missing = asked.join(known, "_key", "left_anti")
@@ -74,15 +80,24 @@ def ask(rows: DataFrame, load: Callable[[], Generate], answers: str, batch: int
         for part in parts:
             for at in range(0, len(part), batch):
                 piece = part[at:at + batch]
+                error = None
                 try:
                     texts = list(model(piece["prompt"].tolist()))
-                except Exception:  # the caller's model; its failure means no answer
-                    texts = [None] * len(piece)
-                yield pd.DataFrame({"_key": piece["_key"], "answer": texts})
+                except Exception as failure:  # the caller's model; its failure means no answer
+                    texts, error = [None] * len(piece), f"{type(failure).__name__}: {failure}"
+                yield pd.DataFrame({"_key": piece["_key"], "answer": texts, "error": error})
 
-    missing.mapInPandas(generate, schema).write.mode("append").parquet(answers)
+    for part in range(slices):
+        own = missing.filter(F.pmod(F.xxhash64("_key"), F.lit(slices)) == part) if slices > 1 else missing
+        own.mapInPandas(generate, schema).write.mode("append").parquet(answers)
     answered = spark.read.schema(schema).parquet(answers).filter("answer is not null").dropDuplicates(["_key"])
-    return keyed.join(answered, "_key", "left").drop("_key")
+    return keyed.join(answered.drop("error"), "_key", "left").drop("_key")
+
+
+def ask_errors(spark: SparkSession, answers: str) -> DataFrame:
+    """How many calls failed with which error."""
+    failed = spark.read.schema(ANSWERS).parquet(answers).filter("error is not null")
+    return failed.groupBy("error").agg(F.count(F.lit(1)).alias("prompts"))
 
 
 def bag_of_words(text: Column, size: int = 64) -> Column:

@@ -143,6 +143,16 @@ def metadata(names: list[str]) -> Column:
     return F.create_map(*entries)
 
 
+def _prefixed(prefix: str) -> Column:
+    return F.concat(F.lit(prefix), F.col("product_id").cast("string")).alias("product_id")
+
+
+def _unprefixed(ids: DataFrame, prefix: str) -> DataFrame:
+    """The raw ids of a dataset's products."""
+    own = ids.filter(F.col("product_id").startswith(prefix))
+    return own.select(F.substring("product_id", len(prefix) + 1, 2 ** 31 - 1).alias("product_id"))
+
+
 @dataclass(frozen=True)
 class EsciDataset:
     """Examples with a ``split``, and the product table.
@@ -162,10 +172,18 @@ class EsciDataset:
         wanted = self.examples.filter((F.col("small_version") == 1) & (F.col("product_locale") == "us"))
         return wanted if split is None else wanted.filter(F.col("split") == split)
 
-    def products(self) -> DataFrame:
-        ids = self.rows().select("product_id").distinct()
+    def product_ids(self) -> DataFrame:
+        """Ids of all products, without their texts."""
+        return self.rows().filter("product_id is not null").select(_prefixed(fixed.ESCI_PREFIX)).distinct()
+
+    def products(self, ids: DataFrame | None = None) -> DataFrame:
+        """All products, or those of ``ids``: raw rows are reduced to them before any text is made."""
+        known = self.rows().select("product_id").distinct()
         texts = self.product_table.filter("product_locale = 'us'")
-        return esci_products(ids.join(texts, "product_id", "left"))
+        if ids is not None:
+            raw = _unprefixed(ids, fixed.ESCI_PREFIX)
+            known, texts = known.join(raw, "product_id", "left_semi"), texts.join(raw, "product_id", "left_semi")
+        return esci_products(known.join(texts, "product_id", "left"))
 
     def qrels(self, split: str) -> DataFrame:
         return build_qrels(self.rows(split), label="esci_label", gains=fixed.ESCI_GAINS,
@@ -192,9 +210,18 @@ class WandsDataset:
         )
         return known if split is None else known.filter(F.col("split") == split)
 
-    def products(self) -> DataFrame:
-        judged = self.product_table.join(self.rows().select("product_id"), "product_id", "left_semi")
-        return wands_products(judged)
+    def product_ids(self) -> DataFrame:
+        """Ids of all products, without their texts."""
+        known = self.product_table.filter("product_id is not null").select("product_id")
+        return known.join(self.rows().select("product_id"), "product_id", "left_semi").select(
+            _prefixed(fixed.WANDS_PREFIX)).distinct()
+
+    def products(self, ids: DataFrame | None = None) -> DataFrame:
+        """All judged products, or those of ``ids``: raw rows are reduced to them before any text is made."""
+        rows = self.product_table
+        if ids is not None:
+            rows = rows.join(_unprefixed(ids, fixed.WANDS_PREFIX), "product_id", "left_semi")
+        return wands_products(rows.join(self.rows().select("product_id"), "product_id", "left_semi"))
 
     def qrels(self, split: str) -> DataFrame:
         return build_qrels(self.rows(split), label="label", gains=fixed.WANDS_GAINS,

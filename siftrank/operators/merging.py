@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftrank.operators.curation import Dataset
 from siftrank.operators.ranking import first_of
+from siftrank.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -34,8 +35,11 @@ def keep_first(tables: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def keep_first_group(tables: list[DataFrame], key: str) -> DataFrame:
-    """Rows of all tables; for a key in several tables all rows of the earliest one."""
-    stacked = _stack(tables)
+    """Rows of all tables; for a key in several tables all rows of the earliest one.
+
+    The tables are written once, as both the owner of a key and its rows are read from them.
+    """
+    stacked = materialize(_stack(tables), "stacked")
     owner = stacked.groupBy(key).agg(F.min("_ordinal").alias("_ordinal"))
     return stacked.join(owner, [key, "_ordinal"], "left_semi").drop("_ordinal")
 

@@ -88,13 +88,12 @@ def _sample_one(dataset: Dataset, train: int, test: int, distractors: int, seed:
 
     train_qrels, train_queries = pick("train", train)
     test_qrels, test_queries = pick("test", test)
-    products = dataset.products()
+    # A dataset that can name its products without their texts only makes the sampled ones.
+    names = dataset.product_ids() if hasattr(dataset, "product_ids") else dataset.products().select("product_id")
     judged = materialize(judged_ids(train_qrels.unionByName(test_qrels)), "judged")
-    noise = (
-        distractor_pool(products.select("product_id"), judged)
-        .orderBy(*shuffled("product_id", seed)).limit(distractors)
-    )
-    kept = subset(products, judged.unionByName(noise), "product_id")
+    noise = distractor_pool(names, judged).orderBy(*shuffled("product_id", seed)).limit(distractors)
+    wanted = materialize(judged.unionByName(noise), "sampled")
+    kept = dataset.products(wanted) if hasattr(dataset, "product_ids") else subset(dataset.products(), wanted, "product_id")
     return Artifacts(kept, train_qrels, test_qrels, train_queries, test_queries)
 
 

@@ -505,8 +505,34 @@ def named_queries(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
-@query("understand_query", sql.with_ctes(NAMED, UNDERSTOOD, "SELECT * FROM understood"))
+ANSWERS = """CASE l_linenumber % 6
+    WHEN 0 THEN '{"rewritten_query": " ' || l_returnflag || ' rug ", "filter_source": "esci", "complexity": "complex"}'
+    WHEN 1 THEN '{"rewritten_query": "  ", "filter_source": "nowhere", "complexity": "hard"}'
+    WHEN 2 THEN 'I would search for ' || l_returnflag WHEN 3 THEN '{"rewritten_query": "cut off'
+    WHEN 4 THEN '{"complexity": "complex", "filter_source": " Wands "}' END"""
+ASKED_LINES = f"""(SELECT l_orderkey * 8 + l_linenumber AS query_id, l_linestatus || ' item' AS query,
+  CASE WHEN l_quantity > 25 THEN 'ESCI' WHEN l_quantity > 20 THEN '' END AS caller, l_linenumber % 6 AS kind, l_returnflag,
+  {ANSWERS} AS answer FROM lineitem)"""
+
+
+@query("understand_query", f"""
+SELECT query_id, query, CASE kind WHEN 0 THEN l_returnflag || ' rug' ELSE query END AS rewritten_query,
+       coalesce(nullif(caller, ''), CASE kind WHEN 0 THEN 'ESCI' WHEN 4 THEN 'WANDS' END) AS filter_source,
+       CASE WHEN kind IN (0, 4) THEN 'complex' ELSE 'simple' END AS complexity
+FROM {ASKED_LINES}""")
 def understand_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of all kinds a model gives: full, blank, prose, cut off, partial and none."""
+    rows = inputs.table(spark, sf, "lineitem")
+    asked = rows.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("query_id"), F.expr("l_linestatus || ' item'").alias("query"),
+        F.expr("CASE WHEN l_quantity > 25 THEN 'ESCI' WHEN l_quantity > 20 THEN '' END").alias("filter_source"),
+        F.expr(ANSWERS).alias("answer"))
+    return agent.understood(asked)
+
+
+@query("agent_rewrites", sql.with_ctes(NAMED, UNDERSTOOD, "SELECT * FROM understood"))
+def agent_rewrites(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries that the agent searches with its deterministic stand-in."""
     return agent.stand_in_understanding(named_queries(spark, sf))
 
 
@@ -556,3 +582,48 @@ UNION ALL SELECT query_id, product_id, score, rank FROM wide_hits
 UNION ALL SELECT query_id, product_id, score, rank FROM split_hits"""))
 def agentic_batch(spark: SparkSession, sf: str) -> DataFrame:
     return hits(agent.agentic(shop_search(spark, sf), named_queries(spark, sf), K))
+
+
+@query("model_encode", """
+SELECT doc_id AS product_id, source, [CAST(len(text) AS DOUBLE), CAST(len(text) - len(replace(text, 'e', '')) AS DOUBLE)] AS v
+FROM documents""")
+def model_encode(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of a model in the Python workers, here one of two counts."""
+    def load():
+        return lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts]
+
+    encode = models.encoder(load, normalize=False)
+    return inputs.documents(spark, sf).select("product_id", "source", encode(F.col("text")).alias("v"))
+
+
+@query("model_score", sql.with_ctes(
+    sql.DOCUMENTS, sql.TEXT_QUERIES, sql.bm25(TEXT_BOOST, K), TEXTS, """
+scored AS (SELECT l.query_id, l.product_id, l.rank AS place,
+    round(CAST(len(a.query) AS DOUBLE) / (len(a.query) + len(t.text)), 6) AS score
+  FROM lexical l JOIN asked a USING (query_id) JOIN texts t USING (product_id))""", """
+SELECT query_id, product_id, score, row_number() OVER (
+  PARTITION BY query_id ORDER BY score DESC, place) AS rank FROM scored"""))
+def model_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates in the order of a pair model in the Python workers, here one of lengths."""
+    def load():
+        return lambda queries, texts: [round(len(q) / (len(q) + len(t)), 6) for q, t in zip(queries, texts)]
+
+    search, queries = text_search(spark, sf), inputs.text_queries(spark, sf)
+    found = materialize(search.bm25(queries, K).withColumn("leg", F.lit(0)), "hits")
+    return hits(rerank.pairwise(rerank.with_texts(found, queries, search.texts), models.pair_scorer(load), K))
+
+
+@query("model_answers", f"""
+SELECT conv_id, turn, query AS prompt, CASE WHEN len(query) % 7 <> 0 THEN reverse(query) END AS answer
+FROM {ASKED_TURNS}""")
+def model_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of a generating model, each distinct prompt asked once, in slices; some calls fail."""
+    def load():
+        def generate(prompts):
+            if any(len(p) % 7 == 0 for p in prompts):
+                raise RuntimeError("no answer")
+            return [p[::-1] for p in prompts]
+        return generate
+
+    rows = user_turns(spark, sf).select("conv_id", "turn", F.col("query").alias("prompt"))
+    return models.ask(rows, load, scratch_path(spark, "answers"), batch=1, slices=4)
