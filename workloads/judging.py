@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank.fixed_values import CUTOFFS, ESCI_GAINS, FIELD_BOOSTS
+from siftrank.fixed_values import CUTOFFS, ESCI_GAINS, FIELD_BOOSTS, POOL_RERANK
 from siftrank.operators import dense, evaluation
 from siftrank.operators.curation import build_qrels
 from siftrank.operators.merging import subset
@@ -171,26 +171,36 @@ def eval_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 CUSTOMERS = """customers AS (SELECT query_id, query FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY row_no, product_id) AS r FROM examples) WHERE r = 1)"""
-DEPTH = 20
+DEPTH = 100
 
 
 def strategies_sql() -> list[str]:
-    """Five strategies for the customers' queries, retrieved once per distinct text."""
+    """All strategies for the customers' queries, retrieved once per distinct text."""
     return [
         *sql.SHOP_PRODUCTS, sql.SHOP_FIELDS, sql.EXAMPLES, CUSTOMERS, sql.SHOP_QRELS,
         "asked AS (SELECT min(query_id) AS query_id, query FROM customers GROUP BY query)",
-        sql.bm25(FIELD_BOOSTS, 50), retrieval.SHOP_DOCS, retrieval.ASKED_VECTORS, sql.knn(50, "doc_vectors", "asked_vectors"),
+        sql.bm25(FIELD_BOOSTS, DEPTH), retrieval.SHOP_DOCS, retrieval.ASKED_VECTORS,
+        sql.knn(DEPTH, "doc_vectors", "asked_vectors"),
+        *retrieval.TITLE_VECTORS, sql.knn(DEPTH, "doc_vectors", "mixed", "title_dense"),
         retrieval.SHOP_TEXTS,
         sql.rrf(DEPTH, "fused", """SELECT query_id, product_id, rank FROM lexical WHERE rank <= 20
                 UNION ALL SELECT query_id, product_id, rank FROM dense WHERE rank <= 20"""),
         sql.candidates(20), sql.rerank(DEPTH, "reranked", "texts"),
         sql.candidates(50, "found50"), sql.listwise(DEPTH, "listed", "texts", found="found50"),
+        sql.candidates(20, "title_found", dense="title_dense"),
+        sql.rerank(DEPTH, "title_reranked", "texts", found="title_found"),
+        sql.candidates(50, "title_found50", dense="title_dense"),
+        sql.listwise(DEPTH, "title_listed", "texts", found="title_found50"),
+        *retrieval.agent_rounds(POOL_RERANK, DEPTH),
         f"""short_runs AS (
   SELECT 'bm25' AS strategy, query_id, product_id, rank FROM lexical WHERE rank <= {DEPTH}
   UNION ALL SELECT 'knn', query_id, product_id, rank FROM dense WHERE rank <= {DEPTH}
   UNION ALL SELECT 'hybrid_rrf', query_id, product_id, rank FROM fused
   UNION ALL SELECT 'hybrid_rerank', query_id, product_id, rank FROM reranked
-  UNION ALL SELECT 'hybrid_listwise', query_id, product_id, rank FROM listed)""",
+  UNION ALL SELECT 'hybrid_listwise', query_id, product_id, rank FROM listed
+  UNION ALL SELECT 'hyde_rerank', query_id, product_id, rank FROM title_reranked
+  UNION ALL SELECT 'hyde_listwise', query_id, product_id, rank FROM title_listed
+  UNION ALL SELECT 'agentic', query_id, product_id, rank FROM agent_hits)""",
         """run AS (SELECT strategy, c.query_id, s.product_id, s.rank FROM short_runs s
   JOIN asked a USING (query_id) JOIN customers c ON c.query = a.query)""",
     ]
@@ -208,7 +218,7 @@ PREFIXED = "judged_parts AS (SELECT query_id, 'amz_' || product_id AS product_id
 def benchmark_all(spark: SparkSession, sf: str) -> DataFrame:
     return benchmark.benchmark(
         retrieval.shop_search(spark, sf), retrieval.customer_queries(spark, sf),
-        materialize(shop_judgements(spark, sf), "qrels"), depth=DEPTH, strategies=benchmark.STRATEGIES[:5],
+        materialize(shop_judgements(spark, sf), "qrels"), depth=DEPTH, strategies=benchmark.STRATEGIES,
     )
 
 

@@ -556,30 +556,35 @@ def agent_round(name: str, rows: str, pool: int, k: int) -> list[str]:
     ]
 
 
-AGENT = [
-    *sql.SHOP_PRODUCTS, sql.SHOP_FIELDS, NAMED, UNDERSTOOD, SHOP_DOCS, SHOP_TEXTS,
-    "first_rows AS (SELECT query_id, rewritten_query AS query, filter_source FROM understood)",
-    sql.bm25(FIELD_BOOSTS, 1, "unused", "first_rows"),
-    *agent_round("first_hits", "first_rows", POOL, K),
-    f"""checked AS (
+def agent_rounds(pool: int, k: int) -> list[str]:
+    """Both rounds for the rows of ``asked``; the index tables, ``doc_vectors`` and ``texts`` stand before."""
+    return [
+        UNDERSTOOD, "first_rows AS (SELECT query_id, rewritten_query AS query, filter_source FROM understood)",
+        *agent_round("first_hits", "first_rows", pool, k),
+        f"""checked AS (
   SELECT query_id, rewritten_query, filter_source, CASE
     WHEN coalesce(max(score) FILTER (rank <= 5), 0) < 0.1 THEN 'widen'
     WHEN count(*) FILTER (rank <= 5 AND score >= 0.5) >= 1 THEN 'end' ELSE 'decompose' END AS next
   FROM understood LEFT JOIN first_hits USING (query_id) WHERE complexity = 'complex' GROUP BY ALL)""",
-    "wide_rows AS (SELECT query_id, rewritten_query AS query, filter_source FROM checked WHERE next = 'widen')",
-    *agent_round("wide_hits", "wide_rows", 2 * POOL, K),
-    PARTS.format(words=sql.tokens("rewritten_query"), rows="(SELECT * FROM checked WHERE next = 'decompose')"),
-    """part_rows AS (SELECT a.query_id, a.query, filter_source FROM asked_parts a JOIN checked c ON c.query_id = a.whole)""",
-    *agent_round("part_hits", "part_rows", POOL, 2 * K),
-    merged_parts(K, "part_hits", "split_hits"),
-]
-
-
-@query("agentic_batch", sql.with_ctes(*AGENT, """
-SELECT query_id, product_id, score, rank FROM first_hits
-WHERE query_id NOT IN (SELECT query_id FROM checked WHERE next <> 'end')
-UNION ALL SELECT query_id, product_id, score, rank FROM wide_hits
-UNION ALL SELECT query_id, product_id, score, rank FROM split_hits"""))
+        "wide_rows AS (SELECT query_id, rewritten_query AS query, filter_source FROM checked WHERE next = 'widen')",
+        *agent_round("wide_hits", "wide_rows", 2 * pool, k),
+        PARTS.format(words=sql.tokens("rewritten_query"), rows="(SELECT * FROM checked WHERE next = 'decompose')"),
+        "part_rows AS (SELECT a.query_id, a.query, filter_source FROM asked_parts a JOIN checked c ON c.query_id = a.whole)",
+        *agent_round("part_hits", "part_rows", pool, 2 * k),
+        merged_parts(k, "part_hits", "split_hits"),
+        """agent_hits AS (
+  SELECT query_id, product_id, score, rank FROM first_hits
+  WHERE query_id NOT IN (SELECT query_id FROM checked WHERE next <> 'end')
+  UNION ALL SELECT query_id, product_id, score, rank FROM wide_hits
+  UNION ALL SELECT query_id, product_id, score, rank FROM split_hits)""",
+    ]
+
+
+AGENT = [*sql.SHOP_PRODUCTS, sql.SHOP_FIELDS, NAMED, SHOP_DOCS, SHOP_TEXTS, sql.bm25(FIELD_BOOSTS, 1, "unused"),
+         *agent_rounds(POOL, K)]
+
+
+@query("agentic_batch", sql.with_ctes(*AGENT, "SELECT * FROM agent_hits"))
 def agentic_batch(spark: SparkSession, sf: str) -> DataFrame:
     return hits(agent.agentic(shop_search(spark, sf), named_queries(spark, sf), K))
 
