@@ -11,20 +11,22 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     n = len(data)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
+    place = np.int32 if n < 1 << 31 else np.int64
     width = 5  # bytes of the first sort, beside the position in one number while n allows it
-    padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(width, dtype=np.uint64)])
+    padded = np.concatenate([data.astype(np.uint16) + np.uint16(1), np.zeros(width, dtype=np.uint16)])
     key = np.zeros(n, dtype=np.uint64)
     for k in range(width):
-        key = key * np.uint64(257) + padded[k:k + n]  # a suffix that ends sorts first
-    order = sorted_by(key, 41, n)
+        key *= np.uint64(257)
+        key += padded[k:k + n]  # a suffix that ends sorts first
+    order = sorted_by(key, 41, n).astype(place)
     key = key[order]
     head = np.concatenate([[True], key[1:] != key[:-1]])
     first = np.flatnonzero(head)
-    rank = np.empty(n + 1, dtype=np.int64)  # a group's rank is the place of its last member, plus one
+    rank = np.empty(n + 1, dtype=place)  # a group's rank is the place of its last member, plus one
     ends = np.concatenate([first[1:], [n]])
     rank[order] = np.repeat(ends, ends - first)
     rank[n] = 0
-    open_at = np.flatnonzero(np.repeat(ends - first > 1, ends - first))  # places in groups of two or more
+    open_at = np.flatnonzero(np.repeat(ends - first > 1, ends - first)).astype(place)  # places in groups of two or more
     depth, bits = width, max(1, int(n).bit_length())
     while len(open_at):
         own = order[open_at]
@@ -47,8 +49,11 @@ def sorted_by(key: np.ndarray, bits: int, n: int) -> np.ndarray:
     """Order of the keys; key and position are sorted as one number where 64 bits hold both."""
     room = max(1, (n - 1).bit_length())
     if bits + room <= 64:
-        packed = np.sort(key << np.uint64(room) | np.arange(n, dtype=np.uint64))
-        return (packed & np.uint64((1 << room) - 1)).astype(np.int64)
+        packed = key << np.uint64(room)
+        packed |= np.arange(n, dtype=np.uint64)
+        packed.sort()
+        packed &= np.uint64((1 << room) - 1)
+        return packed.astype(np.int64)
     return np.argsort(key, kind="stable")
 
 
@@ -61,19 +66,20 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     n = len(data)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    before = np.empty(n, dtype=np.int64)
+    place = np.int32 if n < 1 << 31 else np.int64
+    before = np.empty(n, dtype=place)
     before[order[0]] = -1
     before[order[1:]] = order[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=place)
     left_at, left_before = np.maximum(at - 1, 0), np.maximum(before - 1, 0)
     falls = (at > 0) & (before > 0) & (data[left_at] == data[left_before])
     padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
     eight = np.zeros(n + 8, dtype=np.uint64)
     for k in range(8):
         eight |= padded[k:k + n + 8].astype(np.uint64) << np.uint64(8 * k)
-    found = np.zeros(n, dtype=np.int64)
-    places = np.flatnonzero(~falls & (before >= 0))
-    a, b, done = places.copy(), before[places], np.zeros(len(places), dtype=np.int64)
+    found = np.zeros(n, dtype=place)
+    places = np.flatnonzero(~falls & (before >= 0)).astype(place)
+    a, b, done = places, before[places], np.zeros(len(places), dtype=place)
     live = np.arange(len(places))
     while len(live):
         x, y = a[live] + done[live], b[live] + done[live]
@@ -82,7 +88,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
         differ = eight[x] ^ eight[y]
         low = differ & (~differ + np.uint64(1))
         same = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3)
-        done[live] += np.minimum(same, n - np.maximum(x, y))
+        done[live] += np.minimum(same, n - np.maximum(x, y)).astype(place)
         live = live[(differ == 0)]
     found[places] = done
     # Places that fall by one: the last compared value less the distance.

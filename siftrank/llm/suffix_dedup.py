@@ -32,10 +32,10 @@ from siftrank.scratch import materialize
 
 LENGTH = 200           # bytes of a repeat
 ANCHOR = 64            # bytes whose hash picks a window's anchor
-GROUP_BYTES = 1 << 20  # text that is hashed at a time; longer texts go in pieces that overlap
+GROUP_BYTES = 1 << 19  # text that is hashed at a time; longer texts go in pieces that overlap
 PLACE_BITS = 22
-SHARD_BYTES = 1 << 20  # segments a shard holds on average
-PART_SEGMENTS = 512    # different segments of one anchor string in one shard
+SHARD_BYTES = 1 << 19  # segments a shard holds on average
+PART_SEGMENTS = 1 << 12  # different segments of one anchor string in one shard, about a megabyte
 MERGE_ROWS = 1 << 18   # window keys a merge task holds on average
 
 
@@ -229,6 +229,7 @@ def repeat_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     anchors = materialize(anchor_rows(texts), "suffix_anchors")
     classes = anchors.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"))
     classes = classes.filter("n > 1").select("cls", (F.col("low") == F.col("high")).alias("alike"))
+    classes = materialize(classes, "suffix_classes")  # so that the join can split a hot anchor's rows
     met = materialize(anchors.join(classes, "cls"), "suffix_met")
 
     different = met.filter(~F.col("alike")).groupBy("cls", "seg").agg(
