@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftrank.scratch import scratch_path
+from siftrank.scratch import open_store, scratch_path
 
 
 def named(df: DataFrame, column: str) -> Column:
@@ -93,17 +93,6 @@ def shared_folder(df: DataFrame, name: str) -> str:
     return scratch_path(df.sparkSession, name)
 
 
-def open_store(path: str):
-    """File system and plain path of a folder or file in the shared store (local, HDFS, S3, GCS)."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 def write_shared(path: str, chunks: Iterable[bytes]) -> int:
     """Write a whole file and give its size.  Callers put the task attempt in the name."""
     store, plain = open_store(path)
