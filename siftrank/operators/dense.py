@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftrank.operators.ranking import top_n
-from siftrank.scratch import materialize, measure, memory_bytes, spread
+from siftrank.scratch import materialize, measure, read_shared_parquet, scratch_path, spread
 
-QUERY_BYTES = 64 << 20   # largest set of query vectors sent to every executor
-BLOCK_BYTES = 32 << 20   # vectors in one group of the block join
+CHUNK_BYTES = 16 << 20   # query vectors that a task reads at a time
+BLOCK_BYTES = 32 << 20   # product vectors that a task holds at a time
 SCORE_CELLS = 4 << 20    # scores held at once: queries times products
-HITS_PER_TASK = 1 << 20  # hits one task keeps: queries times k
+HITS_PER_TASK = 1 << 20  # hits of one task of the cell search: queries times k
 
 
 def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,36 +80,46 @@ def _empty(products: pd.DataFrame) -> pd.DataFrame:
     return none
 
 
-def _improve(kept: pd.DataFrame, found: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best ``k`` per query of both; new hits below a full query's last score are skipped early."""
-    groups = kept.groupby("query_id", sort=False)["score"]
-    last = groups.min()[groups.size() >= k]
-    found = found[~(found["score"] < found["query_id"].map(last))]
-    if not len(found):
-        return kept
-    hits = pd.concat([kept, found], ignore_index=True)
-    ordered = hits.sort_values(["query_id", "score", "product_id"], ascending=[True, False, True], kind="stable")
-    return ordered[ordered.groupby("query_id", sort=False).cumcount() < k]
-
-
 def _hit_schema(vectors: DataFrame, queries: DataFrame) -> T.StructType:
     fields = [f for f in vectors.schema.fields if f.name not in ("embedding", "_cell", "_block", "_queries")]
     return T.StructType([*fields, T.StructField("query_id", queries.schema["query_id"].dataType),
                          T.StructField("score", T.DoubleType())])
 
 
-def _scan(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    """Query vectors go to every task; each task keeps its best ``k`` per query."""
-    shared = vectors.sparkSession.sparkContext.broadcast(queries.select("query_id", "embedding").toPandas())
-    names = schema.fieldNames()
+def _chunks(queries: DataFrame, chunk_bytes: int) -> list[str]:
+    """Query vectors written once to the shared folder, in files of about ``chunk_bytes``."""
+    wanted = queries.select("query_id", "embedding")
+    _, size = measure(wanted)
+    path = scratch_path(queries.sparkSession, "query-chunks")
+    wanted.repartition(max(1, -(-size // chunk_bytes))).write.parquet(path)
+    return sorted(queries.sparkSession.read.schema(wanted.schema).parquet(path).inputFiles())
+
+
+def _stream(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType, chunk_bytes: int) -> DataFrame:
+    """Products stay where they are: each task reads the query chunks one after another for every block of its products.
+
+    A task holds one block and one chunk.  What leaves it is cut to ``k`` per
+    query by the ranking that follows, before anything is shuffled.
+    """
+    chunks, names = _chunks(queries, chunk_bytes), schema.fieldNames()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        held: list[pd.DataFrame] = []
+        rows = 0
+
+        def block() -> Iterator[pd.DataFrame]:
+            products = pd.concat(held, ignore_index=True)
+            for chunk in chunks:
+                yield search_block(read_shared_parquet(chunk), products, k)[names]
+
         for batch in batches:
-            found = search_block(shared.value, batch, k)
-            kept = found if kept is None else _improve(kept, found, k)
-        if kept is not None:
-            yield kept[names]
+            held.append(batch)
+            rows += len(batch)
+            if rows * 8 * max((len(v) for v in batch["embedding"][:1]), default=1) >= BLOCK_BYTES:
+                yield from block()
+                held, rows = [], 0
+        if held:
+            yield from block()
 
     return vectors.mapInPandas(search, schema)
 
@@ -125,34 +135,15 @@ def _blocks(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType
     return vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, schema)
 
 
-def _number_of_blocks(size: int, limit: int) -> int:
-    return max(1, -(-size // limit))
-
-
-def _block_join(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    """Exact search for any number of queries: blocks of products times blocks of queries."""
-    n_blocks = _number_of_blocks(memory_bytes(vectors), BLOCK_BYTES)
-    rows, size = measure(queries.select("query_id", "embedding"))
-    n_queries = max(_number_of_blocks(size, BLOCK_BYTES), _number_of_blocks(rows * k, HITS_PER_TASK))
-    products = vectors.withColumn("_block", F.pmod(F.xxhash64("product_id"), F.lit(n_blocks))).withColumn(
-        "_queries", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)).cast("array<bigint>"))
-    )
-    asked = queries.select("query_id", "embedding").withColumn(
-        "_queries", F.pmod(F.xxhash64("query_id"), F.lit(n_queries))
-    ).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
-    return _blocks(products, asked, k, schema, ["_block", "_queries"])
-
-
 def knn(vectors: DataFrame, queries: DataFrame, k: int, *, filter_source: str | None = None,
-        filter_mode: str = "post", query_bytes: int = QUERY_BYTES) -> DataFrame:
+        filter_mode: str = "post", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Top ``k`` products per query vector: ``query_id, product_id, source, score, rank``.
 
     ``vectors`` has ``product_id, source, embedding``, ``queries`` has
     ``query_id, embedding`` and may have ``filter_source`` per query.  In post
     mode the filter removes hits from the top ``k``, so fewer can remain; pre
     mode searches the wanted source only.  Vectors of length zero have no
-    cosine and take no part.  The counted size of ``queries`` decides between
-    sending them to all tasks and the block join; both are exact.
+    cosine and take no part.  The same exact plan serves any number of queries.
     """
     if filter_mode not in ("post", "pre"):
         raise ValueError("filter_mode must be 'post' or 'pre'")
@@ -160,9 +151,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, filter_source: str |
         vectors = vectors.filter(F.col("source") == filter_source)
     searched = vectors.select("product_id", "source", "embedding")
     schema = _hit_schema(searched, queries)
-    rows, size = measure(queries.select("query_id", "embedding"))
-    find = _scan if size <= query_bytes and rows * k <= HITS_PER_TASK else _block_join
-    hits = top_n(find(spread(searched), queries, k, schema), ["query_id"], [F.desc("score"), F.asc("product_id")], k)
+    found = _stream(spread(searched), queries, k, schema, chunk_bytes)
+    hits = top_n(found, ["query_id"], [F.desc("score"), F.asc("product_id")], k)
     if filter_source and filter_mode == "post":
         hits = hits.filter(F.col("source") == filter_source)
     if "filter_source" in queries.columns:

@@ -120,11 +120,11 @@ def evaluate(qrels: DataFrame, run: DataFrame, ks: list[int] | None = None, *,
         run = run.withColumn("strategy", F.lit("run"))
     values = per_query(qrels, run, ks, threshold=threshold, gain=gain)
     names = [(m, k) for m in ("mrr", "ndcg", "recall") for k in ks]
-    sums = values.groupBy("strategy").agg(
-        F.count(F.lit(1)).alias("answered"), *[F.sum(f"{m}_{k}").alias(f"{m}_{k}") for m, k in names]
+    # Every strategy of the run has a row, also one without a judged query.
+    present = values.unionByName(run.select("strategy").distinct(), allowMissingColumns=True)
+    sums = present.groupBy("strategy").agg(
+        F.count("query_id").alias("answered"), *[F.sum(f"{m}_{k}").alias(f"{m}_{k}") for m, k in names]
     )
-    sums = run.select("strategy").distinct().join(sums, "strategy", "left").withColumn(
-        "answered", F.coalesce("answered", F.lit(0)))
     total = qrels.agg(F.count_distinct("query_id")).scalar().alias("n_queries")
     rows = F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.col(f"{m}_{k}").alias("total")) for m, k in names

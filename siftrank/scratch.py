@@ -11,7 +11,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,25 @@ def remove_folders(spark: SparkSession, paths: list[str]) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def open_store(path: str):
+    """File system and plain path of a file in the shared store (local, HDFS, S3, GCS), for Python workers."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + unquote(path[len("file:"):]).lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path)
+
+
+def read_shared_parquet(path: str) -> pd.DataFrame:
+    """A written file of bounded size as a frame, read by a Python worker."""
+    import pyarrow.parquet as pq
+
+    store, plain = open_store(path)
+    return pq.read_table(plain, filesystem=store).to_pandas()
+
+
 def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession

@@ -116,10 +116,9 @@ def brute_knn(rows, query, k, sources=("A", "B")):
     return sorted(scored, key=lambda x: (-x[1], x[0]))[:k]
 
 
-@pytest.mark.parametrize("options, kept", [({}, 1 << 20), ({"query_bytes": 0}, 1 << 20), ({}, 500)])
+@pytest.mark.parametrize("options, kept", [({}, 32 << 20), ({"chunk_bytes": 500}, 32 << 20), ({"chunk_bytes": 500}, 500)])
 def test_knn_against_brute_force(spark, options, kept, monkeypatch):
-    monkeypatch.setattr(dense, "HITS_PER_TASK", kept)
-    monkeypatch.setattr(dense, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(dense, "BLOCK_BYTES", kept)
     monkeypatch.setattr(dense, "SCORE_CELLS", 500)
     frame, rows = vectors(spark, 400, 150)
     queries = frame.select(F.col("product_id").alias("query_id"), "embedding")

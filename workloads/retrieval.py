@@ -162,7 +162,7 @@ def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
     VECTORS, VECTOR_QUERIES, sql.knn(K, "vectors", "wanted"), HITS.format("dense")))
 def knn_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The join of blocks that serves query sets too large to send to every task."""
-    return hits(dense.knn(inputs.vectors(spark, sf), inputs.vector_queries(spark, sf), K, query_bytes=0))
+    return hits(dense.knn(inputs.vectors(spark, sf), inputs.vector_queries(spark, sf), K, chunk_bytes=4096))
 
 
 @query("knn_postfilter", sql.with_ctes(
