@@ -293,9 +293,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     own = docs.columns
     packed = docs.select(F.struct(*[named(docs, c) for c in own]).alias("_row"), named(docs, doc_id).cast("long").alias("doc_id"),
-                         whole_text(named(docs, text)).alias("text"), F.monotonically_increasing_id().alias("row"))
+                         F.monotonically_increasing_id().alias("row"))
     packed = materialize(packed, "near_rows")  # its row numbers hold from here on
-    found = near_duplicates(packed.select(F.col("row").alias("doc_id"), "text"))
+    found = near_duplicates(packed.select(F.col("row").alias("doc_id"), F.col("_row").getField(text).alias("text")))
     found = found.withColumnRenamed("doc_id", "row").join(packed.select("row", "doc_id"), "row")
     turn = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     best = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(turn).alias("best")).select("best.row")

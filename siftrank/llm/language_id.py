@@ -19,11 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftrank.llm.common import named, string_groups, whole_text, wider, without, worker_state
+from siftrank.llm.common import named, string_groups, whole_text, without, worker_state
 
 LANGUAGES = 64
 DOCS_PER_LANGUAGE = 300
@@ -280,29 +280,26 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text") -> Da
     language was learned; an empty table stays empty.
     """
     kept = without(docs, ["lang_pred", "score"])
-    source = kept.select("*", whole_text(named(docs, text)).alias("_read_text"))
     version = uuid.uuid4().hex  # of the network, for the workers' readers
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("lang_pred string, score double")
+    def read(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         readers = worker_state("language_readers")
         if network is not None and version not in readers:
             readers.clear()
             readers[version] = Reader(network)
-        for batch in batches:
+        for part in parts:
             names: list[str] = []
             scores: list[float] = []
-            for group in string_groups(batch.column(batch.num_columns - 1)):
-                if network is None:
-                    found = [UNKNOWN] * len(group), [0.0] * len(group)
-                else:
-                    found = readers[version].predict(group)
+            for group in string_groups(part.tolist()):
+                found = ([UNKNOWN] * len(group), [0.0] * len(group)) if network is None else readers[version].predict(group)
                 names += found[0]
                 scores += found[1]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return source.mapInArrow(read, wider(kept, lang_pred="string", score="double"))
+    # Only the text travels to the workers.
+    found = kept.select("*", read(whole_text(named(docs, text))).alias("_found"))
+    return found.select(*[named(kept, c) for c in kept.columns], "_found.lang_pred", "_found.score")
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -310,5 +307,5 @@ def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.columns
     network = fit(docs, doc_id, text, lang)
     packed = docs.select(F.struct(*[named(docs, c) for c in own]).alias("_row"), whole_text(named(docs, text)).alias("text"))
-    found = identify(packed, network, "text")
+    found = identify(packed, network, "text")  # the struct keeps the rows' own columns apart from the new ones
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("_row.*")
