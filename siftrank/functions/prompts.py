@@ -24,31 +24,36 @@ def permutation(answer: Column, n: Column) -> Column:
     ))
 
 
-def passages(texts: Column) -> Column:
-    """``[1] text`` lines for an ordered array of texts."""
+def shown(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; all of them for None."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def passages(texts: Column, chars: int | None = PASSAGE_CHARS) -> Column:
+    """``[1] text`` lines for an ordered array of texts, each cut to ``chars`` (None: whole)."""
     lines = F.transform(texts, lambda text, at: F.concat(
-        F.lit("["), (at + 1).cast("string"), F.lit("] "), F.substring(text, 1, PASSAGE_CHARS)
+        F.lit("["), (at + 1).cast("string"), F.lit("] "), shown(text, chars)
     ))
     return F.array_join(lines, "\n")
 
 
-def ranking_prompt(query: Column, texts: Column) -> Column:
+def ranking_prompt(query: Column, texts: Column, chars: int | None = PASSAGE_CHARS) -> Column:
     """Instruction that asks for the order of all passages."""
     n = F.size(texts).cast("string")
     return F.concat(
         F.lit("Rank the "), n, F.lit(" numbered products by how well they match the query: "), query,
-        F.lit("\n\n"), passages(texts), F.lit("\n\nAnswer with all "), n,
+        F.lit("\n\n"), passages(texts, chars), F.lit("\n\nAnswer with all "), n,
         F.lit(" identifiers, best first, in the form [2] > [1] > [3]."),
     )
 
 
-def hits_summary(hits: Column) -> Column:
-    """First hits of an ordered ``array<struct<score, product_class, text>>``, one line each."""
-    shown = F.slice(hits, 1, SUMMARY_HITS)
-    lines = F.transform(shown, lambda hit, at: F.concat(
+def hits_summary(hits: Column, n: int | None = SUMMARY_HITS, chars: int | None = SUMMARY_CHARS) -> Column:
+    """The first ``n`` hits (None: all) of an ordered ``array<struct<score, product_class, text>>``, one line each."""
+    first = hits if n is None else F.slice(hits, 1, n)
+    lines = F.transform(first, lambda hit, at: F.concat(
         (at + 1).cast("string"),
         F.lit(". score="), F.format_string("%.3f", hit["score"]),
         F.lit(" ["), F.coalesce(hit["product_class"], F.lit("Unknown")), F.lit("] "),
-        F.substring(F.coalesce(hit["text"], F.lit("")), 1, SUMMARY_CHARS),
+        shown(F.coalesce(hit["text"], F.lit("")), chars),
     ))
     return F.when(F.size(hits) > 0, F.array_join(lines, "\n")).otherwise(F.lit(NO_HITS))

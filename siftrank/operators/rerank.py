@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.functions.prompts import permutation, ranking_prompt
+from siftrank.fixed_values import PASSAGE_CHARS
+from siftrank.functions.prompts import permutation, ranking_prompt, shown
 from siftrank.operators.ranking import top_n
 from siftrank.scratch import fan_out
 
@@ -36,17 +37,18 @@ def pairwise(found: DataFrame, scorer: PairScorer, k: int) -> DataFrame:
     ).withColumn("score", F.round("score", 6)).drop("leg", "_rank")
 
 
-def listwise_prompts(found: DataFrame) -> DataFrame:
+def listwise_prompts(found: DataFrame, chars: int | None = PASSAGE_CHARS) -> DataFrame:
     """One row per query: its ordered candidates and the prompt that asks for their order.
 
-    A query has at most two pools of candidates, so its list is bounded.
+    A query has at most two pools of candidates, so its list is bounded; of each
+    text only the ``chars`` that the prompt shows are gathered (None: all).
     """
-    listed = found.groupBy("query_id").agg(
+    listed = found.withColumn("text", shown(F.col("text"), chars)).groupBy("query_id").agg(
         F.first("query").alias("query"),
         F.sort_array(F.collect_list(F.struct("leg", "rank", "product_id", "source", "score", "text"))).alias("hits"),
     )
     return listed.withColumn(
-        "prompt", ranking_prompt(F.col("query"), F.transform("hits", lambda hit: hit["text"]))
+        "prompt", ranking_prompt(F.col("query"), F.transform("hits", lambda hit: hit["text"]), None)
     )
 
 

@@ -103,17 +103,18 @@ def stand_in_parts(state: DataFrame) -> DataFrame:
     ).filter("query <> ''")
 
 
-def with_hits(state: DataFrame, hits: DataFrame, texts: DataFrame) -> DataFrame:
+def with_hits(state: DataFrame, hits: DataFrame, texts: DataFrame, n: int = fixed.SUMMARY_HITS,
+              chars: int | None = fixed.SUMMARY_CHARS) -> DataFrame:
     """Each query's shown hits as an array and as the summary a model reads.
 
     ``texts`` holds product_id with ``full_text`` (else ``text``) and may have
-    ``product_class``.  A hit without a text stays.  Only the shown hits are
-    gathered, so a query's array is bounded.
+    ``product_class``.  A hit without a text stays.  Only the ``n`` shown hits
+    are gathered, so a query's array is bounded.
     """
     body = F.col("full_text" if "full_text" in texts.columns else "text")
     product_class = F.col("product_class") if "product_class" in texts.columns else F.lit(None).cast("string")
     told = texts.select("product_id", product_class.alias("product_class"), body.alias("text"))
-    shown = hits.filter(F.col("rank") <= fixed.SUMMARY_HITS).join(told, "product_id", "left")
+    shown = hits.filter(F.col("rank") <= n).join(told, "product_id", "left")
     gathered = shown.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "score", "product_class", "text"))).alias("hits")
     )
@@ -123,7 +124,7 @@ def with_hits(state: DataFrame, hits: DataFrame, texts: DataFrame) -> DataFrame:
         F.lit("").alias("product_class"), F.lit("").alias("text"),
     )), lambda _: F.lit(False))
     filled = joined.withColumn("hits", F.coalesce("hits", none))
-    return filled.withColumn("hits_summary", hits_summary(F.col("hits")))
+    return filled.withColumn("hits_summary", hits_summary(F.col("hits"), n, chars))
 
 
 def agentic(search: Search, queries: DataFrame, k: int, pool: int = fixed.POOL_RERANK, *,

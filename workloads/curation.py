@@ -9,7 +9,7 @@ from siftrank.fixed_values import ESCI_GAINS
 from siftrank.functions import attributes as attr
 from siftrank.functions.text import clean
 from siftrank.operators import curation, lexical, merging, sampling, training
-from siftrank.scratch import scratch_path
+from siftrank.scratch import materialize, scratch_path
 from siftrank.sources import exchange, indexes, tables
 from workloads import inputs, sql
 from workloads.registry import query
@@ -397,7 +397,9 @@ pairs AS (
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     dataset = inputs.esci(spark, sf)
-    return training.training_candidates(all_qrels(spark, sf), dataset.queries("train"), dataset.products())
+    qrels = materialize(all_qrels(spark, sf), "qrels")
+    best = materialize(training.positive_products(qrels).select("product_id").distinct(), "positives")
+    return training.training_candidates(qrels, dataset.queries("train"), dataset.products(best))
 
 
 @query("training_pairs", sql.with_ctes(

@@ -375,17 +375,18 @@ def parse_permutation(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.table(spark, sf, "part").select("p_partkey", F.array_join(order, ",").alias("places"))
 
 
-@query("rerank_prompt", sql.with_ctes(*TEXT_LEGS, TEXTS, sql.candidates(5), """
+@query("rerank_prompt", sql.with_ctes(*TEXT_LEGS, TEXTS, sql.candidates(50), """
 listed AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY leg, rank) AS n, substr(text, 1, 300) AS passage
   FROM found JOIN texts USING (product_id))""", """
-SELECT query_id, string_agg('[' || n || '] ' || passage, chr(10) ORDER BY n) AS passages FROM listed GROUP BY query_id"""))
+SELECT query_id, 'Rank the ' || count(*) || ' numbered products by how well they match the query: ' || any_value(a.query)
+  || chr(10) || chr(10) || string_agg('[' || n || '] ' || passage, chr(10) ORDER BY n) || chr(10) || chr(10)
+  || 'Answer with all ' || count(*) || ' identifiers, best first, in the form [2] > [1] > [3].' AS prompt
+FROM listed JOIN asked a USING (query_id) GROUP BY query_id"""))
 def rerank_prompt(spark: SparkSession, sf: str) -> DataFrame:
     search, queries = text_search(spark, sf), inputs.text_queries(spark, sf)
-    found = search.found(queries, search.legs(queries, search.encoded(queries), 5), 5)
-    return rerank.listwise_prompts(found).select(
-        "query_id", prompts.passages(F.transform("hits", lambda hit: hit["text"])).alias("passages")
-    )
+    found = search.found(queries, search.legs(queries, search.encoded(queries), 50), 50)
+    return rerank.listwise_prompts(found).select("query_id", "prompt")
 
 
 @query("hits_summary", sql.with_ctes(

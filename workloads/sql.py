@@ -293,14 +293,14 @@ def rerank(k: int, name: str, texts: str, asked: str = "asked", found: str = "fo
 
 
 def listwise(k: int, name: str, texts: str, asked: str = "asked", found: str = "found") -> str:
-    """The stand-in ranker orders by overlap, so the permutation is that order; scores stay."""
+    """The stand-in ranker orders by the overlap with what the prompt shows; scores stay."""
     return f"""
 {name} AS (
   SELECT query_id, product_id, source, score, rank FROM (
     SELECT query_id, product_id, source, score,
            row_number() OVER (PARTITION BY query_id ORDER BY share DESC, leg, place) AS rank
     FROM (SELECT f.query_id, f.product_id, f.source, f.score, f.leg, f.rank AS place,
-                 {overlap('a.query', 't.text')} AS share
+                 {overlap('a.query', f'substr(t.text, 1, {fixed.PASSAGE_CHARS})')} AS share
           FROM {found} f JOIN {asked} a USING (query_id) JOIN {texts} t USING (product_id))) WHERE rank <= {k})
 """
 
