@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftrank import fixed_values as fixed
 from siftrank.functions.text import clean_query, term_counts, tokens
 from siftrank.operators.ranking import top_n
-from siftrank.scratch import broadcast_limit, fan_out, materialize, memory_bytes, spread
+from siftrank.scratch import broadcast_limit, fan_out, materialize, materialize_buckets, memory_bytes, spread
 
 
 ROWS_PER_PART = 2_000_000  # postings of one term in one task of the shuffle join
@@ -23,14 +23,17 @@ class LexicalIndex:
 
     ``ordinal`` numbers a product's terms in one field; the rows with 0 count
     the products, so field statistics need no second pass over the texts.
-    A built index also stores the frequencies and statistics; on disk its
-    postings lie in ``term_buckets`` folders by a hash of the term.
+    A built index also stores the frequencies and statistics.  Its postings lie
+    ``by_product`` in buckets that Spark knows, so a search sums each product's
+    parts where they are read; one on disk has them in ``term_buckets`` folders
+    by a hash of the term.
     """
 
     postings: DataFrame
     frequencies: DataFrame | None = None
     statistics: DataFrame | None = None
     term_buckets: int = 0
+    by_product: bool = False
 
     def field_stats(self) -> DataFrame:
         """Products with text and mean length, per field."""
@@ -83,10 +86,10 @@ def build_postings(documents: DataFrame, fields: list[str], id_column: str = "pr
 
 def build_index(documents: DataFrame, fields: list[str], id_column: str = "product_id") -> LexicalIndex:
     """Index written once to the shared folder: texts are split into words, and terms counted, one time only."""
-    plain = LexicalIndex(materialize(build_postings(spread(documents), fields, id_column), "postings"))
-    return LexicalIndex(
-        plain.postings, materialize(plain.term_df(), "frequencies"), materialize(plain.field_stats(), "statistics")
-    )
+    postings = materialize_buckets(build_postings(spread(documents), fields, id_column), "postings", "product_id", "term")
+    plain = LexicalIndex(postings)
+    return LexicalIndex(postings, materialize(plain.term_df(), "frequencies"),
+                        materialize(plain.field_stats(), "statistics"), by_product=True)
 
 
 def query_terms(queries: DataFrame, cleaned: bool = True, legacy: bool = False) -> DataFrame:
@@ -117,12 +120,13 @@ def _saturation(k1: float, b: float) -> Column:
 
 
 def match(postings: DataFrame, weights: DataFrame, rows_per_part: int = ROWS_PER_PART,
-          weights_per_part: int = WEIGHTS_PER_PART) -> DataFrame:
+          weights_per_part: int = WEIGHTS_PER_PART, by_product: bool = False) -> DataFrame:
     """Postings with the weights of the queries that ask for their term.
 
-    Weights within Spark's broadcast threshold are broadcast; the matching
-    postings are brought together per product first, so that the later sum
-    per query and product needs no shuffle of all scored pairs.  Larger
+    Weights within Spark's broadcast threshold are broadcast.  Postings that lie
+    ``by_product`` stay where they are; others are brought together per product
+    first, so that the later sum per query and product needs no shuffle of all
+    scored pairs.  Larger
     weights are joined by a shuffle in which a term's postings are spread over
     parts of ``rows_per_part`` and its weights over parts of
     ``weights_per_part``, and each part of one meets each part of the other in
@@ -130,8 +134,10 @@ def match(postings: DataFrame, weights: DataFrame, rows_per_part: int = ROWS_PER
     every query is one task's work.
     """
     if memory_bytes(weights) <= max(broadcast_limit(postings.sparkSession), 0):
-        vocabulary = weights.select("field", "term").distinct()
-        together = fan_out(postings.join(vocabulary, ["field", "term"], "left_semi"), "product_id")
+        together = postings
+        if not by_product:
+            vocabulary = weights.select("field", "term").distinct()
+            together = fan_out(postings.join(vocabulary, ["field", "term"], "left_semi"), "product_id")
         return together.join(F.broadcast(weights.drop("df")), ["field", "term"])
 
     terms = weights.groupBy("field", "term").agg(F.max("df").alias("df"), F.count(F.lit(1)).alias("asked"))
@@ -170,7 +176,7 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict[str, floa
     postings = index.postings_of(weights).filter(F.col("field").isin(list(boosts)))
     if filter_source:
         postings = postings.filter(F.col("source") == filter_source)
-    matched = match(postings, weights, rows_per_part)
+    matched = match(postings, weights, rows_per_part, by_product=index.by_product)
     if per_query:
         matched = matched.filter(F.col("filter_source").isNull() | (F.col("filter_source") == F.col("source")))
     part = F.col("weight") * _saturation(k1, b)

@@ -67,3 +67,13 @@ def test_stored_index_reads_the_folders_of_its_terms(spark, sf, tmp_path):
     text = plan(lexical.bm25(indexes.read_lexical(spark, path), queries, 5, {"text": 1.0}))
     folders = re.search(r"PartitionFilters: \[term_bucket#\d+ (IN|=) .*?\]", text).group(0)
     assert folders.count(",") <= 2
+
+
+def test_built_index_moves_hits_only(spark, sf):
+    """Between the scan of the postings and the cut to the best per query nothing is shuffled."""
+    index = lexical.build_index(inputs.documents(spark, sf), ["text"])
+    queries = spark.createDataFrame([("q", "the erhe")], "query_id string, query string")
+    text = plan(lexical.bm25(index, queries, 5, {"text": 1.0}))
+    moved = re.findall(r"hashpartitioning\((\w+)", text)
+    assert set(moved) == {"query_id"} and "Bucketed: true" in text
+    assert "WindowGroupLimit" in text
