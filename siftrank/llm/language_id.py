@@ -27,7 +27,7 @@ from siftrank.llm.common import named, string_groups, whole_text, without, worke
 
 LANGUAGES = 64
 DOCS_PER_LANGUAGE = 300
-DOC_BYTES = 1 << 16
+DOC_BYTES = 1 << 14
 WORDS = 40_000     # words of the sample that are read, in each pass
 PASSES = 2
 BATCH = 128
@@ -147,13 +147,16 @@ def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(texts: list[tuple[str, str]], words: int = WORDS, passes: int = PASSES, seed: int = 0) -> Network | None:
     """Network for (language, text) pairs; None without any.  Each language is drawn equally often."""
+    chance = np.random.default_rng(seed)
     by: dict[str, list[bytes]] = {}
-    for language, text in texts:
-        by.setdefault(language, []).extend(run for word in text.split() for run in runs_of(word.encode()))
-    languages = sorted(k for k, v in by.items() if v)
+    for language in sorted({language for language, _ in texts}):
+        own = [run for name, text in texts if name == language for word in text.split() for run in runs_of(word.encode())]
+        if own:  # at most ``words`` runs of a language are held
+            by[language] = own if len(own) <= words else [own[i] for i in chance.choice(len(own), words, replace=False).tolist()]
+    languages = list(by)
     if not languages:
         return None
-    network, chance = Network.new(languages, seed=seed), np.random.default_rng(seed)
+    network = Network.new(languages, seed=seed)
     first = {k: np.zeros_like(v) for k, v in network.weights.items()}
     second = {k: np.zeros_like(v) for k, v in network.weights.items()}
     step, total = 0, passes * (words // BATCH)
