@@ -93,12 +93,14 @@ def esci_prepare(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("wands_prepare", sql.with_ctes(
     sql.WANDS_RAW, sql.WANDS,
-    "SELECT id, query_id, query, query_class, product_id, label, product_name, category, average_rating FROM wands",
+    """SELECT id, query_id, query, query_class, product_id, label, product_name, product_class, category,
+  product_description, product_features, average_rating, review_count FROM wands""",
 ))
 def wands_prepare(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.wands_joined(spark, sf).select(
-        "id", "query_id", "query", "query_class", "product_id", "label", "product_name",
-        F.col("category hierarchy").alias("category"), "average_rating",
+        "id", "query_id", "query", "query_class", "product_id", "label", "product_name", "product_class",
+        F.col("category hierarchy").alias("category"), "product_description", "product_features", "average_rating",
+        "review_count",
     )
 
 
@@ -127,10 +129,19 @@ def query_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("product_store", sql.with_ctes(*sql.PRODUCTS, f"""
-SELECT {', '.join(PRODUCT_COLUMNS)}, color FROM esci_products
-UNION ALL SELECT {', '.join(PRODUCT_COLUMNS)}, color FROM wands_products"""))
+SELECT {', '.join(PRODUCT_COLUMNS)}, color, title AS raw_title, description AS raw_description, NULL AS region, NULL AS nation
+FROM esci_products
+UNION ALL SELECT {', '.join(PRODUCT_COLUMNS)}, color, title, description, split_part(category_path, ' / ', 1),
+  'last:' || product_class FROM wands_products"""))
 def product_store(spark: SparkSession, sf: str) -> DataFrame:
-    return flat(inputs.esci(spark, sf).products()).unionByName(flat(inputs.wands(spark, sf).products()))
+    """With entries of the raw columns and of the parsed features."""
+    rows = inputs.esci(spark, sf).products().unionByName(inputs.wands(spark, sf).products())
+    entry = lambda column, *names: F.coalesce(*[F.try_element_at(column, F.lit(n)) for n in names])
+    return rows.select(
+        *PRODUCT_COLUMNS, F.array_join("color", ",").alias("color"),
+        entry("metadata", "product_title", "product_name").alias("raw_title"),
+        entry("metadata", "product_description").alias("raw_description"),
+        entry("parsed_features", "region").alias("region"), entry("parsed_features", "nation").alias("nation"))
 
 
 @query("product_profile", sql.with_ctes(*sql.PRODUCTS, """
@@ -145,14 +156,15 @@ def product_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("index_documents", sql.with_ctes(*sql.PRODUCTS, """
-SELECT product_id, source, title, brand_text, bullets, description, encode_text, brand, color
-FROM esci_products UNION ALL
-SELECT product_id, source, title, brand_text, bullets, description, encode_text, brand, color FROM wands_products"""))
+SELECT product_id, source, title, brand_text, bullets, description, full_text, encode_text, brand, color, product_class,
+       average_rating, review_count FROM esci_products UNION ALL
+SELECT product_id, source, title, brand_text, bullets, description, full_text, encode_text, brand, color, product_class,
+       average_rating, review_count FROM wands_products"""))
 def index_documents(spark: SparkSession, sf: str) -> DataFrame:
     merged = merging.merge([inputs.esci(spark, sf), inputs.wands(spark, sf)])
     return curation.index_documents(merged.products).select(
-        "product_id", "source", "title", "brand_text", "bullets", "description", "encode_text", "brand",
-        F.array_join("color", ",").alias("color"),
+        "product_id", "source", "title", "brand_text", "bullets", "description", "full_text", "encode_text", "brand",
+        F.array_join("color", ",").alias("color"), "product_class", "average_rating", "review_count",
     )
 
 
@@ -263,11 +275,11 @@ def _noise_sql(kind: str) -> str:
   UNION SELECT product_id FROM {kind}_test WHERE query_id IN (FROM {kind}_test_ids)),
 {kind}_noise AS (
   SELECT product_id FROM {kind}_products WHERE product_id NOT IN (SELECT product_id FROM {kind}_judged)
-  ORDER BY md5('42|' || product_id), product_id LIMIT 25)"""
+  ORDER BY md5('42|' || product_id), product_id LIMIT 250)"""
 
 
-DEV = [*sql.PRODUCTS, *sql.MERGED_QRELS, _sample_sql("esci_train", 100), _sample_sql("esci_test", 40),
-       _sample_sql("wands_train", 100), _sample_sql("wands_test", 40), _noise_sql("esci"), _noise_sql("wands")]
+DEV = [*sql.PRODUCTS, *sql.MERGED_QRELS, _sample_sql("esci_train", 1000), _sample_sql("esci_test", 250),
+       _sample_sql("wands_train", 1000), _sample_sql("wands_test", 250), _noise_sql("esci"), _noise_sql("wands")]
 
 
 @query("dev_sample", sql.with_ctes(*DEV, """
@@ -278,7 +290,7 @@ UNION ALL SELECT 'train', query_id, product_id FROM (FROM esci_train UNION ALL F
 UNION ALL SELECT 'test', query_id, product_id FROM (FROM esci_test UNION ALL FROM wands_test)
   WHERE query_id IN (FROM esci_test_ids UNION ALL FROM wands_test_ids)"""))
 def dev_sample(spark: SparkSession, sf: str) -> DataFrame:
-    sample = sampling.dev_sample([inputs.esci(spark, sf), inputs.wands(spark, sf)], 100, 40, 25)
+    sample = sampling.dev_sample([inputs.esci(spark, sf), inputs.wands(spark, sf)], 1000, 250, 250)
     none = F.lit(None).cast("string").alias("other")
     return sample.products.select(F.lit("product").alias("kind"), F.col("product_id").alias("id"), none).unionAll(
         sample.train_qrels.select(F.lit("train"), "query_id", "product_id")

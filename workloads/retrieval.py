@@ -111,14 +111,14 @@ def bm25_single(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bm25_stored_index", sql.with_ctes(
     sql.DOCUMENTS, sql.TEXT_QUERIES, sql.bm25(TEXT_BOOST, K),
-    "SELECT query_id, CAST(product_id AS BIGINT) AS product_id, score FROM lexical"))
+    "SELECT query_id, CAST(product_id AS BIGINT) AS product_id, score, rank FROM lexical"))
 def bm25_stored_index(spark: SparkSession, sf: str) -> DataFrame:
     """Search in an index on disk, reading the folders of the queries' terms."""
     path = scratch_path(spark, "lexical-index")
     padded = inputs.documents(spark, sf).withColumn("product_id", F.lpad(F.col("product_id").cast("string"), 12, "0"))
     indexes.write_lexical(padded, ["text"], path, term_buckets=64, file_rows=500)
     found = lexical.bm25(indexes.read_lexical(spark, path), inputs.text_queries(spark, sf), K, TEXT_BOOST)
-    return found.select("query_id", F.col("product_id").cast("bigint").alias("product_id"), "score")
+    return found.select("query_id", F.col("product_id").cast("bigint").alias("product_id"), "score", "rank")
 
 
 @query("bm25_multifield", sql.with_ctes(
