@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -15,6 +16,10 @@ from pyspark.sql import types as T
 from siftrank.scratch import open_store, scratch_path
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "8m"
+
+
 def named(df: DataFrame, column: str) -> Column:
     """Column by its exact top-level name, also when it holds dots or backticks."""
     return F.col("`" + column.replace("`", "``") + "`")
@@ -76,16 +81,45 @@ def string_groups(texts: list[str | None] | pa.Array, limit: int = 1 << 20) -> I
         yield group
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Arrow batches of bounded bytes, however long the texts are; a session's own setting stays."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, None) is None:
+        conf.set(BATCH, BATCH_BYTES)
+
+
+def release() -> None:
+    """Give freed memory back to the system: idle workers share their machine with the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(function: Callable) -> Callable:
+    """A batch function that gives its memory back when its task ends."""
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def worker_state(name: str, make: Callable[[], object] = dict) -> object:
-    """An object of this Python worker that later tasks of the same worker find again.
+    """An object of this Python worker that later tasks of the same kind find again.
 
     The package's functions reach the workers by value, so their module
-    globals do not outlive a task.
+    globals do not outlive a task.  A worker keeps the object of one kind only.
     """
     home = sys.modules.setdefault("_siftrank_worker", types.ModuleType("_siftrank_worker"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    kept = vars(home).get("kept")
+    if kept is None or kept[0] != name:
+        home.kept = None
+        release()
+        home.kept = kept = (name, make())
+    return kept[1]
 
 
 def shared_folder(df: DataFrame, name: str) -> str:

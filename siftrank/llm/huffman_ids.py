@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftrank.llm.common import named, open_store, shared_folder, task_name, whole_text, write_shared
+from siftrank.llm.common import bound_batches, named, open_store, shared_folder, task_name, tidy, whole_text, write_shared
 from siftrank.llm.token_ids import encode_texts
 from siftrank.scratch import materialize
 
@@ -204,9 +204,10 @@ def tokenize(docs: DataFrame, path: str, cut: str = "words", end_id: int | None
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())],
                 names=["doc_id", "tie", "n_tokens", "ids"])
 
+    bound_batches(docs)
     rows = docs.select(named(docs, doc_id).cast("long").alias("doc_id"),
                        F.monotonically_increasing_id().alias("tie"), whole_text(named(docs, text)).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, tie long, n_tokens long, ids binary")
+    return rows.mapInArrow(tidy(encode), "doc_id long, tie long, n_tokens long, ids binary")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
@@ -223,7 +224,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())],
                                          names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(tidy(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in rows), default=-1) + 1, dtype=np.int64)
     for row in rows:
         counts[row["id"]] = row["n"]
@@ -282,7 +283,7 @@ def write_ids(tokens: DataFrame, folder: str, file_ids: int = FILE_IDS, max_bits
 
     ordered = tokens.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     manifest = ordered.select("doc_id", "ids").mapInArrow(
-        write, "file_no long, block_no long, path string, at long, size long, n_docs long, n_ids long")
+        tidy(write), "file_no long, block_no long, path string, at long, size long, n_docs long, n_ids long")
     return materialize(manifest, "id_manifest")
 
 
@@ -322,7 +323,7 @@ def read_ids(manifest: DataFrame, digest: bool = False) -> DataFrame:
     blocks = with_starts(manifest)
     tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, manifest.select("file_no").distinct().count())
     last = "ids_crc32 long" if digest else "ids binary"
-    return blocks.repartition(tasks, "path", "at").mapInArrow(read, f"doc_id long, start long, n_tokens long, {last}")
+    return blocks.repartition(tasks, "path", "at").mapInArrow(tidy(read), f"doc_id long, start long, n_tokens long, {last}")
 
 
 def coded_ids(docs: DataFrame, path: str, cut: str = "words", end_id: int | None = 1, doc_id: str = "doc_id",

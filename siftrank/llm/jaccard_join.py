@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftrank.llm.common import list_of, named, row_groups, text_bytes, whole_text, wider, worker_state
+from siftrank.llm.common import bound_batches, list_of, named, row_groups, text_bytes, tidy, whole_text, wider, worker_state
 from siftrank.llm.components import components
 from siftrank.llm.shingles import Shingler
 from siftrank.scratch import materialize
@@ -79,7 +79,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": [rows["part"].iloc[0] // MERGE], "slice": [rows["slice"].iloc[0]], "counts": [total.tobytes()]})
 
     schema = "part long, slice long, counts binary"
-    rows = texts.mapInArrow(count, schema)
+    rows = texts.mapInArrow(tidy(count), schema)
     parts = texts.rdd.getNumPartitions()
     while parts > 1:
         rows = rows.groupBy("slice", F.floor(F.col("part") / MERGE)).applyInPandas(add, schema)
@@ -128,7 +128,7 @@ def signatures(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                  list_of(flat.view(np.int64), np.array(ends), pa.int64())],
                 names=[*batch.schema.names[:-1], "n", "s1", "s2", "gid", "prefix"])
 
-    return rows.mapInArrow(sign, wider(rows.drop("text"), n="long", s1="long", s2="long", gid="long", prefix="array<bigint>"))
+    return rows.mapInArrow(tidy(sign), wider(rows.drop("text"), n="long", s1="long", s2="long", gid="long", prefix="array<bigint>"))
 
 
 def compatible(n: str, m: str, i: str, j: str) -> Column:
@@ -156,7 +156,7 @@ def distinct_texts(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(raw, pa.binary())],
                                              names=["t1", "t2", "packed"])
 
-    return texts.mapInArrow(squeeze, "t1 long, t2 long, packed binary")
+    return texts.mapInArrow(tidy(squeeze), "t1 long, t2 long, packed binary")
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.withColumnsRenamed({"t1": "a1", "t2": "a2", "packed": "left"}).dropDuplicates(["a1", "a2"])
     right = texts.withColumnsRenamed({"t1": "b1", "t2": "b2", "packed": "right"}).dropDuplicates(["b1", "b2"])
     whole = wanted.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a", "b", "left", "right")
-    return whole.mapInArrow(compare, "u long, v long")
+    return whole.mapInArrow(tidy(compare), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,6 +221,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     an equal one; it is its own component.  Repeated rows come back repeated.  A
     null doc_id is never a component id unless the component has no other.
     """
+    bound_batches(docs)
     body = whole_text(named(docs, text))
     rows = docs.select(named(docs, doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("t1"),
                        F.xxhash64(F.lit(1), body).alias("t2"), body.alias("text"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftrank.llm.common import named, string_groups, whole_text, without, worker_state
+from siftrank.llm.common import bound_batches, named, release, string_groups, whole_text, without, worker_state
 
 LANGUAGES = 64
 DOCS_PER_LANGUAGE = 300
@@ -282,6 +282,7 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text") -> Da
     ``und`` with score 0 for a null text, one without a letter, or where no
     language was learned; an empty table stays empty.
     """
+    bound_batches(docs)
     kept = without(docs, ["lang_pred", "score"])
     version = uuid.uuid4().hex  # of the network, for the workers' readers
 
@@ -299,6 +300,7 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text") -> Da
                 names += found[0]
                 scores += found[1]
             yield pd.DataFrame({"lang_pred": names, "score": scores})
+        release()
 
     # Only the text travels to the workers.
     found = kept.select("*", read(whole_text(named(docs, text))).alias("_found"))

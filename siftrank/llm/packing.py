@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftrank.llm.common import list_of, named, whole_text
+from siftrank.llm.common import bound_batches, list_of, named, tidy, whole_text
 from siftrank.llm.token_ids import encode_texts
 from siftrank.scratch import materialize
 
@@ -174,6 +174,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, cut: str = "bytes
     empty table gives no rows.
     """
     spark = docs.sparkSession
+    bound_batches(docs)
     measure, tail = _pieces(capacity, path, cut, end_id)
     rows = docs.select(
         named(docs, doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
@@ -181,7 +182,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, cut: str = "bytes
         F.xxhash64(F.lit(1), whole_text(named(docs, text))).alias("h2"), whole_text(named(docs, text)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     sized = materialize(rows.mapInArrow(
-        measure, f"doc_id {kind}, row long, h1 long, h2 long, doc_tokens long, checks array<bigint>"), "packing_sizes")
+        tidy(measure), f"doc_id {kind}, row long, h1 long, h2 long, doc_tokens long, checks array<bigint>"), "packing_sizes")
 
     pieces = sized.select("doc_id", "row", "h1", "h2", "doc_tokens", F.posexplode("checks").alias("no", "ids_crc32"))
     pieces = pieces.withColumn("start", F.col("no").cast("long") * capacity).withColumn(

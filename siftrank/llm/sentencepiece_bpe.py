@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftrank.llm.common import named, string_groups, whole_text, wider, without, worker_state
+from siftrank.llm.common import bound_batches, named, string_groups, tidy, whole_text, wider, without, worker_state
 
 MARK = "▁"
 CACHE_CHUNKS = 500_000  # distinct chunks a worker remembers; it then starts anew
@@ -259,6 +259,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", check: bool =
 
     Columns of these names in the input are replaced; rows are never merged.
     """
+    bound_batches(docs)
     kept = without(docs, ["piece_ids", "decoded"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +275,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", check: bool =
                 names=[*batch.schema.names[:-1], "piece_ids", "decoded"])
 
     source = kept.select("*", whole_text(named(docs, text)).alias("_piece_text"))
-    return source.mapInArrow(encode, wider(kept, piece_ids="array<int>", decoded="string"))
+    return source.mapInArrow(tidy(encode), wider(kept, piece_ids="array<int>", decoded="string"))
 
 
 def piece_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", check: bool = True) -> DataFrame:
@@ -292,6 +293,7 @@ def piece_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bound_batches(docs)
     rows = docs.select(named(docs, doc_id).alias("doc_id"), whole_text(named(docs, text)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(encode), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.llm.common import named, row_groups, text_bytes, whole_text, worker_state
+from siftrank.llm.common import bound_batches, named, release, row_groups, text_bytes, tidy, whole_text, worker_state
 from siftrank.llm.shingles import mix, powers
 from siftrank.llm.suffix_arrays import common_prefixes, suffix_array
 from siftrank.scratch import materialize
@@ -114,7 +114,7 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
                      pa.array(lo + first[text], pa.int64()), pa.array(hi + first[text], pa.int64())],
                     names=["cls", "seg", "t1", "t2", "lo", "hi"])
 
-    return texts.mapInArrow(find, "cls long, seg long, t1 long, t2 long, lo long, hi long")
+    return texts.mapInArrow(tidy(find), "cls long, seg long, t1 long, t2 long, lo long, hi long")
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def packed_texts(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(raw, pa.binary())],
                                              names=["t1", "t2", "packed"])
 
-    return texts.mapInArrow(squeeze, "t1 long, t2 long, packed binary").repartition("t1", "t2").dropDuplicates(["t1", "t2"])
+    return texts.mapInArrow(tidy(squeeze), "t1 long, t2 long, packed binary").repartition("t1", "t2").dropDuplicates(["t1", "t2"])
 
 
 def segment_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def segment_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     # A text's own segments come together: they are bounded by its length.
     lists = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("shard", "parts", "cls", "seg", "lo", "hi")).alias("rows"))
     joined = lists.join(texts, ["t1", "t2"]).select("rows", "packed")
-    return joined.mapInArrow(cut, "shard long, split boolean, cls long, seg long, body binary")
+    return joined.mapInArrow(tidy(cut), "shard long, split boolean, cls long, seg long, body binary")
 
 
 def shard_repeats(bodies: list[bytes], split: np.ndarray) -> tuple[list[list[int]], list[tuple[int, int]]]:
@@ -197,6 +197,7 @@ def in_shards(segments: DataFrame) -> DataFrame:
         digests = [hashlib.blake2b(bodies[i][at:at + LENGTH], digest_size=16).digest() for i, at in told]
         keys = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
         mine = [i for i, _ in told]
+        release()
         return pd.DataFrame({
             "cls": np.concatenate([cls[found], cls[mine]]).astype("int64"),
             "seg": np.concatenate([seg[found], seg[mine]]).astype("int64"),
@@ -294,6 +295,7 @@ def keyed(body: Column) -> list[Column]:
 
 def removed(docs: DataFrame, text: str, as_text: bool) -> DataFrame:
     """(t1, t2, n_bytes, n_removed, n_spans, rest) per different text; ``rest`` is a digest or, with ``as_text``, a string."""
+    bound_batches(docs)
     body = whole_text(named(docs, text))
     texts = docs.select(*keyed(body), body.alias("text"))
     spans, packed = repeat_spans(texts)
@@ -319,7 +321,7 @@ def removed(docs: DataFrame, text: str, as_text: bool) -> DataFrame:
                 names=["t1", "t2", "n_bytes", "n_removed", "n_spans", "rest"])
 
     joined = packed.join(spans, ["t1", "t2"], "left").select("t1", "t2", "packed", "spans")
-    return joined.mapInArrow(apply, "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, rest string")
+    return joined.mapInArrow(tidy(apply), "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, rest string")
 
 
 def repeat_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

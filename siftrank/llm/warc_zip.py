@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.llm.common import named, open_store, shared_folder, task_name, whole_text, write_shared
+from siftrank.llm.common import bound_batches, named, open_store, shared_folder, task_name, tidy, whole_text, write_shared
 from siftrank.scratch import materialize
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx.gz"
@@ -168,6 +168,7 @@ def with_revisits(pages: DataFrame, page_id: str, url: str, html: str, revisit_b
     page id is the response (of rows that are equal in that too, the first in
     the input); a null page id is the smallest.
     """
+    bound_batches(pages)
     body = whole_text(named(pages, html))
     address = named(pages, url) if url in pages.columns else F.lit("")
     rows = pages.select(
@@ -224,7 +225,7 @@ def write_packages(rows: DataFrame, folder: str, package_bytes: int = PACKAGE_BY
             [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()),
              pa.array([m[2] for m in made], pa.int64())], names=["path", "size", "records"])
 
-    return materialize(rows.mapInArrow(write, "path string, size long, records long"), "warc_manifest")
+    return materialize(rows.mapInArrow(tidy(write), "path string, size long, records long"), "warc_manifest")
 
 
 def record_ranges(packages: DataFrame, records: int = READ_RECORDS) -> DataFrame:
@@ -282,7 +283,7 @@ def read_records(ranges: DataFrame, payload: bool = True) -> DataFrame:
 
     tasks = ranges.sparkSession.sparkContext.defaultParallelism
     return ranges.repartition(tasks * 4).mapInArrow(
-        fetch, "page_id long, url string, record_type string, refers_to long, stated_bytes long, digest string, "
+        tidy(fetch), "page_id long, url string, record_type string, refers_to long, stated_bytes long, digest string, "
                "payload_bytes long, payload_digest string, payload binary")
 
 
