@@ -58,11 +58,17 @@ def in_ranges(records: DataFrame, splitters: np.ndarray) -> DataFrame:
     return ordered.mapInArrow(find, wider(ordered, range="long"))
 
 
-def draw(records: DataFrame, n: int) -> list:
-    """``n`` keys, each record drawn with a weight of its size; the same on every run."""
+def draw(records: DataFrame, n: int, total: int) -> list:
+    """About ``n`` keys, each record drawn with a weight of its size; the same on every run.
+
+    Each record waits for a time that is exponential at the rate of its size, and
+    the first ones are taken.  Of ``total`` bytes about ``3 * n`` come before the
+    limit, so a task sends its share only.
+    """
     chance = (F.xxhash64("k1", "k2", "k3", F.lit(7)).cast("double") / float(1 << 64)) + 0.5
     wait = -F.log(F.greatest(chance, F.lit(1e-18))) / F.col("size")
-    return records.orderBy(wait, "k1", "k2", "k3").select("k1", "k2", "k3").limit(n).collect()
+    early = records.withColumn("wait", wait).filter(F.col("wait") <= 3 * n / total)
+    return early.orderBy("wait", "k1", "k2", "k3").select("k1", "k2", "k3").limit(n).collect()
 
 
 def sampled_ranges(records: DataFrame, shards: int) -> tuple[np.ndarray, list]:
@@ -77,7 +83,7 @@ def sampled_ranges(records: DataFrame, shards: int) -> tuple[np.ndarray, list]:
         parts = np.array([tuple(r) for r in drawn], dtype=np.int64).reshape(-1, 3)
         return np.unique(keys_of(parts[:, 0], parts[:, 1], parts[:, 2]).view("S24")).view("V24")
 
-    drawn = keys(draw(records, wanted * KEYS_PER_RANGE))
+    drawn = keys(draw(records, wanted * KEYS_PER_RANGE, total))
     splitters = drawn[np.unique(np.arange(1, wanted) * len(drawn) // wanted)]
     for _ in range(ROUNDS):
         ranged = in_ranges(records, splitters)
@@ -85,9 +91,10 @@ def sampled_ranges(records: DataFrame, shards: int) -> tuple[np.ndarray, list]:
         over = [r["range"] for r in counted if r["bytes"] > most and r["rows"] > 1]
         if not over:
             break
+        held = sum(r["bytes"] for r in counted if r["range"] in set(over))
         needed = sum(math.ceil(r["bytes"] / most) for r in counted if r["range"] in set(over))
         inside = ranged.filter(F.col("range").isin(over))
-        more = keys(draw(inside, needed * KEYS_PER_RANGE))
+        more = keys(draw(inside, needed * KEYS_PER_RANGE, held))
         new = [splitters]
         at = place(splitters, more)
         for r in counted:
