@@ -122,6 +122,27 @@ def worker_state(name: str, make: Callable[[], object] = dict) -> object:
     return kept[1]
 
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """(t1, t2, packed) of (t1, t2, text): each text once per task, compressed for the shuffle."""
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer, seen = zstandard.ZstdCompressor(level=1), set()
+        for batch in batches:
+            new = []
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            data, offsets = text_bytes(batch.column(2))
+            raw = [packer.compress(data[offsets[i]:offsets[i + 1]].tobytes()) for i in new]
+            keep = pa.array(new, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(raw, pa.binary())],
+                                             names=["t1", "t2", "packed"])
+
+    return texts.mapInArrow(tidy(squeeze), "t1 long, t2 long, packed binary")
+
+
 def shared_folder(df: DataFrame, name: str) -> str:
     """A new folder for files below ``spark.checkpoint.dir``."""
     return scratch_path(df.sparkSession, name)

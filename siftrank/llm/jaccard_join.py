@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftrank.llm.common import bound_batches, list_of, named, row_groups, text_bytes, tidy, whole_text, wider, worker_state
+from siftrank.llm.common import bound_batches, list_of, named, packed_texts, row_groups, text_bytes, tidy, whole_text, wider, worker_state
 from siftrank.llm.components import components
 from siftrank.llm.shingles import Shingler
 from siftrank.scratch import materialize
@@ -138,27 +138,6 @@ def compatible(n: str, m: str, i: str, j: str) -> Column:
     return (4 * n >= 3 * m) & (i < n - F.floor((6 * n + 6) / 7) + 1) & (F.least(n - i, m - j) >= needed)
 
 
-def distinct_texts(texts: DataFrame) -> DataFrame:
-    """(t1, t2, packed): each text once per task, compressed for the shuffle."""
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        packer, seen = zstandard.ZstdCompressor(level=1), set()
-        for batch in batches:
-            new = []
-            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if key not in seen:
-                    seen.add(key)
-                    new.append(i)
-            data, offsets = text_bytes(batch.column(2))
-            raw = [packer.compress(data[offsets[i]:offsets[i + 1]].tobytes()) for i in new]
-            keep = pa.array(new, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(raw, pa.binary())],
-                                             names=["t1", "t2", "packed"])
-
-    return texts.mapInArrow(tidy(squeeze), "t1 long, t2 long, packed binary")
-
-
 def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a similarity of 3/4 or more."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +236,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.col("o.node").alias("x"), F.col("o.n").alias("nx"), F.col("o.pos").alias("px"),
         F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py")).filter(compatible("nx", "ny", "px", "py"))
     pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near_pairs")
-    texts = distinct_texts(rows.select("t1", "t2", "text"))
+    texts = packed_texts(rows.select("t1", "t2", "text"))
     links = materialize(verify(pairs, nodes, texts), "near_links")
     found = materialize(components(links), "near_components")
 

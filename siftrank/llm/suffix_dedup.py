@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.llm.common import bound_batches, named, release, row_groups, text_bytes, tidy, whole_text, worker_state
+from siftrank.llm.common import bound_batches, named, packed_texts, release, row_groups, text_bytes, tidy, whole_text, worker_state
 from siftrank.llm.shingles import mix, powers
 from siftrank.llm.suffix_arrays import common_prefixes, suffix_array
 from siftrank.scratch import materialize
@@ -117,27 +117,6 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(tidy(find), "cls long, seg long, t1 long, t2 long, lo long, hi long")
 
 
-def packed_texts(texts: DataFrame) -> DataFrame:
-    """(t1, t2, packed): each different text once, compressed before the shuffle."""
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        packer, seen = zstandard.ZstdCompressor(level=1), set()
-        for batch in batches:
-            new = []
-            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if key not in seen:
-                    seen.add(key)
-                    new.append(i)
-            data, offsets = text_bytes(batch.column(2))
-            raw = [packer.compress(data[offsets[i]:offsets[i + 1]].tobytes()) for i in new]
-            keep = pa.array(new, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(raw, pa.binary())],
-                                             names=["t1", "t2", "packed"])
-
-    return texts.mapInArrow(tidy(squeeze), "t1 long, t2 long, packed binary").repartition("t1", "t2").dropDuplicates(["t1", "t2"])
-
-
 def segment_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """(shard, split, cls, seg, body) for (cls, seg, t1, t2, lo, hi, part, parts, shard)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +220,7 @@ def repeat_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = different.groupBy("cls").agg(F.ceil(F.count(F.lit(1)) / PART_SEGMENTS).alias("parts"))
     wanted = different.join(sizes, "cls").withColumn("part", F.pmod(F.xxhash64("seg"), F.col("parts")))
     wanted = wanted.withColumn("shard", F.pmod(F.xxhash64("cls", "part"), F.lit(shards)))
-    packed = packed_texts(texts)
+    packed = packed_texts(texts).repartition("t1", "t2").dropDuplicates(["t1", "t2"])
     marks = materialize(in_shards(segment_bytes(wanted, packed)), "suffix_marks")
     told = marks.filter("k1 is not null")
     merged = across_shards(told, max(1, -(-told.count() // MERGE_ROWS)))
