@@ -7,7 +7,7 @@ prefix and size are one group and are listed once under each prefix shingle.
 Group pairs that meet under a shingle and pass the size and position filters
 are expanded to members, whose whole sets are compared.
 
-Links are wanted, not all pairs: first only neighbours in each list are
+Links are wanted, not all pairs: first only some neighbours in each list are
 compared (and each list's first of its size class with all others), which
 joins most of what belongs together; then every remaining pair that meets in a
 list and is in two different components is compared.  A pair inside a component
@@ -32,6 +32,7 @@ from siftrank.scratch import materialize
 
 BUCKET_BITS = 20       # shingles are counted in 2**20 buckets, whatever the input
 GROUP_BYTES = 1 << 19  # texts that are shingled together
+NEIGHBOURS = (1, 2, 4, 8, 16, 32, 64)  # places before a document in a list that it is compared with first
 MERGE = 64             # partial counts added up by one task
 
 
@@ -230,8 +231,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     line = Window.partitionBy("token").orderBy("n", "node")
     head = Window.partitionBy("token", "class").orderBy("n", "node")
     member = F.struct("node", "n", "pos")
-    neighbours = first.withColumn("class", size_class).withColumn("before", F.lag(member).over(line)).withColumn(
-        "head", F.first(member).over(head)).select("node", "n", "pos", F.explode(F.array("before", "head")).alias("o"))
+    near = {f"before{d}": F.lag(member, d).over(line) for d in NEIGHBOURS}
+    neighbours = first.withColumn("class", size_class).withColumns(near | {"head": F.first(member).over(head)}).select(
+        "node", "n", "pos", F.explode(F.array_compact(F.array("head", *near))).alias("o"))
     pairs = neighbours.filter("o is not null and o.node != node").select(
         F.col("o.node").alias("x"), F.col("o.n").alias("nx"), F.col("o.pos").alias("px"),
         F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py")).filter(compatible("nx", "ny", "px", "py"))
