@@ -160,10 +160,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 def read_bytes(df: DataFrame) -> int:
     """Bytes of all files and tables the plan starts from; an optimizer's guess for a join can be any number."""
+    conf = df.sparkSession.conf
+    unknown = int(conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1)))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
     total = 0
     while leaves.hasNext():
-        total += int(str(leaves.next().stats().sizeInBytes()))
+        size = int(str(leaves.next().stats().sizeInBytes()))
+        # Rows that come from a program have no size; they count as one ordinary shuffle.
+        total += size if size < unknown else PART_BYTES * int(conf.get("spark.sql.shuffle.partitions"))
     return total
 
 
