@@ -19,9 +19,11 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         key *= np.uint64(257)
         key += padded[k:k + n]  # a suffix that ends sorts first
     order = sorted_by(key, 41, n).astype(place)
+    del padded
     key = key[order]
     head = np.concatenate([[True], key[1:] != key[:-1]])
-    first = np.flatnonzero(head)
+    del key
+    first = np.flatnonzero(head).astype(place)
     rank = np.empty(n + 1, dtype=place)  # a group's rank is the place of its last member, plus one
     ends = np.concatenate([first[1:], [n]])
     rank[order] = np.repeat(ends, ends - first)
@@ -31,7 +33,10 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     while len(open_at):
         own = order[open_at]
         group, follow = rank[own], rank[np.minimum(own + depth, n)]
-        key = group.astype(np.uint64) << np.uint64(bits) | follow.astype(np.uint64)
+        key = group.astype(np.uint64)
+        key <<= np.uint64(bits)
+        key |= follow.astype(np.uint64)
+        del group, follow
         turn = sorted_by(key, 2 * bits, len(own))
         order[open_at] = own = own[turn]
         key = key[turn]

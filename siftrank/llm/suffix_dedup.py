@@ -32,9 +32,9 @@ from siftrank.scratch import materialize
 
 LENGTH = 200           # bytes of a repeat
 ANCHOR = 64            # bytes whose hash picks a window's anchor
-GROUP_BYTES = 1 << 19  # text that is hashed at a time; longer texts go in pieces that overlap
+GROUP_BYTES = 1 << 18  # text that is hashed at a time; longer texts go in pieces that overlap
 PLACE_BITS = 22
-SHARD_BYTES = 1 << 19  # segments a shard holds on average
+SHARD_BYTES = 1 << 18  # segments a shard holds on average
 PART_SEGMENTS = 1 << 12  # different segments of one anchor string in one shard, about a megabyte
 MERGE_ROWS = 1 << 18   # window keys a merge task holds on average
 
