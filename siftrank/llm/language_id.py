@@ -3,8 +3,8 @@
 The network reads the bytes of one word and the space behind it, forwards and
 backwards; its state starts anew at each word.  Every position gets
 probabilities of all languages, and a document's are the mean over all its
-positions.  As a word's probabilities depend on its bytes alone, each distinct
-word is computed once per worker.
+positions.  As a word's probabilities depend on its bytes alone, a task computes
+each distinct word once.
 
 The network is trained on the driver in numpy by backpropagation through time,
 on words of a bounded sample of labelled documents (``DOCS_PER_LANGUAGE`` of at
@@ -300,6 +300,7 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text") -> Da
                 names += found[0]
                 scores += found[1]
             yield pd.DataFrame({"lang_pred": names, "score": scores})
+        readers.clear()  # a task meets as many words as are kept, so the next one has little use for them
         release()
 
     # Only the text travels to the workers.
