@@ -7,15 +7,17 @@ that fills a window closest to its capacity; it is traced back to counts and
 used as often as the counts allow, so each step uses up a length.  The work on
 the driver depends on the capacity only, never on the number of documents.
 
-A window that no multiset fills is filled by cutting one piece, and what
-remains at the very end is cut into sequences whose lengths are powers of two,
-which need no padding.  There are at most a few such cuts per length.
+A window that no multiset fills is filled by cutting one piece, in
+a step for many windows at once (``broken_fill``); the rests of the cut pieces
+are one more length.  What remains at the very end is cut into sequences whose
+lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +32,9 @@ from siftrank.llm.token_ids import encode_texts
 from siftrank.scratch import materialize
 
 CAPACITY = 2048
+ROWS = 1 << 16            # rows the plan is applied to at a time
+SPAN = 1 << 46           # more than the pieces of a length
+FEW_PARTS = 100_000       # so many parts of cut pieces are joined by broadcast
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -58,17 +63,36 @@ def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     return use
 
 
+def broken_fill(counts: dict[int, int], capacity: int) -> tuple[dict[int, int], int]:
+    """A fill short of the capacity and a length longer than what it lacks, for many windows at once.
+
+    A length gives a window only what it can give to as many windows as the
+    longest one fills alone; so each step uses up a share of the longest
+    length, which depends on the capacity only.
+    """
+    longest = max(counts)
+    windows = max(1, counts[longest] // (capacity // longest + 1))
+    while True:
+        given = {k: n // windows for k, n in counts.items() if n >= windows}
+        use = best_fill(given, capacity)
+        # A length of which some is left is longer than the slack, else it were in the fill.
+        left = [k for k, n in given.items() if n > use.get(k, 0)]
+        if left:
+            return use, max(left, key=lambda k: (counts[k] // (use.get(k, 0) + 1), -k))
+        windows //= 2
+
+
 @dataclass
 class Plan:
-    """Where the k-th piece of each length goes.
+    """Where the k-th piece of each length goes, by arithmetic runs.
 
-    ``runs``: (length, first, last, per_sequence, sequence, offset): pieces
-    first..last-1 of a length fill consecutive sequences, ``per_sequence`` in
-    each, from ``offset`` on.  ``cuts``: (length, k) to the parts (start, length,
-    sequence, offset) of a piece that was cut.
+    ``runs``: (length, first, last, start, size, per_sequence, phase, sequence,
+    offset): of pieces first..last-1 of a length, the ids from ``start`` on,
+    ``size`` of them, fill consecutive sequences, ``per_sequence`` in each, from
+    ``offset`` on; ``phase`` of them are in ``sequence`` before.  A piece that is
+    cut is in one run for each of its parts.
     """
-    runs: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)
-    cuts: dict[tuple[int, int], list[tuple[int, int, int, int]]] = field(default_factory=dict)
+    runs: list[tuple[int, int, int, int, int, int, int, int, int]] = field(default_factory=list)
     sequences: int = 0
 
 
@@ -76,76 +100,76 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Pack pieces of the counted lengths (1 to capacity)."""
     plan = Plan()
     counts = {int(k): int(n) for k, n in histogram.items() if k < capacity and n}
-    used = dict.fromkeys(counts, 0)
     whole = histogram.get(capacity, 0)
     if whole:
-        plan.runs.append((capacity, 0, whole, 1, 0, 0))
+        plan.runs.append((capacity, 0, whole, 0, capacity, 1, 0, 0, 0))
         plan.sequences = whole
-    real = dict(counts)
-    origin: dict[tuple[int, int], tuple[int, int, int]] = {}  # rest of a cut piece: (length, k) of the piece, start
-
-    def next_piece(length: int) -> tuple[int, int, int, bool]:
-        """(length, k) of the given piece that this one belongs to, its start there, and if it was cut before."""
-        k = used[length]
-        used[length] += 1
-        counts[length] -= 1
+    # What is left of each length: (length, first, last, start) of whole pieces, and of the rests of cut ones.
+    stock = {k: deque([(k, 0, n, 0)]) for k, n in counts.items()}
+
+    def take(length: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """The next ``n`` pieces of a length."""
+        counts[length] -= n
         if not counts[length]:
             del counts[length]
-        if k < real.get(length, 0):
-            return length, k, 0, False
-        return *origin[length, k], True
-
-    def place(length: int, sequence: int, offset: int, times: int, per: int) -> None:
-        """``times`` windows from ``sequence`` on, each with ``per`` pieces of the length at ``offset``."""
-        first, n = used[length], times * per
-        plain = max(0, min(n, real.get(length, 0) - first))
-        if plain:
-            plan.runs.append((length, first, first + plain, per, sequence, offset))
-            used[length] += plain
-            counts[length] -= plain
-            if not counts[length]:
-                del counts[length]
-        for i in range(plain, n):
-            of, k, start, _ = next_piece(length)
-            plan.cuts.setdefault((of, k), []).append((start, length, sequence + i // per, offset + i % per * length))
-
-    def cut(length: int, part: int, sequence: int, offset: int) -> None:
-        """Put the first ``part`` ids of a piece here and the rest back among the pieces."""
-        of, k, start, _ = next_piece(length)
-        plan.cuts.setdefault((of, k), []).append((start, part, sequence, offset))
-        rest = length - part
-        if rest:
-            index = used.setdefault(rest, 0) + counts.get(rest, 0)
-            counts[rest] = counts.get(rest, 0) + 1
-            origin[rest, index] = (of, k, start + part)
-
-    while counts:
-        if sum(k * n for k, n in counts.items()) < capacity:
-            break
-        use = best_fill(counts, capacity)
-        total = sum(k * n for k, n in use.items())
-        times = min(counts[k] // n for k, n in use.items()) if total == capacity else 1
+        while n:
+            of, first, last, start = stock[length].popleft()
+            end = min(last, first + n)
+            if end < last:
+                stock[length].appendleft((of, end, last, start))
+            n -= end - first
+            yield of, first, end, start
+
+    def place(length: int, times: int, per: int, offset: int, size: int) -> None:
+        """The first ``size`` ids of ``per`` pieces in each of the next ``times`` windows; the rests go back."""
+        rest, done = length - size, 0
+        for of, first, last, start in list(take(length, times * per)):
+            plan.runs.append((of, first, last, start, size, per, done % per, plan.sequences + done // per, offset))
+            done += last - first
+            if rest:
+                counts[rest] = counts.get(rest, 0) + last - first
+                stock.setdefault(rest, deque()).append((of, first, last, start + size))
+
+    left = sum(k * n for k, n in counts.items())
+    while left >= capacity:
+        use = need = best_fill(counts, capacity)
+        slack = capacity - sum(k * n for k, n in use.items())
+        if slack:
+            use, broken = broken_fill(counts, capacity)
+            slack = capacity - sum(k * n for k, n in use.items())
+            need = {**use, broken: use.get(broken, 0) + 1}
+        times = min(counts[k] // n for k, n in need.items())
         at = 0
         for length, per in sorted(use.items(), reverse=True):
-            place(length, plan.sequences, at, times, per)
+            place(length, times, per, at, length)
             at += length * per
-        if at < capacity:  # some piece longer than the slack is left, else it were in the window
-            cut(min(k for k in counts if k > capacity - at), capacity - at, plan.sequences, at)
+        if slack:
+            place(broken, times, 1, at, slack)
         plan.sequences += times
-    rest = sum(k * n for k, n in counts.items())
-    while rest:
-        size = 1 << (rest.bit_length() - 1)
+        left -= times * capacity
+    while left:
+        size = 1 << (left.bit_length() - 1)
         at = 0
         while at < size:
             length = max(counts)
             part = min(length, size - at)
-            cut(length, part, plan.sequences, at)
+            place(length, 1, 1, at, part)
             at += part
         plan.sequences += 1
-        rest -= size
+        left -= size
     return plan
 
 
+def row_ranges(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Slices of about ``limit`` rows over entries of the given sizes; a larger entry is a slice of its own."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        before = ends[first] - sizes[first]
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield slice(first, last)
+        first = last
+
+
 def _pieces(capacity: int, path: str, cut: str, end_id: int | None):
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
@@ -199,54 +223,59 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, cut: str = "bytes
 
     numbered = inside.join(sizes.select("part", "length", "before"), ["part", "length"]).withColumn(
         "k", F.col("k") + F.col("before"))
-    names = ["length", "first", "last", "per", "sequence", "at"]
-    runs = pd.DataFrame(plan.runs, columns=names).sort_values(["length", "first"]).astype("int64").to_numpy()
-    runs_by_length = {int(k): runs[runs[:, 0] == k] for k in np.unique(runs[:, 0])}
-    cuts = plan.cuts
+    runs = np.array(plan.runs, dtype=np.int64).reshape(-1, 9)
+    firsts, lasts = runs[:, 0] * SPAN + runs[:, 1], runs[:, 0] * SPAN + runs[:, 2]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sequence = np.full(len(batch), -1, dtype=np.int64)
-            offset = np.zeros(len(batch), dtype=np.int64)
-            length, k = batch["length"].to_numpy(), batch["k"].to_numpy()
-            for size in np.unique(length):
-                own = runs_by_length.get(int(size))
-                if own is None:
-                    continue
-                at = np.flatnonzero(length == size)
-                run = np.maximum(np.searchsorted(own[:, 1], k[at], side="right") - 1, 0)
-                good = (k[at] >= own[run, 1]) & (k[at] < own[run, 2])
-                at, run = at[good], run[good]
-                step = k[at] - own[run, 1]
-                sequence[at] = own[run, 4] + step // own[run, 3]
-                offset[at] = own[run, 5] + step % own[run, 3] * size
-            yield batch[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "h1", "h2", "k"]].assign(
-                sequence_id=sequence, offset=offset)
-
-    columns = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+            key = batch["length"].to_numpy() * SPAN + batch["k"].to_numpy()
+            order = np.argsort(key)
+            since = np.searchsorted(key, firsts, sorter=order)
+            times = np.searchsorted(key, lasts, sorter=order) - since
+            met = np.flatnonzero(times)
+            for some in row_ranges(times[met], ROWS):
+                own, n = met[some], times[met[some]]
+                part = runs[np.repeat(own, n)]
+                at = order[np.repeat(since[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                step = part[:, 6] + key[at] - part[:, 0] * SPAN - part[:, 1]
+                found = batch[["doc_id", "ids_crc32", "doc_tokens", "h1", "h2", "start"]].iloc[at]
+                yield found.assign(
+                    start=found["start"] + part[:, 3], length=part[:, 4], broken=part[:, 4] < part[:, 0],
+                    sequence_id=part[:, 7] + step // part[:, 5], offset=part[:, 8] + step % part[:, 5] * part[:, 4])
+
     placed = materialize(numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "h1", "h2", "k").mapInPandas(
-        place, f"{columns}, h1 long, h2 long, k long, sequence_id long, offset long"), "packing_placed")
+        place, f"doc_id {kind}, ids_crc32 long, doc_tokens long, h1 long, h2 long, start long, length long, broken boolean, "
+               "sequence_id long, offset long"), "packing_placed")
     last = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    whole = placed.filter("sequence_id >= 0").select(*last)
-    if not cuts:
+    whole = placed.filter("not broken").select(*last)
+    parts = int((runs[:, 2] - runs[:, 1])[runs[:, 4] < runs[:, 0]].sum())
+    if not parts:
         return whole
 
-    # The ids of the few cut pieces are made again for the checksums of their parts.
-    parts = spark.createDataFrame(
-        [(of, k, *part) for (of, k), own in cuts.items() for part in own],
-        "length long, k long, part_start long, part_length long, part_sequence long, part_offset long")
-    broken = placed.filter("sequence_id < 0").join(F.broadcast(parts), ["length", "k"])  # one row per cut
-    texts = rows.select("h1", "h2", "text").join(
-        F.broadcast(broken.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    # The ids of cut pieces are made again for the checksums of their parts, once for all copies of a text.
+    broken = placed.filter("broken").drop("ids_crc32")
+    wanted = broken.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "length")).alias("parts"))
+    texts = rows.select("h1", "h2", "text")
+    if parts <= FEW_PARTS:
+        wanted = F.broadcast(wanted)
+        texts = texts.join(F.broadcast(broken.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi")
+    texts = texts.dropDuplicates(["h1", "h2"])
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for raw, start, size in zip(encode_texts(path, cut, batch["text"].tolist()), batch["start"], batch["length"]):
-                found.append(zlib.crc32((raw + tail)[4 * start:4 * (start + size)]))
-            yield batch.drop(columns="text").assign(ids_crc32=np.array(found, dtype=np.int64))[last]
-
-    again = broken.join(texts, ["h1", "h2"]).select(
-        "doc_id", (F.col("start") + F.col("part_start")).alias("start"), F.col("part_length").alias("length"),
-        "doc_tokens", F.col("part_sequence").alias("sequence_id"), F.col("part_offset").alias("offset"), "text")
-    return whole.unionByName(again.mapInPandas(check, f"{columns}, sequence_id long, offset long"))
+            h1, h2, parts, found = batch.column(0), batch.column(1), batch.column(2), []
+            for i, raw in enumerate(encode_texts(path, cut, batch.column(3))):
+                raw += tail
+                found += [(i, p["start"], p["length"], zlib.crc32(raw[4 * p["start"]:4 * (p["start"] + p["length"])]))
+                          for p in parts[i].as_py()]
+            line, start, size, check = np.array(found, dtype=np.int64).reshape(-1, 4).T
+            line = pa.array(line)
+            yield pa.RecordBatch.from_arrays(
+                [h1.take(line), h2.take(line), pa.array(start), pa.array(size), pa.array(check)],
+                names=["h1", "h2", "start", "length", "ids_crc32"])
+
+    checks = wanted.join(texts, ["h1", "h2"]).select("h1", "h2", "parts", "text").mapInArrow(
+        tidy(check), "h1 long, h2 long, start long, length long, ids_crc32 long")
+    if parts <= FEW_PARTS:
+        checks = F.broadcast(checks)
+    return whole.unionByName(broken.join(checks, ["h1", "h2", "start", "length"]).select(*last))

@@ -90,6 +90,40 @@ def test_best_fill_is_the_best_subset():
         assert sum(k * n for k, n in use.items()) == max(sums)
 
 
+@pytest.mark.parametrize("histogram", [
+    {1500: 1000}, {1500: 1, 2047: 2, 700: 3000}, {2048: 5, 1500: 3000, **{k: k % 5 + 1 for k in range(1, 2048, 9)}},
+    {k: k % 7 + 1 for k in range(1100, 2001, 5)}, {5: 3}, {}])
+def test_plans_grow_with_the_lengths_only(histogram):
+    sizes = []
+    for scale in (1, 100):
+        counted = {k: n * scale for k, n in histogram.items()}
+        plan = packing.plan_packing(counted)
+        sizes.append(len(plan.runs))
+        if scale > 1:
+            continue
+        pieces, windows = {}, {}
+        for of, first, last, start, size, per, phase, sequence, offset in plan.runs:
+            for i, k in enumerate(range(first, last), phase):
+                pieces.setdefault((of, k), []).append((start, size))
+                windows.setdefault(sequence + i // per, []).append((offset + i % per * size, size))
+        assert sorted(pieces) == [(of, k) for of in sorted(counted) for k in range(counted[of])]
+        for spans, ends in [(v, {of}) for (of, _), v in pieces.items()] + [
+                (v, {2048, *(1 << i for i in range(11))}) for v in windows.values()]:
+            spans = sorted(spans)
+            assert [a + n for a, n in spans[:-1]] == [a for a, _ in spans[1:]] and spans[0][0] == 0
+            assert sum(n for _, n in spans) in ends
+        assert sorted(windows) == list(range(plan.sequences))
+    assert sizes[1] <= 3 * sizes[0] + 2048  # the last window's pieces are placed one by one
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_packing_many_equal_lengths(spark, monkeypatch, few):
+    monkeypatch.setattr(packing, "FEW_PARTS", few)
+    texts = [(i, "the cat " * (22 if i % 3 else 21 + i % 2)) for i in range(600)] + [(600, "one " * 200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert check_packing(packing.pack(docs, BYTES, capacity=64).collect(), texts, 64) == 0
+
+
 def test_pieces(spark, sf, rows):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for docs in (documents(spark, sf), rows):
