@@ -35,7 +35,8 @@ RATE = 0.02
 HIDDEN = 16
 RUN_BYTES = 48      # a longer word is read in runs of so many bytes
 CACHE_WORDS = 400_000
-MIN_SCORE = 0.3     # documents below are not kept by ``kept_documents``
+KEPT_SHARE = 0.99   # of the rightly predicted documents, ``kept_documents`` keeps so many in each language
+SPARE_SHARE = 0.2   # of a language's labelled documents are not trained on there, at least
 UNKNOWN = "und"
 
 
@@ -260,20 +261,58 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options: int) -> Network | None:
-    """Train on the bounded sample of documents that are not held out and have a language."""
+def drawn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+          spare: bool = False) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(language, text) of the bounded training sample, and of as many other documents if ``spare`` ones are asked for.
+
+    Neither has documents that are held out or have no language.
+    """
     rows = docs.select(named(docs, doc_id).alias("id"), named(docs, lang).cast("string").alias("lang"),
                        named(docs, text).cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     rows = rows.filter(F.octet_length("text") <= DOC_BYTES)
     most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     line = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(line)).filter(F.col("n") <= DOCS_PER_LANGUAGE)
-    chosen = chosen.join(F.broadcast(most.select("lang")), "lang", "left_semi").select("id", "lang")
-    # At most LANGUAGES * DOCS_PER_LANGUAGE keys and texts.
-    sample = rows.join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi").select("lang", "text", "id")
-    sample = sample.limit(LANGUAGES * DOCS_PER_LANGUAGE).collect()
-    return train([(r.lang, r.text) for r in sorted(sample, key=lambda r: (r.lang, r.id, r.text))], **options)
+    limit = DOCS_PER_LANGUAGE * (2 if spare else 1)
+    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(line)).filter(F.col("n") <= limit)
+    chosen = chosen.join(F.broadcast(most), "lang").groupBy("id", "lang").agg(F.min("n").alias("n"), F.min("count").alias("count"))
+    trained = F.lit(DOCS_PER_LANGUAGE)
+    if spare:
+        trained = F.least(trained, F.ceil(F.col("count") * (1 - SPARE_SHARE)))
+    # At most ``limit`` keys and texts of each of LANGUAGES.
+    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text", "id", (F.col("n") <= trained).alias("trained"))
+    sample = sorted(sample.limit(LANGUAGES * limit).collect(), key=lambda r: (r.lang, r.id, r.text))
+    return [(r.lang, r.text) for r in sample if r.trained], [(r.lang, r.text) for r in sample if not r.trained]
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options: int) -> Network | None:
+    """Train on the bounded sample of documents that are not held out and have a language."""
+    return train(drawn(docs, doc_id, text, lang)[0], **options)
+
+
+def lowest_scores(network: Network | None, texts: list[tuple[str, str]]) -> dict[str, float]:
+    """Score of each language that ``KEPT_SHARE`` of its rightly predicted texts reach.
+
+    A language with too few of them to tell has the score that as many of all
+    languages' reach.  If these are too few as well, it is the lowest score less
+    its distance from the median; 0 if there are none at all.
+    """
+    if network is None:
+        return {}
+    reader, right = Reader(network), {}
+    for at in range(0, len(texts), 64):
+        some = texts[at:at + 64]
+        for (language, _), name, score in zip(some, *reader.predict([text for _, text in some])):
+            if name == language:
+                right.setdefault(language, []).append(score)
+    everything = [score for own in right.values() for score in own] or [0.0]
+    found = {}
+    for language in network.languages:
+        own = right.get(language, [])
+        own = sorted(own if len(own) * (1 - KEPT_SHARE) >= 1 else everything)
+        lost = int((1 - KEPT_SHARE) * len(own))
+        found[language] = own[lost] if lost else max(0.0, 2 * own[0] - own[len(own) // 2])
+    return found
 
 
 def identify(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
@@ -309,9 +348,19 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text") -> Da
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Documents whose language is known with at least ``MIN_SCORE``."""
+    """Documents whose language is known with a score that clear documents of the language have.
+
+    The lowest score is that of ``lowest_scores`` on labelled documents that
+    this network was not trained on.  With one language learned all scores are
+    1, and only texts without a letter are dropped.
+    """
     own = docs.columns
-    network = fit(docs, doc_id, text, lang)
+    trained, spare = drawn(docs, doc_id, text, lang, spare=True)
+    network = train(trained)
+    lowest = lowest_scores(network, spare)
     packed = docs.select(F.struct(*[named(docs, c) for c in own]).alias("_row"), whole_text(named(docs, text)).alias("text"))
     found = identify(packed, network, "text")  # the struct keeps the rows' own columns apart from the new ones
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("_row.*")
+    clear = F.lit(False)
+    for language, score in lowest.items():  # the score itself is rounded when words are summed in another order
+        clear = clear | ((F.col("lang_pred") == language) & (F.col("score") >= score - 1e-6))
+    return found.filter((F.col("lang_pred") != UNKNOWN) & clear).select("_row.*")

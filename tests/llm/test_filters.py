@@ -128,6 +128,32 @@ def test_languages(spark, sf, rows):
     assert language_id.kept_documents(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("languages", [2, 4])
+def test_unclear_documents_are_dropped(spark, sf, languages):
+    """Texts of two languages by turns have no clear language; clear ones stay, but for a small share."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect()
+    names = sorted({r.lang for r in docs if r.lang})[:languages]
+    clear = [(r.doc_id, r.lang, r.text) for r in docs if r.lang in names and len((r.text or "").split()) >= 100]
+    by = {name: [t.split() for _, lang, t in clear if lang == name] for name in names}
+    mixed = [(-i - 1, None, " ".join(w for pair in zip(a[:400], b[:400]) for w in pair))
+             for i, (a, b) in enumerate(zip(by[names[0]][:20], by[names[1]]))]
+    table = spark.createDataFrame(clear + mixed, "doc_id long, lang string, text string")
+    kept = {r.doc_id for r in language_id.kept_documents(table).collect()}
+    assert len(mixed) >= 10 and sum(d in kept for d, _, _ in mixed) <= len(mixed) // 10
+    assert sum(d in kept for d, _, _ in clear) >= 0.95 * len(clear)
+
+
+def test_lowest_scores_keep_their_share():
+    texts = [("a", f"abc abd ab{c}") for c in "efghijklmnop" * 20] + [("b", f"xyz xyw xy{c}") for c in "efghijklmnop"]
+    network = language_id.train(texts, words=512, passes=1)
+    lowest = language_id.lowest_scores(network, texts[:240])
+    names, scores = language_id.Reader(network).predict([t for _, t in texts[:240]])
+    right = [s for n, s in zip(names, scores) if n == "a"]
+    assert sum(s >= lowest["a"] - 1e-6 for s in right) >= 0.99 * len(right) and lowest["a"] > 0.5
+    assert lowest["b"] == lowest["a"]  # no text of its own: what all languages' texts reach
+    assert language_id.lowest_scores(network, []) == {"a": 0.0, "b": 0.0} and language_id.lowest_scores(None, texts) == {}
+
+
 def test_positions_pool_to_the_document():
     network = language_id.train([("a", "abc abd abe"), ("b", "xyz xyw xyv")], words=512, passes=1)
     text = "abc xyz  " + "q" * 100 + "é"
