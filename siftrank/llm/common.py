@@ -8,16 +8,18 @@ import types
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftrank.scratch import open_store, scratch_path
+from siftrank.scratch import materialize, open_store, scratch_path
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = "8m"
+FAN = 64  # states of tasks that are merged in one task
 
 
 def named(df: DataFrame, column: str) -> Column:
@@ -160,6 +162,36 @@ def write_shared(path: str, chunks: Iterable[bytes]) -> int:
     return size
 
 
+def part_number() -> int:
+    """Number of this task among those of its stage."""
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+def merged_state(rows: DataFrame, sum_up: Callable[[Iterator[pa.RecordBatch]], bytes], merge: Callable[[list[bytes]], bytes],
+                 name: str) -> bytes | None:
+    """One state of bounded size for all rows: each task sums its batches up, and tasks' states are merged ``FAN`` at a time.
+
+    States are merged in the order of the tasks, so a sum of floats comes out the
+    same each time.  None for an input without a partition.
+    """
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = sum_up(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([part_number()], pa.int64()), pa.array([state], pa.binary())], names=["part", "state"])
+
+    def again(some: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values("part")
+        return pd.DataFrame({"part": [int(some["part"].iloc[0]) // FAN], "state": [merge(some["state"].tolist())]})
+
+    shape = "part long, state binary"
+    level = materialize(rows.mapInArrow(tidy(first), shape), name)
+    while level.count() > 1:
+        level = materialize(level.groupBy((F.col("part") / FAN).cast("long")).applyInPandas(again, shape), name)
+    last = level.first()
+    return bytes(last["state"]) if last else None
+
+
 def task_name(stem: str, end: str) -> str:
     """File name of this task attempt; a retried or doubled task writes another file."""
     from pyspark import TaskContext

@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank.llm import hamming_search, huffman_ids, jaccard_join, language_id, packing, quality_rules, sentencepiece_bpe, sharding, suffix_dedup, warc_zip
+from siftrank.llm import (
+    hamming_search, huffman_ids, jaccard_join, language_id, packing, periodic_runs, quality_rules, sentencepiece_bpe, sharding,
+    suffix_dedup, token_counts, warc_zip, whitening,
+)
 
 QUERIES = {}
 SQL = {}
@@ -147,3 +150,18 @@ from m
 @query("op10_warc", OP10_SQL)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return warc_zip.warc_round_trip(table(spark, sf, "pages"))
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"), components=4, scale=256)
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic_runs.collapse_runs(periodic_runs.plant_repeats(table(spark, sf, "documents")), digest=True)
