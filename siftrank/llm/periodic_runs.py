@@ -3,12 +3,11 @@
 A run of period q is a stretch where word i equals word i + q as far as that
 goes.  One of ``EXPONENT`` periods or more has at least 3q such places i in a
 row.  So for the periods from P to 2P - 1 (one octave) every run holds a place
-that is a multiple of 2P, its centre, and the block of P words at the centre
-equals the block q words later.
+that is a multiple of P, a centre, from which 2P words equal those q later.
 
-1. Documents are screened octave by octave: hashes of all blocks of P words,
+1. Documents are screened octave by octave: hashes of all blocks of 2P words,
    doubled from octave to octave, show the centres and periods whose blocks
-   agree.  Centres with hits become overlapping tiles, 2P words before and 5P
+   agree.  Centres with hits become overlapping tiles, P words before and 6P
    after; neighbours share a tile.  Documents without a hit have no run and are
    finished here.
 2. The tiles are dealt out anew and solved apart from each other.  At each
@@ -20,7 +19,7 @@ equals the block q words later.
 4. Runs meet the words of their documents, only of documents with a hit.
 
 A document of any length is many tiles in as many tasks; a tile holds
-``TILE_WORDS`` words, or seven blocks where those are more.
+``TILE_WORDS`` words, or seven P where those are more.
 """
 
 from __future__ import annotations
@@ -36,12 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.llm.common import bound_batches, named, part_number, row_groups, text_bytes, tidy, whole_text
-from siftrank.scratch import fan_out, materialize
+from siftrank.scratch import materialize, read_bytes
 
 EXPONENT = 4             # periods in a run, at least
 LEAST_WORDS = 6          # words in a run, at least
 TILE_WORDS = 1 << 14     # words of a tile
 GROUP_BYTES = 1 << 21    # texts that are screened at once
+TASK_BYTES = 4 << 20     # tiles and texts on disk for one task that solves tiles
 MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -70,19 +70,27 @@ def z_function(s: list[int]) -> list[int]:
 
 
 def screened(ids: np.ndarray, doc: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(P, centres, periods) of each octave: the blocks of P words at the centre and a period later have one hash."""
+    """(P, centres, periods) of each octave: the blocks of 2P words at the centre and a period later have one hash.
+
+    Of the hits of one period that follow each other every second one is
+    enough: those at even multiples of P, and the first.
+    """
     block = (ids.astype(np.uint64) + MIX[0]) * MIX[1] ^ (doc.astype(np.uint64) * MIX[2])
     block = (block ^ (block >> np.uint64(31))) * MIX[0]
     size = 1
     while EXPONENT * size <= longest:
-        lines = np.concatenate([block, np.zeros(-len(block) % (2 * size), dtype=np.uint64)]).reshape(-1, 2 * size)
-        line, column = np.nonzero(lines[:, size:] == lines[:, :1])
-        centre, period = line * 2 * size, column + size
-        inside = centre + period < len(block)
-        centre, period = centre[inside], period[inside]
-        same = doc[centre] == doc[centre + period]
-        yield size, centre[same], period[same]
         block = block[:-size] * MIX[size.bit_length() % 3] + block[size:]
+        lines = np.concatenate([block, np.zeros(-len(block) % size, dtype=np.uint64)]).reshape(-1, size)
+        line, column = np.nonzero(lines[1:] == lines[:-1, :1])
+        centre, period = line * size, column + size
+        real = centre + period < len(block)
+        real[real] = doc[centre[real]] == doc[centre[real] + period[real]]
+        line, column, centre, period = line[real], column[real], centre[real], period[real]
+        place = line * size + column  # ascending; the hit before has the same column in the line before
+        before = np.searchsorted(place, place - size)
+        keep = line % 2 == 0
+        keep |= place[np.minimum(before, len(place) - 1)] != place - size
+        yield size, centre[keep], period[keep]
         size *= 2
 
 
@@ -90,13 +98,13 @@ def tiles_of(size: int, centre: np.ndarray, period: np.ndarray, doc: np.ndarray,
     """(document, first word, end, centres, where each centre's periods start, periods) of tiles; centres lie side by side in each."""
     own, first = np.unique(centre, return_index=True)
     bounds = np.append(first, len(centre))
-    apart = np.flatnonzero((np.diff(own) != 2 * size) | (np.diff(doc[own]) != 0)) + 1
+    apart = np.flatnonzero((np.diff(own) > 2 * size) | (np.diff(doc[own]) != 0)) + 1
     most = max(1, TILE_WORDS // (2 * size))
     for a, b in zip([0, *apart], [*apart, len(own)]):
         for c in range(a, b, most):
             d = min(c + most, b)
             number = doc[own[c]]
-            lo, hi = max(start[number], own[c] - 2 * size), min(start[number + 1], own[d - 1] + 5 * size)
+            lo, hi = max(start[number], own[c] - size), min(start[number + 1], own[d - 1] + 6 * size)
             yield int(number), int(lo), int(hi), own[c:d], bounds[c:d + 1] - bounds[c], period[bounds[c]:bounds[d]]
 
 
@@ -115,12 +123,12 @@ def fragments(words: list[int], at: int, size: int, centres: list[int], bounds:
     done: list[tuple[int, int, int]] = []
     for k, centre in enumerate(centres):
         c = centre - at
-        ahead = z_function(words[c:c + 5 * size])
-        before = words[max(0, c - 2 * size):c][::-1]
+        ahead = z_function(words[c:c + 6 * size])
+        before = words[max(0, c - size):c][::-1]
         end = min(c + 2 * size - 1, len(words))
-        back = z_function([*before, -1, *words[max(0, c - 2 * size):end][::-1]])
+        back = z_function([*before, -1, *words[max(0, c - size):end][::-1]])
         for q in periods[bounds[k]:bounds[k + 1]]:
-            right = min(ahead[q], 3 * size)
+            right = min(ahead[q], 4 * size)
             if not right:
                 continue
             left = back[len(before) + 1 + end - c - q] if before else 0
@@ -135,7 +143,7 @@ def fragments(words: list[int], at: int, size: int, centres: list[int], bounds:
     least: dict[tuple[int, int], int] = {}
     for q, first, last in done:
         # Whole here and seen by no other tile: the next centres on both sides lie outside.
-        if first > centres[0] - 2 * size and last < centres[-1] + 3 * size:
+        if first > centres[0] - size and last < centres[-1] + 3 * size:
             end = last + q
             if end - first < max(LEAST_WORDS, EXPONENT * q):
                 continue
@@ -265,7 +273,9 @@ def collapse_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     rows = docs.select(named(docs, doc_id).alias("doc_id"), whole_text(named(docs, text)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     parts = materialize(cut_documents(rows, digest), "run_tiles")
-    tiles = fan_out(parts.filter("size is not null"), "row", "size", "at")
+    tiles = parts.filter("size is not null")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, read_bytes(parts) // TASK_BYTES)
+    tiles = tiles.repartition(tasks, "row", "size", "at")
     runs = stitch(solve_tiles(tiles)).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "period"))).alias("found"))
     texts = parts.filter("packed is not null").select("row", "doc_id", "packed").join(runs, "row", "left").select("doc_id", "packed", "found")
     tail = "runs_sha256 string, collapsed_sha256 string" if digest else "runs array<struct<start: long, length: long, period: long>>, collapsed string"
