@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank import fixed_values as fixed
@@ -15,6 +15,12 @@ from siftrank.scratch import broadcast_limit, fan_out, materialize, materialize_
 
 ROWS_PER_PART = 2_000_000  # postings of one term in one task of the shuffle join
 WEIGHTS_PER_PART = 100_000  # weights of one term in one task of the shuffle join
+PUSHED_TERMS = 1000        # terms that the parquet reader is told
+BLOCK_PRODUCTS = 128       # products whose scores share bounds
+RARE_SHARE = 0.25          # of a query's postings: its rarest terms with so many set the bar for the others
+LEADERS = 8                # times k products are scored in full to raise the bar
+ROUNDED = 1e-6             # scores are rounded to this
+IN_LISTS = "spark.sql.parquet.pushdown.inFilterThreshold"
 
 
 @dataclass(frozen=True)
@@ -23,17 +29,23 @@ class LexicalIndex:
 
     ``ordinal`` numbers a product's terms in one field; the rows with 0 count
     the products, so field statistics need no second pass over the texts.
-    A built index also stores the frequencies and statistics.  Its postings lie
+    A built index also stores the statistics, and ``groups(field, term, tf, n,
+    dl)``: how many products have the term ``tf`` times, and the least length
+    among them; ``n`` may be a change that is summed up.  Its postings lie
     ``by_product`` in buckets that Spark knows, so a search sums each product's
     parts where they are read; one on disk has them in ``term_buckets`` folders
-    by a hash of the term.
+    by a hash of the term.  ``blocks(field, term, block, tf, dl)`` of a built
+    index has the greatest tf and least length of each common term in blocks of
+    products, which bound what the term adds to the score of a product there.
     """
 
     postings: DataFrame
-    frequencies: DataFrame | None = None
+    groups: DataFrame | None = None
     statistics: DataFrame | None = None
     term_buckets: int = 0
     by_product: bool = False
+    blocks: DataFrame | None = None
+    n_blocks: int = 0
 
     def field_stats(self) -> DataFrame:
         """Products with text and mean length, per field."""
@@ -44,26 +56,55 @@ class LexicalIndex:
 
     def term_df(self, terms: DataFrame | None = None) -> DataFrame:
         """Products per field and term, for all terms or those in ``terms``."""
-        rows = self.frequencies or self.postings
+        rows = self.groups or self.postings
         if terms is not None:
             rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-        if self.frequencies is not None:
-            return rows.select("field", "term", "df")
-        return rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+        df = F.count(F.lit(1)) if self.groups is None else F.sum("n")
+        return rows.groupBy("field", "term").agg(df.alias("df")).filter("df > 0")
+
+    def limits(self, terms: DataFrame, fields: list[str], k1: float, b: float) -> DataFrame:
+        """(field, term, limit): no product's occurrences of the term count for more than ``limit``."""
+        groups = self.groups
+        if groups is None:
+            groups = self.postings.groupBy("field", "term", "tf").agg(F.min("dl").alias("dl"))
+        groups = groups.filter(F.col("dl").isNotNull() & F.col("field").isin(fields)).join(terms.select("term").distinct(), "term", "left_semi")
+        # One row per field.
+        lengths = F.broadcast(self.field_stats().select("field", "avgdl"))
+        return groups.join(lengths, "field").groupBy("field", "term").agg(F.max(_saturation(k1, b)).alias("limit"))
 
     def lengths(self) -> DataFrame:
         """Number of words per product and field."""
         return self.postings.filter("ordinal = 0").select("field", "product_id", "dl")
 
     def postings_of(self, weights: DataFrame) -> DataFrame:
-        """Postings without the folders that hold none of the weights' terms."""
+        """Postings without the folders that hold none of the weights' terms; few terms are looked up in the files, too.
+
+        Row groups and pages without any of up to ``PUSHED_TERMS`` terms are left
+        out by the reader (ranges, dictionaries, bloom filters); for more terms
+        the folders are read whole.
+        """
+        rows = self.postings.drop("ordinal")
+        terms = weights.select("term").distinct()
+        few = terms.limit(PUSHED_TERMS + 1).collect()
+        if len(few) <= PUSHED_TERMS:
+            push_lists(rows)
+            rows = rows.filter(F.col("term").isin([row.term for row in few]))
         if not self.term_buckets:
-            return self.postings.drop("ordinal")
+            return rows
         # At most one number per folder.
         folders = weights.select(term_bucket(self.term_buckets).alias("n")).distinct().collect()
-        return self.postings.filter(F.col("term_bucket").isin([row.n for row in folders])).drop(
-            "ordinal", "term_bucket"
-        )
+        return rows.filter(F.col("term_bucket").isin([row.n for row in folders])).drop("term_bucket")
+
+
+def block_of(blocks: int) -> Column:
+    return F.pmod(F.hash("product_id"), F.lit(blocks))
+
+
+def push_lists(df: DataFrame) -> None:
+    """Lists of up to ``PUSHED_TERMS`` values reach the parquet reader as such; a session's own setting stays."""
+    conf = df.sparkSession.conf
+    if conf.get(IN_LISTS, None) is None:
+        conf.set(IN_LISTS, str(PUSHED_TERMS))
 
 
 def term_bucket(buckets: int) -> Column:
@@ -87,9 +128,18 @@ def build_postings(documents: DataFrame, fields: list[str], id_column: str = "pr
 def build_index(documents: DataFrame, fields: list[str], id_column: str = "product_id") -> LexicalIndex:
     """Index written once to the shared folder: texts are split into words, and terms counted, one time only."""
     postings = materialize_buckets(build_postings(spread(documents), fields, id_column), "postings", "product_id", "term")
-    plain = LexicalIndex(postings)
-    return LexicalIndex(postings, materialize(plain.term_df(), "frequencies"),
-                        materialize(plain.field_stats(), "statistics"), by_product=True)
+    groups = postings.groupBy("field", "term", "tf").agg(F.count(F.lit(1)).alias("n"), F.min("dl").alias("dl"))
+    groups = materialize(groups, "term_groups")
+    statistics = materialize(LexicalIndex(postings).field_stats(), "statistics")
+    # Blocks are parts of the buckets, so a block's postings are summed up in one task.
+    products = statistics.agg(F.max("n_docs")).first()[0] or 0
+    buckets = max(1, postings.rdd.getNumPartitions())
+    n_blocks = buckets * max(1, products // (BLOCK_PRODUCTS * buckets))
+    common = groups.groupBy("field", "term").agg(F.sum("n").alias("df")).filter(F.col("df") > 2 * n_blocks).select("field", "term")
+    common = materialize(common, "common_terms")
+    blocks = postings.join(common, ["field", "term"]).groupBy("field", "term", block_of(n_blocks).alias("block")).agg(
+        F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    return LexicalIndex(postings, groups, statistics, by_product=True, blocks=materialize(blocks, "blocks"), n_blocks=n_blocks)
 
 
 def query_terms(queries: DataFrame, cleaned: bool = True, legacy: bool = False) -> DataFrame:
@@ -179,11 +229,133 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict[str, floa
     matched = match(postings, weights, rows_per_part, by_product=index.by_product)
     if per_query:
         matched = matched.filter(F.col("filter_source").isNull() | (F.col("filter_source") == F.col("source")))
+    return top_scores(field_sums(matched, boosts, k1, b), len(boosts), k)
+
+
+def field_sums(matched: DataFrame, boosts: dict[str, float], k1: float, b: float) -> DataFrame:
+    """Score of each query and product in each field, null where it has none of the terms."""
     part = F.col("weight") * _saturation(k1, b)
     by_field = [F.sum(F.when(F.col("field") == f, part)).alias(f"_field{i}") for i, f in enumerate(boosts)]
-    sums = [F.col(f"_field{i}") for i in range(len(boosts))]
     # The source goes with the product; as a key it keeps the sums in a hash table.
-    scored = matched.groupBy("query_id", "product_id", "source").agg(*by_field)
-    best = sums[0] if len(sums) == 1 else F.greatest(*sums)
-    ranked = scored.select("query_id", "product_id", "source", F.round(best, 6).alias("score"))
+    return matched.groupBy("query_id", "product_id", "source").agg(*by_field)
+
+
+def best_field(fields: int) -> Column:
+    sums = [F.col(f"_field{i}") for i in range(fields)]
+    return sums[0] if fields == 1 else F.greatest(*sums)
+
+
+def top_scores(scored: DataFrame, fields: int, k: int) -> DataFrame:
+    ranked = scored.select("query_id", "product_id", "source", F.round(best_field(fields), 6).alias("score"))
     return top_n(ranked, ["query_id"], [F.desc("score"), F.asc("product_id")], k)
+
+
+@dataclass(frozen=True)
+class BoundedSearch:
+    """What ``bm25_bounded`` reads: ``rare``, ``more`` and ``rest`` are the postings of its three steps."""
+
+    rare: DataFrame
+    more: DataFrame | None
+    rest: DataFrame | None
+    scored: DataFrame
+
+
+def bm25_bounded(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict[str, float] | None = None, *,
+                 cleaned: bool = True, legacy: bool = False, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
+                 share: float = RARE_SHARE) -> DataFrame:
+    """The rows of ``bm25`` without most postings of common terms; see ``bounded_search``."""
+    boosts = boosts or fixed.FIELD_BOOSTS
+    found = bounded_search(index, queries, k, boosts, cleaned=cleaned, legacy=legacy, k1=k1, b=b, share=share)
+    return top_scores(found.scored, len(boosts), k)
+
+
+def bounded_search(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict[str, float], *, cleaned: bool = True,
+                   legacy: bool = False, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
+                   share: float = RARE_SHARE) -> BoundedSearch:
+    """Scores of all products that can be among the best ``k``, exact for these.
+
+    1. A query's rarest terms are scored; its k-th best product sets the bar.
+    2. Of the other terms, those that add least are left out as long as all
+       of them together stay below the bar: a product with none but these
+       cannot enter.  The terms that remain are scored for all products.
+    3. The left-out terms are looked up for the best products so far, which
+       raises the bar, and then for the products that they could lift to it, by
+       the bounds of the terms in the product's block.
+
+    A bound is the greatest saturation among the pairs of tf and least length
+    that the index keeps for a term, so it holds for any k1, b and mean length.
+    """
+    terms = query_terms(queries, cleaned, legacy)
+    weights = term_weights(index, terms, boosts)
+    limits = index.limits(terms, list(boosts), k1, b)
+    weights = materialize(weights.join(limits, ["field", "term"]).withColumn("most", F.col("weight") * F.col("limit")).drop("limit"), "weights")
+    fields = len(boosts)
+
+    def postings(some: DataFrame) -> DataFrame:
+        return index.postings_of(some).filter(F.col("field").isin(list(boosts)))
+
+    def matches(which: DataFrame) -> DataFrame:
+        own = materialize(weights.join(which, ["query_id", "term"], "left_semi"), "weights")
+        return match(postings(own), own, by_product=index.by_product)
+
+    per_term = weights.groupBy("query_id", "term").agg(F.sum("df").alias("size"), F.max("most").alias("most"))
+    line = Window.partitionBy("query_id").orderBy("size", "term")
+    whole = Window.partitionBy("query_id")
+    per_term = materialize(per_term.withColumn("rare", (F.row_number().over(line) == 1) | (
+        F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) <= share * F.sum("size").over(whole))), "query_words")
+    rare = matches(per_term.filter("rare"))
+    scored = materialize(field_sums(rare, boosts, k1, b), "scored")
+
+    def bar(sums: DataFrame) -> DataFrame:
+        """The k-th best score so far, for queries that have one."""
+        return top_scores(sums, fields, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+
+    least = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    others = per_term.filter("not rare").join(bar(scored), "query_id", "left").withColumn("sum", F.sum("most").over(least))
+    others = materialize(others.withColumn("late", F.coalesce(F.col("sum") < F.col("bar") - ROUNDED, F.lit(False))), "other_words")
+    more = rest = None
+    if others.filter("not late").head(1):
+        more = matches(others.filter("not late"))
+        sums = [F.sum(f"_field{i}").alias(f"_field{i}") for i in range(fields)]
+        both = scored.unionByName(field_sums(more, boosts, k1, b))
+        scored = materialize(both.groupBy("query_id", "product_id", "source").agg(*sums), "scored")
+    late = others.filter("late")
+    if late.head(1):
+        late = materialize(weights.join(late, ["query_id", "term"], "left_semi"), "late_weights")
+
+        def looked_up(products: DataFrame) -> DataFrame:
+            """Late terms' postings of the pairs of query and product."""
+            pairs = materialize(products.select("query_id", "product_id"), "wanted")
+            return postings(late).join(pairs, "product_id").join(late.drop("df", "most"), ["query_id", "field", "term"])
+
+        def added(sums: DataFrame, matched: DataFrame) -> DataFrame:
+            both = sums.unionByName(field_sums(matched, boosts, k1, b))
+            return both.groupBy("query_id", "product_id", "source").agg(*[F.sum(f"_field{i}").alias(f"_field{i}") for i in range(fields)])
+
+        leaders = materialize(top_scores(scored, fields, LEADERS * k).select("query_id", "product_id"), "leaders")
+        first = looked_up(leaders)
+        ahead = materialize(added(scored.join(leaders, ["query_id", "product_id"], "left_semi"), first), "leaders_scored")
+        behind = scored.join(leaders, ["query_id", "product_id"], "left_anti")
+        near = candidates_below(index, behind, bar(ahead), late, fields, k1, b)
+        second = looked_up(near)
+        rest = first.unionByName(second)
+        scored = ahead.unionByName(added(behind, second))
+    return BoundedSearch(rare, more, rest, scored)
+
+
+def candidates_below(index: LexicalIndex, scored: DataFrame, bars: DataFrame, late: DataFrame, fields: int, k1: float, b: float) -> DataFrame:
+    """(query_id, product_id) of products that the late terms could lift to the bar."""
+    near = scored.join(bars, "query_id").withColumn("_gap", F.col("bar") - ROUNDED - best_field(fields)).select("query_id", "product_id", "_gap")
+    by_term = late.groupBy("query_id", "term").agg(F.max("most").alias("most"))
+    extra = by_term.groupBy("query_id").agg(F.sum("most").alias("_extra"))
+    near = near.join(extra, "query_id").filter("_extra >= _gap")
+    if index.blocks is None:
+        return near.select("query_id", "product_id")
+    # The same with the bounds of the product's block; a common term that a block does not have adds nothing there.
+    block = index.blocks.join(late.select("field", "term").distinct(), ["field", "term"], "left_semi")
+    common = block.select("field", "term").distinct().withColumn("_common", F.lit(True))
+    placed = near.withColumn("block", block_of(index.n_blocks)).join(late, "query_id").join(F.broadcast(common), ["field", "term"], "left")
+    placed = placed.join(block, ["field", "term", "block"], "left")
+    inside = F.when(F.col("_common").isNull(), F.col("most")).otherwise(F.coalesce(F.col("weight") * _saturation(k1, b), F.lit(0.0)))
+    adds = placed.groupBy("query_id", "product_id", "_gap", "term").agg(F.max(inside).alias("_adds"))
+    return adds.groupBy("query_id", "product_id", "_gap").agg(F.sum("_adds").alias("_extra")).filter("_extra >= _gap").select("query_id", "product_id")

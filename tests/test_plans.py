@@ -77,3 +77,36 @@ def test_built_index_moves_hits_only(spark, sf):
     moved = re.findall(r"hashpartitioning\((\w+)", text)
     assert set(moved) == {"query_id"} and "Bucketed: true" in text
     assert "WindowGroupLimit" in text
+
+
+def test_words_are_pushed_to_the_reader(spark, tmp_path):
+    """A rare word's search reads few of the postings of its folder."""
+    from pyspark.sql import functions as F
+
+    from siftrank.sources import indexes
+
+    path = str(tmp_path / "index")
+    docs = spark.range(40000).select(F.col("id").cast("string").alias("product_id"), F.lit("A").alias("source"),
+                                     F.concat(F.lit("w"), "id", F.lit(" common")).alias("text"))
+    indexes.write_lexical(docs, ["text"], path, term_buckets=1)
+    queries = spark.createDataFrame([("q", "w777")], "query_id string, query string")
+    index = indexes.read_lexical(spark, path)
+    weights = lexical.term_weights(index, lexical.query_terms(queries, cleaned=False), {"text": 1.0})
+    read = index.postings_of(weights)
+    assert re.search(r"PushedFilters: \[[^]]*(In\(term|EqualTo\(term)", plan(read))
+    assert [r.product_id for r in lexical.bm25(index, queries, 5, {"text": 1.0}, cleaned=False).collect()] == ["777"]
+    scanned = read._jdf.queryExecution().executedPlan()
+    assert len(read.collect()) == 1
+    assert scanned_rows(scanned) <= 40000  # of 80000 postings
+
+
+def scanned_rows(executed) -> int:
+    """Rows that the file scans of an executed plan have given."""
+    leaves = executed.collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        leaf = leaves.next()
+        leaf = leaf.executedPlan() if "AdaptiveSparkPlan" in leaf.nodeName() else leaf
+        if leaf.metrics().contains("numOutputRows"):
+            total += leaf.metrics().apply("numOutputRows").value()
+    return total

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftrank.operators import dense, fusion, lexical, rerank
 from siftrank.plans.strategies import Search, distinct_texts, for_all
 from siftrank.functions import models
+from siftrank.sources import indexes
 
 WORDS = [f"w{i}" for i in range(30)]
 BOOSTS = {"title": 5.0, "body": 0.3}
@@ -97,6 +98,41 @@ def test_smaller_k_is_a_prefix(spark, shop):
     assert all(large[q][:3] == small[q] for q in small)
 
 
+@pytest.mark.parametrize("k, share", [(1, 0.25), (5, 0.0), (20, 0.25), (20, 0.9), (400, 0.25)])
+def test_bounded_search_has_the_same_hits(spark, shop, k, share):
+    rows, index = shop
+    queries = spark.createDataFrame([*QUERIES, ("q5", "w5 w6 w7 w8 hot copy"), ("q6", "copy hot")], "query_id string, query string")
+    got = ranked(lexical.bm25_bounded(index, queries, k, BOOSTS, share=share))
+    assert got == ranked(lexical.bm25(index, queries, k, BOOSTS))
+    assert [p for p, _ in got["q5"]] == [p for p, _ in brute_bm25(rows, "w5 w6 w7 w8 hot copy", k)]
+
+
+def test_bounded_search_leaves_out_most_postings(spark):
+    own = np.random.default_rng(2)
+    docs = [(f"p{i:05d}", "A", " ".join(f"t{w}" for w in own.zipf(1.3, 60) if w < 5000)) for i in range(3000)]
+    index = lexical.build_index(spark.createDataFrame(docs, "product_id string, source string, title string"), ["title"])
+    asked = [(f"q{i}", " ".join([f"t{w}" for w in own.zipf(1.3, 5) if w < 5000] + ["t1", "t2", "t3", f"t{own.integers(50, 900)}"])) for i in range(12)]
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    boosts = {"title": 1.0}
+    assert ranked(lexical.bm25_bounded(index, queries, 10, boosts)) == ranked(lexical.bm25(index, queries, 10, boosts))
+    found = lexical.bounded_search(index, queries, 10, boosts)
+    weights = lexical.term_weights(index, lexical.query_terms(queries), boosts)
+    whole = lexical.match(index.postings_of(weights), weights, by_product=True).count()
+    assert sum(part.count() for part in (found.rare, found.more, found.rest) if part is not None) <= whole / 2
+
+
+def test_bounded_search_of_an_upserted_index(spark, tmp_path):
+    rows = collection(120)
+    schema = "product_id string, source string, title string, body string"
+    index = indexes.create_index(spark.createDataFrame(rows, schema), str(tmp_path / "index"), ["title", "body"], term_buckets=4)
+    changed = [(p, s, f"w1 {t}", b) for p, s, t, b in rows[:20]]
+    index = index.upsert([spark.createDataFrame(changed, schema)]).lexical()
+    queries = spark.createDataFrame(QUERIES, "query_id string, query string")
+    got = ranked(lexical.bm25_bounded(index, queries, 5, BOOSTS))
+    assert got == ranked(lexical.bm25(index, queries, 5, BOOSTS))
+    assert [p for p, _ in got["q1"]] == [p for p, _ in brute_bm25(changed + rows[20:], "hot w1 w2", 5)]
+
+
 def vectors(spark, n, copies, seed=3):
     """Vectors of which ``copies`` are the same."""
     rng = np.random.default_rng(seed)

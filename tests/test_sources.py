@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftrank.scratch import memory_bytes, shared_dir
 from siftrank.schemas import WANDS_LABEL_TSV
-from siftrank.sources import exchange, indexes, tables
+from siftrank.sources import exchange, indexes, tables, versions
 
 
 def test_tsv(spark, tmp_path):
@@ -137,45 +138,132 @@ def test_vector_index(spark, tmp_path):
         wrong.collect()
 
 
+SCHEMA = "product_id string, title string, source string"
+
+
+def products(spark, *rows):
+    return spark.createDataFrame(list(rows), SCHEMA)
+
+
+def stored(index):
+    return {(r.product_id, r.title, r.source) for r in index.documents().collect()}
+
+
 def test_upsert(spark, tmp_path):
-    path = str(tmp_path / "docs")
-    schema = "product_id string, title string, source string"
-    spark.createDataFrame([("a", "1", "A"), ("b", "1", "A"), ("c", "1", "C")], schema).write.partitionBy(
-        "source").parquet(path)
-    first = spark.createDataFrame([("b", "2", "A"), ("n", "2", "A")], schema)
-    second = spark.createDataFrame([("b", "3", "A")], schema)
-    indexes.upsert(spark, path, [first, second])
-    rows = {(r.product_id, r.title) for r in spark.read.schema(schema).parquet(path).collect()}
-    assert rows == {("a", "1"), ("b", "3"), ("n", "2"), ("c", "1")}
+    index = indexes.create_index(products(spark, ("a", "1", "A"), ("b", "1", "A"), ("c", "1", "C")), str(tmp_path / "docs"))
+    after = index.upsert([products(spark, ("b", "2", "A"), ("n", "2", "A")), products(spark, ("b", "3", "A"))])
+    assert stored(after) == {("a", "1", "A"), ("b", "3", "A"), ("n", "2", "A"), ("c", "1", "C")}
+    assert stored(index) == {("a", "1", "A"), ("b", "1", "A"), ("c", "1", "C")}  # a reader keeps its version
+    assert stored(indexes.open_index(spark, str(tmp_path / "docs"))) == stored(after)
 
 
 def test_upsert_of_null_and_moved_sources(spark, tmp_path):
-    path = str(tmp_path / "docs")
-    schema = "product_id string, title string, source string"
-    spark.createDataFrame([("a", "1", None), ("b", "1", None), ("c", "1", "C"), ("d", "1", "D"), ("e", "1", "E")],
-                          schema).write.partitionBy("source").parquet(path)
-    indexes.upsert(spark, path, [spark.createDataFrame([("a", "2", None), ("c", "2", "D"), ("n", "2", "N")], schema)])
-    rows = {tuple(r) for r in spark.read.schema(schema).parquet(path).collect()}
-    assert rows == {("a", "2", None), ("b", "1", None), ("c", "2", "D"), ("d", "1", "D"), ("e", "1", "E"), ("n", "2", "N")}
-    assert not (tmp_path / "docs" / "source=C").exists()
+    before = products(spark, ("a", "1", None), ("b", "1", None), ("c", "1", "C"), ("d", "1", "D"), ("e", "1", "E"))
+    index = indexes.create_index(before, str(tmp_path / "docs"))
+    index = index.upsert([products(spark, ("a", "2", None), ("c", "2", "D"), ("n", "2", "N"))], deleted=products(spark, ("e", None, None)))
+    assert stored(index) == {("a", "2", None), ("b", "1", None), ("c", "2", "D"), ("d", "1", "D"), ("n", "2", "N")}
+
+
+def statistics(index):
+    words = index.lexical()
+    return ({(r.field, r.term, r.df) for r in words.term_df().collect()}, {tuple(r) for r in words.field_stats().collect()},
+            {(r.field, r.term, r.product_id, r.source, r.tf, r.dl) for r in words.postings.collect()},
+            {(r.term, r.limit) for r in words.limits(words.postings.select("term"), ["title"], 1.2, 0.75).collect()})
+
+
+def test_upserts_in_any_number_equal_a_fresh_index(spark, tmp_path):
+    own, words = random.Random(7), ["red", "blue", "sofa", "chair", "lamp"]
+    live = {f"p{i}": (" ".join(own.choices(words, k=own.randrange(6))), "A") for i in range(40)}
+    index = indexes.create_index(products(spark, *[(p, *v) for p, v in live.items()]), str(tmp_path / "many"), ["title"], term_buckets=4, product_buckets=4)
+    merged = 0
+    for step in range(6):
+        batch = {f"p{own.randrange(50)}": (" ".join(own.choices(words, k=own.randrange(6))), own.choice(["A", "B"])) for _ in range(3)}
+        gone = own.sample(sorted(live), 2) if step % 2 else []
+        gone = [p for p in gone if p not in batch]
+        live = {k: v for k, v in live.items() if k not in gone} | batch
+        index = index.upsert([products(spark, *[(p, *v) for p, v in batch.items()])],
+                             deleted=products(spark, *[(p, None, None) for p in gone]) if gone else None)
+        merged += any("merged" in s for s in index.segments)
+    assert merged and len(index.segments) < 7
+    assert stored(index) == {(p, *v) for p, v in live.items()}
+    fresh = indexes.create_index(products(spark, *[(p, *v) for p, v in live.items()]), str(tmp_path / "fresh"), ["title"], term_buckets=4)
+    assert statistics(index)[:3] == statistics(fresh)[:3]
+    # Bounds may be kept from rows that are gone, so they are never too low.
+    loose, exact = dict(statistics(index)[3]), dict(statistics(fresh)[3])
+    assert all(loose[t] >= exact[t] - 1e-12 for t in exact)
+
+
+def test_an_upsert_writes_no_more_than_its_rows(spark, tmp_path):
+    rows = spark.range(2000).select(F.concat(F.lit("p"), "id").alias("product_id"), F.concat(F.lit("word number "), F.col("id") % 97).alias("title"),
+                                    F.lit("A").alias("source"))
+    index = indexes.create_index(rows, str(tmp_path / "share"), ["title"], text="title", encode=lambda c: F.array(F.length(c) * 1.0), dimension=1)
+    whole = index.segments[0]["tables"]
+    batch = rows.filter("product_id < 'p101'").withColumn("title", F.concat("title", F.lit(" again")))
+    n = batch.count()
+    after = index.upsert([batch.unionByName(rows.filter("product_id > 'p99'"))], encode=lambda c: F.array(F.length(c) * 1.0))
+    new = after.segments[-1]
+    assert new["tables"]["documents"] == new["tables"]["gone"] == new["tables"]["vectors"] == new["encoded"] == n
+    assert new["tables"]["postings"] == 4 * n and whole["postings"] == 6000
+    assert after.vectors().count() == 2000
+
+
+def test_only_changed_texts_are_encoded(spark, tmp_path):
+    encode = lambda c: F.array(F.length(c) * 1.0, F.lit(1.0))
+    index = indexes.create_index(products(spark, ("a", "one", "A"), ("b", "two", "A"), ("c", None, "A")), str(tmp_path / "v"), text="title",
+                                 encode=lambda c: F.array(F.coalesce(F.length(c), F.lit(0)) * 1.0, F.lit(1.0)), dimension=2)
+    after = index.upsert([products(spark, ("a", "one", "B"), ("b", "three", "A"), ("d", "four", "D"))], encode=encode)
+    assert after.segments[-1]["encoded"] == 2
+    found = {r.product_id: (r.source, r.embedding[0]) for r in after.vectors().collect()}
+    assert found == {"a": ("B", 3.0), "b": ("A", 5.0), "c": ("A", 0.0), "d": ("D", 4.0)}
+    with pytest.raises(ValueError, match="needs encode"):
+        after.upsert([products(spark, ("a", "x", "B"))])
+
+
+def test_rejected_vectors_are_counted(spark, tmp_path):
+    rows = products(spark, ("a", "one", "A"), ("b", "three", "A"), ("c", "two", "A"))
+    encode = lambda c: F.when(F.length(c) == 3, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.lit(1.0)))
+    index = indexes.create_index(rows, str(tmp_path / "skip"), text="title", encode=encode, dimension=2, skip_rejected=True)
+    assert {r.what: r.n for r in index.report().collect()} == {"documents": 3, "vectors": 2, "encoded": 3, "rejected": 1}
+    assert {r.product_id for r in index.vectors().collect()} == {"a", "c"}
+    with pytest.raises(Exception, match="expected 2 numbers, got 1"):
+        indexes.create_index(rows, str(tmp_path / "stop"), text="title", encode=encode, dimension=2)
+    with pytest.raises(ValueError, match="no complete index"):
+        indexes.open_index(spark, str(tmp_path / "stop"))
+
+
+def test_versions_are_numbered_and_pruned(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    index = indexes.create_index(products(spark, ("a", "1", "A")), path)
+    for title in ("2", "3"):
+        index = index.upsert([products(spark, ("a", title, "A"))])
+    assert [v for v in (1, 2, 3) if versions.published(spark, path, v)] == [1, 2, 3]
+    assert stored(indexes.open_index(spark, path, version=2)) == {("a", "2", "A")}
+    with pytest.raises(RuntimeError, match="is taken"):
+        versions.publish(spark, path, {"segments": []}, after=2)  # a writer that started from an old version
+    again = indexes.create_index(products(spark, ("z", "9", "Z")), path, recreate=True)
+    gone = versions.prune(spark, path, keep=1)
+    assert len(gone) == 3 and not any((tmp_path / "versions" / name).exists() for name in gone)
+    assert stored(again) == {("z", "9", "Z")} and versions.published(spark, path, 1) is None
+    assert stored(indexes.create_index(products(spark, ("q", "0", "Q")), path)) == {("z", "9", "Z")}  # a published one stays
+
+
+def test_index_of_nothing(spark, tmp_path):
+    index = indexes.create_index(products(spark, ("a", "1", "A")).limit(0), str(tmp_path / "none"), ["title"], text="title",
+                                 encode=lambda c: F.array(F.lit(1.0)), dimension=1)
+    assert stored(index) == set() and index.vectors().count() == 0 and index.lexical().postings.count() == 0
+    index = index.upsert([products(spark, ("a", "1", "A"))], encode=lambda c: F.array(F.lit(1.0)))
+    assert stored(index) == {("a", "1", "A")} and index.lexical().field_stats().first().n_docs == 1
 
 
 def test_half_built_index_is_not_read(spark, tmp_path):
     path = str(tmp_path / "index")
     with pytest.raises(ValueError, match="no complete index"):
         indexes.read_lexical(spark, path)
-    (tmp_path / "index" / "version-x" / "postings").mkdir(parents=True)
-    indexes.write_lexical(documents(spark), ["title"], path, file_rows=1)
+    (tmp_path / "index" / "segment-x" / "postings").mkdir(parents=True)
+    indexes.write_lexical(documents(spark), ["title"], path)
     assert indexes.read_lexical(spark, path).postings.count() == 4
 
 
-def test_index_after_upsert(spark, tmp_path):
-    docs, index = str(tmp_path / "docs"), str(tmp_path / "index")
-    documents(spark).write.partitionBy("source").parquet(docs)
-    indexes.upsert_index(spark, docs, index, [documents(spark, "green chair").filter("product_id = 'a'")], ["title"])
-    assert {r.term for r in indexes.read_lexical(spark, index).term_df().collect()} == {"green", "chair", "blue", "sofa"}
-
-
 def test_memory_size_counts_values(spark):
     frame = spark.range(1000).select(F.lit("x" * 100).alias("s"), F.array(F.lit(1.0), F.lit(2.0)).alias("v"), "id")
     assert memory_bytes(frame) == 1000 * (100 + 16 + 2 * 8 + 16 + 8)

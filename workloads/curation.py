@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftrank.fixed_values import ESCI_GAINS
 from siftrank.functions import attributes as attr
+from siftrank.functions import models
 from siftrank.functions.text import clean
-from siftrank.operators import curation, lexical, merging, sampling, training
+from siftrank.operators import curation, dense, lexical, merging, sampling, training
+from siftrank.plans.strategies import Search
 from siftrank.scratch import materialize, scratch_path
 from siftrank.sources import exchange, indexes, tables
 from workloads import inputs, sql
@@ -441,23 +445,96 @@ def index_upsert(spark: SparkSession, sf: str) -> DataFrame:
         english.select((F.col("doc_id") + 1000000000).alias("product_id"), "source", "text")
     )
     path = scratch_path(spark, "documents")
-    before.write.partitionBy("source").parquet(path)
-    indexes.upsert(spark, path, [batch.withColumn("text", F.lit("")), batch])
-    return spark.read.schema(batch.schema).parquet(path)
+    index = indexes.create_index(before, path).upsert([batch.withColumn("text", F.lit("")), batch])
+    return index.documents().select(F.col("product_id").cast("long").alias("product_id"), "source", "text")
+
+
+UPSERTED = """docs AS (SELECT CAST(doc_id AS VARCHAR) AS product_id, source, 'text' AS field,
+  CASE WHEN lang = 'en' THEN text || ' upserted' ELSE text END AS text FROM documents)"""
+ASKED_UPSERTED = "asked AS (SELECT item_id AS query_id, text || ' upserted' AS query FROM benchmark)"
+AS_NUMBERS = "SELECT query_id, CAST(product_id AS BIGINT) AS product_id, score, rank FROM {}"
+UPSERTED_VECTORS = [UPSERTED, ASKED_UPSERTED, sql.word_vectors("doc_vectors", "docs", "product_id, source", "text"),
+                    sql.word_vectors("asked_vectors", "asked", "query_id", "query")]
+
+
+@cache
+def _upserted_index(application: str, sf: str) -> indexes.SearchIndex:
+    spark = SparkSession.getActiveSession()
+    rows = inputs.table(spark, sf, "documents").select(inputs.text("doc_id").alias("product_id"), "source", "text", "lang")
+    path, columns = scratch_path(spark, "index"), ["product_id", "source", "text"]
+    index = indexes.create_index(rows.select(*columns), path, ["text"], text="text", encode=models.bag_of_words, dimension=64)
+    changed = rows.filter("lang = 'en'").withColumn("text", F.concat("text", F.lit(" upserted"))).select(*columns)
+    last = F.substring("product_id", -1, 1)
+    for digit in "0123456":  # the batches of seven, each a segment, so that some are merged
+        own = changed.filter(last == digit)
+        if digit == "0":  # rows that another batch changes again, and rows as they are
+            own = own.unionByName(changed.filter(last == "1").withColumn("text", F.lit("not yet")))
+            own = own.unionByName(rows.filter("lang <> 'en'").filter(last == "0").select(*columns))
+        index = index.upsert([own], encode=models.bag_of_words)
+    rest = changed.filter(last.isin("7", "8", "9"))
+    extra = rest.withColumn("product_id", F.concat(F.lit("9000"), "product_id"))
+    index = index.upsert([rest.withColumn("text", F.lit("")), rest, extra], encode=models.bag_of_words)
+    return index.upsert([rest.limit(0)], encode=models.bag_of_words, deleted=extra.select("product_id"))
+
+
+def upserted_index(spark: SparkSession, sf: str) -> indexes.SearchIndex:
+    """Index of the documents after upserts that change all English texts, add rows and delete them again."""
+    return _upserted_index(spark.sparkContext.applicationId, sf)
+
+
+def upserted_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.text_queries(spark, sf).withColumn("query", F.concat("query", F.lit(" upserted")))
+
+
+def as_numbers(found: DataFrame) -> DataFrame:
+    return found.select("query_id", F.col("product_id").cast("long").alias("product_id"), "score", "rank")
 
 
 @query("index_upsert_search", sql.with_ctes(
-    """docs AS (SELECT CAST(doc_id AS VARCHAR) AS product_id, source, 'text' AS field,
-  CASE WHEN lang = 'en' THEN text || ' upserted' ELSE text END AS text FROM documents)""", "asked AS (SELECT item_id AS query_id, text || ' upserted' AS query FROM benchmark)",
-    sql.bm25({"text": 1.0}, 10), "SELECT query_id, CAST(product_id AS BIGINT) AS product_id, score, rank FROM lexical"))
+    UPSERTED, ASKED_UPSERTED, sql.bm25({"text": 1.0}, 10), AS_NUMBERS.format("lexical")))
 def index_upsert_search(spark: SparkSession, sf: str) -> DataFrame:
-    """A search after an upsert finds what a fresh index finds."""
-    rows = inputs.table(spark, sf, "documents").withColumn("product_id", inputs.text("doc_id"))
-    path, index = scratch_path(spark, "documents"), scratch_path(spark, "index")
-    rows.select("product_id", "source", "text").write.partitionBy("source").parquet(path)
-    indexes.write_lexical(spark.read.parquet(path), ["text"], index)
-    batch = rows.filter("lang = 'en'").select("product_id", "source", F.concat("text", F.lit(" upserted")).alias("text"))
-    indexes.upsert_index(spark, path, index, [batch], ["text"])
-    queries = inputs.text_queries(spark, sf).withColumn("query", F.concat("query", F.lit(" upserted")))
-    found = lexical.bm25(indexes.read_lexical(spark, index), queries, 10, {"text": 1.0})
-    return found.select("query_id", F.col("product_id").cast("long").alias("product_id"), "score", "rank")
+    """A search after upserts finds what a fresh index finds."""
+    return as_numbers(lexical.bm25(upserted_index(spark, sf).lexical(), upserted_queries(spark, sf), 10, {"text": 1.0}))
+
+
+@query("index_upsert_knn", sql.with_ctes(
+    *UPSERTED_VECTORS, sql.knn(10, "doc_vectors", "asked_vectors"), AS_NUMBERS.format("dense")))
+def index_upsert_knn(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors after upserts are those of the new texts."""
+    queries = upserted_queries(spark, sf).select("query_id", models.bag_of_words(F.col("query")).alias("embedding"))
+    return as_numbers(dense.knn(upserted_index(spark, sf).vectors(), queries, 10))
+
+
+@query("index_upsert_hybrid", sql.with_ctes(
+    UPSERTED_VECTORS[0], UPSERTED_VECTORS[1], sql.bm25({"text": 1.0}, 50), *UPSERTED_VECTORS[2:], sql.knn(50, "doc_vectors", "asked_vectors"),
+    sql.rrf(10, "fused", "SELECT query_id, product_id, rank FROM lexical UNION ALL SELECT query_id, product_id, rank FROM dense"),
+    AS_NUMBERS.format("fused")))
+def index_upsert_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Both legs of a hybrid search read the upserted index."""
+    index = upserted_index(spark, sf)
+    search = Search(index.lexical(), index.vectors(), index.documents().select("product_id", "text"), {"text": 1.0})
+    return as_numbers(search.hybrid_rrf(upserted_queries(spark, sf), 10))
+
+
+@query("index_upsert_stats", sql.with_ctes(UPSERTED, ASKED_UPSERTED, sql.bm25({"text": 1.0}, 1), """
+SELECT term, df, n_docs, round(avgdl, 6) AS avgdl, total
+FROM (SELECT field, term, CAST(sum(tf) AS BIGINT) AS total FROM postings GROUP BY ALL)
+JOIN frequency USING (field, term) JOIN stats USING (field)"""))
+def index_upsert_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics summed from the segments' changes are those of the documents."""
+    index = upserted_index(spark, sf).lexical()
+    totals = index.postings.groupBy("field", "term").agg(F.sum("tf").alias("total")).join(index.term_df(), ["field", "term"])
+    return totals.join(F.broadcast(index.field_stats()), "field").select(
+        "term", "df", "n_docs", F.round("avgdl", 6).alias("avgdl"), "total")
+
+
+@query("index_rejected", """
+SELECT count(*) AS encoded, count(*) FILTER (WHERE lang = 'de') AS rejected, count(*) FILTER (WHERE lang IS DISTINCT FROM 'de') AS written
+FROM documents""")
+def index_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of a wrong length are left out and counted by the job that writes the others."""
+    rows = inputs.table(spark, sf, "documents").select(inputs.text("doc_id").alias("product_id"), "source", "lang")
+    short = lambda c: F.when(c == "de", F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0)))
+    index = indexes.create_index(rows, scratch_path(spark, "index"), text="lang", encode=short, dimension=2, skip_rejected=True)
+    counts = index.report().withColumn("what", F.when(F.col("what") == "vectors", "written").otherwise(F.col("what")))
+    return counts.groupBy().pivot("what", ["encoded", "rejected", "written"]).agg(F.sum("n"))

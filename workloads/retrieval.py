@@ -81,7 +81,7 @@ FROM (SELECT field, term, CAST(sum(tf) AS BIGINT) AS total FROM postings GROUP B
 JOIN frequency USING (field, term) JOIN stats USING (field)"""))
 def bm25_index_stats(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "lexical-index")
-    indexes.write_lexical(inputs.documents(spark, sf), ["text"], path, term_buckets=16, file_rows=500)
+    indexes.write_lexical(inputs.documents(spark, sf), ["text"], path, term_buckets=16)
     index = indexes.read_lexical(spark, path)
     totals = index.postings.groupBy("field", "term").agg(F.sum("tf").alias("total")).join(
         index.term_df(), ["field", "term"]
@@ -109,6 +109,18 @@ def bm25_single(spark: SparkSession, sf: str) -> DataFrame:
     return hits(text_search(spark, sf).bm25(inputs.text_queries(spark, sf), K))
 
 
+@query("bm25_bounded", sql.with_ctes(sql.DOCUMENTS, sql.TEXT_QUERIES, sql.bm25(TEXT_BOOST, K), HITS.format("lexical")))
+def bm25_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """The hits of ``bm25_single``; common words are looked up only for products that can still enter."""
+    return hits(lexical.bm25_bounded(text_search(spark, sf).index, inputs.text_queries(spark, sf), K, TEXT_BOOST))
+
+
+@query("bm25_bounded_fields", sql.with_ctes(
+    *sql.SHOP_PRODUCTS, sql.SHOP_FIELDS, sql.SHOP_QUERIES, sql.bm25(FIELD_BOOSTS, 20), HITS.format("lexical")))
+def bm25_bounded_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return hits(lexical.bm25_bounded(shop_search(spark, sf).index, inputs.shop_queries(spark, sf), 20, FIELD_BOOSTS))
+
+
 @query("bm25_stored_index", sql.with_ctes(
     sql.DOCUMENTS, sql.TEXT_QUERIES, sql.bm25(TEXT_BOOST, K),
     "SELECT query_id, CAST(product_id AS BIGINT) AS product_id, score, rank FROM lexical"))
@@ -116,7 +128,7 @@ def bm25_stored_index(spark: SparkSession, sf: str) -> DataFrame:
     """Search in an index on disk, reading the folders of the queries' terms."""
     path = scratch_path(spark, "lexical-index")
     padded = inputs.documents(spark, sf).withColumn("product_id", F.lpad(F.col("product_id").cast("string"), 12, "0"))
-    indexes.write_lexical(padded, ["text"], path, term_buckets=64, file_rows=500)
+    indexes.write_lexical(padded, ["text"], path, term_buckets=64)
     found = lexical.bm25(indexes.read_lexical(spark, path), inputs.text_queries(spark, sf), K, TEXT_BOOST)
     return found.select("query_id", F.col("product_id").cast("bigint").alias("product_id"), "score", "rank")
 
