@@ -8,11 +8,15 @@ passes through one task as a whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftrank.schemas import PRODUCT
+from siftrank.sources import scans
 
 ROWS_PER_LINE = 10_000
 
@@ -20,11 +24,12 @@ ROWS_PER_LINE = 10_000
 def _records(spark: SparkSession, path: str, opening: str, closing: str) -> DataFrame:
     """``query_id, body`` of every ``"key": [...]`` or ``"key": {...}`` in the files, however they are laid out.
 
-    The text is cut at the closing bracket, so one object of any size is split
-    among tasks.  What is left of a key or a value with that bracket in a string
-    is not a record, and stops the job.
+    One object of any size is split among tasks, and values nest to any depth; a
+    bracket in a string is text (``scans``).  What is not such a record stops the job.
     """
-    parts = spark.read.option("lineSep", closing).text(path).filter(~F.col("value").rlike(r"^[\s,{}]*$"))
+    # Lists end at the outermost bracket of their kind, objects inside the one that holds them all.
+    found = scans.records(spark, path, scans.bracketed(opening, closing, 0 if opening == "[" else 1))
+    parts = found.filter(~F.col("value").rlike(r"^[\s,{}]*$"))
     key = rf'^[\s,{{}}]*("(?:[^"\\]|\\.)*")\s*:\s*\{opening}(?s:(.*))$'
     checked = F.when(F.col("value").rlike(key), F.col("value")).otherwise(
         F.raise_error(F.concat(F.lit("not a record of the nested form: "), F.substring("value", 1, 200))))
@@ -34,7 +39,7 @@ def _records(spark: SparkSession, path: str, opening: str, closing: str) -> Data
                        F.concat(F.lit(opening), F.regexp_extract("value", key, 2), F.lit(closing)).alias("body"))
 
 
-def _parsed(body: str, kind: str) -> Column:
+def _parsed(body: str, kind: str | T.DataType) -> Column:
     """The value; a text that is not of the kind stops the job."""
     value = F.from_json(body, kind)
     return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit("cannot be read: "), F.substring(body, 1, 200))))
@@ -88,21 +93,31 @@ def read_ranked_json(spark: SparkSession, path: str) -> DataFrame:
     ).select("query_id", "product_id", (F.col("at") + 1).cast("long").alias("rank"))
 
 
-def write_product_store(products: DataFrame, path: str) -> None:
-    """``{product: {...}}`` lines, one per product."""
-    line = F.create_map(F.col("product_id").cast("string"), F.struct(*products.columns))
-    products.select(F.to_json(line).alias("value")).write.text(path)
+def write_product_store(products: DataFrame, path: str, one_object: bool = False) -> None:
+    """``{product: {...}}`` lines, one per product; with ``one_object`` each file is one object of all its products."""
+    key, body = F.to_json(F.array(F.col("product_id").cast("string"))), F.to_json(F.struct(*products.columns))
+    entry = F.concat(F.regexp_extract(key, r"(?s)^\[(.*)\]$", 1), F.lit(": "), body)
+    if not one_object:
+        products.select(F.concat(F.lit("{"), entry, F.lit("}")).alias("value")).write.text(path)
+        return
 
+    def enclose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "{"
+        for batch in batches:
+            lines = []
+            for line in batch.column(0).to_pylist():
+                lines.append(before + line)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["{}" if before == "{" else "}"], pa.string())], names=["value"])
 
-def read_product_store(spark: SparkSession, path: str, schema: T.StructType = PRODUCT, whole_file: bool = False) -> DataFrame:
-    """Products from the lines of :func:`write_product_store`, or from files that are one object each.
+    products.select(entry.alias("value")).mapInArrow(enclose, "value string").write.text(path)
 
-    Documents nest, so a single object cannot be cut; with ``whole_file`` each
-    file is one task's work, whatever its size.
-    """
-    text = spark.read.text(path, wholetext=whole_file).filter("trim(value) <> ''")
-    kind = T.MapType(T.StringType(), schema)
-    return text.select(F.explode(F.from_json("value", kind)).alias("key", "row")).select(
+
+def read_product_store(spark: SparkSession, path: str, schema: T.StructType = PRODUCT) -> DataFrame:
+    """Products from the lines of :func:`write_product_store`, or from files that are one object each, of any size."""
+    rows = _records(spark, path, "{", "}").select(F.col("query_id").alias("key"), _parsed("body", schema).alias("row"))
+    return rows.select(
         F.coalesce(F.col("row.product_id"), F.col("key")).alias("product_id"),
         *[F.col("row").getField(f.name).alias(f.name) for f in schema.fields if f.name != "product_id"])
 

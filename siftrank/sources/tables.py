@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftrank.schemas import QUERIES
+from siftrank.sources import scans
 
 CORRUPT = "_corrupt_record"
 
@@ -18,19 +19,20 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 def _delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str, multi_line: bool) -> DataFrame:
     """Text with a header, a record per line or, with ``multi_line``, records whose quoted fields hold line ends.
 
-    Files of the first kind are split among tasks; one of the second kind is a
-    task's work.  A quoted field that does not end on its line would be read
-    as wrong rows, so the first kind stops there.
+    Files of both kinds are split among tasks.  A quoted field that does not end
+    on its line would be read as wrong rows by the first, plainer way, which
+    stops there; the second finds the records by a scan (``scans``).
     """
-    if not multi_line:
-        open_quote = rf'(^|{sep})"([^"]|"")*$'
-        if spark.read.text(path).filter(F.col("value").rlike(open_quote)).head(1):
-            raise ValueError(f"{path} has quoted line ends; read it with multi_line=True")
-    return (
-        spark.read.schema(schema).option("sep", sep).option("header", True).option("quote", '"')
-        .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    )
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    if multi_line:
+        rows = scans.records(spark, path, scans.delimited(sep)).filter("not first")
+        rows = rows.select(F.regexp_replace("value", r"\r$", "").alias("value")).filter("trim(value) <> ''")
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        return rows.select(F.from_csv("value", kind, options).alias("row")).select(*[F.col("row").getField(f.name).alias(f.name) for f in schema.fields])
+    open_quote = rf'(^|{sep})"([^"]|"")*$'
+    if spark.read.text(path).filter(F.col("value").rlike(open_quote)).head(1):
+        raise ValueError(f"{path} has quoted line ends; read it with multi_line=True")
+    return spark.read.schema(schema).options(header=True, **options).csv(path)
 
 
 def _write_delimited(df: DataFrame, path: str, sep: str) -> None:

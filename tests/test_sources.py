@@ -82,12 +82,12 @@ def test_nested_objects_of_any_size_are_split(spark, tmp_path):
     exchange.write_ranked_json(frame, str(tmp_path / "again"))
     assert exchange.read_ranked_json(spark, str(tmp_path / "again")).exceptAll(frame).count() == 0
     odd = tmp_path / "odd.json"
-    odd.write_text(json.dumps({"q]1": ["a"], 'q"2': ['b"', "c\n"]}))
+    odd.write_text(json.dumps({"q1": ["a"]})[:-1] + ', "q2" "b": [1]}')
     with pytest.raises(Exception, match="not a record|cannot be read"):
         exchange.read_ranked_json(spark, str(odd)).collect()
-    odd.write_text(json.dumps({'q"2, {': ['b"', "c\n"], "é": ["x"]}))
+    odd.write_text(json.dumps({'q"2, {': ['b"', "c\n]"], "é": ["x"], "q]1": ["["]}))
     assert {tuple(r) for r in exchange.read_ranked_json(spark, str(odd)).collect()} == {
-        ('q"2, {', 'b"', 1), ('q"2, {', "c\n", 2), ("é", "x", 1)}
+        ('q"2, {', 'b"', 1), ('q"2, {', "c\n]", 2), ("é", "x", 1), ("q]1", "[", 1)}
 
 
 def test_product_store(spark, tmp_path):
@@ -105,8 +105,63 @@ def test_product_store(spark, tmp_path):
             k: v for k, v in want[r.product_id].items() if k != "metadata"}
     whole = tmp_path / "store.json"
     whole.write_text(json.dumps({"p1": {"source": "ESCI", "color": ["red"], "metadata": {"a": "b"}}, "p2": {"source": "W"}}, indent=1))
-    found = exchange.read_product_store(spark, str(whole), whole_file=True).collect()
+    found = exchange.read_product_store(spark, str(whole)).collect()
     assert {(r.product_id, r.source) for r in found} == {("p1", "ESCI"), ("p2", "W")}
+    exchange.write_product_store(frame.coalesce(1), str(tmp_path / "one"), one_object=True)
+    (file,) = (tmp_path / "one").glob("part-*")
+    assert set(json.loads(file.read_text())) == {"p1", "p2"}
+    assert {r.product_id for r in exchange.read_product_store(spark, str(tmp_path / "one")).collect()} == {"p1", "p2"}
+
+
+@pytest.fixture(params=["128m", "150", "37"])
+def split_size(request, spark):
+    """Files in splits of so many bytes, down to several splits in a record."""
+    names = {"spark.sql.files.maxPartitionBytes": request.param, "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_quoted_line_ends_in_many_splits(spark, tmp_path, split_size):
+    own = random.Random(1)
+    texts = ["plain", 'a "quoted" word', "line\nend", 'two\n\n"ends"\n', "tab\tin, and comma", '5" shelf', " s ", 'é\n"', None, '"', '""', '",\n"']
+    frame = spark.createDataFrame([(str(i), own.choice(texts)) for i in range(200)], "query_id string, query string")
+    want = {tuple(r) for r in frame.collect()}
+    for write, read, end in ((tables.write_csv, tables.read_query_table, ".csv"), (tables.write_tsv, tables.read_tsv, ".tsv")):
+        path = str(tmp_path / f"q{end}")
+        write(frame.coalesce(1), path)
+        back = read(spark, path, frame.schema, multi_line=True).collect()
+        assert len(back) == 200 and {tuple(r) for r in back} == want
+    assert spark.read.text(path).rdd.getNumPartitions() > (1 if split_size != "128m" else 0)
+
+
+def test_files_with_quotes_that_open_no_string(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('query_id,query\r\n1,5" shelf\r\n2,"two\r\nlines"\r\n\r\n3,a""b\r\n4,"c" d')
+    found = tables.read_query_table(spark, str(path), multi_line=True).collect()
+    assert [(r.query_id, r.query.replace("\r", "")) for r in found][:3] == [("1", '5" shelf'), ("2", "two\nlines"), ("3", 'a""b')]
+    assert len(found) == 4
+
+
+def test_one_object_in_many_splits(spark, tmp_path, split_size):
+    own = random.Random(2)
+    texts = ["a } b", "{", 'x"}', "\n}", "[", "\\", "é"]
+    store = {f"p}}{i}": {"source": "A", "full_text": own.choice(texts), "encode_text": "e", "color": ["r"], "metadata": {"k": own.choice(texts)}}
+             for i in range(60)}
+    run = {f"q]{i}": [f"p[{j}" for j in range(i % 4)] for i in range(50)}
+    judged = {f"q{i}": {f"}}{j}": 1.0 + j for j in range(i % 3 + 1)} for i in range(40)}
+    for indent in (None, 1):
+        for name, data in (("store", store), ("run", run), ("judged", judged)):
+            (tmp_path / f"{name}{indent}.json").write_text(json.dumps(data, indent=indent))
+        found = exchange.read_product_store(spark, str(tmp_path / f"store{indent}.json")).collect()
+        assert {r.product_id: (r.full_text, r.metadata["k"]) for r in found} == {k: (v["full_text"], v["metadata"]["k"]) for k, v in store.items()}
+        ranked = exchange.read_ranked_json(spark, str(tmp_path / f"run{indent}.json")).collect()
+        assert sorted(map(tuple, ranked)) == sorted((q, p, i + 1) for q, own_ in run.items() for i, p in enumerate(own_))
+        gains = exchange.read_qrels_json(spark, str(tmp_path / f"judged{indent}.json")).collect()
+        assert sorted(map(tuple, gains)) == sorted((q, p, g) for q, own_ in judged.items() for p, g in own_.items())
 
 
 def documents(spark, text="red sofa"):

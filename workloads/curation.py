@@ -34,6 +34,15 @@ def scan_tsv(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_tsv(spark, path, part.schema)
 
 
+@query("scan_quoted_tsv", "SELECT doc_id, nullif(text, '') AS text, lang FROM documents")
+def scan_quoted_tsv(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with line ends and quotes; files are split, and records cross the splits."""
+    rows = inputs.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    path = scratch_path(spark, "tsv")
+    tables.write_tsv(rows, path)
+    return tables.read_tsv(spark, path, rows.schema, multi_line=True).withColumn("text", F.nullif("text", F.lit("")))
+
+
 @query("scan_query_table", sql.with_ctes(
     sql.SHOP_QUERIES,
     "SELECT 'csv' AS form, query_id, query FROM asked UNION ALL SELECT 'parquet', query_id, query FROM asked",
@@ -76,6 +85,17 @@ def product_store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return flat(exchange.read_product_store(spark, path))
 
 
+@query("product_store_objects", sql.with_ctes(*sql.PRODUCTS, f"""
+SELECT {', '.join(PRODUCT_COLUMNS)}, color FROM esci_products
+UNION ALL SELECT {', '.join(PRODUCT_COLUMNS)}, color FROM wands_products"""))
+def product_store_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """The store as one object per file, each read by as many tasks as it has splits."""
+    path = scratch_path(spark, "store-json")
+    rows = inputs.esci(spark, sf).products().unionByName(inputs.wands(spark, sf).products())
+    exchange.write_product_store(rows, path, one_object=True)
+    return flat(exchange.read_product_store(spark, path))
+
+
 @query("qrels_json_roundtrip", sql.with_ctes(sql.EXAMPLES, sql.SHOP_QRELS, "SELECT * FROM shop_qrels"))
 def qrels_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "qrels-json")
