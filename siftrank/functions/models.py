@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -18,15 +21,64 @@ Score = Callable[[list[str], list[str]], Sequence[float]]
 Generate = Callable[[list[str]], Sequence[str | None]]
 
 
-def encoder(load: Callable[[], Encode], batch: int = 32, normalize: bool = True) -> Callable[[Column], Column]:
-    """Text column to vector column; ``load`` runs once per Python worker."""
+BATCH = 32         # texts in a call
+IN_FLIGHT = 4      # calls that a worker keeps open
+ATTEMPTS = 3
+WAIT_SECONDS = 0.2  # before the second attempt, doubled for each further one
+
+
+def persistent(call: Callable, attempts: int = ATTEMPTS, wait: float = WAIT_SECONDS) -> Callable:
+    """The call, tried again after a growing pause when it fails; the last failure is the caller's."""
+    def tried(*args: object) -> object:
+        for attempt in range(1, attempts + 1):
+            try:
+                return call(*args)
+            except Exception:  # the caller's model: any of its failures
+                if attempt == attempts:
+                    raise
+                time.sleep(wait * 2 ** (attempt - 1))
+
+    return tried
+
+
+def in_order(call: Callable, batches: Iterable[tuple], in_flight: int = IN_FLIGHT) -> Iterator:
+    """Results of the calls in the order of the batches, of which at most ``in_flight`` are open at a time.
+
+    The next batch is sent as soon as the oldest one is answered, so a worker
+    waits for its model, not the model for the worker.
+    """
+    with ThreadPoolExecutor(in_flight) as pool:
+        opened: deque = deque()
+        try:
+            for batch in batches:
+                if len(opened) == in_flight:
+                    yield opened.popleft().result()
+                opened.append(pool.submit(call, *batch))
+            while opened:
+                yield opened.popleft().result()
+        finally:
+            for call_ in opened:
+                call_.cancel()
+
+
+def pieces(size: int, *columns: Sequence) -> Iterator[tuple]:
+    for at in range(0, len(columns[0]), size):
+        yield tuple(list(c[at:at + size]) for c in columns)
+
+
+def encoder(load: Callable[[], Encode], batch: int = BATCH, normalize: bool = True, in_flight: int = IN_FLIGHT,
+            attempts: int = ATTEMPTS) -> Callable[[Column], Column]:
+    """Text column to vector column; ``load`` runs once per Python worker.
+
+    The model is called from ``in_flight`` threads; 1 for one that cannot bear it.
+    """
     @pandas_udf("array<double>")
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        model = persistent(load(), attempts)
         for texts in parts:
-            vectors = []
-            for at in range(0, len(texts), batch):
-                found = np.asarray(model(texts[at:at + batch].tolist()), dtype=np.float64)
+            vectors: list = []
+            for values in in_order(model, pieces(batch, texts), in_flight):
+                found = np.asarray(values, dtype=np.float64)
                 if normalize:
                     norms = np.linalg.norm(found, axis=1, keepdims=True)
                     found = found / np.where(norms > 0, norms, 1.0)
@@ -36,15 +88,14 @@ def encoder(load: Callable[[], Encode], batch: int = 32, normalize: bool = True)
     return encode
 
 
-def pair_scorer(load: Callable[[], Score], batch: int = 32) -> Callable[[Column, Column], Column]:
-    """Query and text columns to a relevance column; ``load`` runs once per Python worker."""
+def pair_scorer(load: Callable[[], Score], batch: int = BATCH, in_flight: int = IN_FLIGHT,
+                attempts: int = ATTEMPTS) -> Callable[[Column, Column], Column]:
+    """Query and text columns to a relevance column; ``load`` runs once per Python worker, calls as in ``encoder``."""
     @pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = load()
+        model = persistent(load(), attempts)
         for queries, texts in parts:
-            values = []
-            for at in range(0, len(texts), batch):
-                values.extend(model(queries[at:at + batch].tolist(), texts[at:at + batch].tolist()))
+            values = [v for found in in_order(model, pieces(batch, queries, texts), in_flight) for v in found]
             yield pd.Series(values, dtype="float64")
 
     return score
@@ -53,8 +104,8 @@ def pair_scorer(load: Callable[[], Score], batch: int = 32) -> Callable[[Column,
 ANSWERS = "_key string, answer string, error string"
 
 
-def ask(rows: DataFrame, load: Callable[[], Generate], answers: str, batch: int = 32,
-        parallel: int | None = None, slices: int = 1) -> DataFrame:
+def ask(rows: DataFrame, load: Callable[[], Generate], answers: str, batch: int = BATCH,
+        parallel: int | None = None, slices: int = 1, in_flight: int = IN_FLIGHT, attempts: int = ATTEMPTS) -> DataFrame:
     """``rows`` with an ``answer`` to each ``prompt``; each distinct prompt is asked once.
 
     Answers are kept in the parquet table at ``answers`` under the prompt's
@@ -76,16 +127,18 @@ def ask(rows: DataFrame, load: Callable[[], Generate], answers: str, batch: int
         missing = missing.repartition(parallel)
 
     def generate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model = persistent(load(), attempts)
+
+        def answered(keys: list, prompts: list) -> pd.DataFrame:
+            error = None
+            try:
+                texts = list(model(prompts))
+            except Exception as failure:  # the caller's model; its failure means no answer
+                texts, error = [None] * len(prompts), f"{type(failure).__name__}: {failure}"
+            return pd.DataFrame({"_key": keys, "answer": texts, "error": error})
+
         for part in parts:
-            for at in range(0, len(part), batch):
-                piece = part[at:at + batch]
-                error = None
-                try:
-                    texts = list(model(piece["prompt"].tolist()))
-                except Exception as failure:  # the caller's model; its failure means no answer
-                    texts, error = [None] * len(piece), f"{type(failure).__name__}: {failure}"
-                yield pd.DataFrame({"_key": piece["_key"], "answer": texts, "error": error})
+            yield from in_order(answered, pieces(batch, part["_key"], part["prompt"]), in_flight)
 
     for part in range(slices):
         own = missing.filter(F.pmod(F.xxhash64("_key"), F.lit(slices)) == part) if slices > 1 else missing

@@ -174,3 +174,30 @@ def test_top_n_of_a_hot_group(spark, n):
     want = {key: rank for key, rank in brute_ranks(frame.collect()).items() if rank <= n}
     got = top_n(frame, ["k"], [F.asc("v"), F.asc("id")], n)
     assert {(r.k, r.id): r["rank"] for r in got.collect()} == want
+
+
+def test_cut_of_the_hash_selects_the_first_in_mixed_order(spark, monkeypatch):
+    ids = spark.range(700).select(F.concat(F.lit("q"), "id").alias("query_id"))
+    order = [r.query_id for r in ids.orderBy(*sampling.shuffled("query_id", 7)).collect()]
+    for digits in (1, 2, 4):
+        monkeypatch.setattr(sampling, "DIGITS", digits)
+        for n in (0, 1, 2, 17, 350, 699, 700, 900):
+            found = {r.query_id for r in sampling.first_mixed(ids, n, "query_id", 7).collect()}
+            assert found == set(order[:n]), (digits, n)
+    assert sampling.first_mixed(ids.limit(0), 5).count() == 0
+
+
+def test_repeated_ids_stay_on_one_side(spark):
+    ids = spark.range(90).select((F.col("id") % 9).cast("string").alias("query_id"))
+    assert sampling.first_mixed(ids, 15).count() in (10, 20)
+
+
+def test_selection_sorts_nothing(spark, capsys):
+    ids = spark.range(100).select(F.col("id").cast("string").alias("query_id"))
+    rows = ids.unionByName(ids)
+    split = sampling.split_queries(rows)
+    assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 140, "test": 60}
+    for frame in (split, sampling.sample_queries(ids, 7, 3)):
+        frame.explain()
+        text = capsys.readouterr().out
+        assert "rangepartitioning" not in text and "Limit" not in text and "TakeOrdered" not in text and "Sort" not in text

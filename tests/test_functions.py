@@ -1,8 +1,11 @@
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from siftrank.functions import attributes as attr
-from siftrank.functions import prompts, text, vectors
+from siftrank.functions import models, prompts, text, vectors
 from siftrank.functions.models import bag_of_words, word_overlap
 
 
@@ -116,3 +119,53 @@ def test_stand_ins(spark):
     assert len(vector) == 64 and abs(sum(v * v for v in vector) - 1) < 1e-9
     rows = [("red sofa", "a red chair"), ("", "a"), ("red red", "red")]
     assert values(spark, word_overlap(F.col("q"), F.col("t")), rows, "q string, t string") == [0.5, 0.0, 1.0]
+
+
+def test_calls_are_in_order_and_few_are_open():
+    opened, most = [0], [0]
+    lock = threading.Lock()
+
+    def slow(batch):
+        with lock:
+            opened[0] += 1
+            most[0] = max(most[0], opened[0])
+        time.sleep(0.05 + 0.01 * (batch[0] % 3))
+        with lock:
+            opened[0] -= 1
+        return [x * 2 for x in batch]
+
+    start = time.perf_counter()
+    found = [x for part in models.in_order(slow, models.pieces(2, list(range(48)))) for x in part]
+    took = time.perf_counter() - start
+    assert found == [x * 2 for x in range(48)] and most[0] == 4
+    assert took < 24 * 0.06 / 2  # a quarter and some slack
+    assert list(models.in_order(slow, models.pieces(2, []))) == []
+
+
+def test_failed_calls_are_tried_again():
+    calls = []
+
+    def shaky(batch):
+        calls.append(time.perf_counter())
+        if len(calls) < 3:
+            raise OSError("busy")
+        return batch
+
+    assert models.persistent(shaky, wait=0.05)([1]) == [1]
+    assert calls[2] - calls[1] > 1.5 * (calls[1] - calls[0]) * 0.9
+    calls.clear()
+    with pytest.raises(OSError):
+        models.persistent(shaky, attempts=2, wait=0.01)([1])
+
+
+def test_models_keep_the_order_of_rows(spark):
+    def load():
+        return lambda texts: [[float(t), 1.0] for t in texts]
+
+    def load_pairs():
+        return lambda queries, texts: [float(q) - float(t) for q, t in zip(queries, texts)]
+
+    rows = spark.range(500, numPartitions=3).select("id", F.col("id").cast("string").alias("t"))
+    encode, score = models.encoder(load, batch=7, normalize=False), models.pair_scorer(load_pairs, batch=5)
+    found = rows.select("id", encode("t").alias("v"), score("t", F.lit("1")).alias("s")).collect()
+    assert all(r.v == [float(r.id), 1.0] and r.s == r.id - 1 for r in found) and len(found) == 500
