@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftrank.functions.vectors import dot, l2_normalize
 from siftrank.operators.ranking import top_n
 from siftrank.scratch import materialize, measure, read_shared_parquet, scratch_path, spread
 
@@ -18,6 +20,11 @@ CHUNK_BYTES = 16 << 20   # query vectors that a task reads at a time
 BLOCK_BYTES = 32 << 20   # product vectors that a task holds at a time
 SCORE_CELLS = 4 << 20    # scores held at once: queries times products
 HITS_PER_TASK = 1 << 20  # hits of one task of the cell search: queries times k
+SAMPLE_ROWS = 16_384     # vectors that code books are trained on
+SAMPLE_PER_CELL = 64     # vectors per cell that cells are trained on
+MOST_CELLS = 4096        # trained cells by default; they are sent to every task
+ROUNDS = 12              # of k-means
+CODES = 256              # centres of a part of the vectors: a byte
 
 
 def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +88,7 @@ def _empty(products: pd.DataFrame) -> pd.DataFrame:
 
 
 def _hit_schema(vectors: DataFrame, queries: DataFrame) -> T.StructType:
-    fields = [f for f in vectors.schema.fields if f.name not in ("embedding", "_cell", "_block", "_queries")]
+    fields = [f for f in vectors.schema.fields if f.name not in ("embedding", "code", "_cell", "_block", "_queries")]
     return T.StructType([*fields, T.StructField("query_id", queries.schema["query_id"].dataType),
                          T.StructField("score", T.DoubleType())])
 
@@ -95,33 +102,38 @@ def _chunks(queries: DataFrame, chunk_bytes: int) -> list[str]:
     return sorted(queries.sparkSession.read.schema(wanted.schema).parquet(path).inputFiles())
 
 
-def _stream(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType, chunk_bytes: int) -> DataFrame:
+Block = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+
+
+def _stream(products: DataFrame, queries: DataFrame, schema: T.StructType, chunk_bytes: int, search: Block) -> DataFrame:
     """Products stay where they are: each task reads the query chunks one after another for every block of its products.
 
-    A task holds one block and one chunk.  What leaves it is cut to ``k`` per
+    A task holds one block and one chunk.  What leaves it is cut to the best per
     query by the ranking that follows, before anything is shuffled.
     """
     chunks, names = _chunks(queries, chunk_bytes), schema.fieldNames()
+    data = next(c for c in ("embedding", "code") if c in products.columns)
+    item = 1 if data == "code" else 8
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         rows = 0
 
         def block() -> Iterator[pd.DataFrame]:
-            products = pd.concat(held, ignore_index=True)
+            own = pd.concat(held, ignore_index=True)
             for chunk in chunks:
-                yield search_block(read_shared_parquet(chunk), products, k)[names]
+                yield search(read_shared_parquet(chunk), own)[names]
 
         for batch in batches:
             held.append(batch)
             rows += len(batch)
-            if rows * 8 * max((len(v) for v in batch["embedding"][:1]), default=1) >= BLOCK_BYTES:
+            if rows * item * max((len(v) for v in batch[data][:1]), default=1) >= BLOCK_BYTES:
                 yield from block()
                 held, rows = [], 0
         if held:
             yield from block()
 
-    return vectors.mapInPandas(search, schema)
+    return products.mapInPandas(run, schema)
 
 
 def _blocks(vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType,
@@ -151,7 +163,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, filter_source: str |
         vectors = vectors.filter(F.col("source") == filter_source)
     searched = vectors.select("product_id", "source", "embedding")
     schema = _hit_schema(searched, queries)
-    found = _stream(spread(searched), queries, k, schema, chunk_bytes)
+    found = _stream(spread(searched), queries, schema, chunk_bytes, lambda asked, own: search_block(asked, own, k))
     hits = top_n(found, ["query_id"], [F.desc("score"), F.asc("product_id")], k)
     if filter_source and filter_mode == "post":
         hits = hits.filter(F.col("source") == filter_source)
@@ -181,13 +193,27 @@ def assign_cells(rows: DataFrame, centers: np.ndarray, probes: int) -> DataFrame
     return rows.mapInPandas(nearest, schema)
 
 
+def sampled(vectors: DataFrame, rows: int, seed: int = 42) -> DataFrame:
+    """About ``rows`` of the vectors, chosen by a hash of their ids; all if there are not more."""
+    total = vectors.count()
+    if total <= rows:
+        return vectors
+    steps = 1 << 30
+    return vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "product_id"), F.lit(steps)) < math.ceil(steps * rows / total))
+
+
 def trained_centers(vectors: DataFrame, cells: int | None = None, seed: int = 42) -> np.ndarray:
-    """Centres of Spark's KMeans; by default as many as the root of the number of vectors."""
+    """Centres of Spark's KMeans over a sample of ``SAMPLE_PER_CELL`` vectors per cell.
+
+    By default there are as many as the root of the number of vectors, up to
+    ``MOST_CELLS``; beyond that the cells grow, and are searched in more blocks.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    features = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    cells = cells or max(2, math.isqrt(vectors.count()))
+    cells = cells or min(max(2, math.isqrt(vectors.count())), MOST_CELLS)
+    own = sampled(vectors.select("product_id", "embedding"), SAMPLE_PER_CELL * cells, seed)
+    features = materialize(own.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")), "sample")
     return np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(features).clusterCenters())  # cells x dimension
 
 
@@ -222,3 +248,117 @@ def knn_cells(vectors: DataFrame, queries: DataFrame, k: int, *, centers: np.nda
     return top_n(hits, ["query_id"], [F.desc("score"), F.asc("product_id")], k).select(
         "query_id", "product_id", "source", "score", "rank"
     )
+
+
+@dataclass(frozen=True)
+class CodeBook:
+    """Centres of the parts of a rotated unit vector; a vector's code is the nearest centre of each part, a byte each."""
+
+    turn: np.ndarray     # dimension x dimension, orthogonal
+    centers: np.ndarray  # parts x CODES x dimension of a part
+
+    @property
+    def parts(self) -> int:
+        return len(self.centers)
+
+    def split(self, unit: np.ndarray) -> np.ndarray:
+        return (unit @ self.turn).reshape(len(unit), self.parts, -1).transpose(1, 0, 2)
+
+    def encode(self, unit: np.ndarray) -> np.ndarray:
+        return np.stack([_nearest(part, own) for part, own in zip(self.split(unit), self.centers)], axis=1).astype(np.uint8)
+
+    def scores(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Inner products of queries and coded vectors, looked up in one table per part."""
+        total = np.zeros((len(codes), len(queries)), dtype=np.float32)
+        for part, own, code in zip(self.split(queries), self.centers, codes.T):
+            total += (own @ part.T).astype(np.float32)[code]
+        return total.T
+
+
+def _nearest(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    half = 0.5 * (centers * centers).sum(axis=1)
+    return np.concatenate([(rows[at:at + 4096] @ centers.T - half).argmax(axis=1) for at in range(0, max(len(rows), 1), 4096)])
+
+
+def train_codes(vectors: DataFrame, parts: int | None = None, rows: int = SAMPLE_ROWS, seed: int = 42) -> CodeBook:
+    """Code book of a sample of about ``rows`` vectors; by default a byte for four components.
+
+    A rotation by the sample's principal axes, dealt out in turn, gives all parts
+    about the same share of the variance.
+    """
+    own = sampled(vectors.select("product_id", "embedding"), rows, seed).select("embedding").toPandas()  # a bounded sample
+    unit, _ = _unit(_matrix(own["embedding"]))
+    if not len(unit):
+        raise ValueError("no vector of a length above zero to train on")
+    dims = unit.shape[1]
+    parts = parts or max(p for p in range(1, dims + 1) if dims % p == 0 and p <= max(1, dims // 4))
+    if dims % parts:
+        raise ValueError(f"{dims} components do not fall into {parts} equal parts")
+    centred = unit - unit.mean(axis=0)
+    _, axes = np.linalg.eigh(centred.T @ centred)
+    turn = axes[:, ::-1].reshape(dims, -1, parts).transpose(0, 2, 1).reshape(dims, dims)
+    rng = np.random.default_rng(seed)
+    centers = []
+    for part in (unit @ turn).reshape(len(unit), parts, -1).transpose(1, 0, 2):
+        now = part[rng.choice(len(part), CODES, replace=len(part) < CODES)]
+        for _ in range(ROUNDS):
+            at = _nearest(part, now)
+            counts = np.bincount(at, minlength=CODES)
+            sums = np.stack([np.bincount(at, part[:, j], CODES) for j in range(part.shape[1])], axis=1)
+            empty = counts == 0
+            now = np.where(empty[:, None], part[rng.choice(len(part), CODES)], sums / np.maximum(counts, 1)[:, None])
+        centers.append(now)
+    return CodeBook(turn, np.stack(centers))
+
+
+def code_table(vectors: DataFrame, book: CodeBook) -> DataFrame:
+    """product_id, source, code of all vectors but those of length zero: ``book.parts`` bytes for a vector."""
+    rows = vectors.select("product_id", "source", "embedding")
+    kept = T.StructType([f for f in rows.schema.fields if f.name != "embedding"] + [T.StructField("code", T.BinaryType())])
+    shared = rows.sparkSession.sparkContext.broadcast(book)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                unit, known = _unit(_matrix(batch["embedding"]))
+                out = batch.loc[known, ["product_id", "source"]].reset_index(drop=True)
+                out["code"] = [c.tobytes() for c in shared.value.encode(unit)]
+                yield out
+
+    return rows.mapInPandas(encode, kept)
+
+
+def knn_codes(codes: DataFrame, book: CodeBook, vectors: DataFrame, queries: DataFrame, k: int, *, pool: int | None = None,
+              chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Approximate ``knn``: all codes are scanned, and the best ``pool`` (20 k) of a query are ranked by their vectors.
+
+    A scan reads ``book.parts`` bytes for a vector instead of the vector; the
+    vectors are read for the candidates only.  Scores are exact.
+    """
+    pool = pool or 20 * k
+    schema = _hit_schema(codes, queries)
+    shared = codes.sparkSession.sparkContext.broadcast(book)
+
+    def search(asked: pd.DataFrame, products: pd.DataFrame) -> pd.DataFrame:
+        products = products.sort_values("product_id", kind="stable")
+        unit, known = _unit(_matrix(asked["embedding"]))
+        ids = asked["query_id"].to_numpy()[known]
+        payload = products.drop(columns="code").reset_index(drop=True)
+        if not len(unit) or not len(products):
+            return _empty(payload.assign(embedding=None))
+        matrix = np.frombuffer(b"".join(products["code"]), dtype=np.uint8).reshape(len(products), -1)
+        step, found = max(1, SCORE_CELLS // len(matrix)), []
+        for start in range(0, len(unit), step):
+            scores = shared.value.scores(unit[start:start + step], matrix)
+            rows, columns = _best(scores, pool)
+            part = payload.iloc[columns].reset_index(drop=True)
+            part["query_id"], part["score"] = ids[start + rows], scores[rows, columns].astype(np.float64)
+            found.append(part)
+        return pd.concat(found, ignore_index=True)
+
+    near = _stream(codes, queries, schema, chunk_bytes, search)
+    near = materialize(top_n(near, ["query_id"], [F.desc("score"), F.asc("product_id")], pool).select("query_id", "product_id", "source"), "near")
+    asked = queries.select("query_id", l2_normalize(F.col("embedding")).alias("_query"))
+    found = near.join(vectors.select("product_id", l2_normalize(F.col("embedding")).alias("_vector")), "product_id").join(asked, "query_id")
+    scored = found.select("query_id", "product_id", "source", F.round((1 + dot(F.col("_query"), F.col("_vector"))) / 2, 6).alias("score"))
+    return top_n(scored, ["query_id"], [F.desc("score"), F.asc("product_id")], k)

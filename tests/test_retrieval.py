@@ -194,6 +194,33 @@ def run(spark, rows):
         [(q, p, r, 1.0 / r, s) for q, p, r, s in rows], "query_id string, product_id string, rank long, score double, source string")
 
 
+@pytest.mark.parametrize("n, dims", [(300, 8), (4000, 32)])
+def test_codes_find_the_neighbours(spark, n, dims):
+    own = np.random.default_rng(n)
+    matrix = own.normal(size=(n, dims)) * np.linspace(2, 0.5, dims)
+    matrix[0] = 0
+    rows = [(f"p{i:05d}", "A" if i % 3 else "B", v.tolist()) for i, v in enumerate(matrix)]
+    frame = spark.createDataFrame(rows, "product_id string, source string, embedding array<double>").repartition(3)
+    queries = frame.filter("product_id < 'p00040'").select(F.col("product_id").alias("query_id"), "embedding")
+    book = dense.train_codes(frame, rows=1000)
+    codes = dense.code_table(frame, book)
+    assert codes.count() == n - 1 and {len(r.code) for r in codes.collect()} == {dims // 4}
+    exact = {(r.query_id, r.product_id): r.score for r in dense.knn(frame, queries, 10).collect()}
+    found = {(r.query_id, r.product_id): r.score for r in dense.knn_codes(codes, book, frame, queries, 10, chunk_bytes=2000).collect()}
+    assert len(exact) == len(found) == 390
+    both = set(exact) & set(found)
+    assert len(both) >= 0.9 * len(exact)
+    assert all(abs(exact[p] - found[p]) < 2e-6 for p in both)
+    with pytest.raises(ValueError, match="equal parts"):
+        dense.train_codes(frame, parts=3)
+
+
+def test_samples_are_bounded(spark):
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("product_id"))
+    assert 300 < dense.sampled(rows, 500).count() < 700
+    assert dense.sampled(rows, 5000).count() == 5000
+
+
 def test_rrf(spark):
     first = run(spark, [("q", "a", 1, "x"), ("q", "b", 2, "x"), ("q", "", 3, "x")])
     second = run(spark, [("q", "b", 1, "x"), ("q", "c", 2, "x")])

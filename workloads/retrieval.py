@@ -217,6 +217,21 @@ def knn_all_cells(spark: SparkSession, sf: str) -> DataFrame:
                                 rows_per_block=50))
 
 
+@query("knn_codes_recall", """
+SELECT 'label' || label AS source, count(*) AS queries, true AS reached, true AS exact_scores FROM embeddings GROUP BY label""")
+def knn_codes_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Search in codes of 16 bytes beside the exact search: at least nine of ten neighbours in each group of queries."""
+    vectors, queries = inputs.vectors(spark, sf), inputs.vector_queries(spark, sf)
+    book = dense.train_codes(vectors)
+    codes = materialize(dense.code_table(vectors, book), "codes")
+    found = dense.knn_codes(codes, book, vectors, queries, K).select("query_id", "product_id", F.col("score").alias("_score"))
+    both = dense.knn(vectors, queries, K).join(found, ["query_id", "product_id"], "left")
+    groups = vectors.select(F.col("product_id").alias("query_id"), F.col("source").alias("group"))
+    return both.join(groups, "query_id").groupBy(F.col("group").alias("source")).agg(
+        F.count_distinct("query_id").alias("queries"), (F.count("_score") >= 0.9 * F.count(F.lit(1))).alias("reached"),
+        F.coalesce(F.max(F.abs(F.col("score") - F.col("_score"))) < 2e-6, F.lit(False)).alias("exact_scores"))
+
+
 @query("hybrid_candidates", sql.with_ctes(
     *TEXT_LEGS, sql.candidates(POOL), "SELECT query_id, product_id, score, source, leg, rank FROM found"))
 def hybrid_candidates(spark: SparkSession, sf: str) -> DataFrame:
