@@ -134,7 +134,44 @@ def evaluate(qrels: DataFrame, run: DataFrame, ks: list[int] | None = None, *,
         F.round(F.coalesce(F.try_divide(F.col("row.total"), F.col("n_queries")), F.lit(0.0)), 6).alias("score"),
         F.round(F.try_divide(F.col("row.total"), F.col("answered")), 6).alias("score_answered"),
         "n_queries", (F.col("n_queries") - F.col("answered")).alias("n_missing"),
-    )
+    ).orderBy("strategy", "metric", "k")  # a row per strategy, metric and cutoff
+
+
+def evaluate_classes(run: DataFrame, queries: DataFrame, products: DataFrame, ks: list[int] | None = None) -> DataFrame:
+    """Metrics where a product is relevant when its ``label`` is the query's: ``metric, k, score, n_queries``.
+
+    A query's number of relevant products is the size of its class, so no pair
+    of a query and a relevant product that was not found is ever built.  Queries
+    without a run count 0; a class without products has no ideal and scores 0.
+    """
+    ks = checked_cutoffs(ks or CUTOFFS)
+    rank = F.col("rank")
+    sizes = products.groupBy("label").agg(F.count(F.lit(1)).alias("relevant"))
+    asked = queries.select("query_id", "label").join(sizes, "label", "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
+    # A product that a run lists twice counts at its best rank.
+    best = run.groupBy("query_id", "product_id").agg(F.min("rank").alias("rank")).filter(rank <= max(ks))
+    hits = best.join(products.select("product_id", F.col("label").alias("_found")), "product_id").join(queries.select("query_id", "label"), "query_id")
+    good = hits.filter(F.col("_found") == F.col("label"))
+    gain = 1 / F.log2(rank + 1)
+    found = good.groupBy("query_id").agg(
+        F.min("rank").alias("first"), *[F.count_if(rank <= k).alias(f"hits{k}") for k in ks],
+        *[F.sum(F.when(rank <= k, gain)).alias(f"dcg{k}") for k in ks])
+
+    def ideal(k: int) -> Column:
+        places = F.filter(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long")), lambda i: i <= F.col("relevant"))
+        return F.aggregate(places, F.lit(0.0), lambda total, i: total + 1 / F.log2(i + 1))
+
+    zero = F.lit(0.0)
+    values = []
+    for k in ks:
+        values += [("mrr", k, F.when(F.col("first") <= k, 1 / F.col("first")).otherwise(zero)),
+                   ("ndcg", k, F.coalesce(F.try_divide(F.col(f"dcg{k}"), ideal(k)), zero)),
+                   ("recall", k, F.coalesce(F.try_divide(F.col(f"hits{k}"), F.col("relevant")), zero))]
+    means = asked.join(found, "query_id", "left").agg(
+        F.count(F.lit(1)).alias("n_queries"), *[F.avg(v).alias(f"{m}_{k}") for m, k, v in values])
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.round(F.col(f"{m}_{k}"), 6).alias("score")) for m, k, _ in values])).alias("row")
+    return means.select("n_queries", rows).select("row.metric", "row.k", "row.score", "n_queries").orderBy("metric", "k")
 
 
 def compare(metrics: DataFrame, baseline: str | None = None, ks: list[int] | None = None) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from siftrank.functions.text import clean
 from siftrank.operators.merging import subset
 from siftrank.operators.ranking import first_of
+from siftrank.sources.tables import write_counted
+
+SKIP_REASONS = ["no_query", "no_positive", "missing_product", "empty_text"]
 
 
 def positive_products(qrels: DataFrame) -> DataFrame:
@@ -49,6 +52,13 @@ def training_pairs(candidates: DataFrame, max_pairs: int = 0) -> DataFrame:
     return pairs.orderBy("query_id").limit(max_pairs) if max_pairs else pairs
 
 
+def write_training_pairs(candidates: DataFrame, path: str) -> dict[str, int]:
+    """Write the usable pairs; gives the number of pairs and of queries left out for each reason, counted on the way."""
+    counts = {"pair": F.col("skip_reason").isNull(), **{reason: F.col("skip_reason") == reason for reason in SKIP_REASONS}}
+    counts = {name: F.coalesce(condition, F.lit(False)) for name, condition in counts.items()}
+    return write_counted(candidates, path, counts, keep=F.col("skip_reason").isNull())
+
+
 def training_report(candidates: DataFrame) -> DataFrame:
     """Number of queries per outcome."""
     return candidates.groupBy(F.coalesce("skip_reason", F.lit("pair")).alias("outcome")).agg(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,3 +63,14 @@ def read_query_table(spark: SparkSession, path: str, schema: T.StructType = QUER
 
 def write_csv(df: DataFrame, path: str) -> None:
     _write_delimited(df, path, ",")
+
+
+def write_counted(df: DataFrame, path: str, counts: dict[str, Column], keep: Column | None = None) -> dict[str, int]:
+    """Write the rows that meet ``keep`` as parquet, and give the number of all rows that meet each condition.
+
+    The job that writes also counts, so what is left out is known without a second pass.
+    """
+    seen = Observation(f"counted-{uuid.uuid4().hex}")
+    rows = df.observe(seen, *[F.count_if(condition).alias(name) for name, condition in counts.items()])
+    (rows if keep is None else rows.filter(keep)).write.parquet(path)
+    return dict(seen.get)

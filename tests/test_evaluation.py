@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,25 @@ def test_several_strategies_at_once(qrels, run):
     one = {(r.metric): r.score for r in rows if r.strategy == "one"}
     two = {(r.metric): r.score for r in rows if r.strategy == "two"}
     assert one == two and len(rows) == 6
+
+
+def test_classes_equal_judged_pairs(spark):
+    rng = random.Random(4)
+    products = [(f"p{i}", rng.choice("abc")) for i in range(40)]
+    queries = [(f"q{i}", rng.choice("abcd")) for i in range(12)]
+    hits = [(q, p, n + 1) for q, _ in queries[:9] for n, (p, _) in enumerate(rng.sample(products, 6))]
+    hits += [(q, p, n + 3) for q, p, n in hits[::5]]  # listed twice: the better place counts
+    run = spark.createDataFrame(hits, "query_id string, product_id string, rank long")
+    asked = spark.createDataFrame(queries, "query_id string, label string")
+    table = spark.createDataFrame(products, "product_id string, label string")
+    pairs = [(q, p, 1.0) for q, a in queries for p, b in products if a == b] + [(q, "none", 0.0) for q, a in queries if a == "d"]
+    judged = spark.createDataFrame(pairs, "query_id string, product_id string, gain double")
+    want = {(r.metric, r.k): r.score for r in evaluation.evaluate(judged, run, [2, 5]).collect()}
+    found = evaluation.evaluate_classes(run, asked, table, [5, 2, 2]).collect()
+    assert {(r.metric, r.k): r.score for r in found} == want
+    assert [(r.metric, r.k) for r in found] == sorted(want) and {r.n_queries for r in found} == {12}
+
+
+def test_metric_rows_are_in_order(qrels, run):
+    rows = [(r.strategy, r.metric, r.k) for r in evaluation.evaluate(qrels, run, [3, 1, 2]).collect()]
+    assert rows == sorted(rows) and len(rows) == 9

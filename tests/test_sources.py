@@ -328,3 +328,10 @@ def test_memory_size_counts_values(spark):
 def test_shared_dir_is_that_of_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert named is None or shared_dir(spark) == named.rstrip("/")
+
+
+def test_counts_on_the_way(spark, tmp_path):
+    rows = spark.range(20).withColumn("odd", F.col("id") % 2 == 1)
+    found = tables.write_counted(rows, str(tmp_path / "even"), {"all": F.lit(True), "odd": F.col("odd")}, keep=~F.col("odd"))
+    assert found == {"all": 20, "odd": 10} and spark.read.parquet(str(tmp_path / "even")).count() == 10
+    assert tables.write_counted(rows.limit(0), str(tmp_path / "none"), {"all": F.lit(True)}) == {"all": 0}

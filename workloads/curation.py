@@ -288,6 +288,20 @@ def query_split(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.split_queries(inputs.shop_judged(spark, sf).select("row_no", "query_id"))
 
 
+@query("split_disjoint", sql.with_ctes(
+    sql.EXAMPLES, sql.split_ids("examples"), """
+SELECT split, count(DISTINCT query_id) AS queries, count(*) AS judged, 0 AS shared
+FROM (SELECT query_id FROM examples) JOIN sides USING (query_id) GROUP BY split"""))
+def split_disjoint(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries of each side of a split that has passed the check, and how many are on the other side, too."""
+    rows = materialize(sampling.split_queries(inputs.shop_judged(spark, sf).select("row_no", "query_id")), "split")
+    train, test = (rows.filter(F.col("split") == side) for side in ("train", "test"))
+    sampling.checked_disjoint(train, test)
+    other = rows.select("query_id", F.when(F.col("split") == "train", "test").otherwise("train").alias("split"), F.lit(1).alias("_both")).distinct()
+    return rows.join(other, ["query_id", "split"], "left").groupBy("split").agg(
+        F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("judged"), F.count("_both").cast("int").alias("shared"))
+
+
 def _sample_sql(side: str, n: int) -> str:
     return f"""{side}_ids AS (
   SELECT query_id FROM (SELECT DISTINCT query_id FROM {side}) ORDER BY md5('42|' || query_id), query_id LIMIT {n})"""
@@ -450,6 +464,57 @@ def training_skips(spark: SparkSession, sf: str) -> DataFrame:
     return training.training_report(training_rows(spark, sf))
 
 
+@query("training_written", sql.with_ctes(
+    *TRAINING, """
+SELECT outcome, count(query_id) AS queries, CASE WHEN outcome = 'pair' THEN count(query_id) ELSE 0 END AS written
+FROM (SELECT unnest(['pair', 'no_query', 'no_positive', 'missing_product', 'empty_text']) AS outcome)
+LEFT JOIN (SELECT query_id, coalesce(skip_reason, 'pair') AS outcome FROM pairs) USING (outcome) GROUP BY outcome"""))
+def training_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes counted by the job that writes the pairs, beside the rows of what it wrote."""
+    path = scratch_path(spark, "pairs")
+    counts = training.write_training_pairs(training_rows(spark, sf), path)
+    written = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("_written"))
+    outcomes = spark.createDataFrame(list(counts.items()), "outcome string, queries long")
+    return outcomes.select("outcome", "queries", F.when(F.col("outcome") == "pair", written.scalar()).otherwise(0).alias("written"))
+
+
+CORRUPT = "l_linenumber = 7 OR l_quantity = 13"
+
+
+@query("scan_corrupt", f"""
+SELECT count(*) AS lines, count(*) FILTER ({CORRUPT}) AS corrupt, count(*) FILTER (NOT ({CORRUPT})) AS kept,
+       sum(l_orderkey) FILTER (NOT ({CORRUPT})) AS keys FROM lineitem""")
+def scan_corrupt(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that do not fit the schema are counted and left out by the job that reads and writes the others."""
+    rows = inputs.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    number = F.when(F.expr(CORRUPT), F.concat(F.lit("no "), F.col("l_linenumber"))).otherwise(F.col("l_linenumber").cast("string"))
+    path, clean_path = scratch_path(spark, "tsv"), scratch_path(spark, "clean")
+    tables.write_tsv(rows.select("l_orderkey", number.alias("l_linenumber"), "l_quantity"), path)
+    read = tables.read_tsv(spark, path, rows.schema, keep_corrupt=True)
+    bad = F.col(tables.CORRUPT).isNotNull()
+    counts = tables.write_counted(read, clean_path, {"lines": F.lit(True), "corrupt": bad}, keep=~bad)
+    return spark.read.parquet(clean_path).agg(
+        F.lit(counts["lines"]).cast("long").alias("lines"), F.lit(counts["corrupt"]).cast("long").alias("corrupt"),
+        F.count(F.lit(1)).alias("kept"), F.sum("l_orderkey").alias("keys"))
+
+
+@query("index_versions", """
+SELECT lang = 'en' AS changed, count(*) AS before, count(*) FILTER (WHERE lang IS DISTINCT FROM 'de') AS after,
+       count(*) FILTER (WHERE lang = 'en') AS renewed FROM documents GROUP BY 1""")
+def index_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A reader of the first version sees what it saw before; the next one has new texts, and some products less."""
+    rows = inputs.table(spark, sf, "documents").select(inputs.text("doc_id").alias("product_id"), "source", "text", "lang")
+    path = scratch_path(spark, "index")
+    indexes.create_index(rows, path)
+    indexes.open_index(spark, path).upsert(
+        [rows.filter("lang = 'en'").withColumn("text", F.lit("renewed"))], deleted=rows.filter("lang = 'de'"))
+    first, last = (indexes.open_index(spark, path, v).documents() for v in (1, 2))
+    both = first.select("product_id", (F.col("lang") == "en").alias("changed")).join(
+        last.select("product_id", F.col("text").alias("_text")).withColumn("_after", F.lit(1)), "product_id", "left")
+    return both.groupBy("changed").agg(
+        F.count(F.lit(1)).alias("before"), F.count("_after").alias("after"), F.count_if(F.col("_text") == "renewed").alias("renewed"))
+
+
 @query("index_upsert", """
 SELECT doc_id AS product_id, CASE WHEN lang = 'en' AND doc_id % 3 = 0 THEN 'moved'
          WHEN doc_id % 5 <> 0 THEN source END AS source,

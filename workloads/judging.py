@@ -145,28 +145,34 @@ def run_from_scores(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.run_from_scores(scored, 20)
 
 
-LABELLED = """labelled AS (
-  SELECT q.vec_id AS query_id, p.vec_id AS product_id, 1e0 AS gain
-  FROM embeddings q JOIN embeddings p USING (label))"""
-
-
 @query("eval_vectors", sql.with_ctes(
     retrieval.VECTORS, retrieval.VECTOR_QUERIES, sql.knn(20, "vectors", "wanted"), """
-hits_at AS (SELECT query_id, d.rank, q.label = p.label AS good FROM dense d
-            JOIN embeddings q ON q.vec_id = d.query_id JOIN embeddings p ON p.vec_id = d.product_id)""", """
-SELECT k, round(avg(CASE WHEN f.first <= k THEN 1e0 / f.first ELSE 0 END), 6) AS mrr
-FROM (SELECT query_id, min(rank) FILTER (good) AS first FROM hits_at GROUP BY 1) f, (VALUES (5), (10), (20)) AS c(k)
-GROUP BY k"""))
+sizes AS (SELECT label, count(*) AS relevant FROM embeddings GROUP BY label)""", """
+hits_at AS (SELECT query_id, d.rank FROM dense d JOIN embeddings q ON q.vec_id = d.query_id
+            JOIN embeddings p ON p.vec_id = d.product_id AND p.label = q.label)""", """
+cuts AS (SELECT unnest([5, 10, 20]) AS k)""", """
+by_query AS (
+  SELECT vec_id, k, any_value(relevant) AS relevant, min(rank) AS first, count(rank) AS hits, coalesce(sum(1e0 / log2(rank + 1)), 0) AS dcg
+  FROM embeddings JOIN sizes USING (label) CROSS JOIN cuts LEFT JOIN hits_at ON query_id = vec_id AND rank <= k GROUP BY vec_id, k)""", """
+valued AS (SELECT k, coalesce(1e0 / first, 0) AS mrr, hits / relevant AS recall,
+                  dcg / list_sum(list_transform(range(1, least(k, relevant) + 1), lambda i: 1e0 / log2(i + 1))) AS ndcg FROM by_query)""", """
+SELECT metric, CAST(k AS INTEGER) AS k, round(avg(value), 6) AS score, count(*) AS n_queries
+FROM (UNPIVOT valued ON mrr, recall, ndcg INTO NAME metric VALUE value) GROUP BY metric, k"""))
 def eval_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest neighbours judged by their label: a hit counts when its label is the query's."""
+    """Nearest neighbours judged by their label, all products of the query's label being relevant."""
     rows = inputs.table(spark, sf, "embeddings")
-    run = materialize(dense.knn(inputs.vectors(spark, sf), inputs.vector_queries(spark, sf), 20), "run")
-    labels = rows.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("label"), inputs.text("label")).alias("wanted"))
-    # Only the pairs that were retrieved need a judgement for MRR, so no pair of equal labels is built.
-    qrels = run.join(labels, "query_id").select(
-        "query_id", "product_id", F.when(F.col("source") == F.col("wanted"), 1.0).otherwise(0.0).alias("gain")
-    )
-    return evaluation.evaluate(qrels, run).filter("metric = 'mrr'").select("k", F.col("score").alias("mrr"))
+    run = dense.knn(inputs.vectors(spark, sf), inputs.vector_queries(spark, sf), 20)
+    return evaluation.evaluate_classes(
+        run, rows.select(F.col("vec_id").alias("query_id"), "label"), rows.select(F.col("vec_id").alias("product_id"), "label"))
+
+
+OWN_CUTOFFS = [7, 1, 3, 3]
+
+
+@query("eval_config", sql.with_ctes(*JUDGED, *sql.metrics("shop_qrels", "run", [1, 3, 7], 3.0, "exp2")))
+def eval_config(spark: SparkSession, sf: str) -> DataFrame:
+    """Cutoffs, threshold and gain of the caller; cutoffs are sorted and counted once."""
+    return evaluation.evaluate(*judged(spark, sf), OWN_CUTOFFS, threshold=3.0, gain="exp2")
 
 
 CUSTOMERS = """customers AS (SELECT query_id, query FROM (
