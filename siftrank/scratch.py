@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 from urllib.parse import unquote
 
@@ -23,6 +26,8 @@ SPLIT_BYTES = 128 << 20  # spark.sql.files.maxPartitionBytes: a smaller input is
 TINY_BYTES = 64 << 10    # not worth a shuffle
 PART_BYTES = 32 << 20    # input of one task whose work grows beyond its input
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -47,14 +52,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     files = folder.getFileSystem(context._jsc.hadoopConfiguration())
     files.mkdirs(folder)
     files.deleteOnExit(folder)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
-
-
-def scratch_folders(spark: SparkSession) -> list[str]:
-    """All paths below the application's own folder."""
-    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftrank-{spark.sparkContext.applicationId}")
-    files = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [str(f.getPath().toString()) for f in files.listStatus(own)] if files.exists(own) else []
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def tagged_folders() -> Iterator[list[str]]:
+    """The paths that this thread asks for inside the block."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
 
 
 def remove_folders(spark: SparkSession, paths: list[str]) -> None:
