@@ -4,7 +4,8 @@ Records are ordered by a key (hash of the text, hash of the id, a row number),
 so equal texts stay side by side.  Keys are drawn with a chance that grows with
 the record's size; their quantiles cut the key space into many fine ranges, the
 ranges are counted exactly, and a range that holds too much is cut again by
-keys drawn inside it, until none is overfull.  Shards are runs of fine ranges.
+keys drawn inside it, until none is overfull; a record larger than a range is
+one by itself.  Shards are runs of fine ranges.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from siftrank.scratch import materialize
 RANGES_PER_SHARD = 128  # fine ranges a shard is made of, at least
 ROWS_PER_RANGE = 1 << 18  # rows a fine range may hold on average
 KEYS_PER_RANGE = 8      # keys drawn for each range
-ROUNDS = 20             # overfull ranges are cut again at most so often; each round cuts them in eight or more
+ROUNDS = 20             # counts at most; each cuts overfull ranges in two or more, by keys drawn anew
 
 KEY = np.dtype([("a", ">u8"), ("b", ">u8"), ("c", ">u8")])
 
@@ -58,14 +59,20 @@ def in_ranges(records: DataFrame, splitters: np.ndarray) -> DataFrame:
     return ordered.mapInArrow(find, wider(ordered, range="long"))
 
 
-def draw(records: DataFrame, n: int, total: int) -> list:
-    """About ``n`` keys, each record drawn with a weight of its size; the same on every run.
+def after(keys: np.ndarray) -> np.ndarray:
+    """The next key after each."""
+    following = [(int.from_bytes(k, "big") + 1).to_bytes(25, "big")[1:] for k in (bytes(x) for x in keys)]
+    return np.array(following, dtype="V24") if following else keys
+
+
+def draw(records: DataFrame, n: int, total: int, turn: int = 0) -> list:
+    """About ``n`` keys, each record drawn with a weight of its size; the same on every run, and others in each turn.
 
     Each record waits for a time that is exponential at the rate of its size, and
     the first ones are taken.  Of ``total`` bytes about ``3 * n`` come before the
     limit, so a task sends its share only.
     """
-    chance = (F.xxhash64("k1", "k2", "k3", F.lit(7)).cast("double") / float(1 << 64)) + 0.5
+    chance = (F.xxhash64("k1", "k2", "k3", F.lit(7 + turn)).cast("double") / float(1 << 64)) + 0.5
     wait = -F.log(F.greatest(chance, F.lit(1e-18))) / F.col("size")
     early = records.withColumn("wait", wait).filter(F.col("wait") <= 3 * n / total)
     return early.orderBy("wait", "k1", "k2", "k3").select("k1", "k2", "k3").limit(n).collect()
@@ -83,27 +90,29 @@ def sampled_ranges(records: DataFrame, shards: int) -> tuple[np.ndarray, list]:
         parts = np.array([tuple(r) for r in drawn], dtype=np.int64).reshape(-1, 3)
         return np.unique(keys_of(parts[:, 0], parts[:, 1], parts[:, 2]).view("S24")).view("V24")
 
+    def joined(*some: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate(some).view("S24")).view("V24")
+
     drawn = keys(draw(records, wanted * KEYS_PER_RANGE, total))
     splitters = drawn[np.unique(np.arange(1, wanted) * len(drawn) // wanted)]
-    for _ in range(ROUNDS):
+    # A record larger than a range is one by itself, cut off on both sides; there are fewer of them than ranges.
+    large = keys(records.filter(F.col("size") > most).select("k1", "k2", "k3").collect())
+    splitters = joined(splitters, large, after(large))
+    for turn in range(1, ROUNDS + 1):
         ranged = in_ranges(records, splitters)
         counted = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).orderBy("range").collect()
-        over = [r["range"] for r in counted if r["bytes"] > most and r["rows"] > 1]
-        if not over:
+        over = {r["range"]: r["bytes"] for r in counted if r["bytes"] > most and r["rows"] > 1}
+        if not over or turn == ROUNDS:  # the last count is that of the last splitters
             break
-        held = sum(r["bytes"] for r in counted if r["range"] in set(over))
-        needed = sum(math.ceil(r["bytes"] / most) for r in counted if r["range"] in set(over))
-        inside = ranged.filter(F.col("range").isin(over))
-        more = keys(draw(inside, needed * KEYS_PER_RANGE, held))
-        new = [splitters]
+        needed = sum(math.ceil(size / most) for size in over.values())
+        more = keys(draw(ranged.filter(F.col("range").isin(list(over))), needed * KEYS_PER_RANGE, sum(over.values()), turn))
         at = place(splitters, more)
-        for r in counted:
-            if r["range"] in over:
-                own = more[at == r["range"]]
-                parts = math.ceil(r["bytes"] / most) + 1
-                if len(own):
-                    new.append(own[np.unique(np.arange(1, parts) * len(own) // parts)])
-        splitters = np.unique(np.concatenate(new).view("S24")).view("V24")
+        new = [splitters]
+        for number, size in over.items():
+            own, parts = more[at == number], math.ceil(size / most) + 1
+            if len(own):
+                new.append(own[np.unique(np.arange(1, parts) * len(own) // parts)])
+        splitters = joined(*new)
     return splitters, [(r["range"], r["bytes"], r["rows"]) for r in counted]
 
 

@@ -40,6 +40,24 @@ def test_shards_of_odd_rows(spark, rows):
     assert max(sizes) - min(sizes) <= 0.02 * sum(sizes)
 
 
+def test_heavy_records_do_not_stall_the_rounds(spark, monkeypatch):
+    rows = spark.range(3012).selectExpr("id as doc_id", "case when id < 12 then repeat('x', 300000 + cast(id as int)) else cast(id as string) end as text")
+    drawn, counted = [], []
+    draw, in_ranges = sharding.draw, sharding.in_ranges
+    monkeypatch.setattr(sharding, "draw", lambda *a: drawn.append(1) or draw(*a))
+    monkeypatch.setattr(sharding, "in_ranges", lambda r, s: counted.append(len(s)) or in_ranges(r, s))
+    found = sharding.assign_shards(rows).collect()
+    assert len(drawn) <= 3 and len(counted) <= 4
+    sizes = check_shards(found, rows.collect(), 8)
+    assert max(sizes) - min(sizes) <= 310_000
+
+
+def test_next_key():
+    keys = np.array([b"\0" * 24, b"a" * 23 + b"\xff", b"\xff" * 24], dtype="S24").view("V24")
+    assert [bytes(k) for k in sharding.after(keys)][:2] == [b"\0" * 23 + b"\1", b"a" * 22 + b"b\0"]
+    assert len(sharding.after(keys[:0])) == 0
+
+
 def test_place_counts_splitters():
     chance = np.random.default_rng(0)
     keys = sharding.keys_of(*(chance.integers(-3, 3, 200) for _ in range(3)))
