@@ -16,6 +16,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +44,19 @@ def local_header(name: str, crc: int, size: int) -> bytes:
                        len(raw), len(extra)) + raw + extra
 
 
-def directory(members: list[tuple[str, int, int, int]], at: int, force64: bool = False) -> bytes:
+def streamed_header(name: str) -> bytes:
+    """Local file header of a stored member whose checksum and ZIP64 sizes follow its bytes."""
+    raw = name.encode()
+    extra = struct.pack("<HHQQ", 1, 16, 0, 0)
+    return struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 45, 0x808, 0, 0, 0x21, 0, LARGE, LARGE, len(raw), len(extra)) + raw + extra
+
+
+def descriptor(crc: int, size: int) -> bytes:
+    """What follows a member with a streamed header."""
+    return struct.pack("<4sIQQ", b"PK\7\10", crc, size, size)
+
+
+def directory(members: list[tuple[str, int, int, int]], at: int, force64: bool = False, streamed: frozenset | set = frozenset()) -> bytes:
     """Central directory and end records of members (name, crc, size, offset)."""
     out = []
     for name, crc, size, offset in members:
@@ -55,7 +68,8 @@ def directory(members: list[tuple[str, int, int, int]], at: int, force64: bool =
             fields += [offset]
         extra = struct.pack(f"<HH{len(fields)}Q", 1, 8 * len(fields), *fields) if fields else b""
         short = LARGE if size >= LARGE or force64 else size
-        out.append(struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 45, 45 if extra else 20, 0x800, 0, 0, 0x21, crc, short,
+        out.append(struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 45, 45 if extra or name in streamed else 20,
+                               0x808 if name in streamed else 0x800, 0, 0, 0x21, crc, short,
                                short, len(raw), len(extra), 0, 0, 0, 0,
                                LARGE if offset >= LARGE or force64 else offset) + raw + extra)
     body = b"".join(out)
@@ -200,27 +214,34 @@ def write_packages(rows: DataFrame, folder: str, package_bytes: int = PACKAGE_BY
                     page, url, payload, size, digest, kind, refers = (c[i].as_py() for c in batch.columns)
                     yield page, kind, digest, warc_record(kind, page, url, digest, size, payload.encode(), refers)
 
-        waiting = records()
-        while True:
-            parts, lines, at, crc = [], [], 0, 0
-            for page, kind, digest, raw in waiting:
-                lines.append(json.dumps({"page": page, "type": kind, "digest": digest, "offset": at, "length": len(raw)}))
-                parts.append(raw)
+        def package(first: tuple, others: Iterator[tuple], counted: list[int]) -> Iterator[bytes]:
+            """The bytes of a package, a record at a time; only the packed index is held."""
+            index, held, at, crc = zlib.compressobj(6, zlib.DEFLATED, 31), [], 0, 0
+            start = streamed_header(DATA)
+            yield start
+            for page, kind, digest, raw in chain([first], others):
+                line = json.dumps({"page": page, "type": kind, "digest": digest, "offset": at, "length": len(raw)})
+                held.append(index.compress((line + "\n").encode()))
+                counted.append(1)
+                yield raw
                 at += len(raw)
                 crc = zlib.crc32(raw, crc)
                 if at >= package_bytes:
                     break
-            if not parts:
-                break
-            index = zlib.compressobj(6, zlib.DEFLATED, 31)
-            listed = index.compress("\n".join(lines).encode()) + index.flush()
-            first, second = local_header(DATA, crc, at), local_header(INDEX, zlib.crc32(listed), len(listed))
-            middle = len(first) + at
-            end = directory([(DATA, crc, at, 0), (INDEX, zlib.crc32(listed), len(listed), middle)],
-                            middle + len(second) + len(listed))
+            listed = b"".join(held) + index.flush()
+            end = descriptor(crc, at)
+            second = local_header(INDEX, zlib.crc32(listed), len(listed))
+            middle = len(start) + at + len(end)
+            yield from (end, second, listed)
+            yield directory([(DATA, crc, at, 0), (INDEX, zlib.crc32(listed), len(listed), middle)],
+                            middle + len(second) + len(listed), streamed={DATA})
+
+        waiting = records()
+        for first in waiting:
+            counted: list[int] = []
             path = f"{folder}/{task_name(f'pages-{len(made)}', '.zip')}"
-            size = write_shared(path, [first, *parts, second, listed, end])
-            made.append((path, size, len(lines)))
+            size = write_shared(path, package(first, waiting, counted))
+            made.append((path, size, len(counted)))
         yield pa.RecordBatch.from_arrays(
             [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()),
              pa.array([m[2] for m in made], pa.int64())], names=["path", "size", "records"])
@@ -307,6 +328,7 @@ def warc_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url"
     revisits = read.filter("record_type = 'revisit'").join(
         targets, F.col("refers_to").eqNullSafe(F.col("to")) & (F.col("digest") == F.col("to_digest")), "left")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    lost = F.raise_error(F.concat(F.lit("no response for the payload "), F.col("digest")))
     return stored.select(*names).unionByName(revisits.select(
-        "page_id", F.col("to_bytes").alias("payload_bytes"), F.col("to_digest").alias("payload_digest"), "record_type",
-        "refers_to"))
+        "page_id", F.coalesce("to_bytes", lost.cast("long")).alias("payload_bytes"), F.col("to_digest").alias("payload_digest"),
+        "record_type", "refers_to"))
