@@ -1,6 +1,8 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from siftrank.llm import queries
+
 
 def test_stages_of_odd_rows(spark, sf, rows, tmp_path):
     for start, docs in (("odd", rows), ("empty", rows.limit(0))):
@@ -26,3 +28,32 @@ def test_pipeline(spark, sf, tmp_path):
     assert len(clean & kept["language"]) >= 0.97 * len(clean)
     assert kept["packing"] == kept["repeats"] == kept["near_duplicates"]
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_unread_results_stay_readable(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    first, second = stages["near_duplicates"](spark, docs, sf), stages["repeats"](spark, docs, sf)
+    third = stages["packing"](spark, docs, sf)
+    assert 0 < first.count() < docs.count() and second.count() == docs.count() and third.count() >= docs.count()
+    assert first.count() > 0
+
+
+def test_stages_decide_as_their_operators(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    judged = queries.QUERIES["op1_quality_rules"](spark, sf).collect()
+    kept = {r.doc_id for r in stages["quality"](spark, docs, sf).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in judged if r.kept}
+    linked = queries.QUERIES["op6_jaccard_join"](spark, sf).collect()
+    stay = {r.doc_id for r in stages["near_duplicates"](spark, docs, sf).select("doc_id").collect()}
+    assert stay == {r.component_id for r in linked}
+    cut = {r.doc_id: r.n_removed for r in queries.QUERIES["op2_suffix_dedup"](spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in stages["repeats"](spark, docs, sf).collect():
+        removed = len((texts[r.doc_id] or "").encode()) - len((r.text or "").encode())
+        assert cut[r.doc_id] - 8 <= removed <= cut[r.doc_id]  # whole characters only
+    found = stages["language"](spark, docs, sf)
+    assert found.columns == docs.columns and found.exceptAll(docs).count() == 0
+    packed = stages["packing"](spark, docs, sf).collect()
+    assert sorted(map(tuple, packed)) == sorted(map(tuple, queries.QUERIES["op3_packing"](spark, sf).collect()))
