@@ -7,9 +7,11 @@ positions.  As a word's probabilities depend on its bytes alone, a task computes
 each distinct word once.
 
 The network is trained on the driver in numpy by backpropagation through time,
-on words of a bounded sample of labelled documents (``DOCS_PER_LANGUAGE`` of at
-most ``DOC_BYTES`` bytes in each of the ``LANGUAGES`` most frequent languages,
-``WORDS`` words drawn from them).  Prediction covers every whole text.
+on words of a bounded sample of labelled documents: of each language that any
+label names as many as ``SAMPLE_DOCS`` has room for, ``DOCS_PER_LANGUAGE`` at
+most, one at least; of a longer document a passage of ``PASSAGE_CHARS``
+characters.  ``WORDS`` words are drawn from them.  Prediction covers every whole
+text.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.llm.common import bound_batches, named, release, string_groups, whole_text, without, worker_state
+from siftrank.scratch import materialize
 
-LANGUAGES = 64
+SAMPLE_DOCS = 19_200      # training documents of all languages together
 DOCS_PER_LANGUAGE = 300
-DOC_BYTES = 1 << 14
+PASSAGE_CHARS = 1 << 12   # 16 KB at most
 WORDS = 40_000     # words of the sample that are read, in each pass
 PASSES = 2
 BATCH = 128
@@ -270,18 +273,22 @@ def drawn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rows = docs.select(named(docs, doc_id).alias("id"), named(docs, lang).cast("string").alias("lang"),
                        named(docs, text).cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    rows = rows.filter(F.octet_length("text") <= DOC_BYTES)
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    line = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    limit = DOCS_PER_LANGUAGE * (2 if spare else 1)
-    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(line)).filter(F.col("n") <= limit)
-    chosen = chosen.join(F.broadcast(most), "lang").groupBy("id", "lang").agg(F.min("n").alias("n"), F.min("count").alias("count"))
-    trained = F.lit(DOCS_PER_LANGUAGE)
+    counts = materialize(rows.groupBy("lang").count(), "languages")
+    each = max(1, min(DOCS_PER_LANGUAGE, SAMPLE_DOCS // max(1, counts.count())))
+    limit = each * (2 if spare else 1)
+    # By the hash of its id a document is among a few times as many as are wanted, so a language's rows are few before they are ranked.
+    mixed = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    early = rows.join(F.broadcast(counts), "lang").filter(mixed < F.lit(float(1 << 40)) * (4 * limit + 50) / F.col("count"))
+    start = F.pmod(F.xxhash64(F.lit(1), "id"), F.greatest(F.length("text") - PASSAGE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    passages = early.select("id", "lang", "count", F.substring("text", start, F.lit(PASSAGE_CHARS)).alias("text"))
+    line = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+    chosen = passages.withColumn("n", F.row_number().over(line)).filter(F.col("n") <= limit)
+    trained = F.lit(each)
     if spare:
         trained = F.least(trained, F.ceil(F.col("count") * (1 - SPARE_SHARE)))
-    # At most ``limit`` keys and texts of each of LANGUAGES.
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text", "id", (F.col("n") <= trained).alias("trained"))
-    sample = sorted(sample.limit(LANGUAGES * limit).collect(), key=lambda r: (r.lang, r.id, r.text))
+    # At most ``limit`` passages of each language.
+    sample = chosen.select("lang", "text", "id", (F.col("n") <= trained).alias("trained")).collect()
+    sample = sorted(sample, key=lambda r: (r.lang, r.id, r.text))
     return [(r.lang, r.text) for r in sample if r.trained], [(r.lang, r.text) for r in sample if not r.trained]
 
 

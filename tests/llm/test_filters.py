@@ -1,6 +1,7 @@
 """Quality rules and language identification beside plain Python."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -161,3 +162,33 @@ def test_positions_pool_to_the_document():
     assert labels.shape == (len(text.encode()), 2) and np.allclose(labels.sum(axis=1), 1)
     names, scores = language_id.Reader(network).predict([text, "", "12"])
     assert names[1:] == ["und", "und"] and 0 < scores[0] <= 1
+
+
+def test_every_language_of_a_label_is_learned(spark):
+    """Also the eightieth, and those of which there are long texts only."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for i in range(400):
+        lang = f"l{i % 80:02d}"
+        own = random.Random(i % 80)
+        words = ["".join(own.choices(letters, k=4)) for _ in range(6)]
+        n = 9000 if i % 80 < 3 else 60
+        rows.append((i, " ".join(random.Random(i).choices(words, k=n)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, _ = language_id.drawn(docs)
+    wanted = {r.lang for r in docs.filter(~language_id.held_out(docs.doc_id)).collect()}
+    assert {lang for lang, _ in texts} == wanted and len(wanted) > 70
+    assert max(len(t.encode()) for _, t in texts) <= 4 * language_id.PASSAGE_CHARS
+    some = docs.filter("lang in ('l00', 'l01', 'l02', 'l40')")
+    network = language_id.fit(some)
+    found = language_id.identify(some, network).filter(language_id.held_out(some.doc_id)).collect()
+    assert set(network.languages) == {"l00", "l01", "l02", "l40"}
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.9 * len(found)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 40)
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id % 4) as lang")
+    trained, spare = language_id.drawn(docs, spare=True)
+    assert len(trained) == len(spare) == 40
+    assert len(language_id.drawn(docs)[0]) == 40
