@@ -9,8 +9,9 @@ so probing those neighbours of each substring finds every code within radius r.
 What is found is ranked anew by the inner products of the vectors themselves.
 
 The rotation and the radius are learned on a bounded sample; every row is
-indexed.  Rows are dealt into shards of bounded size, queries into blocks, and
-each block meets each shard once; only its best rows per query leave the task.
+indexed.  Rows are dealt out once, in shards of bounded size, each with an index
+that is built once; the queries, written in files of bounded size, are read by
+every task one file after another.  Only a task's best rows per query leave it.
 A query that finds too few rows in a shard there reads the whole shard.
 
 To rank by inner product also where lengths differ, a vector gets one more
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.llm.common import named
-from siftrank.scratch import materialize
+from siftrank.scratch import materialize, read_shared_parquet, scratch_path
 
 SAMPLE = 4096          # rows that the rotation is learned from
 TRIALS = 256           # of them, queries that the radius is measured with
@@ -160,6 +161,14 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.filter(F.size("v") == (length["n"] if length else 0))
 
 
+def query_chunks(asked: DataFrame) -> list[str]:
+    """The queries, written once to the shared folder in files of about ``BLOCK_QUERIES``."""
+    path = scratch_path(asked.sparkSession, "search_queries")
+    asked = materialize(asked, "search_asked")
+    asked.repartition(max(1, -(-asked.count() // BLOCK_QUERIES))).write.parquet(path)
+    return sorted(asked.sparkSession.read.schema(asked.schema).parquet(path).inputFiles())
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding",
             shard_rows: int = SHARD_ROWS, radius: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that ``queries`` selects, its ``k`` nearest other rows.
@@ -180,36 +189,44 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec
     codes = learn(np.array([r["v"] for r in sample]), longest, k)
     if radius is not None:
         codes.radius = radius
-    shards, blocks = -(-n // shard_rows), None
     asked = rows.filter(queries).dropDuplicates(["id"])
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    left = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[np.ndarray, ...]] = []
-        if len(ask) and len(have):
+    chunks = query_chunks(asked)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // shard_rows))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def shard_hits() -> Iterator[pd.DataFrame]:
+            have = pd.concat(held, ignore_index=True)
+            held.clear()
             ids = have["id"].to_numpy()
             order = np.argsort(ids, kind="stable")  # so that equal scores come in order of the ids
             ids, base = ids[order], np.stack(have["v"].to_numpy()[order])
-            shard = Shard(codes.encode(base))
-            wanted = np.stack(ask["v"].to_numpy())
-            marks = codes.encode(wanted, query=True)
-            for query, vector, mark in zip(ask["id"].tolist(), wanted, marks):
-                rows_ = shard.within(mark, codes.radius)
-                rows_ = rows_[ids[rows_] != query]
-                if len(rows_) < k:
-                    rows_ = np.flatnonzero(ids != query)
-                score = np.einsum("ij,j->i", base[rows_], vector)
-                best = np.argsort(-score, kind="stable")[:k]
-                found.append((np.full(len(best), query), ids[rows_[best]], score[best]))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0)]
-        return pd.DataFrame({"query_id": columns[0], "vec_id": columns[1], "score": columns[2].astype("float64")})
-
-    met = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(
-        search, "query_id long, vec_id long, score double")
+            shard = Shard(codes.encode(base))  # the index is built once and serves all queries
+            for chunk in chunks:
+                ask = read_shared_parquet(chunk)
+                wanted = np.stack(ask["v"].to_numpy()) if len(ask) else np.zeros((0, base.shape[1]))
+                found: list[tuple[np.ndarray, ...]] = []
+                for query, vector, mark in zip(ask["id"].tolist(), wanted, codes.encode(wanted, query=True)):
+                    near = shard.within(mark, codes.radius)
+                    near = near[ids[near] != query]
+                    if len(near) < k:
+                        near = np.flatnonzero(ids != query)
+                    score = np.einsum("ij,j->i", base[near], vector)
+                    best = np.argsort(-score, kind="stable")[:k]
+                    found.append((np.full(len(best), query), ids[near[best]], score[best]))
+                if found:
+                    first, second, third = (np.concatenate(c) for c in zip(*found))
+                    yield pd.DataFrame({"query_id": first, "vec_id": second, "score": third.astype("float64")})
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= shard_rows:
+                yield from shard_hits()
+        if sum(map(len, held)):
+            yield from shard_hits()
+
+    met = rows.repartition(tasks).mapInPandas(search, "query_id long, vec_id long, score double")
     line = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
