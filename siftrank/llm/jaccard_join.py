@@ -9,15 +9,20 @@ are expanded to members, whose whole sets are compared.
 
 Links are wanted, not all pairs: first only some neighbours in each list are
 compared (and each list's first of its size class with all others), which
-joins most of what belongs together; then every remaining pair that meets in a
-list and is in two different components is compared.  A pair inside a component
-could not change it.  So no list is expanded to all its pairs and no link
-between components is lost.  Equal sets are one node throughout.
+joins most of what belongs together.  What is left are lists of several
+components, where some more pairs are drawn first.  Then the members need not be
+compared one by one either: each component falls into blocks of nodes around a
+pivot whose differences from it are counted.  The pivots of two blocks that meet
+are compared once.  Either they link, and so do their components, or the count
+of what they share and the differences tell that no pair of members can link, or
+(a case near the threshold) the blocks are cut finer, and at last expanded.  No
+link between components is lost.  Equal sets are one node throughout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +39,9 @@ BUCKET_BITS = 20       # shingles are counted in 2**20 buckets, whatever the inp
 GROUP_BYTES = 1 << 19  # texts that are shingled together
 NEIGHBOURS = (1, 2, 4, 8, 16, 32, 64)  # places before a document in a list that it is compared with first
 MERGE = 64             # partial counts added up by one task
+NEAR = (3, 8, 32)      # a member of a block differs from its pivot in one in so many shingles at most, in turn
+TURNS, STEPS = 6, 16   # turns of comparing members of such lists by chance, and with how many each time
+PIVOTS = 3             # pivots a component gets one after another; what is near to none is a block by itself
 
 
 def prefix_size(n: int) -> int:
@@ -92,9 +100,9 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(doc_id, t1, t2, n, s1, s2, gid, prefix) per document.
+    """(doc_id, t1, t2, n, set, gid, prefix) per document.
 
-    t1, t2 identify the text, s1, s2 the set, gid its group (size and prefix).
+    t1, t2 identify the text, ``set`` the set, gid its group (size and prefix), by 128 bits each.
     The prefix is given once per group and task, else null.
     """
     rank = np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
@@ -104,32 +112,29 @@ def signatures(rows: DataFrame, counts: np.ndarray) -> DataFrame:
         import xxhash
 
         order = shared.value
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            n, first, second, group, prefixes, ends = [], [], [], [], [], [0]
+            n, sets, group, prefixes, ends = [], [], [], [], [0]
             for own in shingle_groups(batch, batch.num_columns - 1):
                 raw = own.tobytes()
-                digest = xxhash.xxh3_128_intdigest(raw)
                 size = len(own)
                 count = order[(own >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 prefix = own[np.argsort(count, kind="stable")[:prefix_size(size)]] if size else own
-                gid = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=size)
+                gid = xxhash.xxh3_128_digest(prefix.tobytes(), seed=size)
                 n.append(size)
-                first.append(digest >> 64)
-                second.append(digest & (2**64 - 1))
+                sets.append(xxhash.xxh3_128_digest(raw))
                 group.append(gid)
                 if size and gid not in seen:
                     seen.add(gid)
                     prefixes.append(prefix)
                 ends.append(ends[-1] + (len(prefix) if prefixes and prefixes[-1] is prefix else 0))
-            signed = lambda values: pa.array(np.array(values, dtype=np.uint64).view(np.int64), pa.int64())
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(n, pa.int64()), signed(first), signed(second), signed(group),
+                [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(group, pa.binary()),
                  list_of(flat.view(np.int64), np.array(ends), pa.int64())],
-                names=[*batch.schema.names[:-1], "n", "s1", "s2", "gid", "prefix"])
+                names=[*batch.schema.names[:-1], "n", "set", "gid", "prefix"])
 
-    return rows.mapInArrow(tidy(sign), wider(rows.drop("text"), n="long", s1="long", s2="long", gid="long", prefix="array<bigint>"))
+    return rows.mapInArrow(tidy(sign), wider(rows.drop("text"), n="long", set="binary", gid="binary", prefix="array<bigint>"))
 
 
 def compatible(n: str, m: str, i: str, j: str) -> Column:
@@ -139,8 +144,13 @@ def compatible(n: str, m: str, i: str, j: str) -> Column:
     return (4 * n >= 3 * m) & (i < n - F.floor((6 * n + 6) / 7) + 1) & (F.least(n - i, m - j) >= needed)
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a similarity of 3/4 or more."""
+def linked(both: str = "both", n: str = "na", m: str = "nb") -> Column:
+    """A similarity of 3/4 or more, by whole numbers."""
+    return 100 * F.col(both) >= 75 * (F.col(n) + F.col(m) - F.col(both))
+
+
+def intersections(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, na, nb, both): sizes of the sets of each pair of nodes, and of what they share."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -177,13 +187,10 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
                     known.clear()
                 fill(a, some.column(2))
                 fill(b, some.column(3))
-                good = []
-                for x, y in zip(a, b):
-                    first, second = known[x], known[y]
-                    both = len(np.intersect1d(first, second, assume_unique=True))
-                    good.append(100 * both >= 75 * (len(first) + len(second) - both))
-                keep = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([some.column(0).filter(keep), some.column(1).filter(keep)], names=["u", "v"])
+                sizes = [(len(known[x]), len(known[y]), len(np.intersect1d(known[x], known[y], assume_unique=True))) for x, y in zip(a, b)]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), *[pa.array([c[k] for c in sizes], pa.int64()) for k in range(3)]],
+                    names=["a", "b", "na", "nb", "both"])
 
     keys = nodes.select("node", "t1", "t2")
     wanted = pairs.join(keys.withColumnsRenamed({"node": "a", "t1": "a1", "t2": "a2"}), "a").join(
@@ -191,7 +198,125 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.withColumnsRenamed({"t1": "a1", "t2": "a2", "packed": "left"}).dropDuplicates(["a1", "a2"])
     right = texts.withColumnsRenamed({"t1": "b1", "t2": "b2", "packed": "right"}).dropDuplicates(["b1", "b2"])
     whole = wanted.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a", "b", "left", "right")
-    return whole.mapInArrow(tidy(compare), "u long, v long")
+    return whole.mapInArrow(tidy(compare), "a long, b long, na long, nb long, both long")
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v): the pairs (a, b) of nodes whose sets have a similarity of 3/4 or more."""
+    return intersections(pairs, nodes, texts).filter(linked()).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def blocks_of(members: DataFrame, near: int, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, block, far) of (node, n, family): the pivot of the node's block and how many of its shingles the pivot has not."""
+    left, out = materialize(members, "unblocked"), []
+    for _ in range(PIVOTS):
+        placed = left.join(left.groupBy("family").agg(F.min("node").alias("pivot")), "family")
+        others = placed.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        out.append(placed.filter("node = pivot").select("node", F.col("node").alias("block"), F.lit(0).cast("long").alias("far")))
+        if not others.head(1):
+            left = None
+            break
+        far = (F.col("nb") - F.col("both")).alias("far")
+        measured = materialize(measure(others).select(F.col("b").alias("node"), F.col("a").alias("block"), far, (far * near <= F.col("nb")).alias("near")), "pivot_distances")
+        out.append(measured.filter("near").select("node", "block", "far"))
+        left = materialize(left.join(measured.filter("not near").select("node"), "node", "left_semi"), "unblocked")
+    if left is not None:
+        out.append(left.select("node", F.col("node").alias("block"), F.lit(0).cast("long").alias("far")))
+    return materialize(reduce(DataFrame.unionByName, out), "blocks")
+
+
+def side(df: DataFrame, name: str, keys: tuple[str, ...] = ("token",)) -> DataFrame:
+    return df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys])
+
+
+def several_components(members: DataFrame) -> DataFrame:
+    """The lists (token, node, n, pos, component) that hold more than one component."""
+    several = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    return materialize(members.join(several.select("token"), "token", "left_semi"), "mixed_lists")
+
+
+def merged_by_chance(mixed: DataFrame, measure: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """What is left of the lists after turns in which each member is compared with the next ones in a mixed order.
+
+    Components with many links between them become one by a few of these.
+    Gives the lists with their new components, and the links (u, v) found.
+    """
+    found = []
+    member = F.struct(*[F.col(c) for c in ("node", "n", "pos", "component")])
+    for turn in range(TURNS):
+        line = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        near = {f"before{d}": F.lag(member, d).over(line) for d in range(1, STEPS + 1)}
+        met = mixed.withColumns(near).select(*[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component")],
+                                             F.explode(F.array_compact(F.array(*near))).alias("o"))
+        met = met.select("x_node", "x_n", "x_pos", "x_component", *[F.col(f"o.{c}").alias(f"y_{c}") for c in ("node", "n", "pos", "component")])
+        met = met.filter((F.col("x_component") != F.col("y_component")) & either_way())
+        met = materialize(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.least("x_component", "y_component").alias("u"),
+                                     F.greatest("x_component", "y_component").alias("v")).distinct(), "chance_pairs")
+        hits = materialize(measure(met.select("a", "b")).filter(linked()).select("a", "b").join(met, ["a", "b"]), "chance_links")
+        if not hits.head(1):
+            break
+        found.append(hits.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        now = components(hits.select("u", "v")).select(F.col("component").alias("_now"), F.col("node").alias("component"))
+        mixed = mixed.join(now, "component", "left").withColumn("component", F.coalesce("_now", "component")).select("token", "node", "n", "pos", "component")
+        mixed = several_components(mixed)
+    return mixed, found
+
+
+def either_way() -> Column:
+    """``compatible`` for members x and y, whichever is the smaller set."""
+    return F.when(F.col("x_n") <= F.col("y_n"), compatible("x_n", "y_n", "x_pos", "y_pos")).otherwise(compatible("y_n", "x_n", "y_pos", "x_pos"))
+
+
+def late_links(mixed: DataFrame, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (u, v) between the components of lists (token, node, n, pos, component), at least one for each two that have any.
+
+    A pair of members shares at most what their pivots share and what each has
+    beyond its pivot, which settles pairs of blocks as a whole.
+    """
+    mixed, found = merged_by_chance(mixed, measure)
+    allowed = None
+    lists = mixed.withColumn("family", F.col("component"))
+    for near in NEAR:
+        blocks = blocks_of(lists.select("node", "n", "family").distinct(), near, measure)
+        lists = materialize(lists.join(blocks, "node"), "block_lists")
+        # The greatest of 7 * far - 3 * n among the members: two sets link if 7 * both >= 3 * (n + m).
+        slack = materialize(lists.groupBy("block").agg(F.max(7 * F.col("far") - 3 * F.col("n")).alias("slack")), "block_slack")
+        heads = lists.groupBy("token", "component", "family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
+        met = side(heads, "x").join(side(heads, "y"), "token").filter((F.col("x_component") < F.col("y_component")) & may_meet())
+        if allowed is not None:
+            met = met.join(allowed, ["x_family", "y_family"])
+        met = materialize(met.select("x_component", "y_component", "x_block", "y_block").distinct(), "block_pairs")
+        sizes = measure(met.select(F.col("x_block").alias("a"), F.col("y_block").alias("b")))
+        sizes = sizes.join(side(slack, "x", ()).withColumnRenamed("x_block", "a"), "a").join(side(slack, "y", ()).withColumnRenamed("y_block", "b"), "b")
+        sizes = sizes.withColumnsRenamed({"a": "x_block", "b": "y_block"}).join(met, ["x_block", "y_block"])
+        sizes = materialize(sizes, "block_sizes")
+        hits = sizes.filter(linked())
+        found.append(hits.select(F.col("x_block").alias("u"), F.col("y_block").alias("v")))
+        open_ = sizes.filter(7 * F.col("both") + F.col("x_slack") + F.col("y_slack") >= 0)
+        open_ = open_.join(hits.select("x_component", "y_component").distinct(), ["x_component", "y_component"], "left_anti")
+        open_ = materialize(open_.select("x_block", "y_block", "both"), "open_pairs")
+        if not open_.head(1):
+            return reduce(DataFrame.unionByName, found)
+        kept = open_.select(F.col("x_block").alias("block")).unionByName(open_.select(F.col("y_block").alias("block"))).distinct()
+        lists = lists.join(kept, "block", "left_semi")
+        allowed = open_.select(F.col("x_block").alias("x_family"), F.col("y_block").alias("y_family"))
+        if near != NEAR[-1]:
+            lists = lists.select("token", "node", "n", "pos", "component", F.col("block").alias("family"))
+    columns = lists.select("token", "node", "n", "pos", "block", "far")
+    pairs = open_.join(side(columns, "x"), "x_block").join(side(columns, "y"), ["token", "y_block"])
+    fits = either_way() & (7 * (F.col("both") + F.col("x_far") + F.col("y_far")) >= 3 * (F.col("x_n") + F.col("y_n")))
+    pairs = materialize(pairs.filter(fits).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "member_pairs")
+    found.append(measure(pairs).filter(linked()).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def may_meet() -> Column:
+    """``compatible`` for blocks with sizes from lo to hi and the least position: true if it is for any members."""
+    x, y = ((F.col(f"{s}_lo"), F.col(f"{s}_hi"), F.col(f"{s}_pos")) for s in "xy")
+    early = [pos < hi - F.floor((6 * lo + 6) / 7) + 1 for lo, hi, pos in (x, y)]
+    needed = F.floor((3 * (x[0] + y[0]) + 6) / 7)
+    sizes = (4 * x[1] >= 3 * y[0]) & (4 * y[1] >= 3 * x[0])
+    return sizes & (early[0] | early[1]) & (F.least(x[1] - x[2], y[1] - y[2]) >= needed)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,24 +333,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     counts = bucket_counts(rows.select("text"))
     signed = materialize(signatures(rows, counts), "shingle_prefixes")
 
-    # Nodes: one per distinct set.  Its name is the smallest text key's hash with the set's, which is unique.
+    # Nodes: one per distinct set, numbered in a written table.
     filled = signed.filter("n > 0")
-    nodes = filled.groupBy("s1", "s2", "n").agg(F.min(F.struct("t1", "t2")).alias("t"), F.min("gid").alias("gid"),
-                                                F.min("doc_id").alias("first"))
-    nodes = materialize(nodes.select(F.xxhash64("s1", "s2", "n").alias("node"), "s1", "s2", "n", "gid", "first",
+    nodes = filled.groupBy("set").agg(F.min(F.struct("t1", "t2")).alias("t"), F.min("gid").alias("gid"), F.min("n").alias("n"),
+                                      F.min("doc_id").alias("first"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "n", "gid", "first",
                                      F.col("t.t1").alias("t1"), F.col("t.t2").alias("t2")), "shingle_nodes")
-    groups = nodes.groupBy("gid").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("members"), F.min("n").alias("n"))
-    groups = materialize(groups, "shingle_groups")
+    sizes = nodes.groupBy("gid").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("members"))
+    groups = filled.groupBy("gid").agg(F.first("prefix", ignorenulls=True).alias("prefix"), F.min("n").alias("n"))
+    groups = materialize(groups.join(sizes, "gid"), "shingle_groups")
 
-    # Lists: token, group, position; those with one group only are dropped.
-    listed = filled.filter(F.size("prefix") > 0).select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    listed = listed.repartition("token").dropDuplicates(["token", "gid"])
+    # Lists: token, group (by its first node), position; those with one group only are dropped.
+    listed = groups.select("rep", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     listed = listed.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("many > 1").drop("many")
     listed = materialize(listed, "shingle_lists")
 
     inner = nodes.join(groups.filter("members > 1").select("gid"), "gid", "left_semi").select(
-        F.col("gid").alias("token"), "node", "n", F.lit(0).alias("pos"))
-    first = listed.join(groups.select("gid", "node"), "gid").select("token", "node", "n", "pos").unionByName(inner)
+        F.xxhash64("gid").alias("token"), "node", "n", F.lit(0).alias("pos"))
+    first = listed.select("token", F.col("rep").alias("node"), "n", "pos").unionByName(inner)
 
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
     line = Window.partitionBy("token").orderBy("n", "node")
@@ -242,27 +367,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = materialize(verify(pairs, nodes, texts), "near_links")
     found = materialize(components(links), "near_components")
 
-    # Every other pair that meets in a list and is not in one component yet.
-    members = listed.join(nodes.select("gid", "node"), "gid").select("token", "node", "n", "pos").unionByName(inner)
+    # Lists that still hold several components.
+    places = nodes.join(groups.select("gid", "rep"), "gid").select("rep", "node")
+    members = listed.join(places, "rep").select("token", "node", "n", "pos").unionByName(inner)
     members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    whole = Window.partitionBy("token")
-    mixed = members.withColumn("low", F.min("component").over(whole)).withColumn("high", F.max("component").over(whole))
-    mixed = materialize(mixed.filter("low != high").drop("low", "high"), "mixed_lists")
-    x = mixed.select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component")])
-    y = mixed.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "component")])
-    ahead = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node")))
-    more = x.join(y, "token").filter((F.col("x_component") != F.col("y_component")) & ahead & compatible("x_n", "y_n", "x_pos", "y_pos"))
-    more = more.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "mixed_pairs")
-    late = materialize(verify(more, nodes, texts), "mixed_links")
-    edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late)
-    found = materialize(components(edges), "near_components")
+    mixed = several_components(members)
+    if mixed.head(1):
+        some = materialize(nodes.join(mixed.select("node").distinct(), "node", "left_semi"), "mixed_nodes")
+        few = materialize(texts.join(some.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"]), "mixed_texts")
+        late = late_links(mixed, lambda pairs_: intersections(pairs_, some, few))
+        edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late)
+        found = materialize(components(edges), "near_components")
 
     named_nodes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named_nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = named_nodes.join(least, "component").select("s1", "s2", "n", "component_id")
-    return signed.select("doc_id", "s1", "s2", "n").join(
-        labels.withColumnRenamed("n", "m"), ["s1", "s2"], "left").select(
+    labels = named_nodes.join(least, "component").select("set", "component_id")
+    return signed.select("doc_id", "set", "n").join(labels, "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
