@@ -10,7 +10,7 @@ are expanded to members, whose whole sets are compared.
 Links are wanted, not all pairs: first only some neighbours in each list are
 compared (and each list's first of its size class with all others), which
 joins most of what belongs together.  What is left are lists of several
-components, where some more pairs are drawn first.  Then the members need not be
+components, where some more pairs by chance come first.  Then members need not be
 compared one by one either: each component falls into blocks of nodes around a
 pivot whose differences from it are counted.  The pivots of two blocks that meet
 are compared once.  Either they link, and so do their components, or the count
@@ -39,9 +39,9 @@ BUCKET_BITS = 20       # shingles are counted in 2**20 buckets, whatever the inp
 GROUP_BYTES = 1 << 19  # texts that are shingled together
 NEIGHBOURS = (1, 2, 4, 8, 16, 32, 64)  # places before a document in a list that it is compared with first
 MERGE = 64             # partial counts added up by one task
-NEAR = (3, 8, 32)      # a member of a block differs from its pivot in one in so many shingles at most, in turn
-TURNS, STEPS = 6, 16   # turns of comparing members of such lists by chance, and with how many each time
-PIVOTS = 3             # pivots a component gets one after another; what is near to none is a block by itself
+NEAR = (3, 16)         # a member of a block differs from its pivot in one in so many shingles at most, in turn
+STEPS = 48             # members of a list of several components that each member is compared with by chance
+PIVOTS = 2             # pivots a component gets one after another; what is near to none is a block by itself
 
 
 def prefix_size(n: int) -> int:
@@ -236,30 +236,31 @@ def several_components(members: DataFrame) -> DataFrame:
 
 
 def merged_by_chance(mixed: DataFrame, measure: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
-    """What is left of the lists after turns in which each member is compared with the next ones in a mixed order.
+    """What is left of the lists when each member has been compared with the next ones in a mixed order.
 
-    Components with many links between them become one by a few of these.
-    Gives the lists with their new components, and the links (u, v) found.
+    Components with many links between them become one by this.  Gives the lists
+    with their new components, and the links (u, v) found.
     """
-    found = []
     member = F.struct(*[F.col(c) for c in ("node", "n", "pos", "component")])
-    for turn in range(TURNS):
-        line = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-        near = {f"before{d}": F.lag(member, d).over(line) for d in range(1, STEPS + 1)}
-        met = mixed.withColumns(near).select(*[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component")],
-                                             F.explode(F.array_compact(F.array(*near))).alias("o"))
-        met = met.select("x_node", "x_n", "x_pos", "x_component", *[F.col(f"o.{c}").alias(f"y_{c}") for c in ("node", "n", "pos", "component")])
-        met = met.filter((F.col("x_component") != F.col("y_component")) & either_way())
-        met = materialize(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), F.least("x_component", "y_component").alias("u"),
-                                     F.greatest("x_component", "y_component").alias("v")).distinct(), "chance_pairs")
-        hits = materialize(measure(met.select("a", "b")).filter(linked()).select("a", "b").join(met, ["a", "b"]), "chance_links")
-        if not hits.head(1):
-            break
-        found.append(hits.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        now = components(hits.select("u", "v")).select(F.col("component").alias("_now"), F.col("node").alias("component"))
-        mixed = mixed.join(now, "component", "left").withColumn("component", F.coalesce("_now", "component")).select("token", "node", "n", "pos", "component")
-        mixed = several_components(mixed)
-    return mixed, found
+    line = Window.partitionBy("token").orderBy(F.xxhash64("node"), "node")
+    near = {f"before{d}": F.lag(member, d).over(line) for d in range(1, STEPS + 1)}
+    met = mixed.withColumns(near).select(*[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "component")],
+                                         F.explode(F.array_compact(F.array(*near))).alias("o"))
+    met = met.select("x_node", "x_n", "x_pos", "x_component",
+                     *[F.col(f"o.{c}").alias(f"y_{c}") for c in ("node", "n", "pos", "component")])
+    met = met.filter((F.col("x_component") != F.col("y_component")) & either_way())
+    met = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    hits = measure(materialize(met, "chance_pairs")).filter(linked()).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    hits = materialize(hits, "chance_links")
+    if not hits.head(1):
+        return mixed, []
+    labels = mixed.select("node", "component").distinct()
+    ends = hits.join(labels.withColumnsRenamed({"node": "u", "component": "cu"}), "u").join(
+        labels.withColumnsRenamed({"node": "v", "component": "cv"}), "v")
+    now = components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    now = now.select(F.col("node").alias("component"), F.col("component").alias("_now"))
+    mixed = mixed.join(now, "component", "left").withColumn("component", F.coalesce("_now", "component"))
+    return several_components(mixed.select("token", "node", "n", "pos", "component")), [hits]
 
 
 def either_way() -> Column:
