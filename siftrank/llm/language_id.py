@@ -278,7 +278,7 @@ def drawn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     limit = each * (2 if spare else 1)
     # By the hash of its id a document is among a few times as many as are wanted, so a language's rows are few before they are ranked.
     mixed = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    early = rows.join(F.broadcast(counts), "lang").filter(mixed < F.lit(float(1 << 40)) * (4 * limit + 50) / F.col("count"))
+    early = rows.join(counts, "lang").filter(mixed < F.lit(float(1 << 40)) * (4 * limit + 50) / F.col("count"))
     start = F.pmod(F.xxhash64(F.lit(1), "id"), F.greatest(F.length("text") - PASSAGE_CHARS, F.lit(0)) + 1).cast("int") + 1
     passages = early.select("id", "lang", "count", F.substring("text", start, F.lit(PASSAGE_CHARS)).alias("text"))
     line = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
