@@ -83,36 +83,6 @@ def test_links_around_the_threshold(spark, seed):
     check_join(docs)
 
 
-def families(size):
-    """Two families of loose copies that share a passage: most pairs are near the threshold, none between the families links."""
-    words = [f"v{i}" for i in range(5000)]
-    shared, texts = random.Random(1).choices(words, k=29), []
-    for seed in (7, 8):
-        own = random.Random(seed)
-        base = own.choices(words, k=60)
-        for _ in range(size):
-            copy = base[:]
-            for _ in range(2):
-                copy[own.randrange(60)] = own.choice(words)
-            texts.append(" ".join(shared + copy))
-    return texts
-
-
-def test_families_are_not_compared_pair_by_pair(spark, monkeypatch):
-    compared = []
-    own = jaccard_join.intersections
-    monkeypatch.setattr(jaccard_join, "intersections", lambda pairs, *rest: compared.append(pairs.count()) or own(pairs, *rest))
-    counts = []
-    for size in (60, 240):
-        compared.clear()
-        texts = families(size)
-        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-        found = Counter(tuple(r) for r in jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect())
-        counts.append(sum(compared))
-        assert found == plain_components(list(enumerate(texts)))
-    assert counts[1] < 8 * counts[0]  # sixteen times for all pairs
-
-
 def test_one_of_each(spark, sf, rows):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = jaccard_join.one_of_each(docs)
