@@ -22,6 +22,13 @@ ESCI_PREFIX = "amz_"
 WANDS_PREFIX = "wands_"
 JUDGED_PER_QUERY = 40
 
+# Raw columns of the two datasets that go to a product's metadata.
+ESCI_METADATA = ["product_title", "product_description", "product_bullet_point", "product_brand", "product_color"]
+WANDS_METADATA = [
+    "product_name", "product_class", "category hierarchy", "product_description",
+    "product_features", "rating_count", "average_rating", "review_count",
+]
+
 # Phrases that open a conversational query, in matching order, and
 # filler words dropped anywhere.  The second list also takes an article that is
 # only the start of the next word.

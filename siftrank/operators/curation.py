@@ -13,10 +13,6 @@ from siftrank.functions import attributes as attr
 from siftrank.functions.text import clean
 from siftrank.operators.ranking import first_of, top_n
 
-ESCI_METADATA = ["product_title", "product_description", "product_bullet_point", "product_brand", "product_color"]
-WANDS_METADATA = ["product_name", "product_class", "category hierarchy", "product_description",
-                  "product_features", "rating_count", "average_rating", "review_count"]
-
 
 class Dataset(Protocol):
     """What a dataset offers to the merge; a new dataset needs these and nothing else."""
@@ -87,8 +83,8 @@ def one_per_product(rows: DataFrame, columns: list[str], order: str | None = Non
 
 def esci_products(rows: DataFrame, order: str | None = None) -> DataFrame:
     """Unified product rows of the first dataset, one per product (see :func:`one_per_product`)."""
-    texts = [clean(F.col(c)).alias(c) for c in ESCI_METADATA]
-    one = one_per_product(rows, ESCI_METADATA, order).select("product_id", *texts)
+    texts = [clean(F.col(c)).alias(c) for c in fixed.ESCI_METADATA]
+    one = one_per_product(rows, fixed.ESCI_METADATA, order).select("product_id", *texts)
     with_colors = one.withColumn("color", attr.colors(F.col("product_color")))
     title, brand = F.col("product_title"), F.col("product_brand")
     return with_colors.select(
@@ -103,14 +99,14 @@ def esci_products(rows: DataFrame, order: str | None = None) -> DataFrame:
         F.lit(None).cast("string").alias("category_path"),
         F.lit(None).cast("double").alias("average_rating"),
         F.lit(None).cast("long").alias("review_count"),
-        metadata(ESCI_METADATA).alias("metadata"),
+        metadata(fixed.ESCI_METADATA).alias("metadata"),
         F.create_map().cast("map<string,string>").alias("parsed_features"),
     )
 
 
 def wands_products(rows: DataFrame, order: str | None = None) -> DataFrame:
     """Unified product rows of the second dataset, one per product (see :func:`one_per_product`)."""
-    one = one_per_product(rows, WANDS_METADATA, order)
+    one = one_per_product(rows, fixed.WANDS_METADATA, order)
     parsed = one.withColumn("parsed_features", attr.features(F.col("product_features")))
     kept = F.col("parsed_features")
     raw_color = F.coalesce(F.try_element_at(kept, F.lit("color")), F.try_element_at(kept, F.lit("colour")))
@@ -129,7 +125,7 @@ def wands_products(rows: DataFrame, order: str | None = None) -> DataFrame:
         clean(category).alias("category_path"),
         attr.rating(F.col("average_rating")).alias("average_rating"),
         attr.count(F.col("review_count")).alias("review_count"),
-        metadata(WANDS_METADATA).alias("metadata"),
+        metadata(fixed.WANDS_METADATA).alias("metadata"),
         "parsed_features",
     )
 

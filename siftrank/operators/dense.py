@@ -357,8 +357,10 @@ def knn_codes(codes: DataFrame, book: CodeBook, vectors: DataFrame, queries: Dat
         return pd.concat(found, ignore_index=True)
 
     near = _stream(codes, queries, schema, chunk_bytes, search)
-    near = materialize(top_n(near, ["query_id"], [F.desc("score"), F.asc("product_id")], pool).select("query_id", "product_id", "source"), "near")
+    near = top_n(near, ["query_id"], [F.desc("score"), F.asc("product_id")], pool)
+    near = materialize(near.select("query_id", "product_id", "source"), "near")
     asked = queries.select("query_id", l2_normalize(F.col("embedding")).alias("_query"))
-    found = near.join(vectors.select("product_id", l2_normalize(F.col("embedding")).alias("_vector")), "product_id").join(asked, "query_id")
-    scored = found.select("query_id", "product_id", "source", F.round((1 + dot(F.col("_query"), F.col("_vector"))) / 2, 6).alias("score"))
+    units = vectors.select("product_id", l2_normalize(F.col("embedding")).alias("_vector"))
+    score = F.round((1 + dot(F.col("_query"), F.col("_vector"))) / 2, 6).alias("score")
+    scored = near.join(units, "product_id").join(asked, "query_id").select("query_id", "product_id", "source", score)
     return top_n(scored, ["query_id"], [F.desc("score"), F.asc("product_id")], k)

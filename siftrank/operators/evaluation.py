@@ -147,10 +147,12 @@ def evaluate_classes(run: DataFrame, queries: DataFrame, products: DataFrame, ks
     ks = checked_cutoffs(ks or CUTOFFS)
     rank = F.col("rank")
     sizes = products.groupBy("label").agg(F.count(F.lit(1)).alias("relevant"))
-    asked = queries.select("query_id", "label").join(sizes, "label", "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
+    asked = queries.select("query_id", "label").join(sizes, "label", "left").withColumn(
+        "relevant", F.coalesce("relevant", F.lit(0)))
     # A product that a run lists twice counts at its best rank.
     best = run.groupBy("query_id", "product_id").agg(F.min("rank").alias("rank")).filter(rank <= max(ks))
-    hits = best.join(products.select("product_id", F.col("label").alias("_found")), "product_id").join(queries.select("query_id", "label"), "query_id")
+    labels = products.select("product_id", F.col("label").alias("_found"))
+    hits = best.join(labels, "product_id").join(queries.select("query_id", "label"), "query_id")
     good = hits.filter(F.col("_found") == F.col("label"))
     gain = 1 / F.log2(rank + 1)
     found = good.groupBy("query_id").agg(
@@ -170,7 +172,9 @@ def evaluate_classes(run: DataFrame, queries: DataFrame, products: DataFrame, ks
     means = asked.join(found, "query_id", "left").agg(
         F.count(F.lit(1)).alias("n_queries"), *[F.avg(v).alias(f"{m}_{k}") for m, k, v in values])
     rows = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.round(F.col(f"{m}_{k}"), 6).alias("score")) for m, k, _ in values])).alias("row")
+        F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.round(F.col(f"{m}_{k}"), 6).alias("score"))
+        for m, k, _ in values
+    ])).alias("row")
     return means.select("n_queries", rows).select("row.metric", "row.k", "row.score", "n_queries").orderBy("metric", "k")
 
 

@@ -67,7 +67,8 @@ class LexicalIndex:
         groups = self.groups
         if groups is None:
             groups = self.postings.groupBy("field", "term", "tf").agg(F.min("dl").alias("dl"))
-        groups = groups.filter(F.col("dl").isNotNull() & F.col("field").isin(fields)).join(terms.select("term").distinct(), "term", "left_semi")
+        groups = groups.filter(F.col("dl").isNotNull() & F.col("field").isin(fields)).join(
+            terms.select("term").distinct(), "term", "left_semi")
         # One row per field.
         lengths = F.broadcast(self.field_stats().select("field", "avgdl"))
         return groups.join(lengths, "field").groupBy("field", "term").agg(F.max(_saturation(k1, b)).alias("limit"))
@@ -135,8 +136,8 @@ def build_index(documents: DataFrame, fields: list[str], id_column: str = "produ
     products = statistics.agg(F.max("n_docs")).first()[0] or 0
     buckets = max(1, postings.rdd.getNumPartitions())
     n_blocks = buckets * max(1, products // (BLOCK_PRODUCTS * buckets))
-    common = groups.groupBy("field", "term").agg(F.sum("n").alias("df")).filter(F.col("df") > 2 * n_blocks).select("field", "term")
-    common = materialize(common, "common_terms")
+    sizes = groups.groupBy("field", "term").agg(F.sum("n").alias("df"))
+    common = materialize(sizes.filter(F.col("df") > 2 * n_blocks).select("field", "term"), "common_terms")
     blocks = postings.join(common, ["field", "term"]).groupBy("field", "term", block_of(n_blocks).alias("block")).agg(
         F.max("tf").alias("tf"), F.min("dl").alias("dl"))
     return LexicalIndex(postings, groups, statistics, by_product=True, blocks=materialize(blocks, "blocks"), n_blocks=n_blocks)
@@ -288,7 +289,8 @@ def bounded_search(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict
     terms = query_terms(queries, cleaned, legacy)
     weights = term_weights(index, terms, boosts)
     limits = index.limits(terms, list(boosts), k1, b)
-    weights = materialize(weights.join(limits, ["field", "term"]).withColumn("most", F.col("weight") * F.col("limit")).drop("limit"), "weights")
+    weights = weights.join(limits, ["field", "term"]).withColumn("most", F.col("weight") * F.col("limit")).drop("limit")
+    weights = materialize(weights, "weights")
     fields = len(boosts)
 
     def postings(some: DataFrame) -> DataFrame:
@@ -312,7 +314,8 @@ def bounded_search(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict
 
     least = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
     others = per_term.filter("not rare").join(bar(scored), "query_id", "left").withColumn("sum", F.sum("most").over(least))
-    others = materialize(others.withColumn("late", F.coalesce(F.col("sum") < F.col("bar") - ROUNDED, F.lit(False))), "other_words")
+    below = F.coalesce(F.col("sum") < F.col("bar") - ROUNDED, F.lit(False))
+    others = materialize(others.withColumn("late", below), "other_words")
     more = rest = None
     if others.filter("not late").head(1):
         more = matches(others.filter("not late"))
@@ -330,7 +333,8 @@ def bounded_search(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict
 
         def added(sums: DataFrame, matched: DataFrame) -> DataFrame:
             both = sums.unionByName(field_sums(matched, boosts, k1, b))
-            return both.groupBy("query_id", "product_id", "source").agg(*[F.sum(f"_field{i}").alias(f"_field{i}") for i in range(fields)])
+            return both.groupBy("query_id", "product_id", "source").agg(
+                *[F.sum(f"_field{i}").alias(f"_field{i}") for i in range(fields)])
 
         leaders = materialize(top_scores(scored, fields, LEADERS * k).select("query_id", "product_id"), "leaders")
         first = looked_up(leaders)
@@ -343,9 +347,11 @@ def bounded_search(index: LexicalIndex, queries: DataFrame, k: int, boosts: dict
     return BoundedSearch(rare, more, rest, scored)
 
 
-def candidates_below(index: LexicalIndex, scored: DataFrame, bars: DataFrame, late: DataFrame, fields: int, k1: float, b: float) -> DataFrame:
+def candidates_below(index: LexicalIndex, scored: DataFrame, bars: DataFrame, late: DataFrame, fields: int,
+                     k1: float, b: float) -> DataFrame:
     """(query_id, product_id) of products that the late terms could lift to the bar."""
-    near = scored.join(bars, "query_id").withColumn("_gap", F.col("bar") - ROUNDED - best_field(fields)).select("query_id", "product_id", "_gap")
+    gap = (F.col("bar") - ROUNDED - best_field(fields)).alias("_gap")
+    near = scored.join(bars, "query_id").select("query_id", "product_id", gap)
     by_term = late.groupBy("query_id", "term").agg(F.max("most").alias("most"))
     extra = by_term.groupBy("query_id").agg(F.sum("most").alias("_extra"))
     near = near.join(extra, "query_id").filter("_extra >= _gap")
@@ -354,8 +360,10 @@ def candidates_below(index: LexicalIndex, scored: DataFrame, bars: DataFrame, la
     # The same with the bounds of the product's block; a common term that a block does not have adds nothing there.
     block = index.blocks.join(late.select("field", "term").distinct(), ["field", "term"], "left_semi")
     common = block.select("field", "term").distinct().withColumn("_common", F.lit(True))
-    placed = near.withColumn("block", block_of(index.n_blocks)).join(late, "query_id").join(F.broadcast(common), ["field", "term"], "left")
-    placed = placed.join(block, ["field", "term", "block"], "left")
-    inside = F.when(F.col("_common").isNull(), F.col("most")).otherwise(F.coalesce(F.col("weight") * _saturation(k1, b), F.lit(0.0)))
+    placed = near.withColumn("block", block_of(index.n_blocks)).join(late, "query_id")
+    placed = placed.join(common, ["field", "term"], "left").join(block, ["field", "term", "block"], "left")
+    here = F.coalesce(F.col("weight") * _saturation(k1, b), F.lit(0.0))
+    inside = F.when(F.col("_common").isNull(), F.col("most")).otherwise(here)
     adds = placed.groupBy("query_id", "product_id", "_gap", "term").agg(F.max(inside).alias("_adds"))
-    return adds.groupBy("query_id", "product_id", "_gap").agg(F.sum("_adds").alias("_extra")).filter("_extra >= _gap").select("query_id", "product_id")
+    sums = adds.groupBy("query_id", "product_id", "_gap").agg(F.sum("_adds").alias("_extra"))
+    return sums.filter("_extra >= _gap").select("query_id", "product_id")

@@ -97,9 +97,10 @@ def _split_states(parts: DataFrame, form: Form) -> DataFrame:
             for start in (0, 1):
                 now[2 + start] += up_inside if now[start] else up
                 now[start] = inside if now[start] else outside
-        yield pa.RecordBatch.from_pylist(
-            [{"file": f, "split": s, "outside": n[0], "inside": n[1], "up": n[2], "up_inside": n[3]} for (f, s), n in found.items()],
-            schema=pa.schema([("file", pa.string()), *[(c, pa.int64()) for c in ("split", "outside", "inside", "up", "up_inside")]]))
+        names = ["file", "split", "outside", "inside", "up", "up_inside"]
+        columns = list(zip(*[(*key, *now) for key, now in found.items()])) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=names)
 
     def apply(splits: pd.DataFrame) -> pd.DataFrame:
         splits = splits.sort_values("split")
@@ -124,17 +125,20 @@ def records(spark: SparkSession, path: str, form: Form) -> DataFrame:
     states = materialize(_split_states(parts, form), "split_states")
     folders = max(1, -(-states.count() // SPLITS_PER_FILE))
     where = scratch_path(spark, "split_states")
-    states.withColumn("folder", F.pmod(F.crc32(F.encode("file", "UTF-8")), F.lit(folders)).cast("int")).write.partitionBy("folder").parquet(where)
+    folder = F.pmod(F.crc32(F.encode("file", "UTF-8")), F.lit(folders)).cast("int")
+    states.withColumn("folder", folder).write.partitionBy("folder").parquet(where)
 
     def state_of(file: str, split: int) -> tuple[int, int]:
         import pyarrow.parquet as pq
 
         store, plain = open_store(f"{where}/folder={zlib.crc32(file.encode()) % folders}")
-        row = pq.read_table(plain, filesystem=store, partitioning=None, filters=[("file", "=", file), ("split", "=", split)]).to_pylist()[0]
+        own = [("file", "=", file), ("split", "=", split)]
+        row = pq.read_table(plain, filesystem=store, partitioning=None, filters=own).to_pylist()[0]
         return row["inside"], row["depth"]
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.schema([("value", pa.string()), ("first", pa.bool_()), ("file", pa.string()), ("split", pa.int64()), ("at", pa.int32())])
+        shape = pa.schema([("value", pa.string()), ("first", pa.bool_()), ("file", pa.string()), ("split", pa.int64()),
+                           ("at", pa.int32())])
         place, inside, depth, begun, first = None, 0, 0, True, False
         held: list[str] = []
         rows: list[tuple] = []
@@ -175,7 +179,8 @@ def records(spark: SparkSession, path: str, form: Form) -> DataFrame:
     found = materialize(parts.mapInArrow(assemble, "value string, first boolean, file string, split long, at int"), "records")
     line = Window.partitionBy("file").orderBy("split", "at").rowsBetween(Window.unboundedPreceding, 0)
     pieces = found.filter("file is not null").withColumn("record", F.sum("at").over(line))
+    in_place = F.sort_array(F.collect_list(F.struct("split", "at", "value")))
     joined = pieces.groupBy("file", "record").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("split", "at", "value"))), lambda p: p["value"]), form.separator).alias("value"),
+        F.array_join(F.transform(in_place, lambda p: p["value"]), form.separator).alias("value"),
         F.max("first").alias("first"))
     return found.filter("file is null").select("value", "first").unionByName(joined.select("value", "first"))

@@ -30,7 +30,8 @@ def _delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str, m
         rows = scans.records(spark, path, scans.delimited(sep)).filter("not first")
         rows = rows.select(F.regexp_replace("value", r"\r$", "").alias("value")).filter("trim(value) <> ''")
         kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        return rows.select(F.from_csv("value", kind, options).alias("row")).select(*[F.col("row").getField(f.name).alias(f.name) for f in schema.fields])
+        parsed = rows.select(F.from_csv("value", kind, options).alias("row"))
+        return parsed.select(*[F.col("row").getField(f.name).alias(f.name) for f in schema.fields])
     open_quote = rf'(^|{sep})"([^"]|"")*$'
     if spark.read.text(path).filter(F.col("value").rlike(open_quote)).head(1):
         raise ValueError(f"{path} has quoted line ends; read it with multi_line=True")
