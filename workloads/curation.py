@@ -550,13 +550,13 @@ def _upserted_index(application: str, sf: str) -> indexes.SearchIndex:
     index = indexes.create_index(rows.select(*columns), path, ["text"], text="text", encode=models.bag_of_words, dimension=64)
     changed = rows.filter("lang = 'en'").withColumn("text", F.concat("text", F.lit(" upserted"))).select(*columns)
     last = F.substring("product_id", -1, 1)
-    for digit in "0123456":  # the batches of seven, each a segment, so that some are merged
+    for digit in "0123":  # four batches, each a segment, so that they are merged
         own = changed.filter(last == digit)
         if digit == "0":  # rows that another batch changes again, and rows as they are
             own = own.unionByName(changed.filter(last == "1").withColumn("text", F.lit("not yet")))
             own = own.unionByName(rows.filter("lang <> 'en'").filter(last == "0").select(*columns))
         index = index.upsert([own], encode=models.bag_of_words)
-    rest = changed.filter(last.isin("7", "8", "9"))
+    rest = changed.filter(~last.isin("0", "1", "2", "3"))
     extra = rest.withColumn("product_id", F.concat(F.lit("9000"), "product_id"))
     index = index.upsert([rest.withColumn("text", F.lit("")), rest, extra], encode=models.bag_of_words)
     return index.upsert([rest.limit(0)], encode=models.bag_of_words, deleted=extra.select("product_id"))
