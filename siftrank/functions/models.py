@@ -105,7 +105,7 @@ ANSWERS = "_key string, answer string, error string"
 
 
 def ask(rows: DataFrame, load: Callable[[], Generate], answers: str, batch: int = BATCH,
-        parallel: int | None = None, slices: int = 1, in_flight: int = IN_FLIGHT, attempts: int = ATTEMPTS) -> DataFrame:
+        parallel: int | None = None, slices: int = 1, in_flight: int = IN_FLIGHT, attempts: int = 1) -> DataFrame:
     """``rows`` with an ``answer`` to each ``prompt``; each distinct prompt is asked once.
 
     Answers are kept in the parquet table at ``answers`` under the prompt's
