@@ -96,6 +96,16 @@ def read_shared_parquet(path: str) -> pd.DataFrame:
     return pq.read_table(plain, filesystem=store).to_pandas()
 
 
+def read_shared_batches(path: str, rows: int) -> Iterator[pd.DataFrame]:
+    """A written file in frames of at most ``rows``, read one after another by a Python worker."""
+    import pyarrow.parquet as pq
+
+    store, plain = open_store(path)
+    with store.open_input_file(plain) as source:
+        for batch in pq.ParquetFile(source).iter_batches(batch_size=rows):
+            yield batch.to_pandas()
+
+
 def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession

@@ -189,6 +189,22 @@ def test_cell_search_recall(spark):
     assert everywhere == exact
 
 
+def test_no_more_than_the_hits_leave_a_search_of_many_queries(spark, monkeypatch):
+    """Queries that are as many as the products: what is ranked does not grow with blocks of one times blocks of the other."""
+    frame, _ = vectors(spark, 400, 0)
+    frame = frame.repartition(4)
+    queries = frame.select(F.col("product_id").alias("query_id"), "embedding")
+    ranked_rows = []
+    own = dense.top_n
+    monkeypatch.setattr(dense, "top_n", lambda df, *rest: (ranked_rows.append(df.count()), own(df, *rest))[1])
+    exact = ranked(dense.knn(frame, queries, 5, chunk_bytes=500))
+    cells = ranked(dense.knn_cells(frame, queries, 5, cells=8, probes=8, rows_per_block=30))
+    codes = dense.code_table(frame, book := dense.train_codes(frame))
+    near = ranked(dense.knn_codes(codes, book, frame, queries, 5, chunk_bytes=500))
+    assert cells == exact and set(near) == set(exact)
+    assert ranked_rows == [399 * 5] * 3
+
+
 def run(spark, rows):
     return spark.createDataFrame(
         [(q, p, r, 1.0 / r, s) for q, p, r, s in rows], "query_id string, product_id string, rank long, score double, source string")
