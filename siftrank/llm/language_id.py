@@ -22,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from siftrank.llm.common import bound_batches, named, release, string_groups, whole_text, without, worker_state
+from siftrank.operators.ranking import full_rank
 from siftrank.scratch import materialize
 
 SAMPLE_DOCS = 19_200      # training documents of all languages together
@@ -270,6 +271,12 @@ def drawn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     Neither has documents that are held out or have no language.
     """
+    sample = _sample(docs, doc_id, text, lang, spare)
+    return [(r.lang, r.text) for r in sample if r.trained], [(r.lang, r.text) for r in sample if not r.trained]
+
+
+def _sample(docs: DataFrame, doc_id: str, text: str, lang: str, spare: bool) -> list[Row]:
+    """The documents of ``drawn`` (lang, text, id, trained)."""
     rows = docs.select(named(docs, doc_id).alias("id"), named(docs, lang).cast("string").alias("lang"),
                        named(docs, text).cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
@@ -288,8 +295,7 @@ def drawn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         trained = F.least(trained, F.ceil(F.col("count") * (1 - SPARE_SHARE)))
     # At most ``limit`` passages of each language.
     sample = chosen.select("lang", "text", "id", (F.col("n") <= trained).alias("trained")).collect()
-    sample = sorted(sample, key=lambda r: (r.lang, r.id, r.text))
-    return [(r.lang, r.text) for r in sample if r.trained], [(r.lang, r.text) for r in sample if not r.trained]
+    return sorted(sample, key=lambda r: (r.lang, r.id, r.text))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options: int) -> Network | None:
@@ -322,6 +328,27 @@ def lowest_scores(network: Network | None, texts: list[tuple[str, str]]) -> dict
     return found
 
 
+def lowest_found(right: DataFrame, languages: list[str]) -> dict[str, float]:
+    """``lowest_scores`` of all rightly predicted documents (lang, score) of a table of any size; no score is left out."""
+    right = materialize(right.select("lang", "score"), "right_scores")
+    counts = {r["lang"]: r["count"] for r in right.groupBy("lang").count().collect()}  # one row per language
+    lost = {name: int((1 - KEPT_SHARE) * n) for name, n in counts.items()}
+    places = [(name, n + 1) for name, n in lost.items() if n]
+    found = {}
+    if places:
+        wanted = right.sparkSession.createDataFrame(places, "lang string, rank long")
+        ranked = full_rank(right, ["lang"], [F.asc("score")])
+        found = {r.lang: r.score for r in ranked.join(F.broadcast(wanted), ["lang", "rank"]).collect()}
+    if any(name not in found for name in languages):
+        total = sum(counts.values())
+        all_lost = int((1 - KEPT_SHARE) * total)
+        places = [all_lost + 1] if all_lost else [1, total // 2 + 1]
+        at = {r["rank"]: r.score for r in full_rank(right, [], [F.asc("score")]).filter(F.col("rank").isin(places)).collect()}
+        rest = 0.0 if not total else at[all_lost + 1] if all_lost else max(0.0, 2 * at[1] - at[total // 2 + 1])
+        found = {name: found.get(name, rest) for name in languages}
+    return {name: found[name] for name in languages}
+
+
 def identify(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; columns of these names are replaced.
 
@@ -357,16 +384,23 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text") -> Da
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Documents whose language is known with a score that clear documents of the language have.
 
-    The lowest score is that of ``lowest_scores`` on labelled documents that
-    this network was not trained on.  With one language learned all scores are
-    1, and only texts without a letter are dropped.
+    The lowest score is that of ``lowest_scores`` on all labelled documents that
+    this network was not trained on; they are read once, with all others, and the
+    found languages are written before the scores are compared.  With one language
+    learned all scores are 1, and only texts without a letter are dropped.
     """
     own = docs.columns
-    trained, spare = drawn(docs, doc_id, text, lang, spare=True)
-    network = train(trained)
-    lowest = lowest_scores(network, spare)
-    packed = docs.select(F.struct(*[named(docs, c) for c in own]).alias("_row"), whole_text(named(docs, text)).alias("text"))
+    sample = [r for r in _sample(docs, doc_id, text, lang, True) if r.trained]
+    network = train([(r.lang, r.text) for r in sample])
+    packed = docs.select(F.struct(*[named(docs, c) for c in own]).alias("_row"), whole_text(named(docs, text)).alias("text"),
+                         named(docs, doc_id).alias("id"), named(docs, lang).cast("string").alias("lang"))
     found = identify(packed, network, "text")  # the struct keeps the rows' own columns apart from the new ones
+    labelled = F.col("lang").isNotNull() & ~held_out(F.col("id"))
+    found = materialize(found.select("_row", "lang_pred", "score", F.when(labelled, F.col("lang")).alias("lang"),
+                                     F.col("id").cast("string").alias("id")), "found_languages")
+    trained = docs.sparkSession.createDataFrame(sorted({(str(r.id),) for r in sample}), "id string")  # a bounded sample
+    right = found.filter(F.col("lang") == F.col("lang_pred")).join(F.broadcast(trained), "id", "left_anti")
+    lowest = lowest_found(right, network.languages) if network else {}
     clear = F.lit(False)
     for language, score in lowest.items():  # the score itself is rounded when words are summed in another order
         clear = clear | ((F.col("lang_pred") == language) & (F.col("score") >= score - 1e-6))

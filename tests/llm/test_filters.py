@@ -155,6 +155,31 @@ def test_lowest_scores_keep_their_share():
     assert language_id.lowest_scores(network, []) == {"a": 0.0, "b": 0.0} and language_id.lowest_scores(None, texts) == {}
 
 
+def test_lowest_scores_come_from_all_labelled_documents(spark, monkeypatch):
+    """Not from as many as are trained on: those that are not trained on lose one in a hundred, by count."""
+    monkeypatch.setattr(language_id, "DOCS_PER_LANGUAGE", 20)
+    chance = random.Random(5)
+    rows = []
+    for i in range(4000):
+        own, other = ("abcde", "vwxyz") if i % 2 else ("vwxyz", "abcde")
+        mixed = chance.random() ** 8 / 2
+        words = ["".join(chance.choices(other if chance.random() < mixed else own, k=4)) for _ in range(40)]
+        rows.append((i, " ".join(words), f"l{i % 2}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    own = language_id.lowest_found
+    monkeypatch.setattr(language_id, "lowest_found", lambda right, names: seen.update(
+        right=[(r.lang, r.score) for r in right.collect()], lowest=own(right, names)) or seen["lowest"])
+    kept = language_id.kept_documents(docs).count()
+    assert len(seen["right"]) > 3000 and 0.97 * 4000 < kept < 4000
+    for name in ("l0", "l1"):
+        scores = sorted(score for lang, score in seen["right"] if lang == name)
+        assert seen["lowest"][name] == scores[int((1 - language_id.KEPT_SHARE) * len(scores))]
+    few = spark.createDataFrame([("l0", 0.5), ("l0", 0.8), ("l1", 0.9)], "lang string, score double")
+    assert own(few, ["l0", "l1"]) == {"l0": pytest.approx(0.2), "l1": pytest.approx(0.2)}
+    assert own(few.limit(0), ["l0"]) == {"l0": 0.0}
+
+
 def test_positions_pool_to_the_document():
     network = language_id.train([("a", "abc abd abe"), ("b", "xyz xyw xyv")], words=512, passes=1)
     text = "abc xyz  " + "q" * 100 + "é"
