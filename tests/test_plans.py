@@ -79,6 +79,34 @@ def test_built_index_moves_hits_only(spark, sf):
     assert "WindowGroupLimit" in text
 
 
+def test_words_of_a_text_are_hashed_once(spark):
+    """The stand-in encoder's vector is one expression, though its length is needed beside its entries."""
+    from siftrank.functions.models import bag_of_words
+
+    text = plan(spark.range(1).selectExpr("cast(id as string) AS text").select(bag_of_words("text").alias("v")))
+    assert text.count("md5(") == 1 and "map_from_entries" not in text
+
+
+def test_searches_by_words_encode_nothing(spark, sf, monkeypatch):
+    monkeypatch.setattr(retrieval, "_text_index", retrieval._text_index.__wrapped__)
+    monkeypatch.setattr(retrieval.models, "bag_of_words", None)
+    for name in ("bm25_single", "bm25_filtered"):
+        assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_buckets_follow_the_products(spark, monkeypatch):
+    """Equal texts make small files; their postings and scores are as many as those of others."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lexical, "BUCKET_PRODUCTS", 1000)
+    docs = spark.range(40000).select(F.col("id").cast("string").alias("product_id"), F.lit("same words").alias("text"))
+    index = lexical.build_index(docs, ["text"])
+    assert len(index.postings.inputFiles()) == 40
+    monkeypatch.setattr(lexical, "BUCKET_BYTES", 10000)
+    few = lexical.build_index(docs.limit(100).withColumn("text", F.repeat("text", 100)), ["text"])
+    assert len(few.postings.inputFiles()) >= 9
+
+
 def test_words_are_pushed_to_the_reader(spark, tmp_path):
     """A rare word's search reads few of the postings of its folder."""
     from pyspark.sql import functions as F
