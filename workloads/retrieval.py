@@ -28,6 +28,16 @@ POOL = 25
 DIMENSION = 64
 
 
+@cache
+def _text_index(application: str, sf: str) -> lexical.LexicalIndex:
+    return lexical.build_index(inputs.documents(SparkSession.getActiveSession(), sf), ["text"])
+
+
+def text_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
+    """Words of the documents, built once per application and folder; queries by words alone read no vectors."""
+    return _text_index(spark.sparkContext.applicationId, sf)
+
+
 @cache
 def _text_search(application: str, sf: str) -> Search:
     spark = SparkSession.getActiveSession()
@@ -35,7 +45,7 @@ def _text_search(application: str, sf: str) -> Search:
     vectors = materialize(spread(docs).select(
         "product_id", "source", models.bag_of_words(F.col("text"), DIMENSION).alias("embedding")
     ), "vectors")
-    return Search(lexical.build_index(docs, ["text"]), vectors, docs.select("product_id", "text"), TEXT_BOOST)
+    return Search(_text_index(application, sf), vectors, docs.select("product_id", "text"), TEXT_BOOST)
 
 
 def text_search(spark: SparkSession, sf: str) -> Search:
@@ -43,15 +53,29 @@ def text_search(spark: SparkSession, sf: str) -> Search:
     return _text_search(spark.sparkContext.applicationId, sf)
 
 
+@cache
+def _shop_documents(application: str, sf: str) -> DataFrame:
+    return materialize(inputs.shop_documents(SparkSession.getActiveSession(), sf), "shop-documents")
+
+
+@cache
+def _shop_index(application: str, sf: str) -> lexical.LexicalIndex:
+    return lexical.build_index(_shop_documents(application, sf), list(FIELD_BOOSTS))
+
+
+def shop_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
+    """Words of the parts, built once per application and folder; queries by words alone read no vectors."""
+    return _shop_index(spark.sparkContext.applicationId, sf)
+
+
 @cache
 def _shop_search(application: str, sf: str) -> Search:
-    spark = SparkSession.getActiveSession()
-    docs = materialize(inputs.shop_documents(spark, sf), "shop-documents")
+    docs = _shop_documents(application, sf)
     vectors = materialize(spread(docs).select(
         "product_id", "source", models.bag_of_words(F.col("encode_text"), DIMENSION).alias("embedding")
     ), "vectors")
     texts = docs.select("product_id", F.coalesce(F.nullif("encode_text", F.lit("")), "full_text").alias("text"))
-    return Search(lexical.build_index(docs, list(FIELD_BOOSTS)), vectors, texts, FIELD_BOOSTS)
+    return Search(_shop_index(application, sf), vectors, texts, FIELD_BOOSTS)
 
 
 def shop_search(spark: SparkSession, sf: str) -> Search:
@@ -106,19 +130,19 @@ def vector_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bm25_single", sql.with_ctes(sql.DOCUMENTS, sql.TEXT_QUERIES, sql.bm25(TEXT_BOOST, K), HITS.format("lexical")))
 def bm25_single(spark: SparkSession, sf: str) -> DataFrame:
-    return hits(text_search(spark, sf).bm25(inputs.text_queries(spark, sf), K))
+    return hits(lexical.bm25(text_index(spark, sf), inputs.text_queries(spark, sf), K, TEXT_BOOST))
 
 
 @query("bm25_bounded", sql.with_ctes(sql.DOCUMENTS, sql.TEXT_QUERIES, sql.bm25(TEXT_BOOST, K), HITS.format("lexical")))
 def bm25_bounded(spark: SparkSession, sf: str) -> DataFrame:
     """The hits of ``bm25_single``; common words are looked up only for products that can still enter."""
-    return hits(lexical.bm25_bounded(text_search(spark, sf).index, inputs.text_queries(spark, sf), K, TEXT_BOOST))
+    return hits(lexical.bm25_bounded(text_index(spark, sf), inputs.text_queries(spark, sf), K, TEXT_BOOST))
 
 
 @query("bm25_bounded_fields", sql.with_ctes(
     *sql.SHOP_PRODUCTS, sql.SHOP_FIELDS, sql.SHOP_QUERIES, sql.bm25(FIELD_BOOSTS, 20), HITS.format("lexical")))
 def bm25_bounded_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return hits(lexical.bm25_bounded(shop_search(spark, sf).index, inputs.shop_queries(spark, sf), 20, FIELD_BOOSTS))
+    return hits(lexical.bm25_bounded(shop_index(spark, sf), inputs.shop_queries(spark, sf), 20, FIELD_BOOSTS))
 
 
 @query("bm25_stored_index", sql.with_ctes(
@@ -136,13 +160,13 @@ def bm25_stored_index(spark: SparkSession, sf: str) -> DataFrame:
 @query("bm25_multifield", sql.with_ctes(
     *sql.SHOP_PRODUCTS, sql.SHOP_FIELDS, sql.SHOP_QUERIES, sql.bm25(FIELD_BOOSTS, 20), HITS.format("lexical")))
 def bm25_multifield(spark: SparkSession, sf: str) -> DataFrame:
-    return hits(shop_search(spark, sf).bm25(inputs.shop_queries(spark, sf), 20))
+    return hits(lexical.bm25(shop_index(spark, sf), inputs.shop_queries(spark, sf), 20, FIELD_BOOSTS))
 
 
 @query("bm25_filtered", sql.with_ctes(
     sql.DOCUMENTS, sql.TEXT_QUERIES, sql.bm25(TEXT_BOOST, K, source="src3"), HITS.format("lexical")))
 def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return hits(lexical.bm25(text_search(spark, sf).index, inputs.text_queries(spark, sf), K, TEXT_BOOST,
+    return hits(lexical.bm25(text_index(spark, sf), inputs.text_queries(spark, sf), K, TEXT_BOOST,
                              filter_source="src3"))
 
 
@@ -153,7 +177,7 @@ asked AS (SELECT query_id, query FROM (
     sql.bm25(FIELD_BOOSTS, K), HITS.format("lexical")))
 def bm25_customers(spark: SparkSession, sf: str) -> DataFrame:
     texts, ids = distinct_texts(customer_queries(spark, sf))
-    return hits(for_all(shop_search(spark, sf).bm25(texts.drop("filter_source"), K), ids))
+    return hits(for_all(lexical.bm25(shop_index(spark, sf), texts.drop("filter_source"), K, FIELD_BOOSTS), ids))
 
 
 def customer_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,7 +287,7 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     *sql.SHOP_PRODUCTS, sql.SHOP_FIELDS, sql.SHOP_QUERIES, sql.bm25(FIELD_BOOSTS, K),
     "SELECT query_id, product_id, score, rank, brand, full_text FROM lexical JOIN shop USING (product_id)"))
 def search_hits(spark: SparkSession, sf: str) -> DataFrame:
-    found = shop_search(spark, sf).bm25(inputs.shop_queries(spark, sf), K)
+    found = lexical.bm25(shop_index(spark, sf), inputs.shop_queries(spark, sf), K, FIELD_BOOSTS)
     return with_payload(found, inputs.shop_documents(spark, sf)).select(
         "query_id", "product_id", "score", "rank", "brand", "full_text"
     )
@@ -505,7 +529,7 @@ def decompose_merge(spark: SparkSession, sf: str) -> DataFrame:
     )
     parts = materialize(agent.stand_in_parts(state).withColumn("whole", F.col("query_id")).withColumn(
         "query_id", F.concat_ws("#", "whole", "part")), "parts")
-    found = shop_search(spark, sf).bm25(parts.select("query_id", "query"), 2 * K)
+    found = lexical.bm25(shop_index(spark, sf), parts.select("query_id", "query"), 2 * K, FIELD_BOOSTS)
     whole = found.join(parts.select("query_id", "whole", "part"), "query_id").drop("query_id")
     return hits(rerank.best_of_subqueries(whole.withColumnRenamed("whole", "query_id"), K))
 
