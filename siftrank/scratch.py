@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 SPLIT_BYTES = 128 << 20  # spark.sql.files.maxPartitionBytes: a smaller input is one split or few
 TINY_BYTES = 64 << 10    # not worth a shuffle
 PART_BYTES = 32 << 20    # input of one task whose work grows beyond its input
+SORTED_ROWS = 500_000    # narrow rows that a task sorts
 
 _MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
@@ -203,3 +204,13 @@ def fan_out(df: DataFrame, *keys: Column | str) -> DataFrame:
     """
     spark = df.sparkSession
     return df.repartition(max(spark.sparkContext.defaultParallelism, read_bytes(df) // PART_BYTES), *keys)
+
+
+def fan_out_rows(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """Narrow rows by ``keys`` whose groups are small, ahead of steps that sort them: some ``SORTED_ROWS`` in a task.
+
+    Adaptive execution goes by compressed bytes, of which narrow rows have few:
+    a task would get millions, and sort them once per step.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // SORTED_ROWS)), *keys)

@@ -107,6 +107,15 @@ def test_buckets_follow_the_products(spark, monkeypatch):
     assert len(few.postings.inputFiles()) >= 9
 
 
+def test_order_lines_are_sorted_in_bounded_parts(spark, sf, monkeypatch):
+    """Narrow rows are few bytes; a task's share of them is bounded by their number."""
+    from siftrank import scratch
+
+    monkeypatch.setattr(scratch, "SORTED_ROWS", 100)
+    lines = inputs.table(spark, sf, "lineitem").count()
+    assert inputs.esci_examples(spark, sf).rdd.getNumPartitions() >= lines // 100
+
+
 def test_words_are_pushed_to_the_reader(spark, tmp_path):
     """A rare word's search reads few of the postings of its folder."""
     from pyspark.sql import functions as F

@@ -17,7 +17,7 @@ from siftrank.operators.curation import (
     EsciDataset, WandsDataset, build_qrels, esci_join, esci_products, index_documents, wands_join,
 )
 from siftrank.operators.sampling import split_queries
-from siftrank.scratch import materialize, spread
+from siftrank.scratch import fan_out_rows, materialize, spread
 
 ESCI_ORDER = ("row_no", "product_id")
 
@@ -32,9 +32,9 @@ def text(column: str) -> Column:
 
 def esci_examples(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    lines = spread(table(spark, sf, "lineitem").select(
+    lines = fan_out_rows(table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"
-    ))
+    ), "l_orderkey")
     parts = table(spark, sf, "part").select("p_partkey", "p_name")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         parts, F.col("l_partkey") == F.col("p_partkey")
@@ -54,7 +54,7 @@ def esci_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def esci_product_table(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "part")
+    parts = spread(table(spark, sf, "part"))
 
     def locale(name: str, prefix: str) -> DataFrame:
         return parts.select(
