@@ -107,6 +107,24 @@ def test_buckets_follow_the_products(spark, monkeypatch):
     assert len(few.postings.inputFiles()) >= 9
 
 
+def test_index_moves_texts_and_no_postings(spark, sf, monkeypatch):
+    """The postings to be written come from texts dealt out by product, not from a shuffle of their own."""
+    written = []
+    keep = lexical.materialize_buckets
+
+    def seen(rows, *rest):
+        written.append(plan(rows))
+        return keep(rows, *rest)
+
+    monkeypatch.setattr(lexical, "materialize_buckets", seen)
+    index = lexical.build_index(inputs.documents(spark, sf), ["text"])
+    text = written[0]
+    assert text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange hashpartitioning(product_id")
+    files = index.postings.inputFiles()
+    buckets = {f.rsplit("_", 1)[1] for f in files}
+    assert len(buckets) == len(files) > 1  # a bucket is one file
+
+
 def test_order_lines_are_sorted_in_bounded_parts(spark, sf, monkeypatch):
     """Narrow rows are few bytes; a task's share of them is bounded by their number."""
     from siftrank import scratch
