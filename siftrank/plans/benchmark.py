@@ -12,7 +12,7 @@ from siftrank.operators import evaluation, fusion, rerank
 from siftrank.operators.merging import subset
 from siftrank.operators.sampling import first_queries
 from siftrank.plans.agent import agentic
-from siftrank.plans.strategies import Search, distinct_texts, for_all
+from siftrank.plans.strategies import Search, distinct_texts
 from siftrank.scratch import materialize
 from siftrank.sources.exchange import write_ranked_json
 from siftrank.sources.tables import write_csv
@@ -23,10 +23,14 @@ DEFAULT = ["bm25", "knn", "hybrid_rrf", "hybrid_rerank", "agentic"]
 GENERATIVE = STRATEGIES[4:]
 
 
-def run_strategies(search: Search, queries: DataFrame, depth: int = 100, pool: int = 20,
-                   listwise_pool: int = fixed.POOL_FUSION, rrf_k: int = fixed.RRF_K, strategies: list[str] | None = None,
-                   limit_generative: int | None = None) -> DataFrame:
-    """Ranked lists of the chosen strategies: ``strategy, query_id, product_id, rank``.
+def ranked_lists(search: Search, queries: DataFrame, depth: int = 100, pool: int = 20,
+                 listwise_pool: int = fixed.POOL_FUSION, rrf_k: int = fixed.RRF_K, strategies: list[str] | None = None,
+                 limit_generative: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ranked lists of the chosen strategies, one per distinct text, and the queries that they answer.
+
+    The lists are ``strategy, list_id, limited, product_id, rank``; the queries
+    ``query_id, list_id, limited``, where a list is ``limited`` if its strategy
+    was not run for all queries.
 
     Queries are encoded once, and both retrievals run once to the deepest pool
     any strategy asks for; every strategy takes its part of them.  Strategies
@@ -71,11 +75,29 @@ def run_strategies(search: Search, queries: DataFrame, depth: int = 100, pool: i
         "hyde_listwise": lambda: lists(title_legs),
         "agentic": lambda: agentic(search, few_texts, depth),
     }
-    runs = []
+    ranked = []
     for name in chosen:
-        found = for_all(plans[name](), few_ids if name in GENERATIVE else ids)
-        runs.append(found.select(F.lit(name).alias("strategy"), "query_id", "product_id", "rank"))
-    return reduce(DataFrame.unionByName, runs)
+        limited = F.lit(limit_generative is not None and name in GENERATIVE).alias("limited")
+        ranked.append(plans[name]().select(
+            F.lit(name).alias("strategy"), F.col("query_id").alias("list_id"), limited, "product_id", "rank"))
+
+    def answering(some: DataFrame, limited: bool) -> DataFrame:
+        return some.select("query_id", F.col("_as").alias("list_id"), F.lit(limited).alias("limited")).distinct()
+
+    asked = answering(ids, False)
+    if limit_generative is not None:
+        asked = asked.unionByName(answering(few_ids, True))
+    return reduce(DataFrame.unionByName, ranked), asked
+
+
+def for_queries(lists: DataFrame, ids: DataFrame) -> DataFrame:
+    """The shared lists copied for each of their queries: ``strategy, query_id, product_id, rank``."""
+    return ids.join(lists, ["list_id", "limited"]).select("strategy", "query_id", "product_id", "rank")
+
+
+def run_strategies(search: Search, queries: DataFrame, *options: object, **named: object) -> DataFrame:
+    """Ranked lists of every query, ``strategy, query_id, product_id, rank``; options as in :func:`ranked_lists`."""
+    return for_queries(*ranked_lists(search, queries, *options, **named))
 
 
 def write_outputs(runs: DataFrame, metrics: DataFrame, folder: str) -> None:
@@ -92,11 +114,14 @@ def benchmark(search: Search, queries: DataFrame, qrels: DataFrame, ks: list[int
               **run_options: object) -> DataFrame:
     """Metrics of all chosen strategies; the ranked lists are written once and measured together.
 
-    With a ``folder`` each strategy's lists and metrics are also kept there.
+    Queries with the same text have the same lists: these are written for the
+    text, and judged for each of its queries without a copy.  With a ``folder``
+    each strategy's lists and metrics are also kept there, the lists by query.
     """
-    runs = materialize(run_strategies(search, queries, **run_options), "runs")
-    metrics = evaluation.evaluate(qrels, runs, ks, threshold=threshold, gain=gain)
+    lists, ids = ranked_lists(search, queries, **run_options)
+    lists, ids = materialize(lists, "runs"), materialize(ids, "asked")
+    metrics = evaluation.evaluate(qrels, lists, ks, threshold=threshold, gain=gain, ids=ids)
     if folder is not None:
         metrics = materialize(metrics, "metrics")
-        write_outputs(runs, metrics, folder)
+        write_outputs(for_queries(lists, ids), metrics, folder)
     return metrics

@@ -44,10 +44,12 @@ class Models:
 def distinct_texts(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One query per distinct text and filter, and the map from every query id to it.
 
-    Retrieval then runs once per text, however many queries share it.
+    Retrieval then runs once per text, however many queries share it.  The
+    queries are written once, as both the texts and every use of the map read them.
     """
     wanted = F.col("filter_source") if "filter_source" in queries.columns else F.lit(None).cast("string")
-    keyed = queries.select("query_id", "query", wanted.alias("filter_source"), F.coalesce(wanted, F.lit("")).alias("_f"))
+    keyed = materialize(queries.select(
+        "query_id", "query", wanted.alias("filter_source"), F.coalesce(wanted, F.lit("")).alias("_f")), "queries")
     one = materialize(keyed.groupBy("query", "_f").agg(
         F.min("query_id").alias("_as"), F.first("filter_source").alias("filter_source")
     ), "texts")

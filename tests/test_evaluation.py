@@ -119,3 +119,26 @@ def test_classes_equal_judged_pairs(spark):
 def test_metric_rows_are_in_order(qrels, run):
     rows = [(r.strategy, r.metric, r.k) for r in evaluation.evaluate(qrels, run, [3, 1, 2]).collect()]
     assert rows == sorted(rows) and len(rows) == 9
+
+
+def test_shared_lists_score_like_copies(spark):
+    """Lists named by two columns, of queries that were not judged, not run, or run by one strategy only."""
+    rng = random.Random(8)
+    judged = [(f"q{i}", f"p{p}", float(rng.randint(0, 3))) for i in range(30) for p in rng.sample(range(25), 5)]
+    lists = [(s, n, some, f"p{p}", r + 1) for s, n, some in (
+        [("a", n, False) for n in range(6)] + [("b", n, True) for n in range(4)] + [("none", 7, False), ("far", 1, False)])
+        for r, p in enumerate(rng.sample(range(25), 8))]
+    lists = [(s, n, some, f"{p} unjudged" if s == "b" and n == 2 else p, r + 90 if s == "far" else r)
+             for s, n, some, p, r in lists]
+    lists += [(s, n, some, p, r + 2) for s, n, some, p, r in lists[::6]]  # listed twice: the better place counts
+    asked = [(f"q{i}", i % 6, False) for i in range(3, 40)] + [(f"q{i}", i % 4, True) for i in range(10, 35)]
+    asked += [("q5", 2, False)]  # a query with two lists
+    qrels = spark.createDataFrame(judged, "query_id string, product_id string, gain double")
+    shared = spark.createDataFrame(lists, "strategy string, list int, some boolean, product_id string, rank long")
+    ids = spark.createDataFrame(asked, "query_id string, list int, some boolean")
+    copies = ids.join(shared, ["list", "some"]).select("strategy", "query_id", "product_id", "rank")
+    copies = copies.unionByName(spark.createDataFrame([("none", "nobody", "p1", 1)], copies.schema))
+    for options in ({}, {"threshold": 2.0, "gain": "exp2"}):
+        want = evaluation.evaluate(qrels, copies, [2, 5], **options).collect()
+        assert evaluation.evaluate(qrels, shared, [2, 5], ids=ids, **options).collect() == want
+    assert len(want) == 24 and {r.strategy: r.n_missing for r in want} == {"a": 3, "b": 10, "far": 30, "none": 30}

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftrank.operators import dense, fusion, lexical, rerank
+from siftrank.operators import dense, evaluation, fusion, lexical, rerank
+from siftrank.plans import benchmark
 from siftrank.plans.strategies import Search, distinct_texts, for_all
 from siftrank.functions import models
 from siftrank.sources import indexes
@@ -345,3 +346,28 @@ def test_each_prompt_is_asked_once(spark, tmp_path):
         assert got == {"a": "X", "b": "X", "c": "Y", "d": None}
     calls = log.read_text().split()
     assert calls.count("x") == 1 and calls.count("y") == 1 and calls.count("bad") == 2
+
+
+def test_lists_are_not_copied_for_each_query(spark, search, tmp_path, monkeypatch):
+    """Queries of one text share its written lists; their metrics, and the lists kept by query, are those of copies."""
+    written = {}
+    keep = benchmark.materialize
+
+    def seen(frame, name):
+        kept = keep(frame, name)
+        written[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(benchmark, "materialize", seen)
+    asked = [(f"q{i:02d}", ("hot w1 w2", "w3 w9", "w5 w6 w7")[i % 3]) for i in range(60)]
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    rng = random.Random(3)
+    judged = [(q, f"p{p:04d}", float(rng.randint(1, 3))) for q, _ in asked[:50] for p in rng.sample(range(300), 40)]
+    qrels = spark.createDataFrame(judged, "query_id string, product_id string, gain double")
+    options = {"depth": 10, "strategies": ["bm25", "knn", "hybrid_rrf", "agentic"], "limit_generative": 20}
+    found = benchmark.benchmark(search, queries, qrels, [3, 10], folder=str(tmp_path), **options).collect()
+    runs = benchmark.run_strategies(search, queries, **options)
+    assert found == evaluation.evaluate(qrels, runs, [3, 10]).collect() and any(r.score > 0 for r in found)
+    assert written["runs"] <= 3 * 4 * 10 < runs.count()
+    lists = spark.read.option("wholetext", True).text(str(tmp_path / "bm25_ranked")).collect()
+    assert sum(r.value.count('"q') for r in lists) == 60
