@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from siftrank.llm.common import bound_batches, list_of, named, packed_texts, row_groups, text_bytes, tidy, whole_text, wider, worker_state
 from siftrank.llm.components import components
 from siftrank.llm.shingles import Shingler
-from siftrank.scratch import materialize
+from siftrank.scratch import materialize, remove_folders, settled, tagged_folders
 
 BUCKET_BITS = 20       # shingles are counted in 2**20 buckets, whatever the input
 GROUP_BYTES = 1 << 19  # texts that are shingled together
@@ -206,7 +206,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(named(docs, doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("t1"),
                        F.xxhash64(F.lit(1), body).alias("t2"), body.alias("text"))
     counts = bucket_counts(rows.select("text"))
-    signed = materialize(signatures(rows, counts), "shingle_prefixes")
+    with tagged_folders() as prefixes:  # a large table, of which few columns are read beyond the lists
+        signed = materialize(signatures(rows, counts), "shingle_prefixes")
 
     # Nodes: one per distinct set.  Its name is the smallest text key's hash with the set's, which is unique.
     filled = signed.filter("n > 0")
@@ -222,6 +223,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     listed = listed.repartition("token").dropDuplicates(["token", "gid"])
     listed = listed.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("many > 1").drop("many")
     listed = materialize(listed, "shingle_lists")
+    signed = materialize(signed.select("doc_id", "s1", "s2", "n"), "shingle_sets")
+    remove_folders(docs.sparkSession, prefixes)
 
     inner = nodes.join(groups.filter("members > 1").select("gid"), "gid", "left_semi").select(
         F.col("gid").alias("token"), "node", "n", F.lit(0).alias("pos"))
@@ -240,7 +243,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near_pairs")
     texts = packed_texts(rows.select("t1", "t2", "text"))
     links = materialize(verify(pairs, nodes, texts), "near_links")
-    found = materialize(components(links), "near_components")
+    found = settled(docs.sparkSession, "near_components", lambda: components(links))
 
     # Every other pair that meets in a list and is not in one component yet.
     members = listed.join(nodes.select("gid", "node"), "gid").select("token", "node", "n", "pos").unionByName(inner)
@@ -256,7 +259,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "mixed_pairs")
     late = materialize(verify(more, nodes, texts), "mixed_links")
     edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late)
-    found = materialize(components(edges), "near_components")
+    found = settled(docs.sparkSession, "near_components", lambda: components(edges))
 
     named_nodes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named_nodes.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -277,9 +280,13 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     packed = docs.select(F.struct(*[named(docs, c) for c in own]).alias("_row"), named(docs, doc_id).cast("long").alias("doc_id"),
                          F.monotonically_increasing_id().alias("row"))
     packed = materialize(packed, "near_rows")  # its row numbers hold from here on
-    found = near_duplicates(packed.select(F.col("row").alias("doc_id"), F.col("_row").getField(text).alias("text")))
-    found = found.withColumnRenamed("doc_id", "row").join(packed.select("row", "doc_id"), "row")
-    turn = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    best = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(turn).alias("best")).select("best.row")
-    stay = best.unionByName(found.filter("n_shingles = 0").select("row"))
+
+    def chosen() -> DataFrame:
+        found = near_duplicates(packed.select(F.col("row").alias("doc_id"), F.col("_row").getField(text).alias("text")))
+        found = found.withColumnRenamed("doc_id", "row").join(packed.select("row", "doc_id"), "row")
+        turn = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+        best = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(turn).alias("best")).select("best.row")
+        return best.unionByName(found.filter("n_shingles = 0").select("row"))
+
+    stay = settled(docs.sparkSession, "near_stay", chosen)
     return packed.join(stay, "row", "left_semi").select("_row.*")

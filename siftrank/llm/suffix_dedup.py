@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from siftrank.llm.common import bound_batches, named, packed_texts, release, row_groups, text_bytes, tidy, whole_text, worker_state
 from siftrank.llm.shingles import mix, powers
 from siftrank.llm.suffix_arrays import common_prefixes, suffix_array
-from siftrank.scratch import materialize
+from siftrank.scratch import materialize, settled
 
 LENGTH = 200           # bytes of a repeat
 ANCHOR = 64            # bytes whose hash picks a window's anchor
@@ -201,17 +201,21 @@ def across_shards(told: DataFrame, tasks: int) -> DataFrame:
         merge, "cls long, seg long, runs array<bigint>")
 
 
-def repeat_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (t1, t2, text): (t1, t2, spans) of texts with repeats, and the packed texts.
-
-    Spans are (first byte, end) pairs in one array, not yet merged.
-    """
+def met_segments(texts: DataFrame) -> DataFrame:
+    """The ``anchor_rows`` whose anchor string is found more than once, and whether all its segments are alike."""
     anchors = materialize(anchor_rows(texts), "suffix_anchors")
     classes = anchors.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"))
     classes = classes.filter("n > 1").select("cls", (F.col("low") == F.col("high")).alias("alike"))
     classes = materialize(classes, "suffix_classes")  # so that the join can split a hot anchor's rows
-    met = materialize(anchors.join(classes, "cls"), "suffix_met")
+    return anchors.join(classes, "cls")
+
 
+def repeat_spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (t1, t2, text): (t1, t2, spans) of texts with repeats, and the packed texts.
+
+    Spans are (first byte, end) pairs in one array, not yet merged.
+    """
+    met = settled(texts.sparkSession, "suffix_met", lambda: met_segments(texts))
     different = met.filter(~F.col("alike")).groupBy("cls", "seg").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "lo", "hi")).alias("at"))
     different = materialize(different.select("cls", "seg", "n", "at.*"), "suffix_segments")

@@ -1,7 +1,11 @@
+import os
+
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
-from siftrank.llm import queries
+from siftrank.llm import jaccard_join, queries, suffix_dedup
+from siftrank.scratch import materialize, scratch_path, settled
 
 
 def test_stages_of_odd_rows(spark, sf, rows, tmp_path):
@@ -39,6 +43,48 @@ def test_unread_results_stay_readable(spark, sf):
     assert first.count() > 0
 
 
+def tables(spark):
+    """Scratch tables on disk."""
+    folder = os.path.dirname(scratch_path(spark, "none"))
+    return set(os.listdir(folder.removeprefix("file:")))
+
+
+def test_held_results_hold_few_tables(spark, sf):
+    # A caller may still hold a stage's result while the next stage writes its own tables.
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    held = []
+    for make, left in (
+        (lambda: stages["near_duplicates"](spark, docs, sf), {"near_rows", "near_stay"}),
+        (lambda: stages["repeats"](spark, docs, sf), {"suffix_met", "suffix_segments", "suffix_marks"}),
+        (lambda: suffix_dedup.repeat_report(docs), {"suffix_met", "suffix_segments", "suffix_marks"}),
+    ):
+        before = tables(spark)
+        held.append(make())
+        assert {t.rsplit("-", 1)[0] for t in tables(spark) - before} == left
+    before = tables(spark)
+    held.append(jaccard_join.near_duplicates(docs))
+    assert not {t.rsplit("-", 1)[0] for t in tables(spark) - before} & {"shingle_prefixes", "links"}
+    assert [h.count() > 0 for h in held] == [True] * 4
+
+
+def test_settled(spark):
+    def rows(fail=False):
+        first = settled(spark, "inner", lambda: materialize(spark.range(5), "innermost"))
+        if fail:
+            raise ValueError
+        return materialize(first, "second").filter("id > 2")
+
+    before = tables(spark)
+    found = settled(spark, "outer", rows)
+    assert {t.rsplit("-", 1)[0] for t in tables(spark) - before} == {"outer"}
+    assert sorted(r.id for r in found.collect()) == [3, 4]
+    before = tables(spark)
+    with pytest.raises(ValueError):
+        settled(spark, "outer", lambda: rows(fail=True))
+    assert tables(spark) == before
+
+
 def test_stages_decide_as_their_operators(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
